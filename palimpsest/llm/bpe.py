@@ -18,31 +18,20 @@ import heapq
 import json
 import re
 import struct
-import sys
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterable
 
-_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+import numpy as np
+import regex
+
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Distinct words a task remembers before it starts its table anew.
+#: ``str.split`` parts text at these four controls too, the format does not.
+_NO_SPACE = re.compile("[\x1c-\x1f]")
+_SPACE = regex.compile(r"\p{White_Space}+")
+#: Distinct words, or parts between white space, a task remembers before it starts anew.
 CACHE_WORDS = 400_000
 
 
-def _classes() -> tuple[str, str]:
-    """Character classes of the Unicode letters and numbers, as ranges."""
-    ranges: dict[str, list[list[int]]] = {"L": [], "N": []}
-    for code in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(code))[0]
-        if kind in ranges:
-            runs = ranges[kind]
-            if runs and runs[-1][1] == code - 1:
-                runs[-1][1] = code
-            else:
-                runs.append([code, code])
-    return tuple("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges[k]) for k in "LN")  # type: ignore[return-value]
-
-
 def _byte_symbols() -> list[str]:
     """The printable stand-in of each byte: itself if visible in Latin-1, else the next code from 256 on."""
     visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -70,7 +59,10 @@ class WordBpe:
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self._shift = max(self.vocab.values()).bit_length()
+        #: Pair (left << shift | right) to rank, and what each rank joins and makes.
+        self.ranks: dict[int, int] = {}
+        self._merges: list[tuple[int, int, int]] = []
         made: dict[int, int] = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
@@ -79,135 +71,138 @@ class WordBpe:
             if max(made.get(left, -1), made.get(right, -1)) >= rank or whole in made:
                 raise ValueError("merges are not in the order of their parts")
             made[whole] = rank
-            self.ranks[left, right] = (rank, whole)
+            self.ranks[left << self._shift | right] = rank
+            self._merges.append((left, right, whole))
+            if a.endswith(self.suffix):
+                raise ValueError("a merge goes beyond the end of a word")
+        self._pairs = np.array(sorted(self.ranks), np.int64)
+        self._pair_ranks = np.array([self.ranks[p] for p in self._pairs.tolist()], np.int64)
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
-        self._bytes = _byte_symbols()
-        letters, numbers = _classes()
-        self._find = re.compile(
-            f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{_WHITE}{letters}{numbers}]+"
-        ).findall
+        symbols = _byte_symbols()
+        self._inner = [self.vocab[s] for s in symbols]
+        self._final = [self.vocab[s + self.suffix] for s in symbols]
+        self._find = regex.compile(_SPLIT).findall
         self._special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special))) + ")")
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[str, str] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.ids.clear()
-        self.text.clear()
-        for content, number in self.special.items():
-            self.ids[content] = struct.pack("<I", number)
-            self.text[content] = content
-
-    # -- words ---------------------------------------------------------------
-    def words(self, text: str) -> list[str]:
-        """Special tokens and pre-tokens of a text, in order.
-
-        Pre-tokens are lower case and special strings are found in the raw
-        text, so the two share no spelling: ``<|...|>`` never is one pre-token.
-        """
-        if "<|" in text:
-            out: list[str] = []
-            for k, part in enumerate(self._special_at.split(text)):
-                if k % 2:
-                    out.append(part)
-                elif part:
-                    out += self._pre(part)
-            return out
-        return self._pre(text)
-
-    def _pre(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self._find(text.lower())
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.texts: dict[str, str] = {}
 
     # -- the pair occurrence index -------------------------------------------
-    def merge_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, all words together through one pair index."""
-        vocab, ranks, to = self.vocab, self.ranks, self._bytes
+    def merge_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit integers, all words through one pair index."""
+        if not words:
+            return []
+        ranks, shift, inner, final = self.ranks.get, self._shift, self._inner, self._final
         ids: list[int] = []
-        nxt: list[int] = []
-        prv: list[int] = []
         heads: list[int] = []
         for word in words:
-            symbols = [to[b] for b in word.encode("utf-8")]
-            symbols[-1] += self.suffix
-            head = len(ids)
-            heads.append(head)
-            for k, symbol in enumerate(symbols):
-                ids.append(vocab[symbol])
-                prv.append(head + k - 1 if k else -1)
-                nxt.append(head + k + 1)
-            nxt[-1] = -1
-        where: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for at, after in enumerate(nxt):
-            if after >= 0:
-                pair = (ids[at], ids[after])
-                if pair in ranks:
-                    where[pair].append(at)
-        active = [(ranks[pair][0], pair) for pair in where]
-        heapq.heapify(active)
+            heads.append(len(ids))
+            raw = word.encode("utf-8")
+            ids += [inner[b] for b in raw]
+            ids[-1] = final[raw[-1]]
+        count = len(ids)
+        nxt = list(range(1, count + 1))
+        prv = list(range(-1, count - 1))
+        for head in heads:
+            prv[head] = -1
+            nxt[head - 1] = count  # of the first word, the last symbol of all
+        # Symbols that end a word never join to the right, so no pair spans two words.
+        symbols = np.array(ids, np.int64)
+        pairs = symbols[:-1] << shift | symbols[1:]
+        at = np.minimum(np.searchsorted(self._pairs, pairs), len(self._pairs) - 1)
+        places = np.flatnonzero(self._pairs[at] == pairs)
+        rank_of = self._pair_ranks[at[places]]
+        order = np.argsort(rank_of, kind="stable")
+        active, first = np.unique(rank_of[order], return_index=True)
+        where = {r: p.tolist() for r, p in zip(active.tolist(), np.split(places[order], first[1:]), strict=True)} if len(places) else {}
+        active = list(where)
+        ids.append(-1)  # what follows the last symbol of a word
         while active:
-            _, pair = heapq.heappop(active)
-            places = where.pop(pair, None)
-            if places is None:
-                continue
-            places.sort()
-            left, right = pair
-            whole = ranks[pair][1]
+            rank = heapq.heappop(active)
+            places = where.pop(rank)
+            if len(places) > 1:
+                places.sort()
+            left, right, whole = self._merges[rank]
+            high = whole << shift
             for at in places:
                 after = nxt[at]
-                if ids[at] != left or after < 0 or ids[after] != right:
+                if ids[at] != left or ids[after] != right:
                     continue  # a neighbouring merge took one of the two symbols
                 ids[at], ids[after] = whole, -1
                 beyond = nxt[at] = nxt[after]
-                if beyond >= 0:
+                if beyond < count:
                     prv[beyond] = at
-                    fresh = (whole, ids[beyond])
-                    if fresh in ranks:
-                        if fresh not in where:
-                            heapq.heappush(active, (ranks[fresh][0], fresh))
-                        where[fresh].append(at)
+                    if (fresh := ranks(high | ids[beyond])) is not None:
+                        if fresh in where:
+                            where[fresh].append(at)
+                        else:
+                            where[fresh] = [at]
+                            heapq.heappush(active, fresh)
                 before = prv[at]
-                if before >= 0:
-                    fresh = (ids[before], whole)
-                    if fresh in ranks:
-                        if fresh not in where:
-                            heapq.heappush(active, (ranks[fresh][0], fresh))
+                if before >= 0 and (fresh := ranks(ids[before] << shift | whole)) is not None:
+                    if fresh in where:
                         where[fresh].append(before)
-        out = []
-        for at in heads:
-            row = []
-            while at >= 0:
-                row.append(ids[at])
-                at = nxt[at]
-            out.append(row)
-        return out
+                    else:
+                        where[fresh] = [before]
+                        heapq.heappush(active, fresh)
+        symbols = np.array(ids[:count], np.int64)
+        alive = symbols >= 0
+        flat = symbols[alive].astype("<u4").tobytes()
+        ends = (np.add.reduceat(alive, heads, dtype=np.int64).cumsum() * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     # -- texts ---------------------------------------------------------------
-    def _learn(self, words: Iterable[str]) -> None:
-        fresh = [w for w in words if w not in self.ids]
-        for word, row in zip(fresh, self.merge_words(fresh), strict=True):
-            self.ids[word] = struct.pack(f"<{len(row)}I", *row)
-            self.text[word] = " ".join(map(self.names.__getitem__, row))
+    def _between(self, text: str) -> list[str]:
+        """Lower-case parts between white space; no pre-token spans two of them."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+        text = text.lower()
+        return [p for p in _SPACE.split(text) if p] if _NO_SPACE.search(text) else text.split()
+
+    def split(self, text: str) -> list[str]:
+        """Special tokens and parts between white space, in order.
+
+        Special strings are found in the raw text.  They keep a leading space,
+        which no part has, so that the two share no spelling.
+        """
+        if "<|" not in text:
+            return self._between(text)
+        out: list[str] = []
+        for k, piece in enumerate(self._special_at.split(text)):
+            out += [" " + piece] if k % 2 else self._between(piece)
+        return out
 
     def split_batch(self, texts: list[str]) -> list[list[str]]:
-        """Words of each text, with all of them present in the tables."""
-        if len(self.ids) > CACHE_WORDS:
-            self._reset()
-        rows = [self.words(t) for t in texts]
-        fresh: set[str] = set()
-        for row in rows:
-            fresh.update(row)
-        self._learn(fresh.difference(self.ids))
+        """Parts of each text, with all of them present in the table."""
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+            self.texts.clear()
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        rows = [self.split(t) for t in texts]
+        fresh = set().union(*rows).difference(self.parts)
+        # A part of letters alone is one pre-token.
+        found = {p: (p,) if p.isalpha() else self._find(p) for p in fresh if p[0] != " "}
+        new = list(set().union(*found.values()).difference(self.words))
+        self.words.update(zip(new, self.merge_words(new), strict=True))
+        get = self.words.__getitem__
+        for part, words in found.items():
+            self.parts[part] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
+        for part in fresh.difference(found):
+            self.parts[part] = struct.pack("<I", self.special[part[1:]])
         return rows
 
-    def encode_bytes(self, words: list[str]) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.ids.__getitem__, words))
-
-    def decode_words(self, words: list[str]) -> str:
-        """The text that the ids of ``words`` decode to."""
-        return " ".join(map(self.text.__getitem__, words))
+    def encode_bytes(self, parts: list[str]) -> bytes:
+        """Ids of a text's parts as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.parts.__getitem__, parts))
+
+    def decode_parts(self, parts: list[str]) -> str:
+        """The text that the ids of ``parts`` decode to."""
+        texts = self.texts
+        for part in set(parts).difference(texts):
+            raw = self.parts[part]
+            texts[part] = " ".join(map(self.names.__getitem__, struct.unpack(f"<{len(raw) // 4}I", raw)))
+        return " ".join(map(texts.__getitem__, parts))
 
     def encode(self, text: str) -> list[int]:
         row = self.split_batch([text])[0]

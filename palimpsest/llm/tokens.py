@@ -48,7 +48,7 @@ def encode_documents(df: DataFrame, vocabulary: str, key: str = "doc_id", text:
                     pa.Array.from_buffers(pa.int32(), sum(map(len, raw)) // 4, [None, pa.py_buffer(b"".join(raw))]),
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(start, len(part)), ids, pa.array([bpe.decode_words(r) for r in rows], pa.string())],
+                    [keys.slice(start, len(part)), ids, pa.array([bpe.decode_parts(r) for r in rows], pa.string())],
                     [key, "ids", "decoded"],
                 )
 
@@ -77,7 +77,7 @@ def encode_digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: st
                     raw = bpe.encode_bytes(row)
                     counts.append(len(raw) // 4)
                     ids.append(sha(raw).hexdigest())
-                    decoded.append(sha(bpe.decode_words(row).encode("utf-8")).hexdigest())
+                    decoded.append(sha(bpe.decode_parts(row).encode("utf-8")).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(start, len(part)), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                     [key, "n_tokens", "ids_sha256", "decoded_sha256"],
