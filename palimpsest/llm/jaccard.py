@@ -5,14 +5,18 @@ the n-grams (rare before frequent, then by hash) is cut into fragments; the
 overlap of a pair is counted in each fragment on its own and summed per pair.
 
 1. Documents with equal sets are one class; its smallest id stands for it.
-2. Classes that share the first n-gram of a fragment are checked against one
-   leader each.  These links only join what is similar and shrink large groups
-   to components; no pairs inside a group are formed.
-3. Every pair with the wanted similarity shares an n-gram in the prefix of its
-   sets under the global order.  Prefixes are joined on the n-gram, for classes
-   of different components only, with the bounds that size and position give.
-   So each link between components is found; links inside one need not be.
-4. Connected components by alternating large and small stars.
+2. Classes that agree in half of a sketch form families around one root each.
+   The overlap with the root, and the n-grams lost and added against it, are
+   computed for every member: one row for each, no pairs inside a group.
+3. Within a family, |x & y| = |root| - |lost x| - |lost y| + what x and y have
+   lost or added in common.  Members that reach the threshold without anything
+   in common both link to the root.  All others must share enough of their
+   differences, so these short lists are joined, rare entries first, with the
+   bounds that size and position give.
+4. Between families, a pair with the wanted similarity shares an n-gram in the
+   prefix of its sets under the global order.  Prefixes are joined likewise.
+5. Candidates of 3 and 4 are counted exactly, fragment by fragment; connected
+   components come from alternating large and small stars.
 
 A wrong guess about which n-grams are frequent costs time, never a link: any
 global order is exact.  Broadcasts happen only below a counted size; beyond
@@ -31,7 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -53,7 +57,8 @@ class Similarity:
     broadcast_rows: int = 1_000_000
 
 
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd; its powers keep the order of the words
+_NONE = np.empty(0, np.uint64)
 _words: dict[bytes, int] = {}
 
 
@@ -81,9 +86,11 @@ def ngram_set(text: str | None, n: int) -> np.ndarray:
     width = min(n, len(words))
     count = len(words) - width + 1
     total = np.full(count, width, np.uint64)
+    factor = np.uint64(1)
     for k in range(width):
-        total = _mix(total + h[k : k + count] * _MULTIPLIERS[k % 5])
-    return np.unique(total)
+        factor *= _FACTOR
+        total += h[k : k + count] * factor
+    return np.unique(_mix(total))
 
 
 def _limit(n: int, sim: Similarity) -> int:
@@ -126,48 +133,101 @@ def _pick(docs: DataFrame, chosen: DataFrame, sim: Similarity, rows: int) -> Dat
     return docs.join(F.broadcast(chosen) if rows <= sim.broadcast_rows else chosen, "doc_id")
 
 
-def _overlaps(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (x, y, nx, ny) whose similarity reaches the threshold.
-
-    Each document in a pair is cut into fragments of the hash range; a pair
-    meets itself once in each fragment, and the partial overlaps are summed.
-    """
+def _fragments(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
+    """(x, y, nx, ny, a, b): for every pair and fragment of the hash range, the n-grams of both sides."""
     sides = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
     sides = materialize(sides, "jaccard-sides")
     bits = sim.fragments.bit_length() - 1
 
     def cut(batches):
+        edges = np.arange(1, sim.fragments, dtype=np.uint64) << np.uint64(64 - bits)
         for batch in batches:
             ids, places, parts = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = ngram_set(text.as_py(), sim.ngram)
-                where = np.searchsorted(s, np.arange(1, sim.fragments, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
-                for k, part in enumerate(np.split(s, where)):
-                    if len(part):
-                        ids.append(key)
-                        places.append(k)
-                        parts.append(part.tobytes())
+                for k, part in enumerate(np.split(s, np.searchsorted(s, edges))):
+                    ids.append(key)
+                    places.append(k)
+                    parts.append(part.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "fragment", "part"]
             )
 
-    def count(batches):
-        for batch in batches:
-            x, y, nx, ny, a, b = (batch.column(k) for k in range(6))
-            shared = [
-                len(np.intersect1d(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), assume_unique=True))
-                for p, q in zip(a, b, strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([x, y, nx, ny, pa.array(shared, pa.int64())], ["x", "y", "nx", "ny", "shared"])
-
     chosen = _pick(docs, sides, sim, sides.count())
     parts = chosen.select("doc_id", "text").mapInArrow(cut, "doc_id long, fragment int, part binary")
     left = pairs.join(parts.select(F.col("doc_id").alias("x"), "fragment", F.col("part").alias("a")), "x")
     both = left.join(parts.select(F.col("doc_id").alias("y"), "fragment", F.col("part").alias("b")), ["y", "fragment"])
-    partial = both.select("x", "y", "nx", "ny", "a", "b").mapInArrow(count, "x long, y long, nx long, ny long, shared long")
-    total = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("shared").alias("shared"))
-    share = F.lit(sim.denominator + sim.numerator) * F.col("shared")
-    return total.where(share >= F.lit(sim.numerator) * (F.col("nx") + F.col("ny")))
+    return both.select("x", "y", "nx", "ny", "a", "b")
+
+
+def _sides(batch: pa.RecordBatch):
+    for a, b in zip(batch.column(4), batch.column(5), strict=True):
+        a, b = a.as_py(), b.as_py()
+        yield (np.frombuffer(a, np.uint64) if a else _NONE), (np.frombuffer(b, np.uint64) if b else _NONE)
+
+
+def _overlaps(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
+    """The pairs (x, y, nx, ny) whose similarity reaches the threshold."""
+
+    def count(batches):
+        for batch in batches:
+            shared = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in _sides(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], ["x", "y", "nx", "ny", "shared"])
+
+    partial = _fragments(docs, pairs, sim).mapInArrow(count, "x long, y long, nx long, ny long, shared long")
+    return partial.groupBy("x", "y", "nx", "ny").agg(F.sum("shared").alias("shared")).where(_enough(F.col("shared"), F.col("nx") + F.col("ny"), sim))
+
+
+def _enough(shared, sizes, sim: Similarity):
+    """shared / (sizes - shared) >= threshold, in whole numbers."""
+    return shared * F.lit(sim.denominator + sim.numerator) >= F.lit(sim.numerator) * sizes
+
+
+def _differences(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
+    """(x, y, nx, ny, shared, lost, added): for every fragment, what x has, lacks and adds against y."""
+
+    def compare(batches):
+        kind = pa.list_(pa.int64())
+        for batch in batches:
+            shared, lost, added = [], [], []
+            for a, b in _sides(batch):
+                out = np.setdiff1d(b, a, assume_unique=True)
+                shared.append(len(b) - len(out))
+                lost.append(out.view(np.int64))
+                added.append(np.setdiff1d(a, b, assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(shared, pa.int64()), pa.array(lost, kind), pa.array(added, kind)],
+                ["x", "y", "nx", "ny", "shared", "lost", "added"],
+            )
+
+    return _fragments(docs, pairs, sim).mapInArrow(
+        compare, "x long, y long, nx long, ny long, shared long, lost array<long>, added array<long>"
+    )
+
+
+def _family_pairs(found: DataFrame, totals: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs of one family, of different components, that can reach the threshold by what they share against the root.
+
+    ``totals`` has a row (x, y, nx, ny, l, part) for each member x of root y.
+    """
+    sign = F.explode(F.array(F.struct(F.lit(False).alias("plus"), F.col("lost").alias("t")), F.struct(F.lit(True).alias("plus"), F.col("added").alias("t"))))
+    rows = found.select("x", "y", sign.alias("s")).select("x", "y", F.col("s.plus").alias("plus"), F.explode("s.t").alias("token"))
+    often = rows.groupBy("y", "plus", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rows = rows.join(often, ["y", "plus", "token"])
+    own = Window.partitionBy("x")
+    rows = rows.select("*", (F.row_number().over(own.orderBy("df", "plus", "token")) - 1).alias("at"), F.count(F.lit(1)).over(own).alias("c"))
+    rows = rows.join(totals.withColumnRenamed("y", "root").drop("root"), "x")
+    # The least that x must share with any member is what it must share with a copy of the root.
+    rows = rows.where(_enough(F.col("c") - F.col("at") + F.col("ny") - F.col("l"), F.col("nx") + F.col("ny"), sim))
+    a, b = rows.alias("a"), rows.alias("b")
+    most = F.least(F.col("a.c") - F.col("a.at"), F.col("b.c") - F.col("b.at")) + F.col("a.ny") - F.col("a.l") - F.col("b.l")
+    return (
+        a.join(b, (F.col("a.y") == F.col("b.y")) & (F.col("a.plus") == F.col("b.plus")) & (F.col("a.token") == F.col("b.token")))
+        .where("a.x < b.x and a.part != b.part")
+        .where(_enough(most, F.col("a.nx") + F.col("b.nx"), sim))
+        .select(F.col("a.x").alias("x"), F.col("b.x").alias("y"), F.col("a.nx").alias("nx"), F.col("b.nx").alias("ny"))
+        .distinct()
+    )
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -212,7 +272,7 @@ def near_duplicates(documents: DataFrame, sim: Similarity = Similarity(), key: s
         "jaccard-classes",
     )
 
-    # Leaders: at least half of the sketch agrees, then the exact count decides.
+    # Families: at least half of the sketch agrees with that of the root.
     places = classes.select("id", "n", F.posexplode("sketch").alias("place", "value")).where("value is not null")
     heads = places.groupBy("place", "value").agg(F.min(F.struct(F.col("id"), F.col("n"))).alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     near = (
@@ -222,29 +282,41 @@ def near_duplicates(documents: DataFrame, sim: Similarity = Similarity(), key: s
         .groupBy("x", "y", "nx", "ny")
         .agg(F.count(F.lit(1)).alias("agree"))
     )
-    sized = f"nx * {sim.denominator} >= ny * {sim.numerator} and ny * {sim.denominator} >= nx * {sim.numerator}"
-    near = materialize(near.where(f"agree >= least({sim.sketches}, nx, ny) / 2 and {sized}").drop("agree"), "jaccard-leaders")
-    first = materialize(_overlaps(docs, near, sim).select("x", "y"), "jaccard-links")
-    grouped = components(first, "jaccard-stars")
-
-    # Prefix join between components, complete for what the leaders missed.
+    lead = near.where(f"agree >= least({sim.sketches}, nx, ny) / 2").groupBy("x").agg(F.max(F.struct("agree", (-F.col("y")).alias("y"))).alias("b"))
+    lead = materialize(lead.select("x", (-F.col("b.y")).alias("y")), "jaccard-leaders")
+    for _ in range(3):  # leaders of leaders; ids fall along the way
+        above = lead.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        lead = lead.join(above, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
+    lead = materialize(
+        lead.join(classes.select(F.col("id").alias("x"), F.col("n").alias("nx")), "x").join(classes.select(F.col("id").alias("y"), F.col("n").alias("ny")), "y")
+        .select("x", "y", "nx", "ny"),
+        "jaccard-families",
+    )
+    found = materialize(_differences(docs, lead, sim), "jaccard-differences")
+    totals = found.groupBy("x", "y", "nx", "ny").agg((F.col("ny") - F.sum("shared")).alias("l"))
+    first = materialize(totals.where(_enough(F.col("ny") - F.col("l"), F.col("nx") + F.col("ny"), sim)).select("x", "y"), "jaccard-links")
+    grouped = components(first, "jaccard-stars").withColumnRenamed("component", "part")
+    totals = totals.join(grouped.withColumnRenamed("id", "x"), "x", "left").withColumn("part", F.coalesce("part", "x"))
+    within = _family_pairs(found, materialize(totals, "jaccard-totals"), sim)
+
+    # Prefix join between families.
     members = materialize(
-        classes.select("id", "n").join(grouped, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "id").alias("part")),
+        classes.select("id").join(grouped, "id", "left").join(lead.select(F.col("x").alias("id"), F.col("y").alias("root")), "id", "left")
+        .select(F.col("id").alias("doc_id"), F.coalesce("part", "id").alias("part"), F.coalesce("root", "id").alias("family")),
         "jaccard-members",
     )
     own = _pick(docs, members, sim, members.count())
     tokens = _prefixes(own, sim, _frequent(docs, sim))
     a, b = tokens.alias("a"), tokens.alias("b")
     reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    pairs = (
+    between = (
         a.join(b, F.col("a.token") == F.col("b.token"))
-        .where("a.doc_id < b.doc_id and a.part != b.part")
-        .where(f"a.n * {sim.denominator} >= b.n * {sim.numerator} and b.n * {sim.denominator} >= a.n * {sim.numerator}")
-        .where(reach * F.lit(sim.denominator + sim.numerator) >= F.lit(sim.numerator) * (F.col("a.n") + F.col("b.n")))
+        .where("a.doc_id < b.doc_id and a.part != b.part and a.family != b.family")
+        .where(_enough(reach, F.col("a.n") + F.col("b.n"), sim))
         .select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), F.col("a.n").cast("long").alias("nx"), F.col("b.n").cast("long").alias("ny"))
-        .distinct()
     )
-    second = _overlaps(docs, materialize(pairs, "jaccard-pairs"), sim).select("x", "y")
+    pairs = materialize(within.union(between).distinct(), "jaccard-pairs")
+    second = _overlaps(docs, pairs, sim).select("x", "y")
     linked = components(first.union(second), "jaccard-stars")
 
     named = classes.select("signature", "id").join(linked, "id", "left").select("signature", F.coalesce("component", "id").alias("component_id"))
@@ -278,12 +350,12 @@ def _frequent(docs: DataFrame, sim: Similarity) -> np.ndarray:
 
 
 def _prefixes(own: DataFrame, sim: Similarity, frequent: np.ndarray) -> DataFrame:
-    """(token, doc_id, part, n, at): the prefix of each set, rare n-grams first."""
+    """(token, doc_id, part, family, n, at): the prefix of each set, rare n-grams first."""
 
     def run(batches):
         for batch in batches:
-            tokens, ids, parts, sizes, places = [], [], [], [], []
-            for key, text, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            tokens, sizes, places = [], [], []
+            for text in batch.column(1):
                 s = ngram_set(text.as_py(), sim.ngram)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
@@ -293,20 +365,19 @@ def _prefixes(own: DataFrame, sim: Similarity, frequent: np.ndarray) -> DataFram
                     ordered = s
                 p = _limit(len(s), sim)
                 tokens.append(ordered[:p])
-                ids += [key] * p
-                parts += [part] * p
-                sizes += [len(s)] * p
-                places.append(np.arange(p))
+                sizes.append(len(s))
+                places.append(np.arange(p, dtype=np.int32))
             if tokens:
+                counts = [len(t) for t in tokens]
+                rows = pa.array(np.repeat(np.arange(len(tokens), dtype=np.int32), counts))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(tokens).view(np.int64), pa.int64()),
-                        pa.array(ids, pa.int64()),
-                        pa.array(parts, pa.int64()),
-                        pa.array(sizes, pa.int32()),
-                        pa.array(np.concatenate(places).astype(np.int32), pa.int32()),
+                        pa.array(np.concatenate(tokens).view(np.int64)),
+                        *(batch.column(k).take(rows) for k in (0, 2, 3)),
+                        pa.array(np.repeat(np.array(sizes, np.int32), counts)),
+                        pa.array(np.concatenate(places)),
                     ],
-                    ["token", "doc_id", "part", "n", "at"],
+                    ["token", "doc_id", "part", "family", "n", "at"],
                 )
 
-    return own.select("doc_id", "text", "part").mapInArrow(run, "token long, doc_id long, part long, n int, at int")
+    return own.select("doc_id", "text", "part", "family").mapInArrow(run, "token long, doc_id long, part long, family long, n int, at int")
