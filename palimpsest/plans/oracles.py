@@ -1 +1,76 @@
-ORACLE_SQL: dict[str, str] = {}
+"""DuckDB SQL for the queries that SQL can express."""
+
+from __future__ import annotations
+
+_LINES = """lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+           generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"""
+_PAIRS = f"""{_LINES}, held AS (SELECT DISTINCT doc_id, line FROM lines WHERE length(line) > 20),
+    rare AS (SELECT line FROM held GROUP BY line HAVING count(*) BETWEEN 2 AND 20),
+    pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM held x JOIN rare USING (line) JOIN held y USING (line) WHERE x.doc_id < y.doc_id)"""
+_MARKED = f"{_LINES}, marked AS (SELECT doc_id, line_no, contains(line, ' the ') AS changed FROM lines)"
+_TURNS = """turns AS (
+    SELECT conv_id, row_number() OVER w AS pos, text AS b, lag(text) OVER w AS a FROM conversations
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))"""
+
+ORACLE_SQL: dict[str, str] = {
+    "doc_lines": f"WITH {_LINES} SELECT doc_id, line_no, line FROM lines",
+    "line_offsets": f"""WITH {_LINES} SELECT doc_id, line_no,
+        CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte,
+        strlen(line) AS n_bytes FROM lines""",
+    "line_frequency": f"WITH {_LINES} SELECT doc_id, line, count(*) AS n FROM lines GROUP BY doc_id, line",
+    "near_copy_pairs": f"WITH {_PAIRS} SELECT a, b FROM pairs",
+    "line_dice": f"""WITH {_PAIRS}, freq AS (SELECT doc_id, line, count(*) AS n FROM lines GROUP BY doc_id, line),
+        size AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id)
+        SELECT a, b, CAST(sum(least(x.n, y.n)) AS BIGINT) AS shared, any_value(p.n) AS lines_a, any_value(q.n) AS lines_b,
+               round(2.0::DOUBLE * sum(least(x.n, y.n)) / (any_value(p.n) + any_value(q.n)), 6) AS dice
+        FROM pairs JOIN freq x ON x.doc_id = a JOIN freq y ON y.doc_id = b AND y.line = x.line
+        JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b GROUP BY a, b""",
+    "unique_anchors": f"""WITH {_PAIRS}, once AS (SELECT doc_id, line, min(line_no) AS at FROM lines GROUP BY doc_id, line HAVING count(*) = 1)
+        SELECT a, b, x.at AS a_row, y.at AS b_row FROM pairs JOIN once x ON x.doc_id = a JOIN once y ON y.doc_id = b AND y.line = x.line""",
+    "common_ends": f"""WITH {_PAIRS}, size AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id),
+        m AS (SELECT a, b, p.n AS na, q.n AS nb, least(p.n, q.n) AS least_n FROM pairs JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b),
+        front AS (SELECT m.a, m.b, min(x.line_no) AS at FROM m JOIN lines x ON x.doc_id = m.a JOIN lines y ON y.doc_id = m.b AND y.line_no = x.line_no WHERE x.line != y.line GROUP BY m.a, m.b),
+        back AS (SELECT m.a, m.b, min(m.na - 1 - x.line_no) AS at FROM m JOIN lines x ON x.doc_id = m.a JOIN lines y ON y.doc_id = m.b AND m.nb - y.line_no = m.na - x.line_no WHERE x.line != y.line GROUP BY m.a, m.b)
+        SELECT m.a, m.b, coalesce(front.at, least_n) AS prefix, least(coalesce(back.at, least_n), least_n - coalesce(front.at, least_n)) AS suffix
+        FROM m LEFT JOIN front USING (a, b) LEFT JOIN back USING (a, b)""",
+    "gate_modes": """SELECT doc_id, CASE
+            WHEN (starts_with(text, '<<<<<<<') OR contains(text, chr(10) || '<<<<<<<')) AND (contains(text, chr(10) || '>>>>>>>') OR contains(text, '>>>>>>>' || chr(10))) THEN 'conflict'
+            WHEN strlen(text) > 409600 THEN 'size' WHEN contains(text, chr(0)) THEN 'binary' ELSE 'none' END AS gate, strlen(text) AS n_bytes FROM documents""",
+    "page_language": """SELECT page_id, CASE WHEN e IN ('html', 'htm') THEN 'html' WHEN e IN ('json', 'css', 'js') THEN e ELSE 'unknown' END AS lang
+        FROM (SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM pages)""",
+    "trivial_lines": f"""WITH {_LINES}, t AS (SELECT doc_id, regexp_replace(line, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') AS line FROM lines)
+        SELECT doc_id, count(*) FILTER (line IN ('', '{{', '}}', '(', ')', '[', ']', '}};', ');', '];', '}},', '),', '],')) AS n_trivial,
+               count(*) FILTER (regexp_matches(line, '[A-Za-z0-9_]')) AS n_word, count(*) AS n_lines FROM t GROUP BY doc_id""",
+    "bigram_similarity": f"""WITH {_TURNS}, kept AS (SELECT * FROM turns WHERE a IS NOT NULL AND b IS NOT NULL),
+        ga AS (SELECT conv_id, pos, substring(h, i, 4) AS g, count(*) AS n FROM (SELECT conv_id, pos, hex(encode(a)) AS h, unnest(generate_series(1, strlen(a) * 2 - 3, 2)) AS i FROM kept) GROUP BY ALL),
+        gb AS (SELECT conv_id, pos, substring(h, i, 4) AS g, count(*) AS n FROM (SELECT conv_id, pos, hex(encode(b)) AS h, unnest(generate_series(1, strlen(b) * 2 - 3, 2)) AS i FROM kept) GROUP BY ALL),
+        s AS (SELECT conv_id, pos, sum(least(ga.n, gb.n)) AS shared FROM ga JOIN gb USING (conv_id, pos, g) GROUP BY ALL)
+        SELECT conv_id, pos, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN greatest(strlen(a) - 1, 0) + greatest(strlen(b) - 1, 0) = 0 THEN 0.0::DOUBLE
+            ELSE 2.0::DOUBLE * coalesce(shared, 0) / (greatest(strlen(a) - 1, 0) + greatest(strlen(b) - 1, 0)) END, 6) AS similarity
+        FROM kept LEFT JOIN s USING (conv_id, pos)""",
+    "levenshtein_ratio": f"""WITH {_TURNS} SELECT conv_id, pos, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0::DOUBLE
+            ELSE 1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 6) AS ratio
+        FROM turns WHERE a IS NOT NULL AND b IS NOT NULL AND strlen(a) = length(a) AND strlen(b) = length(b)""",
+    "attribute_values": """SELECT page_id, substring(q, 2, length(q) - 2) AS value, count(*) AS n
+        FROM (SELECT page_id, unnest(regexp_extract_all(html, '[a-z-]+=("[^"<>]*"|''[^''<>]*'')', 1)) AS q FROM pages) GROUP BY ALL""",
+    "tag_counts": """SELECT page_id, tag, count(*) AS n FROM (
+        SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY ALL""",
+    "json_pair_diff": """WITH e AS (SELECT event_id, props AS dst, lag(props) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src FROM events),
+        o AS (SELECT event_id, unnest(json_keys(src)) AS key, src FROM e WHERE src IS NOT NULL), d AS (SELECT event_id, unnest(json_keys(dst)) AS key, dst FROM e WHERE src IS NOT NULL),
+        b AS (SELECT coalesce(o.event_id, d.event_id) AS event_id, coalesce(o.key, d.key) AS key, o.src ->> ('$."' || o.key || '"') AS old_value, d.dst ->> ('$."' || d.key || '"') AS new_value
+              FROM o FULL JOIN d ON o.event_id = d.event_id AND o.key = d.key)
+        SELECT event_id, key, CASE WHEN old_value IS NULL THEN 'insert' WHEN new_value IS NULL THEN 'delete' ELSE 'update' END AS action, old_value, new_value
+        FROM b WHERE old_value IS DISTINCT FROM new_value""",
+    "folds": f"""WITH {_MARKED}, near AS (SELECT doc_id, line_no, max(changed::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS n FROM marked),
+        runs AS (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM near WHERE n = 0)
+        SELECT doc_id, min(line_no) AS start_row, max(line_no) AS end_row FROM runs GROUP BY doc_id, i HAVING count(*) > 1""",
+    "next_change": f"""WITH {_MARKED}, hit AS (SELECT doc_id, line_no, CASE WHEN changed THEN line_no END AS h FROM marked)
+        SELECT doc_id, line_no AS row, coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(h) OVER (PARTITION BY doc_id)) AS next_row FROM hit""",
+    "search_matches": f"""WITH {_LINES}, p AS (SELECT doc_id, line_no, string_split(lower(line), 'tion') AS p FROM lines WHERE contains(lower(line), 'tion')),
+        k AS (SELECT doc_id, line_no, p, unnest(generate_series(1, len(p) - 1)) AS k FROM p)
+        SELECT doc_id, line_no, length(array_to_string(p[1:k], '    ')) AS start_col FROM k""",
+    "git_status": """SELECT * FROM (VALUES ('src/a.py', NULL, ' M', false, true), ('new.py', 'old.py', 'R ', true, false), ('notes.txt', NULL, '??', false, true),
+        ('both.c', NULL, 'MM', true, true), ('added.go', NULL, 'A ', true, false), ('gone.rs', NULL, 'D ', true, false), ('skip.o', NULL, '!!', false, true)) t(path, old_path, status, staged, unstaged)""",
+    "git_name_status": """SELECT * FROM (VALUES ('M', 'src/a.py', NULL), ('R', 'new.py', 'old.py'), ('A', 'added.go', NULL), ('D', 'gone.rs', NULL)) t(status, path, old_path)""",
+}

@@ -1 +1,190 @@
-QUERIES: dict = {}
+"""Registered queries of the diff engine; each takes (spark, sf_dir)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import linediff as D
+from ..operators import lines as L
+from ..sources import git as G
+
+#: A row of a document counts as changed in the fold queries if it holds this word.
+MARK = " the "
+STATUS = (" M src/a.py", "R  old.py -> new.py", "?? notes.txt", "MM both.c", "A  added.go", "x", "D  gone.rs", "!! skip.o")
+NAMES = ("M\tsrc/a.py", "R087\told.py\tnew.py", "A\tadded.go", "D\tgone.rs", "broken")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def copy_texts(docs: DataFrame) -> DataFrame:
+    """Near-copy pairs with both texts."""
+    pairs = L.near_copy_pairs(docs).join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("src")), "a")
+    return pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("dst")), "b").select("a", "b", "src", "dst")
+
+
+def doc_lines(spark, sf_dir):
+    return L.lines(_docs(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+def line_offsets(spark, sf_dir):
+    return L.line_offsets(_docs(spark, sf_dir))
+
+
+def line_frequency(spark, sf_dir):
+    return L.line_frequency(_docs(spark, sf_dir))
+
+
+def near_copy_pairs(spark, sf_dir):
+    return L.near_copy_pairs(_docs(spark, sf_dir))
+
+
+def line_dice(spark, sf_dir):
+    return L.line_dice(_docs(spark, sf_dir))
+
+
+def unique_anchors(spark, sf_dir):
+    return L.unique_anchors(_docs(spark, sf_dir))
+
+
+def common_ends(spark, sf_dir):
+    return L.common_ends(_docs(spark, sf_dir))
+
+
+def gate_modes(spark, sf_dir):
+    """Which gate sends a document to line mode, if any."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    gates = F.when(X.has_conflict(t), "conflict").when(F.octet_length(t) > X.SIZE_LIMIT, "size").when(X.is_binary(t), "binary").otherwise("none")
+    return _docs(spark, sf_dir).select("doc_id", gates.alias("gate"), F.octet_length(t).cast("long").alias("n_bytes"))
+
+
+def page_language(spark, sf_dir):
+    """Language of a page from the last part of its address."""
+    ext = F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1))
+    return table(spark, sf_dir, "pages").select("page_id", F.when(ext.isin("html", "htm"), "html").when(ext.isin("json", "css", "js"), ext).otherwise("unknown").alias("lang"))
+
+
+def trivial_lines(spark, sf_dir):
+    """Counts of bracket-only lines, lines with a word character, and all lines."""
+    line = F.regexp_replace("line", "^[ \\t\\r]+|[ \\t\\r]+$", "")
+    rows = L.lines(_docs(spark, sf_dir)).select("doc_id", line.isin(*X.TRIVIAL_BRACKETS).alias("trivial"), X.has_word(line).alias("word"))
+    return rows.groupBy("doc_id").agg(
+        F.count_if("trivial").alias("n_trivial"), F.count_if("word").alias("n_word"), F.count(F.lit(1)).alias("n_lines")
+    )
+
+
+def _turns(spark, sf_dir):
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(order).cast("long").alias("pos"), F.col("text").alias("b"), F.lag("text").over(order).alias("a")).where("a IS NOT NULL AND b IS NOT NULL")
+
+
+def bigram_similarity(spark, sf_dir):
+    """Dice of the byte-bigram multisets of consecutive turns."""
+    turns = _turns(spark, sf_dir)
+    sides = [turns.select("conv_id", "pos", F.explode(X.byte_bigrams(F.col(c))).alias("g")).groupBy("conv_id", "pos", "g").agg(F.count(F.lit(1)).alias(f"n{c}")) for c in "ab"]
+    shared = sides[0].join(sides[1], ["conv_id", "pos", "g"]).groupBy("conv_id", "pos").agg(F.sum(F.least("na", "nb")).alias("shared"))
+    total = F.greatest(F.octet_length("a") - 1, F.lit(0)) + F.greatest(F.octet_length("b") - 1, F.lit(0))
+    score = F.when(F.col("a") == F.col("b"), 1.0).when(total == 0, 0.0).otherwise(2.0 * F.coalesce("shared", F.lit(0)) / total)
+    return turns.join(shared, ["conv_id", "pos"], "left").select("conv_id", "pos", F.round(score, 6).alias("similarity"))
+
+
+def levenshtein_ratio(spark, sf_dir):
+    """Edit similarity of consecutive ASCII turns."""
+    turns = _turns(spark, sf_dir).where(~F.col("a").rlike("[^\\x00-\\x7f]") & ~F.col("b").rlike("[^\\x00-\\x7f]"))
+    return turns.select("conv_id", "pos", F.round(X.levenshtein_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
+def attribute_values(spark, sf_dir):
+    """Quoted attribute values of pages, without their quotes, counted."""
+    value = F.explode(F.regexp_extract_all("html", F.lit("[a-z-]+=(\"[^\"<>]*\"|'[^'<>]*')"), 1))
+    quoted = table(spark, sf_dir, "pages").select("page_id", value.alias("quoted"))
+    return quoted.select("page_id", X.unquote(F.col("quoted")).alias("value")).groupBy("page_id", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tag_counts(spark, sf_dir):
+    """Opening tags of each page, raw-text elements left out."""
+    clean = F.regexp_replace("html", "(?is)<(script|style)[^>]*>.*?</\\1>", "")
+    tags = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all(clean, F.lit("<([a-z][a-z0-9]*)"), 1)).alias("tag"))
+    return tags.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def json_pair_diff(spark, sf_dir):
+    """Key changes between consecutive events of a user: insert, delete or update."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("dst"), F.lag("props").over(order).alias("src")).where("src IS NOT NULL")
+    kind = "map<string,string>"
+    both = events.select("event_id", F.from_json("src", kind).alias("s"), F.from_json("dst", kind).alias("d"))
+    keys = both.select("event_id", F.explode(F.array_distinct(F.concat(F.map_keys("s"), F.map_keys("d")))).alias("key"), "s", "d")
+    old, new = F.try_element_at("s", F.col("key")), F.try_element_at("d", F.col("key"))
+    action = F.when(old.isNull(), "insert").when(new.isNull(), "delete").when(old != new, "update")
+    return keys.select("event_id", "key", action.alias("action"), old.alias("old_value"), new.alias("new_value")).where("action IS NOT NULL")
+
+
+def _marked(spark, sf_dir):
+    return L.lines(_docs(spark, sf_dir)).select("doc_id", "line_no", F.col("line").contains(MARK).alias("changed"))
+
+
+def folds(spark, sf_dir):
+    return D.folds(_marked(spark, sf_dir), ["doc_id"], "line_no", "changed")
+
+
+def next_change(spark, sf_dir):
+    return D.next_change(_marked(spark, sf_dir), ["doc_id"], "line_no", "changed")
+
+
+def search_matches(spark, sf_dir):
+    """Case-insensitive, non-overlapping matches of a word in lines, with their place in code points."""
+    pieces = F.split(F.lower("line"), "tion", -1)
+    rows = L.lines(_docs(spark, sf_dir)).where(F.lower("line").contains("tion")).select("doc_id", "line_no", pieces.alias("p"))
+    starts = F.expr("transform(sequence(1, size(p) - 1), k -> CAST(length(array_join(slice(p, 1, k), '    ')) AS BIGINT))")
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.explode(starts).alias("start_col"))
+
+
+def _literals(spark, values):
+    return spark.createDataFrame([(v,) for v in values], "line string")
+
+
+def git_status(spark, sf_dir):
+    return G.parse_status(_literals(spark, STATUS))
+
+
+def git_name_status(spark, sf_dir):
+    return G.parse_name_status(_literals(spark, NAMES))
+
+
+def _grid(spark, sf_dir):
+    return D.align_pairs(copy_texts(_docs(spark, sf_dir)))
+
+
+def line_alignment(spark, sf_dir):
+    return _grid(spark, sf_dir)
+
+
+def line_actions(spark, sf_dir):
+    return D.actions(_grid(spark, sf_dir))
+
+
+def line_diff_summary(spark, sf_dir):
+    return D.summary(_grid(spark, sf_dir))
+
+
+def line_folds(spark, sf_dir):
+    rows = _grid(spark, sf_dir).select("a", "b", "grid_row", (~F.col("equal")).alias("changed"))
+    return D.folds(rows, ["a", "b"], "grid_row", "changed")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        doc_lines, line_offsets, line_frequency, near_copy_pairs, line_dice, unique_anchors, common_ends, gate_modes, page_language,
+        trivial_lines, bigram_similarity, levenshtein_ratio, attribute_values, tag_counts, json_pair_diff, folds, next_change,
+        search_matches, git_status, git_name_status, line_alignment, line_actions, line_diff_summary, line_folds,
+    )
+}
