@@ -3,9 +3,10 @@
 Labelled examples become TF-IDF vectors over terms that the labels single out:
 words and word beginnings, picked by a log-likelihood ratio.  Inverse document
 frequencies count all documents.  The nearest examples by exact cosine come from
-an inverted index with block maxima: examples are numbered in blocks, each term
-keeps the largest weight of every block, blocks are visited in the order of
-their upper bounds, and the search ends when no block can enter the result.
+an inverted index with block maxima: examples are numbered in blocks, and each
+term keeps the largest weight of every block.  The blocks with the largest upper
+bounds are scored first; then only those whose bound reaches the k-th similarity
+found are scored, so that none that could enter the result is left out.
 Votes weighted by similarity are calibrated on the examples themselves, each
 left out of its own neighbours.
 
@@ -88,20 +89,38 @@ class Index:
         bound = np.zeros(self.blocks)
         for q, (_, _, number, _, most) in terms:
             bound[number] += q * most
-        found: list[tuple[float, int]] = []  # (-similarity, row), the best k
-        for b in np.lexsort((np.arange(self.blocks), -bound)):
-            if bound[b] <= 0 or len(found) == k and bound[b] < -found[-1][0] - 1e-12:
-                break
-            scores = np.zeros(self.block)
-            for q, (rows, weights, number, first, _) in terms:
-                at = np.searchsorted(number, b)
-                if at < len(number) and number[at] == b:
+        order = np.argsort(-bound, kind="stable")
+        # The most promising blocks set the similarity to beat ...
+        lead = order[: -(-4 * k // self.block)]
+        scores = np.zeros(self.blocks * self.block)
+        for q, (rows, weights, number, first, _) in terms:
+            for at in np.searchsorted(number, lead):
+                if at < len(number) and number[at] in lead:
                     part = slice(first[at], first[at + 1])
-                    scores[rows[part] - b * self.block] += q * weights[part]
-            start = int(b) * self.block
-            found += [(-float(scores[i]), start + int(i)) for i in np.flatnonzero(scores > 0) if start + i != without]
-            found = sorted(found)[:k]
-        return [(row, -negative) for negative, row in found]
+                    scores[rows[part]] += q * weights[part]
+        best = self._best(scores, k, without)
+        floor = best[-1][1] - 1e-12 if len(best) == k else 0.0
+        # ... and only blocks whose bound reaches it are scored beside them.
+        kept = bound >= floor if floor > 0 else bound > 0
+        kept[lead] = True
+        if np.count_nonzero(kept) > len(lead):
+            scores[:] = 0
+            for q, (rows, weights, number, _, _) in terms:
+                if kept[number].any():
+                    scores[rows] += q * weights
+            scores.reshape(self.blocks, self.block)[~kept] = 0
+            best = self._best(scores, k, without)
+        return best
+
+    @staticmethod
+    def _best(scores: np.ndarray, k: int, without: int) -> list[tuple[int, float]]:
+        if without >= 0:
+            scores[without] = 0
+        rows = np.flatnonzero(scores > 0)
+        if len(rows) > k:
+            rows = rows[scores[rows] >= np.partition(scores[rows], -k)[-k]]
+        rows = rows[np.argsort(-scores[rows], kind="stable")][:k]
+        return list(zip(rows.tolist(), scores[rows].tolist(), strict=True))
 
 
 @dataclass
