@@ -5,7 +5,7 @@ the n-grams (rare before frequent, then by hash) is cut into fragments; the
 overlap of a pair is counted in each fragment on its own and summed per pair.
 
 1. Documents with equal sets are one class; its smallest id stands for it.
-2. Classes that agree in half of a sketch form families around one root each.
+2. Classes that agree in a quarter of a sketch form families around one root each.
    The overlap with the root, and the n-grams lost and added against it, are
    computed for every member: one row for each, no pairs inside a group.
 3. Within a family, |x & y| = |root| - |lost x| - |lost y| + what x and y have
@@ -49,7 +49,9 @@ class Similarity:
     numerator: int = 80
     denominator: int = 100
     fragments: int = 4
+    #: A document joins the family of a root that agrees in this part of the sketch.
     sketches: int = 8
+    agreement: float = 0.25
     #: Prefix n-grams put last in the order; only efficiency depends on it.
     frequent_bound: int = 200_000
     frequent_from: int = 24
@@ -57,9 +59,10 @@ class Similarity:
     broadcast_rows: int = 1_000_000
 
 
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd; its powers keep the order of the words
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd; its powers keep the order of words, and of bytes within one
 _NONE = np.empty(0, np.uint64)
-_words: dict[bytes, int] = {}
+_SHORT = 64  # bytes of a word up to which its hash is a weighted sum; longer ones are rare
+_BLOCK = 1 << 22  # bytes of a text that are hashed at once
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -68,29 +71,56 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def ngram_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; A-Z are lower-cased, nothing else is.
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
+_VALUE = _mix((_LOWER.astype(np.uint64) + np.uint64(1)) * _FACTOR)
+_WEIGHT = np.multiply.accumulate(np.full(_SHORT, _FACTOR))
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
+    """One hash for each word of ``raw``, in order; A-Z count as a-z."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = _IS_WORD[data]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edge = np.concatenate(([0] * bool(inside[:1].any()), edge, [len(data)] * bool(inside[-1:].any()))).astype(np.int64)
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return _NONE
+    lengths = ends - starts
+    firsts = np.cumsum(lengths) - lengths
+    offset = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
+    h = np.add.reduceat(_VALUE[data[inside]] * _WEIGHT[np.minimum(offset, _SHORT - 1)], firsts)
+    h = _mix(h + lengths.astype(np.uint64))
+    for k in np.flatnonzero(lengths > _SHORT):
+        h[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]].lower())
+    return h
+
+
+def _blocks(raw: bytes):
+    """``raw`` in pieces of about ``_BLOCK`` bytes, cut only at white space."""
+    at = 0
+    while len(raw) - at > _BLOCK:
+        data = np.frombuffer(raw, np.uint8, offset=at + _BLOCK)
+        gap = next((k + int(np.argmin(w)) for k in range(0, len(data), _BLOCK) if not (w := _IS_WORD[data[k : k + _BLOCK]]).all()), len(data))
+        yield raw[at : at + _BLOCK + gap]
+        at += _BLOCK + gap
+    yield raw[at:]
 
-    ``bytes.split`` splits at just the six ASCII white-space characters and
-    ``bytes.lower`` changes just the ASCII letters.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    table = _words
-    if len(table) > 1_000_000:
-        table.clear()
-    for word in set(words).difference(table):
-        table[word] = xxhash.xxh3_64_intdigest(word)
-    h = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-    width = min(n, len(words))
-    count = len(words) - width + 1
+
+def ngram_set(text: str | None, n: int) -> np.ndarray:
+    """Sorted distinct hashes of the word n-grams; A-Z are lower-cased, nothing else is."""
+    h = np.concatenate([_word_hashes(b) for b in _blocks((text or "").encode("utf-8", "surrogatepass"))])
+    if not len(h):
+        return _NONE
+    width = min(n, len(h))
+    count = len(h) - width + 1
     total = np.full(count, width, np.uint64)
-    factor = np.uint64(1)
-    for k in range(width):
-        factor *= _FACTOR
+    for k, factor in enumerate(np.multiply.accumulate(np.full(width, _FACTOR))):
         total += h[k : k + count] * factor
-    return np.unique(_mix(total))
+    total = np.sort(_mix(total))
+    return total[np.append(True, total[1:] != total[:-1])]
 
 
 def _limit(n: int, sim: Similarity) -> int:
@@ -272,7 +302,7 @@ def near_duplicates(documents: DataFrame, sim: Similarity = Similarity(), key: s
         "jaccard-classes",
     )
 
-    # Families: at least half of the sketch agrees with that of the root.
+    # Families: enough of the sketch agrees with that of the root.
     places = classes.select("id", "n", F.posexplode("sketch").alias("place", "value")).where("value is not null")
     heads = places.groupBy("place", "value").agg(F.min(F.struct(F.col("id"), F.col("n"))).alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     near = (
@@ -282,7 +312,7 @@ def near_duplicates(documents: DataFrame, sim: Similarity = Similarity(), key: s
         .groupBy("x", "y", "nx", "ny")
         .agg(F.count(F.lit(1)).alias("agree"))
     )
-    lead = near.where(f"agree >= least({sim.sketches}, nx, ny) / 2").groupBy("x").agg(F.max(F.struct("agree", (-F.col("y")).alias("y"))).alias("b"))
+    lead = near.where(f"agree >= least({sim.sketches}, nx, ny) * {sim.agreement}").groupBy("x").agg(F.max(F.struct("agree", (-F.col("y")).alias("y"))).alias("b"))
     lead = materialize(lead.select("x", (-F.col("b.y")).alias("y")), "jaccard-leaders")
     for _ in range(3):  # leaders of leaders; ids fall along the way
         above = lead.select(F.col("x").alias("y"), F.col("y").alias("z"))
