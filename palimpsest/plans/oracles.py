@@ -74,3 +74,20 @@ ORACLE_SQL: dict[str, str] = {
         ('both.c', NULL, 'MM', true, true), ('added.go', NULL, 'A ', true, false), ('gone.rs', NULL, 'D ', true, false), ('skip.o', NULL, '!!', false, true)) t(path, old_path, status, staged, unstaged)""",
     "git_name_status": """SELECT * FROM (VALUES ('M', 'src/a.py', NULL), ('R', 'new.py', 'old.py'), ('A', 'added.go', NULL), ('D', 'gone.rs', NULL)) t(status, path, old_path)""",
 }
+
+ORACLE_SQL |= {
+    "node_tag_counts": ORACLE_SQL["tag_counts"],
+    "node_attribute_values": ORACLE_SQL["attribute_values"],
+    "json_tree_actions": """WITH e AS (SELECT lag(event_id) OVER w AS a, event_id AS b, lag(props) OVER w AS src, props AS dst FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+        SELECT a, b, 'update' AS action, 'number' AS type, src ->> '$.k' AS old_value, dst ->> '$.k' AS new_value FROM e WHERE src ->> '$.k' != dst ->> '$.k'""",
+    "merged_spans": """WITH p AS (SELECT doc_id, string_split(text, 'the') AS p FROM documents WHERE contains(text, 'the')),
+        k AS (SELECT doc_id, p, unnest(generate_series(1, len(p) - 1)) AS k FROM p),
+        s AS (SELECT doc_id, sum(strlen(p[k])) OVER (PARTITION BY doc_id ORDER BY k) + 3 * (k - 1) AS start_byte FROM k),
+        n AS (SELECT doc_id, start_byte, CASE WHEN start_byte <= lag(start_byte) OVER (PARTITION BY doc_id ORDER BY start_byte) + 6 THEN 0 ELSE 1 END AS fresh FROM s),
+        r AS (SELECT doc_id, start_byte, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start_byte) AS run FROM n)
+        SELECT doc_id, CAST(min(start_byte) AS BIGINT) AS start_byte, CAST(max(start_byte) + 3 AS BIGINT) AS end_byte, count(*) AS n FROM r GROUP BY doc_id, run""",
+    "span_pieces": f"""WITH o AS ({ORACLE_SQL["line_offsets"]}), s AS (SELECT doc_id, strlen(text) // 2 AS f, strlen(text) AS t FROM documents)
+        SELECT doc_id, f AS start_byte, t AS end_byte, line_no, greatest(f, start_byte) - start_byte AS start_col, n_bytes AS end_col
+        FROM o JOIN s USING (doc_id) WHERE n_bytes > 0 AND start_byte + n_bytes > f""",
+    "clean_labels": "SELECT conv_id, turn, role, trim(lower(text), '/#* ' || chr(9) || chr(13) || chr(10)) AS clean FROM conversations",
+}

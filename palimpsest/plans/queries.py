@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import editscript as E
 from ..operators import linediff as D
 from ..operators import lines as L
+from ..operators import nodes as N
+from ..operators import spans as S
 from ..sources import git as G
+from ..sources import trees as T
 
 #: A row of a document counts as changed in the fold queries if it holds this word.
 MARK = " the "
@@ -180,11 +184,110 @@ def line_folds(spark, sf_dir):
     return D.folds(rows, ["a", "b"], "grid_row", "changed")
 
 
+def _page_nodes(spark, sf_dir):
+    return T.nodes(table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("text")), "html")
+
+
+def page_nodes(spark, sf_dir):
+    return _page_nodes(spark, sf_dir)
+
+
+def node_tag_counts(spark, sf_dir):
+    """Elements of each page by tag, from the tree; script and style left out as in ``tag_counts``."""
+    return _page_nodes(spark, sf_dir).where("type = 'element' AND label NOT IN ('script', 'style')").groupBy(F.col("key").alias("page_id"), F.col("label").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def node_attribute_values(spark, sf_dir):
+    """Attribute values of each page without their quotes, from the tree."""
+    values = _page_nodes(spark, sf_dir).where("type = 'value'").select(F.col("key").alias("page_id"), X.unquote(F.col("label")).alias("value"))
+    return values.groupBy("page_id", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def node_type_counts(spark, sf_dir):
+    return N.type_counts(_page_nodes(spark, sf_dir))
+
+
+def leaf_label_counts(spark, sf_dir):
+    return N.leaf_labels(_page_nodes(spark, sf_dir))
+
+
+def subtree_sizes(spark, sf_dir):
+    """Sizes of elements as the builder says and as the containment join counts them."""
+    nodes = _page_nodes(spark, sf_dir)
+    roots = nodes.where("type = 'element' AND pre_size > 1")
+    counted = N.descendants(nodes, roots).groupBy("key", F.col("root_id").alias("node_id")).agg((F.count(F.lit(1)) + 1).alias("counted"))
+    return roots.join(counted, ["key", "node_id"]).select("key", "node_id", "pre_size", "counted")
+
+
+def enclosing_element(spark, sf_dir):
+    """The nearest element around every node."""
+    return N.nearest_ancestor(_page_nodes(spark, sf_dir), "type = 'element'")
+
+
+def repeated_subtrees(spark, sf_dir):
+    return N.repeated_subtrees(_page_nodes(spark, sf_dir))
+
+
+def _page_pairs(spark, sf_dir):
+    """Page 2k with page 2k + 1."""
+    pages = table(spark, sf_dir, "pages")
+    left = pages.where("page_id % 2 = 0").select(F.col("page_id").alias("a"), (F.col("page_id") + 1).alias("b"), F.col("html").alias("src"))
+    return left.join(pages.select(F.col("page_id").alias("b"), F.col("html").alias("dst")), "b").select("a", "b", "src", "dst")
+
+
+def tree_mappings(spark, sf_dir):
+    return E.tree_mappings(_page_pairs(spark, sf_dir), "html")
+
+
+def tree_actions(spark, sf_dir):
+    return E.tree_actions(_page_pairs(spark, sf_dir), "html")
+
+
+def tree_action_summary(spark, sf_dir):
+    return E.action_summary(E.tree_actions(_page_pairs(spark, sf_dir), "html"))
+
+
+def move_groups(spark, sf_dir):
+    return E.move_groups(E.tree_actions(_page_pairs(spark, sf_dir), "html"))
+
+
+def json_tree_actions(spark, sf_dir):
+    """Tree actions between the properties of consecutive events of a user."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = table(spark, sf_dir, "events").select(F.lag("event_id").over(order).alias("a"), F.col("event_id").alias("b"), F.lag("props").over(order).alias("src"), F.col("props").alias("dst"))
+    found = E.tree_actions(events.where("src IS NOT NULL AND dst IS NOT NULL"), "json")
+    return found.select("a", "b", "action", "type", "old_value", "new_value")
+
+
+def _words(spark, sf_dir):
+    """Byte spans of a word in documents, as a stand-in for changed spans."""
+    pieces = _docs(spark, sf_dir).where(F.col("text").contains("the")).select("doc_id", F.split("text", "the", -1).alias("p"))
+    starts = F.expr("transform(sequence(1, size(p) - 1), k -> CAST(octet_length(array_join(slice(p, 1, k), 'the')) AS BIGINT))")
+    return pieces.select("doc_id", F.explode(starts).alias("start_byte")).withColumn("end_byte", F.col("start_byte") + 3)
+
+
+def merged_spans(spark, sf_dir):
+    return S.merge_spans(_words(spark, sf_dir), ["doc_id"], "start_byte", "end_byte")
+
+
+def span_pieces(spark, sf_dir):
+    """Lines and columns of spans from the middle of each document to its end."""
+    spans = _docs(spark, sf_dir).select("doc_id", F.expr("octet_length(text) div 2").alias("start_byte"), F.octet_length("text").cast("long").alias("end_byte"))
+    return S.line_pieces(spans, L.line_offsets(_docs(spark, sf_dir)))
+
+
+def clean_labels(spark, sf_dir):
+    """Turns in lower case, without comment marks at their ends."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", X.clean_comment(F.col("text")).alias("clean"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         doc_lines, line_offsets, line_frequency, near_copy_pairs, line_dice, unique_anchors, common_ends, gate_modes, page_language,
         trivial_lines, bigram_similarity, levenshtein_ratio, attribute_values, tag_counts, json_pair_diff, folds, next_change,
         search_matches, git_status, git_name_status, line_alignment, line_actions, line_diff_summary, line_folds,
+        page_nodes, node_tag_counts, node_attribute_values, node_type_counts, leaf_label_counts, subtree_sizes, enclosing_element,
+        repeated_subtrees, tree_mappings, tree_actions, tree_action_summary, move_groups, json_tree_actions, merged_spans, span_pieces, clean_labels,
     )
 }
