@@ -165,6 +165,8 @@ def collapse(m: Matching, actions: list[Action]) -> list[Action]:
 
 ACTIONS = """a long, b long, seq int, action string, type string, node_id int, dest_id int, parent_id int, position int,
     old_value string, new_value string, subtree boolean, start_byte int, end_byte int, dest_start_byte int, dest_end_byte int"""
+#: Rows of a result batch, beyond which the pair at hand is the last in it.
+OUT_ROWS = 8192
 MAPPINGS = "a long, b long, src_id int, dst_id int, type string, src_label string, dst_label string"
 
 
@@ -175,14 +177,21 @@ def _kernel(pairs: DataFrame, lang: str, schema: str, rows) -> DataFrame:
     kind = pa.schema([(name, types[t]) for name, t in (c.split() for c in schema.split(","))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [()] * len(kind)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], names=kind.names)
+
         for batch in batches:
             for k in range(batch.num_rows):
                 m = match(parse(batch.column(2)[k].as_py() or ""), parse(batch.column(3)[k].as_py() or ""))
                 a, b = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                found = [(a, b, *r) for r in rows(m)]
-                if found:
-                    columns = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], names=kind.names)
+                found += [(a, b, *r) for r in rows(m)]
+                if len(found) >= OUT_ROWS:
+                    yield flush()
+        yield flush()
 
     return pairs.select("a", "b", "src", "dst").mapInArrow(run, schema)
 
