@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mpegts, packing, pii, quality, secrets, sharding, tokens, toxicity
+from . import jaccard, language, mpegts, oracles, packing, pii, quality, secrets, sharding, tokens, toxicity
 from .common import fold, read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -80,4 +80,10 @@ QUERIES = {
     for f in (op1_pii, op2_quality, op3_toxicity, op4_jaccard, op5_bpe, op6_language, op7_secrets, op8_mpegts, op9_packing, op10_sharding)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others hold models, token ids or stored bytes, which SQL cannot express.
+ORACLE_SQL: dict[str, str] = {
+    "op1_pii": oracles.PII,
+    "op2_quality": oracles.QUALITY,
+    "op4_jaccard": oracles.JACCARD,
+    "op10_sharding": oracles.SHARDING,
+}
