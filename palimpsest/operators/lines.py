@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A line is a good sign of a copy if it is longer than this and in few documents.
+#: A line is a sign of a copy if it is longer than this.  Lines in at most so many
+#: documents give all pairs of them; see ``copy_groups`` for the others.
 RARE_LENGTH = 20
 RARE_DOCUMENTS = 20
 
@@ -30,6 +31,7 @@ def near_copy_pairs(docs: DataFrame) -> DataFrame:
     """(a, b): documents, a < b, that share a rare line.
 
     Rarity bounds the partners a line can bring, so the join cannot blow up.
+    Documents that share only lines above the bound are left to ``linked_pairs``.
     """
     held = lines(docs).where(F.length("line") > RARE_LENGTH).select("doc_id", F.col("line")).distinct()
     rare = held.groupBy("line").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") > 1) & (F.col("df") <= RARE_DOCUMENTS)).select("line")
@@ -38,11 +40,45 @@ def near_copy_pairs(docs: DataFrame) -> DataFrame:
     return a.join(b, "line").where("a < b").select("a", "b").distinct()
 
 
-def line_dice(docs: DataFrame) -> DataFrame:
-    """Near-copy pairs with the Dice coefficient of their line multisets."""
+def copy_groups(docs: DataFrame) -> DataFrame:
+    """(kind, key, n, representative, doc_id): documents that share a line or have equal texts.
+
+    One group for each line longer than ``RARE_LENGTH`` and for each text that
+    several documents hold, whatever their number; ``key`` is its SHA-256 and
+    ``representative`` the smallest id.  Two documents share a line exactly if
+    they are in one group, so the table stands for all pairs and grows with
+    the lines, not with the square of a group.
+    """
+    return _groups(docs).select("kind", F.lower(F.hex("key")).alias("key"), "n", "representative", "doc_id")
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    known = docs.where("doc_id IS NOT NULL")
+    held = known.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("part")).where(F.length("part") > RARE_LENGTH)
+    units = held.select(F.lit("line").alias("kind"), "part", "doc_id").unionByName(known.where("text != ''").select(F.lit("text").alias("kind"), F.col("text").alias("part"), "doc_id"))
+    # The digest and not the text goes through the exchanges.
+    units = units.select("kind", F.unhex(F.sha2("part", 256)).alias("key"), "doc_id").distinct()
+    groups = units.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("representative")).where("n > 1")
+    return units.join(groups, ["kind", "key"])
+
+
+def linked_pairs(docs: DataFrame) -> DataFrame:
+    """(a, b), a < b: the near-copy pairs, and each member of a larger group with its representative.
+
+    Every document that shares a line or its text with another is in a pair.
+    """
+    groups = _groups(docs)
+    rare = groups.where((F.col("kind") == "line") & (F.col("n") <= RARE_DOCUMENTS))
+    near = rare.select("key", F.col("doc_id").alias("a")).join(rare.select("key", F.col("doc_id").alias("b")), "key").where("a < b").select("a", "b")
+    star = groups.where((F.col("kind") == "text") | (F.col("n") > RARE_DOCUMENTS)).where("representative < doc_id")
+    return near.unionByName(star.select(F.col("representative").alias("a"), F.col("doc_id").alias("b"))).distinct()
+
+
+def line_dice(docs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Pairs (near copies if not given) that share a line, with the Dice coefficient of their line multisets."""
     freq = line_frequency(docs)
     size = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
-    pairs = near_copy_pairs(docs)
+    pairs = near_copy_pairs(docs) if pairs is None else pairs
     shared = (
         pairs.join(freq.select(F.col("doc_id").alias("a"), "line", F.col("n").alias("na")), "a")
         .join(freq.select(F.col("doc_id").alias("b"), "line", F.col("n").alias("nb")), ["b", "line"])
@@ -56,21 +92,22 @@ def line_dice(docs: DataFrame) -> DataFrame:
     )
 
 
-def unique_anchors(docs: DataFrame) -> DataFrame:
-    """(a, b, a_row, b_row): lines that occur once on both sides of a near-copy pair."""
+def unique_anchors(docs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(a, b, a_row, b_row): lines that occur once on both sides of a pair (near copies if not given)."""
+    pairs = near_copy_pairs(docs) if pairs is None else pairs
     once = lines(docs).groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").cast("long").alias("row")).where("n = 1")
     return (
-        near_copy_pairs(docs)
-        .join(once.select(F.col("doc_id").alias("a"), "line", F.col("row").alias("a_row")), "a")
+        pairs.join(once.select(F.col("doc_id").alias("a"), "line", F.col("row").alias("a_row")), "a")
         .join(once.select(F.col("doc_id").alias("b"), "line", F.col("row").alias("b_row")), ["b", "line"])
         .select("a", "b", "a_row", "b_row")
     )
 
 
-def common_ends(docs: DataFrame) -> DataFrame:
-    """(a, b, prefix, suffix): equal lines at both ends of a near-copy pair, which do not overlap."""
+def common_ends(docs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(a, b, prefix, suffix): equal lines at both ends of a pair (near copies if not given), which do not overlap."""
+    pairs = near_copy_pairs(docs) if pairs is None else pairs
     parts = docs.select("doc_id", F.split("text", "\n", -1).alias("l"))
-    pairs = near_copy_pairs(docs).join(parts.select(F.col("doc_id").alias("a"), F.col("l").alias("x")), "a")
+    pairs = pairs.join(parts.select(F.col("doc_id").alias("a"), F.col("l").alias("x")), "a")
     pairs = pairs.join(parts.select(F.col("doc_id").alias("b"), F.col("l").alias("y")), "b")
 
     def equal(x: str, y: str) -> str:

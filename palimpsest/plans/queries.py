@@ -29,8 +29,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copy_texts(docs: DataFrame) -> DataFrame:
-    """Near-copy pairs with both texts."""
-    pairs = L.near_copy_pairs(docs).join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("src")), "a")
+    """Linked pairs with both texts."""
+    pairs = L.linked_pairs(docs).join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("src")), "a")
     return pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("dst")), "b").select("a", "b", "src", "dst")
 
 
@@ -62,6 +62,29 @@ def common_ends(spark, sf_dir):
     return L.common_ends(_docs(spark, sf_dir))
 
 
+def copy_groups(spark, sf_dir):
+    return L.copy_groups(_docs(spark, sf_dir))
+
+
+def linked_pairs(spark, sf_dir):
+    return L.linked_pairs(_docs(spark, sf_dir))
+
+
+def linked_line_dice(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return L.line_dice(docs, L.linked_pairs(docs))
+
+
+def linked_unique_anchors(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return L.unique_anchors(docs, L.linked_pairs(docs))
+
+
+def linked_common_ends(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return L.common_ends(docs, L.linked_pairs(docs))
+
+
 def gate_modes(spark, sf_dir):
     """Which gate sends a document to line mode, if any."""
     t = F.coalesce(F.col("text"), F.lit(""))
@@ -284,7 +307,8 @@ def clean_labels(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_lines, line_offsets, line_frequency, near_copy_pairs, line_dice, unique_anchors, common_ends, gate_modes, page_language,
+        doc_lines, line_offsets, line_frequency, near_copy_pairs, line_dice, unique_anchors, common_ends,
+        copy_groups, linked_pairs, linked_line_dice, linked_unique_anchors, linked_common_ends, gate_modes, page_language,
         trivial_lines, bigram_similarity, levenshtein_ratio, attribute_values, tag_counts, json_pair_diff, folds, next_change,
         search_matches, git_status, git_name_status, line_alignment, line_actions, line_diff_summary, line_folds,
         page_nodes, node_tag_counts, node_attribute_values, node_type_counts, leaf_label_counts, subtree_sizes, enclosing_element,
