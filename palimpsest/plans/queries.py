@@ -123,11 +123,16 @@ def bigram_similarity(spark, sf_dir):
 
 
 def levenshtein_ratio(spark, sf_dir):
-    """Edit similarity of consecutive ASCII turns."""
+    """Edit similarity of consecutive ASCII turns, as DuckDB counts bytes; ``edit_similarity`` has all."""
     turns = _turns(spark, sf_dir).where(~F.col("a").rlike("[^\\x00-\\x7f]") & ~F.col("b").rlike("[^\\x00-\\x7f]"))
     return turns.select("conv_id", "pos", F.round(X.levenshtein_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
+def edit_similarity(spark, sf_dir):
+    """Edit similarity of all consecutive turns, in code points."""
+    return _turns(spark, sf_dir).select("conv_id", "pos", F.round(X.levenshtein_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
 def attribute_values(spark, sf_dir):
     """Quoted attribute values of pages, without their quotes, counted."""
     value = F.explode(F.regexp_extract_all("html", F.lit("[a-z-]+=(\"[^\"<>]*\"|'[^'<>]*')"), 1))
@@ -309,7 +314,7 @@ QUERIES = {
     for f in (
         doc_lines, line_offsets, line_frequency, near_copy_pairs, line_dice, unique_anchors, common_ends,
         copy_groups, linked_pairs, linked_line_dice, linked_unique_anchors, linked_common_ends, gate_modes, page_language,
-        trivial_lines, bigram_similarity, levenshtein_ratio, attribute_values, tag_counts, json_pair_diff, folds, next_change,
+        trivial_lines, bigram_similarity, levenshtein_ratio, edit_similarity, attribute_values, tag_counts, json_pair_diff, folds, next_change,
         search_matches, git_status, git_name_status, line_alignment, line_actions, line_diff_summary, line_folds,
         page_nodes, node_tag_counts, node_attribute_values, node_type_counts, leaf_label_counts, subtree_sizes, enclosing_element,
         repeated_subtrees, tree_mappings, tree_actions, tree_action_summary, move_groups, json_tree_actions, merged_spans, span_pieces, clean_labels,
