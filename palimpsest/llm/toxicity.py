@@ -1,21 +1,22 @@
 """Toxicity by nearest labelled examples.
 
-Labelled examples become TF-IDF vectors over terms that the labels single out:
-words and word beginnings, picked by a log-likelihood ratio.  Inverse document
-frequencies count all documents.  The nearest examples by exact cosine come from
-an inverted index with block maxima: examples are numbered in blocks, and each
-term keeps the largest weight of every block.  The blocks with the largest upper
-bounds are scored first; then only those whose bound reaches the k-th similarity
-found are scored, so that none that could enter the result is left out.
-Votes weighted by similarity are calibrated on the examples themselves, each
-left out of its own neighbours.
-
-Bounds: ``Settings.examples`` labelled rows (the smallest hashes of the ids)
-and ``Settings.terms`` terms form the model; both are documented parameters,
-and so the model's size does not depend on the corpus.
-
-Cases: null or empty text, or text without any term, has no neighbours and
-gets the calibrated share of toxic examples without terms; ties in similarity
+Labelled examples become TF-IDF vectors over all their words and word
+beginnings.  Inverse document frequencies count all documents; a term's weight
+grows with the square root of its log-likelihood ratio where toxic examples
+have more of it, and no term is left out.  The nearest examples by exact cosine
+come from an inverted index with block maxima: examples are numbered in blocks,
+and each term keeps the largest weight of every block.  The blocks with the
+largest upper bounds are scored first; then only those whose bound reaches the
+k-th similarity found are scored, so that none that could enter the result is
+left out.  Votes weighted by similarity are calibrated on the examples
+themselves, each left out of its own neighbours.
+
+Bound: ``Settings.examples`` labelled rows (the smallest hashes of the ids) form
+the model, a documented parameter, so the model's size does not depend on the
+corpus.
+
+Cases: null or empty text, or text without any term of the examples, has no
+neighbours and gets the calibrated share of toxic examples without terms; ties in similarity
 go to the smaller example number; rows that repeat get equal scores; without
 labels every score is 0; an id with several labels counts as toxic if one of
 them says so; an empty table gives no rows.
@@ -25,26 +26,24 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
 _WORD = re.compile(r"[^\W_]+").findall
 
 
 @dataclass(frozen=True)
 class Settings:
     examples: int = 8_000
-    terms: int = 4_096
-    min_rows: int = 5
-    #: Log-likelihood ratio that a term must reach (chi-squared, one degree).
+    #: Log-likelihood ratio (chi-squared, one degree) at which a term's weight is doubled.
     min_ratio: float = 25.0
     shortest: int = 3
     longest: int = 8
@@ -61,61 +60,79 @@ def words_of(text: str | None) -> list[str]:
     return _WORD(text.lower()) if text else []
 
 
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def _pair(vector: dict[int, float] | Vector) -> Vector:
+    """Term numbers and weights, by term number."""
+    if not isinstance(vector, dict):
+        return vector
+    return np.array(sorted(vector), np.int64), np.array([vector[t] for t in sorted(vector)], float)
+
+
+def _spread(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> Vector:
+    """All positions of the ranges, each with the value of its range."""
+    n = end - start
+    before = np.cumsum(n) - n
+    return np.arange(n.sum()) + np.repeat(start - before, n), np.repeat(value, n)
+
+
 class Index:
     """Exact top-k by cosine over example vectors, with block maxima."""
 
-    def __init__(self, vectors: list[dict[int, float]], block: int):
+    def __init__(self, vectors: Iterable[dict[int, float] | Vector], block: int):
         """``vectors`` are of unit length: term number to weight."""
+        pairs = [_pair(v) for v in vectors]
         self.block = block
-        self.rows = len(vectors)
+        self.rows = len(pairs)
         self.blocks = -(-self.rows // block)
-        lists: dict[int, tuple[list[int], list[float]]] = {}
-        for row, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                at, w = lists.setdefault(term, ([], []))
-                at.append(row)
-                w.append(weight)
-        self.lists = {}
-        for term, (at, w) in lists.items():
-            rows, weights = np.array(at, np.int64), np.array(w)
-            number, first = np.unique(rows // block, return_index=True)
-            self.lists[term] = (rows, weights, number, np.append(first, len(rows)), np.maximum.reduceat(weights, first))
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
-        """The k rows of greatest positive similarity, the smaller row first among equals."""
-        terms = [(q, self.lists[t]) for t, q in query.items() if t in self.lists]
-        if not terms:
+        terms = np.concatenate([t for t, _ in pairs] or [[]]).astype(np.int32)
+        weights = np.concatenate([w for _, w in pairs] or [[]])
+        at = np.repeat(np.arange(self.rows, dtype=np.int32), [len(t) for t, _ in pairs])
+        del pairs  # the driver holds millions of postings; no copy stays longer than needed
+        order = np.argsort(terms, kind="stable")
+        terms, self.at, self.weights = terms[order], at[order], weights[order]
+        del order, at, weights
+        # An entry is a term in a block; its rows lie together.
+        blocks = self.at // block
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
+        first = np.flatnonzero(new)
+        self.entry_block = blocks[first]
+        self.entry_most = np.maximum.reduceat(self.weights, first) if len(first) else self.weights
+        self.entry_start = np.append(first, len(terms)).astype(np.int32)
+        self.term_start = np.searchsorted(terms[first], np.arange(terms[-1] + 2 if len(terms) else 1)).astype(np.int32)
+
+    def nearest(self, query: dict[int, float] | Vector, k: int, without: tuple[int, int] = (0, 0)) -> list[tuple[int, float]]:
+        """The k rows of greatest positive similarity, the smaller row first among equals; no row of the range ``without``."""
+        terms, weights = _pair(query)
+        known = terms < len(self.term_start) - 1
+        terms, weights = terms[known], weights[known]
+        entry, q = _spread(self.term_start[terms], self.term_start[terms + 1], weights)
+        if not len(entry):
             return []
-        bound = np.zeros(self.blocks)
-        for q, (_, _, number, _, most) in terms:
-            bound[number] += q * most
-        order = np.argsort(-bound, kind="stable")
+        block = self.entry_block[entry]
+        bound = np.bincount(block, q * self.entry_most[entry], self.blocks)
         # The most promising blocks set the similarity to beat ...
-        lead = order[: -(-4 * k // self.block)]
-        scores = np.zeros(self.blocks * self.block)
-        for q, (rows, weights, number, first, _) in terms:
-            for at in np.searchsorted(number, lead):
-                if at < len(number) and number[at] in lead:
-                    part = slice(first[at], first[at + 1])
-                    scores[rows[part]] += q * weights[part]
-        best = self._best(scores, k, without)
+        lead = np.argsort(-bound, kind="stable")[: -(-4 * k // self.block)]
+        kept = np.zeros(self.blocks, bool)
+        kept[lead] = True
+        best = self._best(self._scores(entry, q, kept[block]), k, without)
         floor = best[-1][1] - 1e-12 if len(best) == k else 0.0
         # ... and only blocks whose bound reaches it are scored beside them.
-        kept = bound >= floor if floor > 0 else bound > 0
-        kept[lead] = True
+        kept |= bound >= floor if floor > 0 else bound > 0
         if np.count_nonzero(kept) > len(lead):
-            scores[:] = 0
-            for q, (rows, weights, number, _, _) in terms:
-                if kept[number].any():
-                    scores[rows] += q * weights
-            scores.reshape(self.blocks, self.block)[~kept] = 0
-            best = self._best(scores, k, without)
+            best = self._best(self._scores(entry, q, kept[block]), k, without)
         return best
 
+    def _scores(self, entry: np.ndarray, q: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        entry = entry[kept]
+        at, q = _spread(self.entry_start[entry], self.entry_start[entry + 1], q[kept])
+        return np.bincount(self.at[at], self.weights[at] * q, self.rows)
+
     @staticmethod
-    def _best(scores: np.ndarray, k: int, without: int) -> list[tuple[int, float]]:
-        if without >= 0:
-            scores[without] = 0
+    def _best(scores: np.ndarray, k: int, without: tuple[int, int]) -> list[tuple[int, float]]:
+        scores[slice(*without)] = 0
         rows = np.flatnonzero(scores > 0)
         if len(rows) > k:
             rows = rows[scores[rows] >= np.partition(scores[rows], -k)[-k]]
@@ -125,11 +142,12 @@ class Index:
 
 @dataclass
 class Model:
-    """Terms, their inverse document frequencies, the index and the calibration."""
+    """Terms, their weights, the index and the calibration."""
 
     settings: Settings
     number: dict[str, int]
-    idf: list[float]
+    #: Inverse document frequency, raised by the labels.
+    weight: np.ndarray
     toxic: list[int] = field(default_factory=list)
     ids: list[int] = field(default_factory=list)
     index: Index | None = None
@@ -140,53 +158,42 @@ class Model:
 
     def __post_init__(self) -> None:
         self._seen: dict[str, tuple[int, ...]] = {}
-        self._plain: set[str] = set()
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        """Term number to occurrences in the whole text."""
-        words = words_of(text)
-        if len(self._plain) > 1_000_000:
-            self._plain.clear()
-        distinct = set(words) - self._plain
-        for word in distinct.difference(self._seen):
-            hit = tuple(self.number[t] for t in word_terms(word, self.settings) if t in self.number)
-            if hit:
-                self._seen[word] = hit
-            else:
-                self._plain.add(word)
-        hits = distinct.intersection(self._seen)
-        out: Counter[int] = Counter()
-        if hits:
-            for word, n in Counter(w for w in words if w in hits).items():
-                for term in self._seen[word]:
-                    out[term] += n
-        return out
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_seen": {}}
+
+    def counts(self, words: dict[str, int]) -> Vector:
+        """Term numbers and their occurrences, from the words of a whole text and theirs."""
+        if len(self._seen) > 300_000:
+            self._seen.clear()
+        terms: list[int] = []
+        times: list[int] = []
+        for word, n in words.items():
+            hit = self._seen.get(word)
+            if hit is None:
+                hit = self._seen[word] = tuple(self.number[t] for t in word_terms(word, self.settings) if t in self.number)
+            terms += hit
+            times += [n] * len(hit)
+        if not terms:
+            return np.zeros(0, np.int64), np.zeros(0)
+        distinct, where = np.unique(np.array(terms), return_inverse=True)
+        return distinct, np.bincount(where, np.array(times, float))
+
+    def vector(self, text: str | None) -> Vector:
         """Unit TF-IDF vector; logarithmic term frequency."""
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()} if norm else {}
-
-    def fit(self, examples: list[tuple[int, int, dict[int, int]]]) -> None:
-        """Index (id, toxic, counts) rows and calibrate the votes on them."""
-        held = [(i, y, self.vector(c)) for i, y, c in sorted(examples, key=lambda e: e[0])]
-        bare = [y for _, y, v in held if not v]
-        self.empty_score = (sum(bare)) / (len(bare) + 2)
-        held = [e for e in held if e[2]]
-        self.ids, self.toxic = [e[0] for e in held], [e[1] for e in held]
-        self.index = Index([e[2] for e in held], self.settings.block)
-        votes: dict[int, float] = {}
-        shared: dict[tuple, float] = {}
-        for row, (_, y, v) in enumerate(held):
-            key = (y, tuple(v.items()))
-            if key not in shared:  # equal vectors with equal labels have equal neighbours left
-                shared[key] = self._vote(self.index.nearest(v, self.settings.neighbours, without=row))
-            votes[row] = shared[key]
+        return self.unit(self.counts(Counter(words_of(text))))
+
+    def unit(self, counts: Vector) -> Vector:
+        terms, times = counts
+        raw = (1 + np.log(times)) * self.weight[terms]
+        return terms, raw / math.sqrt(raw @ raw) if len(raw) else raw
+
+    def calibrate(self, votes: list[tuple[float, int]]) -> None:
+        """Steps from (vote, toxic) of the examples."""
         # Pool adjacent violators: probabilities that rise with the vote.
         pools: list[list[float]] = []
-        for row in sorted(votes, key=lambda r: votes[r]):
-            pools.append([votes[row], self.toxic[row], 1])
+        for vote, toxic in sorted(votes):
+            pools.append([vote, toxic, 1])
             while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]):
                 top, y, n = pools.pop()
                 pools[-1] = [top, pools[-1][1] + y, pools[-1][2] + n]
@@ -196,10 +203,9 @@ class Model:
         total = sum(s for _, s in near)
         return sum(s for r, s in near if self.toxic[r]) / total if total else 0.0
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
         """(probability, evidence): the evidence are (example id, similarity)."""
-        vector = self.vector(counts)
-        near = self.index.nearest(vector, self.settings.neighbours) if self.index and vector else []
+        near = self.index.nearest(self.vector(text), self.settings.neighbours) if self.index else []
         if not near:
             return self.empty_score, []
         vote = self._vote(near)
@@ -216,73 +222,82 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     # At most settings.examples rows of two numbers.
     texts = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: Counter[str] = Counter()
-        bad: Counter[str] = Counter()
-        total = wrong = 0
+    def example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                terms = {t for w in set(words_of(text.as_py())) for t in word_terms(w, settings)}
-                rows.update(terms)
-                total += 1
-                if toxic:
-                    bad.update(terms)
-                    wrong += 1
-        rows[""], bad[""] = total, wrong  # no term is the empty string
-        names = list(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([rows[t] for t in names], pa.int64()), pa.array([bad[t] for t in names], pa.int64())], ["term", "n", "bad"]
-        )
-
-    seen = texts.select("text", "toxic").mapInArrow(tally, "term string, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    seen = materialize(seen.where(f"n >= {settings.min_rows} OR term = ''"), "toxicity-terms")
-    base = seen.where("term = ''").agg(F.max("n").alias("n"), F.max("bad").alias("bad")).first()
-    if not base["n"]:
-        return Model(settings, {}, [])
-    ratio = _likelihood_ratio(base["n"], base["bad"])
-    top = seen.where("term != ''").withColumn("ratio", ratio).where(F.col("ratio") >= settings.min_ratio)
-    top = top.where(F.col("bad") * base["n"] > F.col("n") * base["bad"]).orderBy(F.desc("ratio"), "term").limit(settings.terms)
-    terms = [r["term"] for r in top.select("term").collect()]
-    model = Model(settings, {t: k for k, t in enumerate(terms)}, [0.0] * len(terms))
+            counts = [Counter(words_of(t.as_py())) for t in batch.column(1)]
+            columns = [batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "words", "times"])
+
+    held = texts.select("doc_id", "text", "toxic").mapInArrow(example_rows, "doc_id long, toxic int, words array<string>, times array<int>").toArrow()
+    if not held.num_rows:
+        return Model(settings, {}, np.zeros(0))
+    held = held.sort_by("doc_id")
+    words = sorted(set().union(*(batch.column("words").flatten().unique().to_pylist() for batch in held.to_batches())))
+    number: dict[str, int] = {}
+    for word in words:
+        for term in word_terms(word, settings):
+            number.setdefault(term, len(number))
+    del words
+    model = Model(settings, number, np.zeros(0))
+    toxic = held.column("toxic").to_pylist()
+    counts = []
+    for batch in held.select(["words", "times"]).to_batches():
+        for k in range(batch.num_rows):
+            terms, times = model.counts(dict(zip(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), strict=True)))
+            counts.append((terms.astype(np.int32), times.astype(np.int32)))
+    ids = held.column("doc_id").to_pylist()
+    del held, batch
+    model._seen.clear()
 
     def document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: Counter[int] = Counter()
+        rows = np.zeros(len(number) + 1, np.int64)  # the last counts the documents
         for batch in batches:
             for text in batch.column(0):
-                rows.update(model.counts(text.as_py()).keys())
+                rows[model.counts(dict.fromkeys(words_of(text.as_py()), 1))[0]] += 1
                 rows[-1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array(list(rows.values()), pa.int64())], ["term", "n"])
-
-    spread = {r["term"]: r["n"] for r in documents.select("text").mapInArrow(document_rows, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    every = spread.get(-1, 0)
-    idf = [math.log((1 + every) / (1 + spread.get(k, 0))) + 1 for k in range(len(terms))]
-
-    def example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(rows[found])], ["term", "n"])
+
+    spread = np.zeros(len(number) + 1)
+    found = documents.select("text").mapInArrow(document_rows, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    spread[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    rows, bad = np.zeros(len(number)), np.zeros(len(number))
+    for (terms, _), y in zip(counts, toxic, strict=True):
+        rows[terms] += 1
+        if y:
+            bad[terms] += 1
+    ratio = likelihood_ratio(rows, bad, len(toxic), sum(toxic))
+    model.weight = (np.log((1 + spread[-1]) / (1 + spread[:-1])) + 1) * (1 + np.sqrt(ratio / settings.min_ratio))
+    bare = [y for (terms, _), y in zip(counts, toxic, strict=True) if not len(terms)]
+    model.empty_score = sum(bare) / (len(bare) + 2)
+    kept = [k for k, (terms, _) in enumerate(counts) if len(terms)]
+    model.ids, model.toxic = [ids[k] for k in kept], [toxic[k] for k in kept]
+    counts = [counts[k] for k in kept][::-1]
+    model.index = Index((model.unit(counts.pop()) for _ in kept), settings.block)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [model.counts(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
-                ["doc_id", "toxic", "terms", "times"],
-            )
+            out = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                vector = model.vector(text.as_py())
+                # Rows of one id lie together, and none of them is a neighbour of another.
+                without = bisect_left(model.ids, key), bisect_right(model.ids, key)
+                out.append(model._vote(model.index.nearest(vector, settings.neighbours, without)) if len(vector[0]) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column(2)], ["vote", "toxic"])
 
-    held = texts.select("doc_id", "text", "toxic").mapInArrow(example_rows, "doc_id long, toxic int, terms array<int>, times array<int>").collect()
-    fitted = Model(settings, model.number, idf)
-    fitted.fit([(r["doc_id"], r["toxic"], dict(zip(r["terms"], r["times"], strict=True))) for r in held])
-    return fitted
+    model.calibrate([(r["vote"], r["toxic"]) for r in texts.select("doc_id", "text", "toxic").mapInArrow(votes, "vote double, toxic int").collect() if r["vote"] is not None])
+    return model
 
 
-def _likelihood_ratio(n: int, bad: int):
-    """G-squared of a term's presence against the label, from its ``n`` and ``bad`` columns."""
+def likelihood_ratio(rows: np.ndarray, bad: np.ndarray, n: int, n_bad: int) -> np.ndarray:
+    """G-squared of each term's presence against the label; 0 where toxic examples do not have more of it."""
 
-    def part(observed, expected):
-        return F.when(observed > 0, observed * F.ln(observed / expected)).otherwise(0.0)
+    def part(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return observed * np.log(np.where(observed > 0, observed, 1) / np.where(observed > 0, expected, 1))
 
-    has, wrong = F.col("n").cast("double"), F.col("bad").cast("double")
-    good = n - bad
-    a, b = wrong, has - wrong
-    c, d = bad - wrong, good - (has - wrong)
-    share, rest = has / n, 1 - has / n
-    return 2 * (part(a, share * bad) + part(b, share * good) + part(c, rest * bad) + part(d, rest * good))
+    good, n_good, share = rows - bad, n - n_bad, rows / n
+    both = part(bad, share * n_bad) + part(good, share * n_good) + part(n_bad - bad, (1 - share) * n_bad) + part(n_good - good, (1 - share) * n_good)
+    return np.where(bad * n > rows * n_bad, np.maximum(2 * both, 0), 0)
 
 
 def score_documents(documents: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
@@ -290,11 +305,11 @@ def score_documents(documents: DataFrame, model: Model, evidence: bool = True) -
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
+        known: dict[bytes, tuple] = {}
         for batch in batches:
             scores, why = [], []
             for text in batch.column(1):
-                p, near = scored(model, model.counts(text.as_py()), known)
+                p, near = scored(model, text.as_py(), known)
                 scores.append(p)
                 why.append([f"{i}:{s:.4f}" for i, s in near[:3]])
             columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(p >= 0.5) for p in scores], pa.int32())]
@@ -304,13 +319,13 @@ def score_documents(documents: DataFrame, model: Model, evidence: bool = True) -
     return out if evidence else out.drop("evidence")
 
 
-def scored(model: Model, counts: dict[int, int], known: dict[tuple, tuple]) -> tuple[float, list]:
-    """``Model.score`` with the answers for equal counts kept, up to a bound."""
-    key = tuple(sorted(counts.items()))
+def scored(model: Model, text: str | None, known: dict[bytes, tuple]) -> tuple[float, list]:
+    """``Model.score`` with the answers for equal texts kept, up to a bound."""
+    key = sha256((text or "").encode("utf-8", "surrogatepass")).digest()
     if key not in known:
         if len(known) > 50_000:
             known.clear()
-        known[key] = model.score(counts)
+        known[key] = model.score(text)
     return known[key]
 
 
@@ -319,8 +334,8 @@ def drop_toxic(documents: DataFrame, model: Model) -> DataFrame:
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
+        known: dict[bytes, tuple] = {}
         for batch in batches:
-            yield batch.filter(pa.array([scored(model, model.counts(t.as_py()), known)[0] < 0.5 for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([scored(model, t.as_py(), known)[0] < 0.5 for t in batch.column(at)], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
