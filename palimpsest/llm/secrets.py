@@ -3,14 +3,16 @@
 Fixed patterns give the base spans.  A conditional random field (CRF) tags
 tokens as the beginning of a secret, inside one, or outside (B, I, O), from
 their shape, their neighbouring words and features of the file; Viterbi finds
-the best tags.  Only tokens that can hold a secret by their shape
-(``_CANDIDATE``) may be B or I: all others are O, so every run of adjacent
-candidates can be decoded on its own and the result equals that of decoding the
-whole text.
+the best tags.  Every token within ``REACH`` characters of a key word on its
+line may be B or I, whatever its length and characters, and so may tokens
+anywhere that look like a secret by their shape (``_CANDIDATE``).  All others,
+that is words of other shapes far from any key word, are O, so every run of
+adjacent candidates can be decoded on its own and the result equals that of
+decoding the whole text.
 
 The CRF is trained here by gradient ascent on the conditional likelihood, on
 a bounded sample of documents tagged by the base patterns and on generated
-lines of common secret forms (``generated``).
+lines of common secret forms (``generated``, ``generated_near``).
 
 Cases: null text counts as empty; base spans of different kinds may overlap;
 CRF spans that touch a base span are not repeated; repeated rows are
@@ -23,6 +25,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,8 +46,12 @@ _BODY = "A-Za-z0-9+/_.=~-"
 _CANDIDATE = re.compile(rf"(?<![{_BODY}])(?:[A-Za-z+/_.=~-]*+[0-9][{_BODY}]*+|[A-Za-z+/_.=~-]{{20,}}+)")
 _TOKEN = re.compile(rf"[{_BODY}]+|[^\s{_BODY}]")
 _WORDY = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer|sign", re.IGNORECASE)
+#: What a token near a key word is cut at: white space, and quotes, brackets and the like at its ends.
+_EDGES = "\"'`<>()[]{},;:="
+#: A name and its sign before a value in one token.
+_NAMED = re.compile(r"[\w.-]*(?:pass|pwd|secret|token|key|auth|cred|bearer|sign)[\w.-]*[\"']?(?:=|:)+[\"']?", re.IGNORECASE)
 LEAST = 8
-#: Characters looked at beside a candidate for its neighbours.
+#: Characters looked at beside a candidate for its neighbours, and around a key word for candidates.
 REACH = 48
 TAGS = 3  # O, B, I
 #: Bounds of the training sample.
@@ -64,8 +71,46 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def near_key(text: str) -> list[tuple[int, int]]:
+    """Tokens that lie, in part, within ``REACH`` characters of a key word on its line; names of values left out."""
+    out: list[tuple[int, int]] = []
+    done = 0
+    for m in _WORDY.finditer(text):
+        start = max(done, text.rfind("\n", 0, m.start()) + 1, m.start() - REACH)
+        line = text.find("\n", m.end())
+        end = min(len(text) if line < 0 else line, m.end() + REACH)
+        # Whole tokens at both ends, however long.
+        while start > done and not text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        for token in re.finditer(r"\S+", text[start:end]):
+            a, b = start + token.start(), start + token.end()
+            if named := _NAMED.match(text, a, b):
+                a = named.end()
+            while a < b and text[a] in _EDGES:
+                a += 1
+            while a < b and text[b - 1] in _EDGES and not (text[b - 1] == "=" and b - a >= LEAST):
+                b -= 1
+            if a < b and not _WORDY.fullmatch(text, a, b):
+                out.append((a, b))
+        done = max(done, end)
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _CANDIDATE.finditer(text) if m.end() - m.start() >= LEAST]
+    """Tokens near key words, and beside them those of a secret's shape."""
+    near = near_key(text)
+    shaped = [m.span() for m in _CANDIDATE.finditer(text) if m.end() - m.start() >= LEAST]
+    if not near:
+        return shaped
+    starts = [a for a, _ in near]
+
+    def free(a: int, b: int) -> bool:
+        at = bisect_left(starts, b)
+        return at == 0 or near[at - 1][1] <= a
+
+    return sorted(near + [span for span in shaped if free(*span)])
 
 
 def runs(text: str, spans: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -94,6 +139,10 @@ def _shape(token: str) -> list[str]:
         f"digits={digit * 4 // n}",
         f"entropy={min(5, int(entropy))}",
         f"changes={min(4, changes * 8 // n)}",
+        f"shaped={n >= LEAST and _CANDIDATE.fullmatch(token) is not None}",
+        f"cases={min(3, sum(a.islower() and b.isupper() for a, b in zip(token, token[1:], strict=False)))}",
+        f"inner={min(3, sum(not c.isalnum() and c not in '.-_/:' for c in token))}",
+        f"short={n if n < 8 else 8}",
         f"hex={not token.strip('0123456789abcdef')}",
         f"dots={token.count('.') > 1}",
         f"path={'/' in token and '.' in token}",
@@ -244,6 +293,44 @@ def generated(seed: int = 11, lines: int = 900) -> list[tuple[str, list[tuple[in
     return out
 
 
+def generated_near(seed: int = 12, lines: int = 1_200) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Lines with a key word: half with a short, wordy or punctuated secret, half with plain words."""
+    pick = random.Random(seed)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    letters, digits, marks = lower + lower.upper(), "0123456789", "!@#$%^&*?+_-"
+
+    def some(alphabet: str, low: int, high: int) -> str:
+        return "".join(pick.choices(alphabet, k=pick.randrange(low, high)))
+
+    def mixed(*parts: str) -> str:
+        out = [c for part in parts for c in part]
+        pick.shuffle(out)
+        return "".join(out)
+
+    words = [some(lower, 1, 11) for _ in range(400)]
+    names = ("password", "passwd", "pwd", "pass", "passphrase", "auth", "Authorization", "bearer", "client key", "key", "secret", "token", "credential", "sign key")
+    out = []
+    for k in range(lines):
+        lead, tail = (" ".join(pick.choices(words, k=pick.randrange(0, 6))) for _ in range(2))
+        head = f"{lead} {pick.choice(names)}{pick.choice((': ', ' = ', '=', ' ', ' is ', ':'))}"
+        secret = pick.choice(
+            (
+                mixed(some(letters, 4, 9), some(digits, 1, 4)),
+                "".join(some(lower, 3, 9).capitalize() for _ in range(pick.randrange(2, 5))),
+                mixed(some(lower, 5, 12), some(lower.upper(), 5, 12)),
+                mixed(some(letters, 4, 12), some(digits, 1, 5), some(marks, 1, 5)),
+            )
+        )
+        plain = pick.choice((*pick.sample(words, 4), pick.choice(words).capitalize(), some(digits, 1, 9), f"20{pick.randrange(10, 30)}-0{pick.randrange(1, 10)}-{pick.randrange(10, 29)}", f"{pick.choice(words)}.", f"{pick.choice(words)},"))
+        quote = pick.choice(("", "", '"', "'"))
+        if k % 2:
+            out.append((f"{head}{quote}{plain}{quote} {tail}", []))
+        else:
+            head += quote
+            out.append((f"{head}{secret}{quote} {tail}", [(len(head), len(head) + len(secret))]))
+    return out
+
+
 def _tagged(text: str, secret: list[tuple[int, int]]) -> list[tuple[list[list[str]], list[int]]]:
     """Training runs of a text: a candidate that overlaps a secret is B, then I."""
     found = candidates(text)
@@ -282,7 +369,7 @@ def train(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Crf:
     # Runs with a secret first, then the most frequent others.
     kept = seen.orderBy(F.desc(F.array_max("tags") > 0), F.desc("count"), "features", "tags").limit(TRAINING_RUNS).collect()
     samples = [([line.split("\t") for line in r["features"].split("\n")], list(r["tags"])) for r in kept]
-    for line, secret in generated():
+    for line, secret in generated() + generated_near():
         samples += _tagged(line, secret)
     return fit(samples, rounds=8)
 

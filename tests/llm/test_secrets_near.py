@@ -1,0 +1,26 @@
+import pytest
+
+from palimpsest.llm import secrets
+
+FORMS = {
+    "auth: CorrectHorseBatter": "CorrectHorseBatter",
+    "pwd = 'Tr0ub4d'": "Tr0ub4d",
+    "bearer QwErTyUiOpAsDfGhJk": "QwErTyUiOpAsDfGhJk",
+    "passphrase: Xy!9kQ#2vB$7mN&4": "Xy!9kQ#2vB$7mN&4",
+    "client key: P@ssw0rd!2024": "P@ssw0rd!2024",
+}
+PLAIN = ("the key to the house is under the mat", "please sign the form and pass it on", "token: none", "auth failed at 2024-05-11 for user")
+
+
+@pytest.mark.parametrize("line", FORMS)
+def test_tokens_near_a_key_word_are_candidates(line):
+    text = f"first line\n{line} and more\nlast line"
+    assert FORMS[line] in [text[a:b] for a, b in secrets.candidates(text)]
+
+
+def test_secrets_without_the_old_shape_are_found(spark):
+    crf = secrets.train(spark.createDataFrame([], "doc_id long, text string"))
+    for line, value in FORMS.items():
+        assert [line[a:b] for k, a, b in secrets.scan(line, crf, {})[1] if k == "crf"] == [value]
+    for line in PLAIN:
+        assert secrets.scan(line, crf, {})[1] == []
