@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 #: Bounds of the training sample for each language.
 TRAINING_DOCUMENTS = 200
 DICTIONARY_BYTES = 48_000
+#: Slices of a text that is longer than its share.
+SLICES = 4
 #: Bytes compressed at once; short, so that the dictionary and not the text's own past decides.
 BLOCK = 4_096
 LEVEL = 6
@@ -36,13 +38,20 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     """Dictionary content for each language, from at most ``TRAINING_DOCUMENTS`` of its texts.
 
     The sample is the smallest hashes of the ids, so it does not follow file
-    order; the ids are picked first and only their texts are read.  From each
-    text an equal share of the dictionary is taken.
+    order; the ids are picked first and only their texts are read.  The texts
+    of a language share its dictionary: short ones are taken whole, and what
+    they leave goes to the longer ones, which give slices from all over.
     """
     rank = Window.partitionBy(lang).orderBy(F.xxhash64(F.lit("language"), key), key)
-    share = DICTIONARY_BYTES // TRAINING_DOCUMENTS
-    ids = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, lang).withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= TRAINING_DOCUMENTS)
-    rows = labelled.join(F.broadcast(ids.select(key)), key, "left_semi").where(F.col(lang).isNotNull()).select(lang, key, F.substring(text, 1, share).alias("part")).collect()
+    size = F.octet_length(text).cast("long").alias("_size")
+    ids = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, lang, size).withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= TRAINING_DOCUMENTS)
+    sizes: dict[str, list[int]] = {}
+    for row in ids.select(lang, "_size").collect():  # TRAINING_DOCUMENTS numbers for each language
+        sizes.setdefault(row[0], []).append(row["_size"])
+    levels = [(name, share(n, DICTIONARY_BYTES - (SLICES + 1) * len(n))) for name, n in sizes.items()]
+    levels = labelled.sparkSession.createDataFrame(levels, "_lang string, _level long")
+    chosen = labelled.join(F.broadcast(ids.select(key)), key, "left_semi").join(F.broadcast(levels), F.col(lang) == F.col("_lang"))
+    rows = chosen.select(lang, key, _slices(F.col(text), F.col("_level")).alias("part")).collect()
     parts: dict[str, list[bytes]] = {}
     for row in sorted(rows, key=lambda r: (r[0], r[1])):
         parts.setdefault(row[0], []).append((row["part"] or "").lower().encode("utf-8"))
@@ -50,6 +59,24 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     return {k: b"\n".join(v)[:DICTIONARY_BYTES] for k, v in sorted(parts.items()) if any(v)}
 
 
+def share(sizes: list[int], total: int) -> int:
+    """The greatest length at which texts cut to it fill ``total`` at most."""
+    left = total
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return left // (len(sizes) - k)
+        left -= n
+    return max(sizes, default=0)
+
+
+def _slices(text: F.Column, level: F.Column) -> F.Column:
+    """The text, or ``SLICES`` equal slices from its beginning to its end that hold ``level`` bytes or about as many."""
+    n = F.length(text)
+    each = F.floor(level * n / F.octet_length(text) / SLICES).cast("int")
+    parts = [F.substr(text, (F.floor((n - each) * k / (SLICES - 1)) + 1).cast("int"), each) for k in range(SLICES)]
+    return F.when(F.octet_length(text) <= level, text).otherwise(F.concat_ws("\n", *parts))
+
+
 def blocks(raw: bytes, size: int = BLOCK) -> list[bytes]:
     """Cut at white space where a block has any, else anywhere."""
     out, at = [], 0
