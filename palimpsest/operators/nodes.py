@@ -42,6 +42,7 @@ def type_counts(nodes: DataFrame) -> DataFrame:
 def repeated_subtrees(nodes: DataFrame, min_height: int = 2) -> DataFrame:
     """Equal subtrees: one row for each hash with the number of places and of documents."""
     tall = nodes.where(F.col("height") >= min_height)
-    return tall.groupBy("h_full").agg(
-        F.count(F.lit(1)).alias("places"), F.approx_count_distinct("key").alias("documents_about"), F.max("pre_size").alias("pre_size"), F.min("type").alias("type")
+    held = tall.groupBy("h_full", "key").agg(F.count(F.lit(1)).alias("n"), F.max("pre_size").alias("pre_size"), F.min("type").alias("type"))
+    return held.groupBy("h_full").agg(
+        F.sum("n").alias("places"), F.count("key").alias("documents"), F.max("pre_size").alias("pre_size"), F.min("type").alias("type")
     ).where("places > 1")
