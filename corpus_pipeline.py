@@ -11,8 +11,10 @@ before it kept.  All but the last return the columns of ``docs``:
    ``n_chars``, where there is one, follows the text;
 5. packing: one row for each piece of a document, with its token ids.
 
-Cases: documents with a null id cannot be grouped and stay; of rows that repeat
-an id, the near-duplicate stage keeps one; empty tables pass through.
+Cases: documents with a null id cannot be grouped as near duplicates and stay
+there; rows that repeat an id are judged and grouped by their own texts, and of
+rows equal in id and text the near-duplicate stage keeps one; empty tables pass
+through.
 """
 
 from __future__ import annotations
@@ -32,25 +34,51 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.train(docs.select("doc_id", "text"), read(spark, sf_dir, "labels")))
 
 
+def _digest() -> F.Column:
+    return F.sha2("text", 256)
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Verdicts come back by id; rows that share an id share the worse verdict."""
+    """Verdicts come back by all that they rest on: id, language and the digest of the text, null or not."""
     ship(spark)
-    judged = quality.judge(docs.select("doc_id", "text", "lang"), read(spark, sf_dir, "labels"))
-    failed = judged.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(failed, "doc_id", "left_anti").select(*docs.columns)
+    marked = docs.withColumn("_digest", _digest())
+    judged = quality.judge(marked.select("doc_id", "text", "lang", "_digest"), read(spark, sf_dir, "labels"), keep=("_digest",))
+    failed = judged.where(~F.col("kept")).select(*(F.col(c).alias(f"_f_{c}") for c in ("doc_id", "lang", "_digest"))).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in ("doc_id", "lang", "_digest")]
+    return marked.join(failed, same, "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = jaccard.near_duplicates(docs, jaccard.Similarity(ngram=5, numerator=80, denominator=100))
-    found = materialize(found.where("component_id IS NOT NULL"), "pipeline-components")
-    rest = docs.join(found.where("component_id < doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.head(1):
-        return rest
-    repeated = materialize(repeated, "pipeline-repeated")
-    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    sim = jaccard.Similarity(ngram=5, numerator=80, denominator=100)
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not ids.head(1):
+        found = materialize(jaccard.near_duplicates(docs, sim).where("component_id IS NOT NULL"), "pipeline-components")
+        return docs.join(found.where("component_id < doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+    # Each further text of a repeated id is grouped under a number above all ids.
+    ids = materialize(ids, "pipeline-repeated")
+    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text", _digest().alias("_digest")).distinct()
+    first = texts.groupBy("doc_id").agg(F.min(F.struct("text", "_digest"))["_digest"].alias("_first"))
+    top = F.lit(docs.agg(F.max("doc_id")).first()[0]).cast("long")
+    texts = texts.join(first, "doc_id").withColumn("_more", ~F.col("_digest").eqNullSafe(F.col("_first")))
+    numbered = texts.withColumn("_id", F.when(F.col("_more"), top + 1 + F.monotonically_increasing_id()).otherwise(F.col("doc_id").cast("long")))
+    numbered = materialize(numbered.select("_id", "doc_id", "text", "_digest"), "pipeline-numbered")
+    alone = docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti")
+    known = alone.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(numbered.select(F.col("_id").alias("doc_id"), "text"))
+    found = materialize(jaccard.near_duplicates(known, sim).where("component_id IS NOT NULL"), "pipeline-components")
+    found = found.join(numbered.select(F.col("_id").alias("doc_id"), F.col("doc_id").alias("_own"), "_digest"), "doc_id", "left")
+    found = found.select("component_id", "doc_id", F.coalesce("_own", "doc_id").alias("_own"), "_digest")
+    # The smallest own id of a group stays, and of its texts the one with the smallest number.
+    best = found.groupBy("component_id").agg(F.min(F.struct("_own", "doc_id"))["doc_id"].alias("_best"))
+    gone = found.join(best, "component_id").where("doc_id != _best")
+    kept = found.join(best, "component_id").where("doc_id = _best AND _digest IS NOT NULL").select(F.col("_own").alias("doc_id"), "_digest")
+    rest = docs.join(ids, "doc_id", "left_anti").join(gone.where("_digest IS NULL").select(F.col("_own").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    again = docs.join(ids, "doc_id", "left_semi").withColumn("_digest", _digest())
+    once = again.join(kept, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"])
+    # Texts in no group stay.
+    bare = again.join(found.where("_digest IS NOT NULL").select(F.col("_own").alias("doc_id"), "_digest"), ["doc_id", "_digest"], "left_anti")
+    return rest.unionByName(once.select(*docs.columns)).unionByName(bare.select(*docs.columns))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

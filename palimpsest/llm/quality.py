@@ -137,13 +137,13 @@ def with_verdict(feats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") ->
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | rejected))
 
 
-def judge(documents: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """Features, ``base_failed`` and ``kept`` for every row of ``documents``.
+def judge(documents: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Features, ``base_failed`` and ``kept`` for every row of ``documents``, beside the columns in ``keep``.
 
     Features are computed once and written to the shared folder (a few numbers
     for each document); texts cross no shuffle.
     """
-    feats = materialize(features(documents, keep=("doc_id", "lang")), "quality-features")
+    feats = materialize(features(documents, keep=("doc_id", "lang", *keep)), "quality-features")
     cutoffs = materialize(learn(feats, labels, alpha, delta), "quality-cutoffs")
     return with_verdict(feats, cutoffs)
 

@@ -1,0 +1,22 @@
+import corpus_pipeline as P
+
+
+def text(seed, n=60):
+    return " ".join(f"w{seed}x{k}" for k in range(n))
+
+
+def test_rows_that_repeat_an_id_are_grouped_by_their_own_texts(spark):
+    rows = [(1, text(1)), (1, text(2)), (1, text(1)), (2, text(2)), (3, text(3)), (4, text(3)), (None, text(3)), (None, text(3)), (5, ""), (5, ""), (5, text(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, "").collect()]
+    wanted = [(1, text(1)), (1, text(2)), (3, text(3)), (None, text(3)), (None, text(3)), (5, ""), (5, text(4))]
+    assert sorted(kept, key=repr) == sorted(wanted, key=repr)
+
+
+def test_quality_verdicts_stay_with_their_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good = " ".join(f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]} the" for k in range(100))
+    rows = [(1, good, "en"), (1, "# # # #", "en"), (None, "# # # #", "en"), (None, good, None), (2, good, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = sorted(((r.doc_id, r.text) for r in P.drop_low_quality(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert kept == sorted([(1, good), (None, good), (2, good)], key=repr)
