@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,12 @@ def fold(doc_id: str | F.Column, modulus: int) -> F.Column:
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     text = F.coalesce(col.cast("string"), F.lit(""))
     return F.crc32(text.cast("binary")) % F.lit(modulus)
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back, as Spark keeps workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc has it

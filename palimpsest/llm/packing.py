@@ -3,34 +3,46 @@
 A document of L tokens (its ids and a closing id) is cut into as many pieces
 of ``max_len`` as fit and one piece for each set bit of the rest, the longest
 first.  Every piece is a sequence of its own, so no sequence crosses a
-document and none needs padding; sequences of equal length form a bucket.
+document and none needs padding; sequences of equal length form a bucket,
+named by ``bucket`` (log2 of the length) and written apart by
+:func:`write_buckets`.
 
-``sequence_id`` holds log2 of the length in its top bits, then the task and a
-counter, so the ids of a bucket form one range and no shuffle, sort or global
-count is needed.  A task that is run again reads the same file split and so
-gives the same ids.
+``sequence_id`` holds the bucket in its top bits, then the task and a counter,
+so the ids of a bucket form one range and no shuffle, sort or global count is
+needed.  Ids are unique in every run; they follow the layout of the input, so
+another layout of the same rows gives others.  A task that is run again puts
+its rows in place of the lost ones.
 
 Cases: null or empty text still has the closing id, one piece of length 1;
-repeated rows are packed each for itself; an empty table gives no rows.
+repeated rows are packed each for itself and ties need no rule; a very long text
+is encoded as a whole and its pieces come in batches; further columns are not
+read, so clashing names do no harm; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import load
+from .bpe import loaded
 from .tokens import slices
 
 
-def cut(length: int, max_len: int) -> list[int]:
-    """Piece lengths of a document: powers of two, the longest first."""
-    rest = length % max_len
-    return [max_len] * (length // max_len) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def cut(lengths: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, piece length) of all pieces: powers of two, the longest first in each document."""
+    lengths = np.asarray(lengths, np.int64)
+    bits = np.arange(max_len.bit_length() - 2, -1, -1)
+    whole = lengths // max_len
+    rest = (lengths[:, None] >> bits & 1).astype(bool)
+    document = np.concatenate((np.repeat(np.arange(len(lengths)), whole), np.nonzero(rest)[0]))
+    length = np.concatenate((np.full(whole.sum(), max_len), np.broadcast_to(1 << bits, rest.shape)[rest]))
+    order = np.argsort(document, kind="stable")
+    return document[order], length[order]
 
 
 def pack_documents(
@@ -45,42 +57,39 @@ def pack_documents(
     """One row for each piece, with its ids where ``with_ids`` holds."""
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
-    end = end_id.to_bytes(4, "little")
-    names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
         task = TaskContext.get().partitionId()
         count = 0
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for first, part in slices(texts):
-                at, start, size, crc, total, seq, ids = [], [], [], [], [], [], []
-                for k, row in enumerate(bpe.split_batch(part), first):
-                    raw = bpe.encode_bytes(row) + end
-                    tokens, begin = len(raw) // 4, 0
-                    for n in cut(tokens, max_len):
-                        piece = raw[begin * 4 : (begin + n) * 4]
-                        at.append(k)
-                        start.append(begin)
-                        size.append(n)
-                        crc.append(zlib.crc32(piece))
-                        total.append(tokens)
-                        seq.append(n.bit_length() - 1 << 58 | task << 34 | count)
-                        count += 1
-                        begin += n
-                        if with_ids:
-                            ids.append(piece)
-                long = pa.int64()
-                columns = [keys.take(pa.array(at, pa.int32())), *(pa.array(c, long) for c in (start, size, crc, total, seq)), pa.array([0] * len(at), long)]
-                if with_ids:
-                    offsets = [0]
-                    for n in size:
-                        offsets.append(offsets[-1] + n)
-                    flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(ids))])
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat))
-                yield pa.RecordBatch.from_arrays(columns, [*names, "ids"] if with_ids else names)
+        with loaded(vocabulary) as bpe:
+            for batch in batches:
+                for first, part in slices(batch.column(1)):
+                    ids, rows = bpe.encode_batch(part).tokens()
+                    ids = np.insert(ids, rows[1:], end_id)
+                    rows = rows + np.arange(len(rows))
+                    document, length = cut(np.diff(rows), max_len)
+                    ends = np.cumsum(length)
+                    begins = ends - length
+                    data = memoryview(ids).cast("B")
+                    sums = [crc32(data[a:b]) for a, b in zip((begins * 4).tolist(), (ends * 4).tolist(), strict=True)]
+                    bucket = np.frexp(length)[1] - 1
+                    sequence = bucket.astype(np.int64) << 58 | task << 34 | np.arange(count, count + len(length))
+                    count += len(length)
+                    numbers = (begins - rows[document], length, sums, np.diff(rows)[document], sequence, np.zeros(len(length)))
+                    columns = [batch.column(0).take(pa.array(first + document)), *(pa.array(c, pa.int64()) for c in numbers), pa.array(bucket, pa.int32())]
+                    if with_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.append(begins, ends[-1:]), pa.int32()), pa.array(ids.view("<i4"))))
+                    # Many ids at once would fill the buffers of the executor.
+                    table = pa.RecordBatch.from_arrays(columns, [*names, "ids"] if with_ids else names)
+                    for k in range(0, len(length), 10_000):
+                        yield table.slice(k, 10_000)
 
     kind = df.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
     return df.select(key, text).mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Write the pieces with one folder for each bucket, so that a batch of equal sequences is a plain read."""
+    pieces.write.partitionBy("bucket").parquet(path)
