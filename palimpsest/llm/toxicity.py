@@ -1,14 +1,16 @@
 """Toxicity by nearest labelled examples.
 
-Labelled examples become TF-IDF vectors over all their words and word
-beginnings.  Inverse document frequencies count all documents; a term's weight
+Labelled examples become TF-IDF vectors over all their words and the beginnings
+of longer words.  Inverse document frequencies count all documents; a term's weight
 grows with the square root of its log-likelihood ratio where toxic examples
 have more of it, and no term is left out.  The nearest examples by exact cosine
-come from an inverted index with block maxima: examples are numbered in blocks,
-and each term keeps the largest weight of every block.  The blocks with the
-largest upper bounds are scored first; then only those whose bound reaches the
-k-th similarity found are scored, so that none that could enter the result is
-left out.  Votes weighted by similarity are calibrated on the examples
+come from an inverted index with block maxima: examples are numbered in blocks
+of like texts, and each term keeps the largest weight of every block.  The block
+with the largest upper bound is scored first; then only the blocks whose bound reaches
+the k-th similarity found, so that none that could enter the result is
+left out.  Terms that many examples hold lie in a dense table, whose bounds and
+scores are matrix products over many texts at a time; all others lie in lists.
+Votes weighted by similarity are calibrated on the examples
 themselves, each left out of its own neighbours.
 
 Bound: ``Settings.examples`` labelled rows (the smallest hashes of the ids) form
@@ -19,80 +21,88 @@ Cases: null or empty text, or text without any term of the examples, has no
 neighbours and gets the calibrated share of toxic examples without terms; ties in similarity
 go to the smaller example number; rows that repeat get equal scores; without
 labels every score is 0; an id with several labels counts as toxic if one of
-them says so; an empty table gives no rows.
+them says so, and an id with several texts teaches by its smallest; ids may be
+of any type; a very long text is one vector of its distinct terms; only the id and the text
+are read, so further columns of any name do no harm; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left, bisect_right
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from hashlib import sha256
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 _WORD = re.compile(r"[^\W_]+").findall
 
 
 @dataclass(frozen=True)
 class Settings:
-    examples: int = 8_000
+    examples: int = 2_000
     #: Log-likelihood ratio (chi-squared, one degree) at which a term's weight is doubled.
     min_ratio: float = 25.0
-    shortest: int = 3
-    longest: int = 8
+    #: Lengths of the beginnings that are terms beside the word.
+    beginnings: tuple[int, ...] = (5,)
     neighbours: int = 15
     block: int = 64
-
-
-def word_terms(word: str, s: Settings) -> list[str]:
-    """The word and its beginnings, which carry a caret."""
-    return [word, *("^" + word[:n] for n in range(s.shortest, min(s.longest, len(word)) + 1))]
+    #: A term lies in the dense table if it is in this part of the examples.
+    dense_from: float = 0.03
+    #: Texts whose vectors are searched together.
+    together: int = 64
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD(text.lower()) if text else []
 
 
+#: Term numbers and their weights.
 Vector = tuple[np.ndarray, np.ndarray]
+#: Rows and their similarities, the nearest first.
+Near = list[tuple[int, float]]
 
 
-def _pair(vector: dict[int, float] | Vector) -> Vector:
-    """Term numbers and weights, by term number."""
-    if not isinstance(vector, dict):
-        return vector
-    return np.array(sorted(vector), np.int64), np.array([vector[t] for t in sorted(vector)], float)
-
-
-def _spread(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> Vector:
-    """All positions of the ranges, each with the value of its range."""
+def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges, and the range of each."""
     n = end - start
     before = np.cumsum(n) - n
-    return np.arange(n.sum()) + np.repeat(start - before, n), np.repeat(value, n)
+    return np.arange(n.sum()) + np.repeat(start - before, n), np.repeat(np.arange(len(n)), n)
 
 
 class Index:
     """Exact top-k by cosine over example vectors, with block maxima."""
 
-    def __init__(self, vectors: Iterable[dict[int, float] | Vector], block: int):
-        """``vectors`` are of unit length: term number to weight."""
-        pairs = [_pair(v) for v in vectors]
+    def __init__(self, vectors: Iterable[Vector], block: int, dense_from: float = 1.0):
+        """``vectors`` are of unit length, each with its terms ascending."""
+        pairs = list(vectors)
         self.block = block
         self.rows = len(pairs)
         self.blocks = -(-self.rows // block)
         terms = np.concatenate([t for t, _ in pairs] or [[]]).astype(np.int32)
         weights = np.concatenate([w for _, w in pairs] or [[]])
         at = np.repeat(np.arange(self.rows, dtype=np.int32), [len(t) for t, _ in pairs])
-        del pairs  # the driver holds millions of postings; no copy stays longer than needed
+        del pairs
+        self.terms = int(terms.max()) + 1 if len(terms) else 0
+        often = np.flatnonzero(np.bincount(terms, minlength=self.terms) > dense_from * self.rows)
+        #: Column of each term in the dense table, or -1.
+        self.column = np.full(self.terms, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        held = self.column[terms] >= 0
+        self.dense = np.zeros((self.rows, len(often)))
+        self.dense[at[held], self.column[terms[held]]] = weights[held]
+        self.dense_most = np.maximum.reduceat(self.dense, np.arange(0, self.rows, block)) if self.rows else self.dense
+        terms, at, weights = terms[~held], at[~held], weights[~held]
         order = np.argsort(terms, kind="stable")
         terms, self.at, self.weights = terms[order], at[order], weights[order]
-        del order, at, weights
         # An entry is a term in a block; its rows lie together.
         blocks = self.at // block
         new = np.ones(len(terms), bool)
@@ -101,43 +111,112 @@ class Index:
         self.entry_block = blocks[first]
         self.entry_most = np.maximum.reduceat(self.weights, first) if len(first) else self.weights
         self.entry_start = np.append(first, len(terms)).astype(np.int32)
-        self.term_start = np.searchsorted(terms[first], np.arange(terms[-1] + 2 if len(terms) else 1)).astype(np.int32)
-
-    def nearest(self, query: dict[int, float] | Vector, k: int, without: tuple[int, int] = (0, 0)) -> list[tuple[int, float]]:
-        """The k rows of greatest positive similarity, the smaller row first among equals; no row of the range ``without``."""
-        terms, weights = _pair(query)
-        known = terms < len(self.term_start) - 1
-        terms, weights = terms[known], weights[known]
-        entry, q = _spread(self.term_start[terms], self.term_start[terms + 1], weights)
-        if not len(entry):
-            return []
+        self.term_start = np.searchsorted(terms[first], np.arange(self.terms + 1)).astype(np.int32)
+        #: Blocks, and of them those that were scored, of all searches; tells whether the bounds prune.
+        self.seen = self.scored = 0
+
+    def nearest(self, queries: list[Vector], k: int, without: list[int] | None = None) -> list[Near]:
+        """For each query the k rows of greatest positive similarity, the smaller row first among equals, without its own row of ``without``."""
+        out: list[Near] = [[] for _ in queries]
+        if not queries or not self.rows:
+            return out
+        n = len(queries)
+        terms = np.concatenate([t for t, _ in queries]).astype(np.int32)
+        q = np.concatenate([w for _, w in queries])
+        of = np.repeat(np.arange(n), [len(t) for t, _ in queries])
+        known = terms < self.terms
+        terms, q, of = terms[known], q[known], of[known]
+        column = self.column[terms]
+        held = column >= 0
+        dense = np.zeros((n, self.dense.shape[1]))
+        dense[of[held], column[held]] = q[held]
+        terms, q, of = terms[~held], q[~held], of[~held]
+        entry, part = _spread(self.term_start[terms], self.term_start[terms + 1])
+        query, q = of[part], q[part]
         block = self.entry_block[entry]
-        bound = np.bincount(block, q * self.entry_most[entry], self.blocks)
-        # The most promising blocks set the similarity to beat ...
-        lead = np.argsort(-bound, kind="stable")[: -(-4 * k // self.block)]
-        kept = np.zeros(self.blocks, bool)
-        kept[lead] = True
-        best = self._best(self._scores(entry, q, kept[block]), k, without)
-        floor = best[-1][1] - 1e-12 if len(best) == k else 0.0
-        # ... and only blocks whose bound reaches it are scored beside them.
-        kept |= bound >= floor if floor > 0 else bound > 0
-        if np.count_nonzero(kept) > len(lead):
-            best = self._best(self._scores(entry, q, kept[block]), k, without)
-        return best
-
-    def _scores(self, entry: np.ndarray, q: np.ndarray, kept: np.ndarray) -> np.ndarray:
-        entry = entry[kept]
-        at, q = _spread(self.entry_start[entry], self.entry_start[entry + 1], q[kept])
-        return np.bincount(self.at[at], self.weights[at] * q, self.rows)
-
-    @staticmethod
-    def _best(scores: np.ndarray, k: int, without: tuple[int, int]) -> list[tuple[int, float]]:
-        scores[slice(*without)] = 0
-        rows = np.flatnonzero(scores > 0)
-        if len(rows) > k:
-            rows = rows[scores[rows] >= np.partition(scores[rows], -k)[-k]]
-        rows = rows[np.argsort(-scores[rows], kind="stable")][:k]
-        return list(zip(rows.tolist(), scores[rows].tolist(), strict=True))
+        bound = dense @ self.dense_most.T + np.bincount(query * self.blocks + block, q * self.entry_most[entry], n * self.blocks).reshape(n, self.blocks)
+        scores = np.zeros((n, self.rows))
+
+        def score(chosen: np.ndarray) -> None:
+            """The similarities of the chosen (query, block)."""
+            for b in np.flatnonzero(chosen.any(axis=0)).tolist():
+                rows, own = slice(b * self.block, (b + 1) * self.block), chosen[:, b]
+                if 2 * np.count_nonzero(own) > n:
+                    scores[own, rows] = (dense @ self.dense[rows].T)[own]
+                else:
+                    scores[own, rows] = dense[own] @ self.dense[rows].T
+            kept = chosen[query, block]
+            place, part = _spread(self.entry_start[entry[kept]], self.entry_start[entry[kept] + 1])
+            np.add.at(scores.reshape(-1), query[kept][part] * self.rows + self.at[place], self.weights[place] * q[kept][part])
+            if without is not None:
+                scores[np.arange(n), without] = 0
+
+        def floors() -> np.ndarray:
+            """The k-th similarity of each query so far."""
+            return np.partition(scores, -k, axis=1)[:, -k:][:, :1] if k <= self.rows else np.zeros((n, 1))
+
+        # The most promising block sets the similarity to beat ...
+        lead = np.zeros((n, self.blocks), bool)
+        lead[np.arange(n), bound.argmax(axis=1)] = True
+        score(lead)
+        # ... and only blocks whose bound reaches it are scored beside it.
+        rest = (bound > 0) & (bound >= floors() - 1e-9) & ~lead
+        score(rest)
+        self.seen += n * self.blocks
+        self.scored += int(lead.sum() + rest.sum())
+        query, row = np.nonzero((scores > 0) & (scores >= floors() - 1e-12))
+        value = scores[query, row]
+        order = np.lexsort((row, -np.round(value, 12), query))  # sums that should be equal differ in the last bits
+        for i, r, s in zip(query[order].tolist(), row[order].tolist(), value[order].tolist(), strict=True):
+            if len(out[i]) < k:
+                out[i].append((r, s))
+        return out
+
+
+class Terms:
+    """The distinct words of the examples, then their beginnings of each length; a term's number is its place."""
+
+    def __init__(self, words: pa.Array, s: Settings):
+        self.sets = [words]
+        for n in s.beginnings:
+            self.sets.append(pc.unique(pc.utf8_slice_codeunits(words.filter(pc.greater_equal(pc.utf8_length(words), n)), 0, n)))
+        self.lengths = (0, *s.beginnings)
+        self.firsts = [0, *np.cumsum([len(x) for x in self.sets]).tolist()]
+
+    def __len__(self) -> int:
+        return self.firsts[-1]
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """For each kind of term and word its number, or -1."""
+        out = np.empty((len(self.sets), len(words)), np.int64)
+        for k, (known, n, first) in enumerate(zip(self.sets, self.lengths, self.firsts, strict=False)):
+            keys = words if not n else pc.utf8_slice_codeunits(words, 0, n)
+            if n:
+                keys = pc.if_else(pc.greater_equal(pc.utf8_length(words), n), keys, pa.scalar(None, keys.type))
+            found = pc.fill_null(pc.index_in(keys, value_set=known, skip_nulls=True), -1).to_numpy()
+            out[k] = np.where(found < 0, -1, found + first)
+        return out
+
+
+def term_counts(texts: Sequence[str | None], terms: Terms) -> list[Vector]:
+    """For each text the numbers of its terms, ascending, and their occurrences; each distinct word is looked up once."""
+    words = [words_of(t) for t in texts]
+    coded = pa.array(list(chain.from_iterable(words)), pa.large_string()).dictionary_encode()
+    width, size = max(len(coded.dictionary), 1), max(len(terms), 1)
+    row = np.repeat(np.arange(len(words)), list(map(len, words)))
+    key, times = np.unique(row * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    row, code = np.divmod(key, width)
+    found = terms.numbers(coded.dictionary)[:, code]
+    known = found >= 0
+    key = (row * size + found)[known]
+    order = np.argsort(key, kind="stable")
+    key, times = key[order], np.broadcast_to(times, found.shape)[known][order]
+    if len(key):
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key, times = key[first], np.add.reduceat(times, first)
+    row, term = np.divmod(key, size)
+    edges = np.searchsorted(row, np.arange(len(words) + 1)).tolist()
+    return [(term[a:b], times[a:b]) for a, b in pairwise(edges)]
 
 
 @dataclass
@@ -145,43 +224,20 @@ class Model:
     """Terms, their weights, the index and the calibration."""
 
     settings: Settings
-    number: dict[str, int]
+    terms: Terms
     #: Inverse document frequency, raised by the labels.
     weight: np.ndarray
     toxic: list[int] = field(default_factory=list)
-    ids: list[int] = field(default_factory=list)
+    ids: list = field(default_factory=list)
     index: Index | None = None
     #: Share of toxic examples among those without any term.
     empty_score: float = 0.0
     #: Rising steps (vote up to, probability).
     steps: list[tuple[float, float]] = field(default_factory=list)
 
-    def __post_init__(self) -> None:
-        self._seen: dict[str, tuple[int, ...]] = {}
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "_seen": {}}
-
-    def counts(self, words: dict[str, int]) -> Vector:
-        """Term numbers and their occurrences, from the words of a whole text and theirs."""
-        if len(self._seen) > 300_000:
-            self._seen.clear()
-        terms: list[int] = []
-        times: list[int] = []
-        for word, n in words.items():
-            hit = self._seen.get(word)
-            if hit is None:
-                hit = self._seen[word] = tuple(self.number[t] for t in word_terms(word, self.settings) if t in self.number)
-            terms += hit
-            times += [n] * len(hit)
-        if not terms:
-            return np.zeros(0, np.int64), np.zeros(0)
-        distinct, where = np.unique(np.array(terms), return_inverse=True)
-        return distinct, np.bincount(where, np.array(times, float))
-
-    def vector(self, text: str | None) -> Vector:
-        """Unit TF-IDF vector; logarithmic term frequency."""
-        return self.unit(self.counts(Counter(words_of(text))))
+    def vectors(self, texts: Sequence[str | None]) -> list[Vector]:
+        """Unit TF-IDF vectors; logarithmic term frequency."""
+        return [self.unit(c) for c in term_counts(texts, self.terms)]
 
     def unit(self, counts: Vector) -> Vector:
         terms, times = counts
@@ -199,94 +255,101 @@ class Model:
                 pools[-1] = [top, pools[-1][1] + y, pools[-1][2] + n]
         self.steps = [(top, (y + 0.5) / (n + 1)) for top, y, n in pools]
 
-    def _vote(self, near: list[tuple[int, float]]) -> float:
+    def _vote(self, near: Near) -> float:
         total = sum(s for _, s in near)
         return sum(s for r, s in near if self.toxic[r]) / total if total else 0.0
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        """(probability, evidence): the evidence are (example id, similarity)."""
-        near = self.index.nearest(self.vector(text), self.settings.neighbours) if self.index else []
+    def score(self, texts: list[str | None]) -> list[tuple[float, list]]:
+        """(probability, evidence) of each text: the evidence are (example id, similarity)."""
+        k, step, out = self.settings.neighbours, self.settings.together, []
+        all_vectors = self.vectors(texts)
+        for a in range(0, len(texts), step):
+            vectors = all_vectors[a : a + step]
+            found = self.index.nearest(vectors, k) if self.index else [[]] * len(vectors)
+            out += [(self._probability(near), [(self.ids[r], s) for r, s in near]) for near in found]
+        return out
+
+    def _probability(self, near: Near) -> float:
         if not near:
-            return self.empty_score, []
+            return self.empty_score
         vote = self._vote(near)
         p = next((p for top, p in self.steps if vote <= top), self.steps[-1][1])
         # A small part of the vote keeps the order inside a step.
-        return p * (1 - 1e-3) + 1e-3 * vote, [(self.ids[r], s) for r, s in near]
+        return p * (1 - 1e-3) + 1e-3 * vote
+
+
+def fit(examples: list[tuple], terms: Terms, spread: np.ndarray, documents: float, settings: Settings) -> Model:
+    """Model from (id, toxic, term counts), all terms, the documents that hold each term, and their number."""
+    model = Model(settings, terms, np.zeros(0))
+    counts = [c for _, _, c in examples]
+    toxic = [y for _, y, _ in examples]
+    rows, bad = np.zeros(len(terms)), np.zeros(len(terms))
+    for (held, _), y in zip(counts, toxic, strict=True):
+        rows[held] += 1
+        if y:
+            bad[held] += 1
+    ratio = likelihood_ratio(rows, bad, len(toxic), sum(toxic))
+    model.weight = (np.log((1 + documents) / (1 + spread)) + 1) * (1 + np.sqrt(ratio / settings.min_ratio))
+    bare = [y for (held, _), y in zip(counts, toxic, strict=True) if not len(held)]
+    model.empty_score = sum(bare) / (len(bare) + 2)
+    # Texts that share their most frequent terms share blocks, so that the bounds of other blocks are small.
+    kept = sorted((k for k, (held, _) in enumerate(counts) if len(held)), key=lambda k: (tuple(sorted(counts[k][0][np.argsort(-counts[k][1] * (spread[counts[k][0]] + 1), kind="stable")[:3]].tolist())), k))
+    model.ids, model.toxic = [examples[k][0] for k in kept], [toxic[k] for k in kept]
+    vectors = [model.unit(counts[k]) for k in kept]
+    model.index = Index(vectors, settings.block, settings.dense_from)
+    votes = []
+    for a in range(0, len(vectors), settings.together):
+        part = vectors[a : a + settings.together]
+        near = model.index.nearest(part, settings.neighbours, list(range(a, a + len(part))))
+        votes += [(model._vote(n), y) for n, y in zip(near, model.toxic[a : a + len(part)], strict=True)]
+    model.calibrate(votes)
+    return model
 
 
 def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Model from the labelled rows; ``labels`` has (doc_id, toxic) of the rows to learn from."""
+    """Model from the labelled rows; ``labels`` has (doc_id, toxic) of the rows to learn from.
+
+    The driver holds the words of ``settings.examples`` texts; everything that
+    follows the corpus (how many documents hold each term) is summed on the
+    executors.
+    """
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = marked.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(settings.examples)
-    sample = documents.sparkSession.createDataFrame(sample.collect(), "doc_id long, toxic int").coalesce(1)
-    # At most settings.examples rows of two numbers.
-    texts = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
+    sample = documents.sparkSession.createDataFrame(sample.collect(), sample.schema).coalesce(1)
+    # At most settings.examples rows of two small values; one text for each id.
+    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
-    def example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [Counter(words_of(t.as_py())) for t in batch.column(1)]
-            columns = [batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "words", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([words_of(t.as_py()) for t in batch.column(2)], pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
-    held = texts.select("doc_id", "text", "toxic").mapInArrow(example_rows, "doc_id long, toxic int, words array<string>, times array<int>").toArrow()
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    held = texts.select("doc_id", "toxic", "text").mapInArrow(example_words, f"doc_id {kind}, toxic int, words array<string>").toArrow()
     if not held.num_rows:
-        return Model(settings, {}, np.zeros(0))
+        return Model(settings, Terms(pa.array([], pa.large_string()), settings), np.zeros(0))
     held = held.sort_by("doc_id")
-    words = sorted(set().union(*(batch.column("words").flatten().unique().to_pylist() for batch in held.to_batches())))
-    number: dict[str, int] = {}
-    for word in words:
-        for term in word_terms(word, settings):
-            number.setdefault(term, len(number))
-    del words
-    model = Model(settings, number, np.zeros(0))
-    toxic = held.column("toxic").to_pylist()
-    counts = []
-    for batch in held.select(["words", "times"]).to_batches():
-        for k in range(batch.num_rows):
-            terms, times = model.counts(dict(zip(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), strict=True)))
-            counts.append((terms.astype(np.int32), times.astype(np.int32)))
-    ids = held.column("doc_id").to_pylist()
-    del held, batch
-    model._seen.clear()
+    words = pc.unique(pa.chunked_array([b.column("words").flatten() for b in held.to_batches()], pa.string())).cast(pa.large_string())
+    terms = Terms(words.sort(), settings)
+    examples = []
+    for batch in held.to_batches(max_chunksize=256):
+        counts = term_counts([" ".join(words) for words in batch.column(2).to_pylist()], terms)
+        examples += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), counts, strict=True)
+    del held, batch, words
 
     def document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.zeros(len(number) + 1, np.int64)  # the last counts the documents
+        rows = np.zeros(len(terms) + 1, np.int64)  # the last counts the documents
         for batch in batches:
-            for text in batch.column(0):
-                rows[model.counts(dict.fromkeys(words_of(text.as_py()), 1))[0]] += 1
-                rows[-1] += 1
+            for part in parts(batch.column(0)):
+                rows[:-1] += np.bincount(np.concatenate([t for t, _ in term_counts(part, terms)]), minlength=len(terms))
+            rows[-1] += batch.num_rows
         found = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(rows[found])], ["term", "n"])
+        release()
 
-    spread = np.zeros(len(number) + 1)
+    spread = np.zeros(len(terms) + 1)
     found = documents.select("text").mapInArrow(document_rows, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     spread[found.column("term").to_numpy()] = found.column("n").to_numpy()
-    rows, bad = np.zeros(len(number)), np.zeros(len(number))
-    for (terms, _), y in zip(counts, toxic, strict=True):
-        rows[terms] += 1
-        if y:
-            bad[terms] += 1
-    ratio = likelihood_ratio(rows, bad, len(toxic), sum(toxic))
-    model.weight = (np.log((1 + spread[-1]) / (1 + spread[:-1])) + 1) * (1 + np.sqrt(ratio / settings.min_ratio))
-    bare = [y for (terms, _), y in zip(counts, toxic, strict=True) if not len(terms)]
-    model.empty_score = sum(bare) / (len(bare) + 2)
-    kept = [k for k, (terms, _) in enumerate(counts) if len(terms)]
-    model.ids, model.toxic = [ids[k] for k in kept], [toxic[k] for k in kept]
-    counts = [counts[k] for k in kept][::-1]
-    model.index = Index((model.unit(counts.pop()) for _ in kept), settings.block)
-
-    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                vector = model.vector(text.as_py())
-                # Rows of one id lie together, and none of them is a neighbour of another.
-                without = bisect_left(model.ids, key), bisect_right(model.ids, key)
-                out.append(model._vote(model.index.nearest(vector, settings.neighbours, without)) if len(vector[0]) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column(2)], ["vote", "toxic"])
-
-    model.calibrate([(r["vote"], r["toxic"]) for r in texts.select("doc_id", "text", "toxic").mapInArrow(votes, "vote double, toxic int").collect() if r["vote"] is not None])
-    return model
+    return fit(examples, terms, spread[:-1], spread[-1], settings)
 
 
 def likelihood_ratio(rows: np.ndarray, bad: np.ndarray, n: int, n_bad: int) -> np.ndarray:
@@ -307,26 +370,44 @@ def score_documents(documents: DataFrame, model: Model, evidence: bool = True) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
         for batch in batches:
-            scores, why = [], []
-            for text in batch.column(1):
-                p, near = scored(model, text.as_py(), known)
-                scores.append(p)
-                why.append([f"{i}:{s:.4f}" for i, s in near[:3]])
+            rows = scored(model, batch.column(1), known)
+            scores = [p for p, _ in rows]
+            why = [[f"{i}:{s:.4f}" for i, s in near] for _, near in rows]
             columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(p >= 0.5) for p in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(why, pa.list_(pa.string()))], ["doc_id", "score", "predicted", "evidence"])
+        known.clear()
+        release()
 
     out = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<string>")
     return out if evidence else out.drop("evidence")
 
 
-def scored(model: Model, text: str | None, known: dict[bytes, tuple]) -> tuple[float, list]:
-    """``Model.score`` with the answers for equal texts kept, up to a bound."""
-    key = sha256((text or "").encode("utf-8", "surrogatepass")).digest()
-    if key not in known:
-        if len(known) > 50_000:
-            known.clear()
-        known[key] = model.score(text)
-    return known[key]
+def parts(texts: pa.Array, rows: int = 2_048, chars: int = 4_000_000) -> Iterator[list[str]]:
+    """The texts in turn, null as empty, in lists of bounded size, or one long text."""
+    held, total = [], 0
+    for value in texts:
+        text = value.as_py() or ""
+        if held and (len(held) == rows or total + len(text) > chars):
+            yield held
+            held, total = [], 0
+        held.append(text)
+        total += len(text)
+    if held:
+        yield held
+
+
+def scored(model: Model, texts: pa.Array, known: dict[bytes, tuple]) -> list[tuple[float, list]]:
+    """Scores and the three nearest of each text; the answers for equal texts are kept, up to a bound."""
+    if len(known) > 20_000:
+        known.clear()
+    out: list[tuple[float, list]] = []
+    for part in parts(texts):
+        keys = [sha256(t.encode("utf-8", "surrogatepass")).digest() for t in part]
+        fresh = {key: text for key, text in zip(keys, part, strict=True) if key not in known}
+        for key, (p, near) in zip(fresh, model.score(list(fresh.values())), strict=True):
+            known[key] = p, near[:3]
+        out += [known[key] for key in keys]
+    return out
 
 
 def drop_toxic(documents: DataFrame, model: Model) -> DataFrame:
@@ -336,6 +417,8 @@ def drop_toxic(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
         for batch in batches:
-            yield batch.filter(pa.array([scored(model, t.as_py(), known)[0] < 0.5 for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([p < 0.5 for p, _ in scored(model, batch.column(at), known)], pa.bool_()))
+        known.clear()
+        release()
 
     return documents.mapInArrow(run, documents.schema)
