@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +40,43 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: an executor lost later costs a re-read, not a
     recomputation, and several consumers share one computation.
     """
+    return _write(df, label)[0]
+
+
+def _write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Tables:
+    """Tables of one step, dropped together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        """:func:`materialize`, after which the shuffle files of ``df`` may go."""
+        out, path = _write(df, label)
+        self.paths.append(path)
+        collect_garbage(self.spark)
+        return out
+
+    def drop(self) -> None:
+        """Delete the tables; queries that still read them fail."""
+        jvm = self.spark.sparkContext._jvm
+        for path in self.paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths.clear()
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that are over; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fold(doc_id: str | F.Column, modulus: int) -> F.Column:
@@ -51,6 +86,18 @@ def fold(doc_id: str | F.Column, modulus: int) -> F.Column:
     return F.crc32(text.cast("binary")) % F.lit(modulus)
 
 
+def released(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A ``mapInArrow`` kernel that gives its memory back when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+
+    return run
+
+
 def release() -> None:
     """Give memory that a Python worker no longer uses back, as Spark keeps workers for later stages."""
     pa.default_memory_pool().release_unused()

@@ -1,11 +1,13 @@
 """Exact n-gram Jaccard self-join by vertical partitioning.
 
 The word n-grams of a document form a set of 64-bit hashes.  A global order on
-the n-grams (rare before frequent, then by hash) is cut into fragments; the
+the n-grams (rare before frequent, then by hash) is cut into fragments: the
+frequent n-grams are the last one, the others are parted by hash range.  The
 overlap of a pair is counted in each fragment on its own and summed per pair.
 
 1. Documents with equal sets are one class; its smallest id stands for it.
-2. Classes that agree in a quarter of a sketch form families around one root each.
+2. Classes that agree in enough of a sketch form families around one root each,
+   the member whose sketch is the most common.
    The overlap with the root, and the n-grams lost and added against it, are
    computed for every member: one row for each, no pairs inside a group.
 3. Within a family, |x & y| = |root| - |lost x| - |lost y| + what x and y have
@@ -13,19 +15,25 @@ overlap of a pair is counted in each fragment on its own and summed per pair.
    in common both link to the root.  All others must share enough of their
    differences, so these short lists are joined, rare entries first, with the
    bounds that size and position give.
-4. Between families, a pair with the wanted similarity shares an n-gram in the
-   prefix of its sets under the global order.  Prefixes are joined likewise.
+4. Between families, a pair with the wanted similarity shares n-grams in the
+   prefixes of its sets under the global order.  Prefixes are joined, and a pair
+   goes on only if what they share and what lies behind can reach the threshold.
 5. Candidates of 3 and 4 are counted exactly, fragment by fragment; connected
    components come from alternating large and small stars.
 
-A wrong guess about which n-grams are frequent costs time, never a link: any
-global order is exact.  Broadcasts happen only below a counted size; beyond
-it, the same joins shuffle.
+Texts are hashed twice as a whole (sets and their sketches; prefixes) and a third
+time where a family or a candidate pair needs them; no text crosses a shuffle
+below ``broadcast_rows`` pairs.  A wrong guess about which n-grams are frequent
+costs time, never a link: any global order is exact.  Broadcasts happen only
+below a counted size; beyond it, the same joins shuffle.  Tables are dropped
+when nothing reads them any more.
 
 Cases: null or empty text, or text of white space, has an empty set and no
 links; text with fewer words than n is one n-gram; an id that repeats is one
 document, whose links come from its smallest text; a null id has no links and
-a null component; an empty table gives no rows.
+a null component; similarities equal to the threshold link; very long texts are
+hashed in pieces; only the id and the text are read, so further columns of any
+name do no harm; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Tables, released
 
 
 @dataclass(frozen=True)
@@ -48,13 +56,16 @@ class Similarity:
     ngram: int = 5
     numerator: int = 80
     denominator: int = 100
+    #: The last fragment holds the frequent n-grams.
     fragments: int = 4
     #: A document joins the family of a root that agrees in this part of the sketch.
     sketches: int = 8
-    agreement: float = 0.25
+    agreement: float = 0.375
     #: Prefix n-grams put last in the order; only efficiency depends on it.
     frequent_bound: int = 200_000
-    frequent_from: int = 24
+    frequent_from: int = 8
+    #: N-grams a task holds before it gives out those that it saw twice.
+    counted_at_once: int = 1_000_000
     #: Rows of two longs that may be broadcast (16 MB); more are shuffled.
     broadcast_rows: int = 1_000_000
 
@@ -62,7 +73,8 @@ class Similarity:
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd; its powers keep the order of words, and of bytes within one
 _NONE = np.empty(0, np.uint64)
 _SHORT = 64  # bytes of a word up to which its hash is a weighted sum; longer ones are rare
-_BLOCK = 1 << 22  # bytes of a text that are hashed at once
+_BLOCK = 1 << 20  # bytes of a text that are hashed at once
+SLICE_ROWS = 500  # rows whose n-gram sets a worker gives out together
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -129,14 +141,27 @@ def _limit(n: int, sim: Similarity) -> int:
 
 
 def _signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """(doc_id, n, signature, sketch): one narrow row for every document.
+    """(doc_id, n, signature, sketch): one narrow row for every document; and (token, rows) with a null n.
 
     The sketch holds the smallest hash in each of ``sketches`` hash ranges,
     so two sets agree in a place with about the chance of their similarity.
+    The other rows count the n-grams near the front of the hash order, in a
+    window somewhat wider than the prefixes, that a task saw in two documents
+    or more.  A common n-gram is so in most tasks; one that no task sees twice is rare.
     """
 
     def run(batches):
         edges = (np.arange(sim.sketches, dtype=np.uint64) << np.uint64(64 - sim.sketches.bit_length() + 1))
+        names = ["doc_id", "n", "signature", "sketch", "token", "rows"]
+        heads, held = [], 0
+
+        def counted():
+            tokens, counts = np.unique(np.concatenate([_NONE, *heads]).view(np.int64), return_counts=True)
+            twice = counts > 1
+            tokens, counts = tokens[twice], counts[twice]
+            empty = [pa.nulls(len(tokens), kind) for kind in (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*empty, pa.array(tokens), pa.array(counts.astype(np.int64))], names)
+
         for batch in batches:
             sizes, marks, sketches = [], [], []
             for text in batch.column(1):
@@ -146,48 +171,77 @@ def _signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
                 sizes.append(len(s))
                 marks.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sketches.append([int(np.int64(s[a].view(np.int64))) if a < b else None for a, b in zip(at, ends, strict=True)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc_id", "n", "signature", "sketch"],
-            )
+                heads.append(s[: 4 + _limit(len(s), sim) * 8 // 5].copy())
+                held += len(heads[-1])
+                if held > sim.counted_at_once:
+                    yield counted()
+                    heads.clear()
+                    held = 0
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.int64())], names)
+        yield counted()
+
+    return docs.mapInArrow(released(run), "doc_id long, n long, signature binary, sketch array<long>, token long, rows long")
+
+
+def _frequent(counted: DataFrame, sim: Similarity) -> np.ndarray:
+    """The most frequent n-grams of (token, rows), sorted; at most ``frequent_bound`` of them are kept."""
+    seen = counted.groupBy("token").agg(F.sum("rows").alias("rows"))
+    kept = seen.where(F.col("rows") >= sim.frequent_from).orderBy(F.desc("rows"), "token").limit(sim.frequent_bound).select("token")
+    return np.sort(kept.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
-    return docs.mapInArrow(run, "doc_id long, n long, signature binary, sketch array<long>")
 
+def _is_frequent(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(s), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
 
-def _pick(docs: DataFrame, chosen: DataFrame, sim: Similarity, rows: int) -> DataFrame:
-    """Documents whose id is in ``chosen``, with its columns.
 
-    Below ``broadcast_rows`` (counted by the caller) the texts stay where they
-    are; beyond, both sides are shuffled.
-    """
-    return docs.join(F.broadcast(chosen) if rows <= sim.broadcast_rows else chosen, "doc_id")
+def _hint(df: DataFrame, rows: int, sim: Similarity) -> DataFrame:
+    """``df``, to be broadcast if its counted rows are few."""
+    return F.broadcast(df) if rows <= sim.broadcast_rows else df
 
 
-def _fragments(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
-    """(x, y, nx, ny, a, b): for every pair and fragment of the hash range, the n-grams of both sides."""
-    sides = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-    sides = materialize(sides, "jaccard-sides")
-    bits = sim.fragments.bit_length() - 1
+def _fragments(docs: DataFrame, pairs: DataFrame, sim: Similarity, frequent: np.ndarray, tables: Tables) -> DataFrame:
+    """(x, y, nx, ny, a, b): for every pair and fragment of the global order, the n-grams of both sides, by hash.
 
-    def cut(batches):
-        edges = np.arange(1, sim.fragments, dtype=np.uint64) << np.uint64(64 - bits)
-        for batch in batches:
-            ids, places, parts = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = ngram_set(text.as_py(), sim.ngram)
-                for k, part in enumerate(np.split(s, np.searchsorted(s, edges))):
-                    ids.append(key)
-                    places.append(k)
-                    parts.append(part.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "fragment", "part"]
-            )
-
-    chosen = _pick(docs, sides, sim, sides.count())
-    parts = chosen.select("doc_id", "text").mapInArrow(cut, "doc_id long, fragment int, part binary")
-    left = pairs.join(parts.select(F.col("doc_id").alias("x"), "fragment", F.col("part").alias("a")), "x")
-    both = left.join(parts.select(F.col("doc_id").alias("y"), "fragment", F.col("part").alias("b")), ["y", "fragment"])
-    return both.select("x", "y", "nx", "ny", "a", "b")
+    ``pairs`` is a written table.  Only n-grams move: those of x once for each
+    of its pairs, those of y once.
+    """
+    edges = np.array([(k << 64) // (sim.fragments - 1) for k in range(1, sim.fragments - 1)], np.uint64)
+
+    def cut(text):
+        s = ngram_set(text.as_py(), sim.ngram)
+        often = _is_frequent(s, frequent)
+        rare = s[~often]
+        return [part.tobytes() for part in [*np.split(rare, np.searchsorted(rare, edges)), s[often]]]
+
+    def sides(count):
+        """Rows of all columns but the text, once for each fragment."""
+
+        def run(batches):
+            last, parts = None, []
+            for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
+                out = []
+                for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                    if last is None or not key.equals(last):  # the pairs of a document come one after the other
+                        last, parts = key, cut(text)
+                    out += parts
+                n = batch.num_rows
+                rows = pa.array(np.repeat(np.arange(n), sim.fragments))
+                kept = [batch.column(k).take(rows) for k in (0, *range(2, 2 + count))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.tile(np.arange(sim.fragments, dtype=np.int32), n)), pa.array(out, pa.binary())], names)
+
+        names = ["key", *("y", "nx", "ny")[:count], "fragment", "part"]
+        return run
+
+    n = pairs.count()
+    ids = tables.write(pairs.select(F.col("y").alias("doc_id")).distinct(), "jaccard-sides")
+    left = docs.join(_hint(pairs.withColumnRenamed("x", "doc_id"), n, sim), "doc_id").select("doc_id", "text", "y", "nx", "ny")
+    right = docs.join(_hint(ids, n, sim), "doc_id").select("doc_id", "text")
+    left = left.mapInArrow(released(sides(3)), "key long, y long, nx long, ny long, fragment int, part binary").withColumnRenamed("key", "x").withColumnRenamed("part", "a")
+    right = right.mapInArrow(released(sides(0)), "key long, fragment int, part binary").withColumnRenamed("key", "y").withColumnRenamed("part", "b")
+    return left.hint("merge").join(right, ["y", "fragment"]).select("x", "y", "nx", "ny", "a", "b")
 
 
 def _sides(batch: pa.RecordBatch):
@@ -196,7 +250,7 @@ def _sides(batch: pa.RecordBatch):
         yield (np.frombuffer(a, np.uint64) if a else _NONE), (np.frombuffer(b, np.uint64) if b else _NONE)
 
 
-def _overlaps(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
+def _overlaps(docs: DataFrame, pairs: DataFrame, sim: Similarity, frequent: np.ndarray, tables: Tables) -> DataFrame:
     """The pairs (x, y, nx, ny) whose similarity reaches the threshold."""
 
     def count(batches):
@@ -204,7 +258,7 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
             shared = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in _sides(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], ["x", "y", "nx", "ny", "shared"])
 
-    partial = _fragments(docs, pairs, sim).mapInArrow(count, "x long, y long, nx long, ny long, shared long")
+    partial = _fragments(docs, pairs, sim, frequent, tables).mapInArrow(released(count), "x long, y long, nx long, ny long, shared long")
     return partial.groupBy("x", "y", "nx", "ny").agg(F.sum("shared").alias("shared")).where(_enough(F.col("shared"), F.col("nx") + F.col("ny"), sim))
 
 
@@ -213,12 +267,12 @@ def _enough(shared, sizes, sim: Similarity):
     return shared * F.lit(sim.denominator + sim.numerator) >= F.lit(sim.numerator) * sizes
 
 
-def _differences(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
+def _differences(docs: DataFrame, pairs: DataFrame, sim: Similarity, frequent: np.ndarray, tables: Tables) -> DataFrame:
     """(x, y, nx, ny, shared, lost, added): for every fragment, what x has, lacks and adds against y."""
 
     def compare(batches):
         kind = pa.list_(pa.int64())
-        for batch in batches:
+        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             shared, lost, added = [], [], []
             for a, b in _sides(batch):
                 out = np.setdiff1d(b, a, assume_unique=True)
@@ -230,23 +284,26 @@ def _differences(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFram
                 ["x", "y", "nx", "ny", "shared", "lost", "added"],
             )
 
-    return _fragments(docs, pairs, sim).mapInArrow(
-        compare, "x long, y long, nx long, ny long, shared long, lost array<long>, added array<long>"
+    return _fragments(docs, pairs, sim, frequent, tables).mapInArrow(
+        released(compare), "x long, y long, nx long, ny long, shared long, lost array<long>, added array<long>"
     )
 
 
-def _family_pairs(found: DataFrame, totals: DataFrame, sim: Similarity) -> DataFrame:
+def _family_pairs(found: DataFrame, totals: DataFrame, sim: Similarity, tables: Tables) -> DataFrame:
     """Pairs of one family, of different components, that can reach the threshold by what they share against the root.
 
     ``totals`` has a row (x, y, nx, ny, l, part) for each member x of root y.
+    Families of one member, or of one component, have no such pairs.
     """
+    several = tables.write(totals.groupBy("y").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("y"), "jaccard-several")
+    found = found.join(_hint(several, several.count(), sim), "y", "left_semi")
     sign = F.explode(F.array(F.struct(F.lit(False).alias("plus"), F.col("lost").alias("t")), F.struct(F.lit(True).alias("plus"), F.col("added").alias("t"))))
     rows = found.select("x", "y", sign.alias("s")).select("x", "y", F.col("s.plus").alias("plus"), F.explode("s.t").alias("token"))
-    often = rows.groupBy("y", "plus", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    rows = rows.join(often, ["y", "plus", "token"])
+    often = tables.write(rows.groupBy("y", "plus", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-often")
+    rows = rows.join(_hint(often, often.count(), sim), ["y", "plus", "token"])
     own = Window.partitionBy("x")
     rows = rows.select("*", (F.row_number().over(own.orderBy("df", "plus", "token")) - 1).alias("at"), F.count(F.lit(1)).over(own).alias("c"))
-    rows = rows.join(totals.withColumnRenamed("y", "root").drop("root"), "x")
+    rows = rows.join(_hint(totals.drop("y"), totals.count(), sim), "x")
     # The least that x must share with any member is what it must share with a copy of the root.
     rows = rows.where(_enough(F.col("c") - F.col("at") + F.col("ny") - F.col("l"), F.col("nx") + F.col("ny"), sim))
     a, b = rows.alias("a"), rows.alias("b")
@@ -266,7 +323,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Alternating large and small stars; each round is written to the shared
     folder, and the loop ends when a round leaves the edges as they were.
     """
-    now = materialize(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u > v").distinct(), label)
+    spark = edges.sparkSession
+    tables = Tables(spark)
+    now = tables.write(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u > v").distinct(), label)
 
     def mark(df):
         r = df.agg(F.count(F.lit(1)).alias("n"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long")).alias("h")).first()
@@ -279,7 +338,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        now = materialize(small, label)
+        rounds, tables = tables, Tables(spark)
+        now = tables.write(small, label)
+        rounds.drop()
         new = mark(now)
         if new == last:
             break
@@ -288,65 +349,83 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
+def _families(classes: DataFrame, sim: Similarity, tables: Tables) -> DataFrame:
+    """(x, y, nx, ny): the root y of each class x that has one and is none."""
+    places = classes.select("id", "n", F.posexplode("sketch").alias("place", "value")).where("value is not null")
+    shared = tables.write(places.groupBy("place", "value").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "jaccard-shared")
+    places = tables.write(places.join(_hint(shared, shared.count(), sim), ["place", "value"]), "jaccard-places")
+    # The more common its sketch, the nearer a class is to what its family was made from.
+    ranked = places.groupBy("id").agg(F.sum("rows").alias("weight"))
+    ranked = tables.write(places.join(ranked, "id").select("id", "n", "place", "value", "weight"), "jaccard-ranked")
+    heads = ranked.groupBy("place", "value").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"), "n")).alias("head"))
+    heads = tables.write(heads.select("place", "value", F.col("head.weight").alias("top"), (-F.col("head.id")).alias("y"), F.col("head.n").alias("ny")), "jaccard-heads")
+    near = (
+        ranked.join(_hint(heads, heads.count(), sim), ["place", "value"])
+        .where("top > weight or top = weight and y < id")
+        .groupBy(F.col("id").alias("x"), F.col("n").alias("nx"), "y", "ny", "top")
+        .agg(F.count(F.lit(1)).alias("agree"))
+        .where(f"agree >= least({sim.sketches}, nx, ny) * {sim.agreement}")
+    )
+    lead = near.groupBy("x").agg(F.max(F.struct("agree", "top", (-F.col("y")).alias("y"))).alias("b"))
+    lead = tables.write(lead.select("x", (-F.col("b.y")).alias("y")), "jaccard-leaders")
+    for _ in range(3):  # leaders of leaders; their weight rises, or the id falls, along the way
+        above = lead.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        lead = lead.join(above, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
+    sizes = classes.select("id", "n")
+    lead = lead.join(sizes.select(F.col("id").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("id").alias("y"), F.col("n").alias("ny")), "y")
+    return tables.write(lead.select("x", "y", "nx", "ny"), "jaccard-families")
+
+
 def near_duplicates(documents: DataFrame, sim: Similarity = Similarity(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``documents``."""
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = rows = materialize(_signatures(docs, sim), "jaccard-signatures")
+    tables = Tables(docs.sparkSession)
+    written = tables.write(_signatures(docs, sim), "jaccard-signatures")
+    frequent = _frequent(written.where("n is null"), sim)
+    signed = rows = written.where("n is not null").drop("token", "rows")
     repeats = bool(signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1))
     if repeats:
         docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-        signed = materialize(_signatures(docs, sim), "jaccard-signatures")
+        signed = tables.write(_signatures(docs, sim).where("n is not null").drop("token", "rows"), "jaccard-signatures")
     usable = signed.where("n > 0 and doc_id is not null")
-    classes = materialize(
+    classes = tables.write(
         usable.groupBy("signature").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "jaccard-classes",
     )
 
-    # Families: enough of the sketch agrees with that of the root.
-    places = classes.select("id", "n", F.posexplode("sketch").alias("place", "value")).where("value is not null")
-    heads = places.groupBy("place", "value").agg(F.min(F.struct(F.col("id"), F.col("n"))).alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    near = (
-        places.join(heads.select("place", "value", "head"), ["place", "value"])
-        .select(F.col("id").alias("x"), F.col("head.id").alias("y"), F.col("n").alias("nx"), F.col("head.n").alias("ny"))
-        .where("x > y")
-        .groupBy("x", "y", "nx", "ny")
-        .agg(F.count(F.lit(1)).alias("agree"))
-    )
-    lead = near.where(f"agree >= least({sim.sketches}, nx, ny) * {sim.agreement}").groupBy("x").agg(F.max(F.struct("agree", (-F.col("y")).alias("y"))).alias("b"))
-    lead = materialize(lead.select("x", (-F.col("b.y")).alias("y")), "jaccard-leaders")
-    for _ in range(3):  # leaders of leaders; ids fall along the way
-        above = lead.select(F.col("x").alias("y"), F.col("y").alias("z"))
-        lead = lead.join(above, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
-    lead = materialize(
-        lead.join(classes.select(F.col("id").alias("x"), F.col("n").alias("nx")), "x").join(classes.select(F.col("id").alias("y"), F.col("n").alias("ny")), "y")
-        .select("x", "y", "nx", "ny"),
-        "jaccard-families",
-    )
-    found = materialize(_differences(docs, lead, sim), "jaccard-differences")
+    scratch = Tables(docs.sparkSession)
+    lead = _families(classes, sim, scratch)
+    found = scratch.write(_differences(docs, lead, sim, frequent, scratch), "jaccard-differences")
     totals = found.groupBy("x", "y", "nx", "ny").agg((F.col("ny") - F.sum("shared")).alias("l"))
-    first = materialize(totals.where(_enough(F.col("ny") - F.col("l"), F.col("nx") + F.col("ny"), sim)).select("x", "y"), "jaccard-links")
+    first = tables.write(totals.where(_enough(F.col("ny") - F.col("l"), F.col("nx") + F.col("ny"), sim)).select("x", "y"), "jaccard-links")
     grouped = components(first, "jaccard-stars").withColumnRenamed("component", "part")
     totals = totals.join(grouped.withColumnRenamed("id", "x"), "x", "left").withColumn("part", F.coalesce("part", "x"))
-    within = _family_pairs(found, materialize(totals, "jaccard-totals"), sim)
+    within = tables.write(_family_pairs(found, scratch.write(totals, "jaccard-totals"), sim, scratch), "jaccard-within")
 
     # Prefix join between families.
-    members = materialize(
+    members = scratch.write(
         classes.select("id").join(grouped, "id", "left").join(lead.select(F.col("x").alias("id"), F.col("y").alias("root")), "id", "left")
         .select(F.col("id").alias("doc_id"), F.coalesce("part", "id").alias("part"), F.coalesce("root", "id").alias("family")),
         "jaccard-members",
     )
-    own = _pick(docs, members, sim, members.count())
-    tokens = _prefixes(own, sim, _frequent(docs, sim))
+    tokens = _prefixes(docs, sim, frequent).join(_hint(members, members.count(), sim), "doc_id")
+    tokens = tokens.select("doc_id", "part", "family", "n", F.posexplode("prefix").alias("at", "token"))
     a, b = tokens.alias("a"), tokens.alias("b")
     reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    # All that a pair shares up to the last of these places is counted, as both follow one order.
+    behind = F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) - 1
     between = (
-        a.join(b, F.col("a.token") == F.col("b.token"))
+        a.hint("merge").join(b, F.col("a.token") == F.col("b.token"))
         .where("a.doc_id < b.doc_id and a.part != b.part and a.family != b.family")
         .where(_enough(reach, F.col("a.n") + F.col("b.n"), sim))
-        .select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), F.col("a.n").cast("long").alias("nx"), F.col("b.n").cast("long").alias("ny"))
+        .groupBy(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), F.col("a.n").cast("long").alias("nx"), F.col("b.n").cast("long").alias("ny"))
+        .agg(F.count(F.lit(1)).alias("c"), F.max("a.at").alias("i"), F.max("b.at").alias("j"))
+        .where(_enough(F.col("c") + behind, F.col("nx") + F.col("ny"), sim))
+        .select("x", "y", "nx", "ny")
     )
-    pairs = materialize(within.union(between).distinct(), "jaccard-pairs")
-    second = _overlaps(docs, pairs, sim).select("x", "y")
+    pairs = tables.write(within.union(between).distinct(), "jaccard-pairs")
+    scratch.drop()
+    second = tables.write(_overlaps(docs, pairs, sim, frequent, tables).select("x", "y"), "jaccard-links")
     linked = components(first.union(second), "jaccard-stars")
 
     named = classes.select("signature", "id").join(linked, "id", "left").select("signature", F.coalesce("component", "id").alias("component_id"))
@@ -358,56 +437,19 @@ def near_duplicates(documents: DataFrame, sim: Similarity = Similarity(), key: s
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _frequent(docs: DataFrame, sim: Similarity) -> np.ndarray:
-    """The most frequent n-grams near the front of the hash order, sorted.
-
-    Counted over all documents, in a window somewhat wider than the prefixes;
-    at most ``frequent_bound`` of them are kept.
-    """
-
-    def run(batches):
-        for batch in batches:
-            heads = [np.empty(0, np.uint64)]
-            for text in batch.column(0):
-                s = ngram_set(text.as_py(), sim.ngram)
-                heads.append(s[: 4 + _limit(len(s), sim) * 8 // 5])
-            tokens, counts = np.unique(np.concatenate(heads).view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(counts, pa.int64())], ["token", "rows"])
-
-    seen = docs.select("text").mapInArrow(run, "token long, rows long").groupBy("token").agg(F.sum("rows").alias("rows"))
-    kept = seen.where(F.col("rows") >= sim.frequent_from).orderBy(F.desc("rows"), "token").limit(sim.frequent_bound).select("token")
-    return np.sort(kept.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
-
-
-def _prefixes(own: DataFrame, sim: Similarity, frequent: np.ndarray) -> DataFrame:
-    """(token, doc_id, part, family, n, at): the prefix of each set, rare n-grams first."""
+def _prefixes(docs: DataFrame, sim: Similarity, frequent: np.ndarray) -> DataFrame:
+    """(doc_id, n, prefix): the prefix of each set, rare n-grams first."""
 
     def run(batches):
         for batch in batches:
-            tokens, sizes, places = [], [], []
+            tokens, sizes = [_NONE], []
             for text in batch.column(1):
                 s = ngram_set(text.as_py(), sim.ngram)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    often = frequent[at] == s
-                    ordered = np.concatenate([s[~often], s[often]])
-                else:
-                    ordered = s
-                p = _limit(len(s), sim)
-                tokens.append(ordered[:p])
+                often = _is_frequent(s, frequent)
+                tokens.append(np.concatenate((s[~often], s[often]))[: _limit(len(s), sim)])
                 sizes.append(len(s))
-                places.append(np.arange(p, dtype=np.int32))
-            if tokens:
-                counts = [len(t) for t in tokens]
-                rows = pa.array(np.repeat(np.arange(len(tokens), dtype=np.int32), counts))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(tokens).view(np.int64)),
-                        *(batch.column(k).take(rows) for k in (0, 2, 3)),
-                        pa.array(np.repeat(np.array(sizes, np.int32), counts)),
-                        pa.array(np.concatenate(places)),
-                    ],
-                    ["token", "doc_id", "part", "family", "n", "at"],
-                )
-
-    return own.select("doc_id", "text", "part", "family").mapInArrow(run, "token long, doc_id long, part long, family long, n int, at int")
+            ends = np.cumsum([len(t) for t in tokens]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), prefix], ["doc_id", "n", "prefix"])
+
+    return docs.mapInArrow(released(run), "doc_id long, n int, prefix array<long>")
