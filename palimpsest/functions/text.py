@@ -6,8 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the format.
-TRIVIAL_BRACKETS = ("", "{", "}", "(", ")", "[", "]", "};", ");", "];", "},", "),", "],")
+TRIVIAL_BRACKETS = ("{", "}", "(", ")", "[", "]", "};", ");", "})", "});", "()", "{}", "() {")
+TRIVIAL_ANCHORS = ("*", "/**", "/*", "*/", "//", "<p>", "</p>")
 SIZE_LIMIT = 400 * 1024
+#: Labels that open or close a group.
+BRACKETS = ("(", ")", "[", "]", "{", "}")
+#: Unicode white space, which both ends of a text are trimmed of.
+_SPACE = "\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+
+
+def is_trivial_line(line: Column) -> Column:
+    """A line of brackets alone."""
+    return trimmed(line).isin(*TRIVIAL_BRACKETS)
+
+
+def is_trivial_anchor(line: Column) -> Column:
+    """A line that opens or closes a comment or paragraph and says nothing else."""
+    return trimmed(line).isin(*TRIVIAL_ANCHORS)
 
 
 def has_word(text: Column) -> Column:
@@ -32,22 +52,10 @@ def has_conflict(text: Column) -> Column:
 
 def is_binary(text: Column, within: int = 8000) -> Column:
     """A zero byte among the first bytes."""
-    return F.instr(F.hex(F.substring(text.cast("binary"), 1, within)), "00") % 2 == 1
-
-
-def byte_bigrams(text: Column) -> Column:
-    """Array of the byte bigrams as hex text; empty below two bytes."""
-    h = F.hex(text.cast("binary"))
-    return F.when(F.length(h) < 4, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(h) - 3, F.lit(2)), lambda i: F.substr(h, i, F.lit(4)))
-    )
+    return F.hex(F.substring(text.cast("binary"), 1, within)).rlike("^(?:..)*?00")
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     """1 less the distance over the longer length, in code points; 1 for two empty texts."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
-
-
-def expand_tabs(text: Column, width: int = 4) -> Column:
-    return F.replace(text, F.lit("\t"), F.lit(" " * width))

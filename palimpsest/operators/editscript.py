@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.trees import PARSERS, UNORDERED, Tree
+from ..sources.parsing import parse
+from ..sources.rules import LANGUAGES
+from ..sources.trees import Tree
 from .treematch import Matching, _longest_common, match
 
 
@@ -95,7 +97,7 @@ def script(m: Matching) -> list[Action]:
                 move(w, y)
         # Children that are already below the right parent.
         ours = [c for c in copy.below[w] if there.get(c, -1) >= 0 and b.parent[there[c]] == y]
-        if b.kind[y] in UNORDERED:
+        if b.unordered[y]:
             settled.update(there[c] for c in ours)
             continue
         theirs = [c for c in b.children[y] if c in here and copy.parent[here[c]] == w]
@@ -172,7 +174,6 @@ MAPPINGS = "a long, b long, src_id int, dst_id int, type string, src_label strin
 
 def _kernel(pairs: DataFrame, lang: str, schema: str, rows) -> DataFrame:
     """``rows(matching)`` for every pair (a, b, src, dst), one pair at a time."""
-    parse = PARSERS[lang]
     types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
     kind = pa.schema([(name, types[t]) for name, t in (c.split() for c in schema.split(","))])
 
@@ -186,7 +187,7 @@ def _kernel(pairs: DataFrame, lang: str, schema: str, rows) -> DataFrame:
 
         for batch in batches:
             for k in range(batch.num_rows):
-                m = match(parse(batch.column(2)[k].as_py() or ""), parse(batch.column(3)[k].as_py() or ""))
+                m = match(parse(batch.column(2)[k].as_py() or "", lang), parse(batch.column(3)[k].as_py() or "", lang), LANGUAGES[lang])
                 a, b = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 found += [(a, b, *r) for r in rows(m)]
                 if len(found) >= OUT_ROWS:

@@ -168,8 +168,13 @@ def folds(rows: DataFrame, keys: list[str], row: str, changed: str, context: int
 
 
 def next_change(rows: DataFrame, keys: list[str], row: str, changed: str) -> DataFrame:
-    """For every row the next changed row, from the top again after the last; null without any."""
+    """For every row the next and the previous changed row, around the ends; null without any."""
     order = Window.partitionBy(*keys).orderBy(row)
+    whole = Window.partitionBy(*keys)
     hit = F.when(F.col(changed), F.col(row))
     after = F.min(hit).over(order.rowsBetween(1, Window.unboundedFollowing))
-    return rows.select(*keys, F.col(row).cast("long").alias("row"), F.coalesce(after, F.min(hit).over(Window.partitionBy(*keys))).cast("long").alias("next_row"))
+    before = F.max(hit).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select(
+        *keys, F.col(row).cast("long").alias("row"),
+        F.coalesce(after, F.min(hit).over(whole)).cast("long").alias("next_row"), F.coalesce(before, F.max(hit).over(whole)).cast("long").alias("previous_row"),
+    )

@@ -46,3 +46,73 @@ def repeated_subtrees(nodes: DataFrame, min_height: int = 2) -> DataFrame:
     return held.groupBy("h_full").agg(
         F.sum("n").alias("places"), F.count("key").alias("documents"), F.max("pre_size").alias("pre_size"), F.min("type").alias("type")
     ).where("places > 1")
+
+
+def label_frequency(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, root_id, label, n): how often each label occurs in the subtrees of ``roots`` (key, node_id, pre_size), the root included."""
+    r = roots.select("key", F.col("node_id").alias("root_id"), F.col("pre_size").alias("_n"))
+    inside = (F.col("node_id") >= F.col("root_id")) & (F.col("node_id") < F.col("root_id") + F.col("_n"))
+    return nodes.where("label != ''").select("key", "node_id", "label").join(r, "key").where(inside).groupBy("key", "root_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, n): of two tables of :func:`label_frequency` with (a, b, label, n), the sum of the right counts of labels on the left."""
+    return left.select("a", "b", "label").distinct().join(right, ["a", "b", "label"]).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def leaf_dice(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, dice): Dice coefficient of two label multisets (a, b, label, n), of labels with a word character."""
+    sides = [side.where(F.col("label").rlike("[A-Za-z0-9_]")).select("a", "b", "label", F.col("n").alias(f"n{k}")) for k, side in enumerate((left, right))]
+    both = sides[0].join(sides[1], ["a", "b", "label"], "full").groupBy("a", "b").agg(
+        F.sum(F.least(F.coalesce("n0", F.lit(0)), F.coalesce("n1", F.lit(0)))).alias("shared"), F.sum(F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("total")
+    )
+    return both.select("a", "b", F.round(2.0 * F.col("shared") / F.col("total"), 6).alias("dice"))
+
+
+def keyword_trees(nodes: DataFrame) -> DataFrame:
+    """(key, node_id): inner nodes whose leaves are all keywords."""
+    inner = nodes.where("pre_size > 1")
+    leaves = nodes.where("pre_size = 1").select("key", F.col("node_id").alias("leaf"), "is_keyword")
+    held = inner.select("key", "node_id", "pre_size").join(leaves, "key").where("leaf > node_id AND leaf < node_id + pre_size")
+    return held.groupBy("key", "node_id").agg(F.bool_and("is_keyword").alias("_all")).where("_all").drop("_all")
+
+
+def untouched(nodes: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
+    """``nodes`` (keys, node_id, start_row, end_row) with ``other_row``: the partner of the first row if all rows have partners one after the other, else null.
+
+    ``matches`` has (keys, row, other): rows that are equal on both sides.
+    """
+    held = nodes.join(matches, keys, "left").where("row IS NULL OR row BETWEEN start_row AND end_row")
+    offset = F.col("other") - F.col("row")
+    whole = (F.count("row") == F.col("end_row") - F.col("start_row") + 1) & (F.min(offset) == F.max(offset))
+    found = held.groupBy(*keys, "node_id", "start_row", "end_row").agg(F.when(whole, F.min("other")).alias("other_row"))
+    return nodes.select(*keys, "node_id", "start_row", "end_row").join(found, [*keys, "node_id", "start_row", "end_row"], "left")
+
+
+def may_match(left: DataFrame, right: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``pairs`` (keys, src_id, dst_id) that the rows allow: untouched with untouched at their partners, edited with edited."""
+    a = left.select(*keys, F.col("node_id").alias("src_id"), F.col("start_row").alias("_sr"), F.col("other_row").alias("_so"))
+    b = right.select(*keys, F.col("node_id").alias("dst_id"), F.col("start_row").alias("_dr"), F.col("other_row").alias("_do"))
+    both = pairs.join(a, [*keys, "src_id"]).join(b, [*keys, "dst_id"])
+    same = F.col("_so").isNotNull() & F.col("_do").isNotNull() & (F.col("_so") == F.col("_dr")) & (F.col("_do") == F.col("_sr"))
+    return both.where(same | F.col("_so").isNull() & F.col("_do").isNull()).select(*keys, "src_id", "dst_id")
+
+
+def declaration_partners(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, src_id, dst_id): declarations (keys, node_id, type, name, receiver, pre_size) of one name and receiver.
+
+    The destination must be the only one of its key; of several sources of its
+    type the one of the nearest size is taken, then the first.
+    """
+    key = [*keys, "name", "receiver"]
+    single = right.where("name != ''").groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("node_id").alias("dst_id"), F.min("type").alias("type"), F.min("pre_size").alias("_size")).where("_n = 1")
+    both = left.where("name != ''").join(single, [*key, "type"])
+    return both.groupBy(*keys, "dst_id").agg(F.min_by("node_id", F.struct(F.abs(F.col("pre_size") - F.col("_size")), "node_id")).alias("src_id")).select(*keys, "src_id", "dst_id")
+
+
+def outermost(actions: DataFrame, nodes: DataFrame, keys: list[str], wrappers: list[str]) -> DataFrame:
+    """``actions`` (keys, node_id, ...) without those of wrappers whose parent has one too."""
+    own = nodes.select(*keys, "node_id", "parent_id", "type")
+    hosts = actions.select(*keys, F.col("node_id").alias("parent_id"), F.lit(True).alias("_host"))
+    rows = actions.join(own, [*keys, "node_id"], "left").join(hosts.distinct(), [*keys, "parent_id"], "left")
+    return rows.where(~(F.col("type").isin(*wrappers) & F.coalesce("_host", F.lit(False)))).select(*actions.columns)

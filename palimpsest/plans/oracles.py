@@ -5,14 +5,55 @@ from __future__ import annotations
 _LINES = """lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
            generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"""
-_PAIRS = f"""{_LINES}, held AS (SELECT DISTINCT doc_id, line FROM lines WHERE length(line) > 20),
-    rare AS (SELECT line FROM held GROUP BY line HAVING count(*) BETWEEN 2 AND 20),
-    pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM held x JOIN rare USING (line) JOIN held y USING (line) WHERE x.doc_id < y.doc_id)"""
+_PAIRS = f"""{_LINES}, units AS (
+        SELECT DISTINCT 'line' AS kind, line AS part, doc_id FROM lines WHERE length(line) > 20
+        UNION ALL SELECT 'text', text, doc_id FROM documents WHERE text != ''),
+    groups AS (SELECT kind, part, count(*) AS n, min(doc_id) AS low FROM units GROUP BY kind, part HAVING count(*) > 1),
+    held AS (SELECT u.kind, u.part, n, low, doc_id FROM units u JOIN groups g ON g.kind = u.kind AND g.part = u.part),
+    pairs AS (SELECT DISTINCT a, b FROM (
+        SELECT x.doc_id AS a, y.doc_id AS b FROM held x JOIN held y ON y.kind = x.kind AND y.part = x.part WHERE x.kind = 'line' AND x.n <= 20 AND x.doc_id < y.doc_id
+        UNION ALL SELECT low, doc_id FROM held WHERE (kind = 'text' OR n > 20) AND low < doc_id))"""
+_EVENTS = """e AS (SELECT lag(event_id) OVER w AS a, event_id AS b, lag(props) OVER w AS src, props AS dst
+    FROM (SELECT event_id, user_id, ts, CASE event_id % 5 WHEN 1 THEN '{"k": null}' WHEN 2 THEN '{"m": "x", ' || substring(props, 2) WHEN 3 THEN '{}' ELSE props END AS props FROM events)
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+_KEYS = """o AS (SELECT a, b, unnest(json_keys(src)) AS key, src FROM e WHERE src IS NOT NULL AND dst IS NOT NULL),
+    d AS (SELECT a, b, unnest(json_keys(dst)) AS key, dst FROM e WHERE src IS NOT NULL AND dst IS NOT NULL),
+    changes AS (SELECT coalesce(o.a, d.a) AS a, coalesce(o.b, d.b) AS event_id, coalesce(o.key, d.key) AS key,
+        CASE WHEN o.key IS NULL THEN 'insert' WHEN d.key IS NULL THEN 'delete' ELSE 'update' END AS action,
+        o.src ->> ('$."' || o.key || '"') AS old_value, d.dst ->> ('$."' || d.key || '"') AS new_value
+        FROM o FULL JOIN d ON o.b = d.b AND o.key = d.key
+        WHERE o.key IS NULL OR d.key IS NULL OR (o.src ->> ('$."' || o.key || '"')) IS DISTINCT FROM (d.dst ->> ('$."' || d.key || '"')))"""
 _MARKED = f"{_LINES}, marked AS (SELECT doc_id, line_no, contains(line, ' the ') AS changed FROM lines)"
 _TURNS = """turns AS (
     SELECT conv_id, row_number() OVER w AS pos, text AS b, lag(text) OVER w AS a FROM conversations
     WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))"""
 
+_PLANTED = """planted AS (SELECT doc_id, CASE doc_id % 8
+        WHEN 1 THEN 'total 10' || chr(10) || chr(0) || text WHEN 2 THEN '<<<<<<< ours' || chr(10) || text || chr(10) || '>>>>>>> theirs' || chr(10)
+        WHEN 3 THEN text || chr(10) || '<<<<<<< ours' WHEN 4 THEN repeat('0p@P ', 1600) || chr(0) || text
+        WHEN 5 THEN repeat('0p@P ', 1599) || 'four' || chr(0) || text WHEN 6 THEN text || repeat('x', 409600) ELSE text END AS text
+    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"""
+_CONFLICT = "((starts_with({0}, '<<<<<<<') OR contains({0}, chr(10) || '<<<<<<<')) AND (contains({0}, chr(10) || '>>>>>>>') OR contains({0}, '>>>>>>>' || chr(10))))"
+
+_STATUS = """made AS (SELECT doc_id, ([' M', 'R ', '??', 'MM', 'A ', ' R', 'C ', '!!', 'UU', 'D '])[doc_id % 10 + 1] AS status, doc_id % 10 IN (1, 5, 6) AS moved,
+        'src/' || regexp_replace(substring(coalesce(text, ''), 1, 12), '[\\r\\n\\t"]', '_', 'g') || '.' || coalesce(lang, 'x') AS path, doc_id % 3 = 0 AS quoted FROM documents WHERE doc_id % 17 != 0),
+    files AS (SELECT doc_id, CASE WHEN moved AND left(status, 1) NOT IN ('R', 'C') THEN 'old.py -> ' || CASE WHEN quoted THEN '"' ELSE '' END || path ELSE path END AS path,
+        CASE WHEN moved AND left(status, 1) IN ('R', 'C') THEN 'old.py' END AS old_path, status, left(status, 1) NOT IN (' ', '?', '!') AS staged, right(status, 1) != ' ' AS unstaged FROM made)"""
+#: Letters beyond ASCII in the turns as one byte each, as levenshtein counts bytes.
+_WIDE = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_NARROW = "translate({}, '" + _WIDE + "', " + " || ".join(f"chr({k})" for k in (*range(1, 9), 11, 12, *range(14, 25))) + ")"
+
+
+def _bigrams(a: str, b: str, kept: str = "{}") -> str:
+    """Dice coefficient of the byte bigrams of two columns; ``kept`` is what they are taken from."""
+    grams = "SELECT conv_id, pos, substring(h, i, 4) AS g, count(*) AS n FROM (SELECT conv_id, pos, hex(encode({0})) AS h, unnest(generate_series(1, strlen({0}) * 2 - 3, 2)) AS i FROM kept) GROUP BY ALL"
+    return f"""WITH {_TURNS}, cut AS (SELECT conv_id, pos, {a} AS a, {b} AS b FROM turns WHERE a IS NOT NULL AND b IS NOT NULL),
+        kept AS (SELECT *, {kept.format("a")} AS p, {kept.format("b")} AS q FROM cut), ga AS ({grams.format("p")}), gb AS ({grams.format("q")}),
+        s AS (SELECT conv_id, pos, sum(least(ga.n, gb.n)) AS shared FROM ga JOIN gb USING (conv_id, pos, g) GROUP BY ALL)
+        SELECT conv_id, pos, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN strlen(p) < 2 OR strlen(q) < 2 THEN 0.0::DOUBLE
+            ELSE 2.0::DOUBLE * coalesce(shared, 0) / (strlen(p) + strlen(q) - 2) END, 6) AS similarity FROM kept LEFT JOIN s USING (conv_id, pos)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "doc_lines": f"WITH {_LINES} SELECT doc_id, line_no, line FROM lines",
     "line_offsets": f"""WITH {_LINES} SELECT doc_id, line_no,
@@ -34,52 +75,95 @@ ORACLE_SQL: dict[str, str] = {
         back AS (SELECT m.a, m.b, min(m.na - 1 - x.line_no) AS at FROM m JOIN lines x ON x.doc_id = m.a JOIN lines y ON y.doc_id = m.b AND m.nb - y.line_no = m.na - x.line_no WHERE x.line != y.line GROUP BY m.a, m.b)
         SELECT m.a, m.b, coalesce(front.at, least_n) AS prefix, least(coalesce(back.at, least_n), least_n - coalesce(front.at, least_n)) AS suffix
         FROM m LEFT JOIN front USING (a, b) LEFT JOIN back USING (a, b)""",
-    "gate_modes": """SELECT doc_id, CASE
-            WHEN (starts_with(text, '<<<<<<<') OR contains(text, chr(10) || '<<<<<<<')) AND (contains(text, chr(10) || '>>>>>>>') OR contains(text, '>>>>>>>' || chr(10))) THEN 'conflict'
-            WHEN strlen(text) > 409600 THEN 'size' WHEN contains(text, chr(0)) THEN 'binary' ELSE 'none' END AS gate, strlen(text) AS n_bytes FROM documents""",
+    "gate_modes": f"""WITH {_PLANTED} SELECT doc_id, CASE WHEN {_CONFLICT.format("text")} THEN 'conflict' WHEN strlen(text) > 409600 THEN 'size'
+            WHEN contains(text, chr(0)) AND strlen(split_part(text, chr(0), 1)) < 8000 THEN 'binary' ELSE 'none' END AS gate, strlen(text) AS n_bytes FROM planted""",
+    "pair_gates": f"""WITH {_PLANTED}, p AS (SELECT doc_id, d.text AS src, q.text AS dst, doc_id % 2 = 0 AS py, doc_id % 3 = 0 AS js FROM documents d JOIN planted q USING (doc_id))
+        SELECT doc_id AS pair_id, CASE WHEN doc_id % 11 = 0 OR {_CONFLICT.format("coalesce(src, '')")} OR {_CONFLICT.format("dst")} THEN 'conflict'
+                WHEN strlen(coalesce(src, '')) > 409600 OR strlen(dst) > 409600 THEN 'size' WHEN NOT py AND NOT js THEN 'language' ELSE 'tree' END AS mode,
+            CASE WHEN py THEN 'python' WHEN js THEN 'json' END AS lang, CASE WHEN js THEN 'json' WHEN py THEN 'python' END AS dst_lang FROM p""",
     "page_language": """SELECT page_id, CASE WHEN e IN ('html', 'htm') THEN 'html' WHEN e IN ('json', 'css', 'js') THEN e ELSE 'unknown' END AS lang
         FROM (SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM pages)""",
-    "trivial_lines": f"""WITH {_LINES}, t AS (SELECT doc_id, regexp_replace(line, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') AS line FROM lines)
-        SELECT doc_id, count(*) FILTER (line IN ('', '{{', '}}', '(', ')', '[', ']', '}};', ');', '];', '}},', '),', '],')) AS n_trivial,
+    "trivial_lines": f"""WITH {_LINES}, t AS (SELECT doc_id, CASE WHEN line_no % 3 = 1 THEN (['{{', '}}', '(', ')', '[', ']', '}};', ');', '}})', '}});', '()', '{{}}', '() {{',
+                '*', '/**', '/*', '*/', '//', '<p>', '</p>', '', '],', '}} else {{', 'x'])[length(line) % 24 + 1] ELSE trim(line, ' ' || chr(9) || chr(13) || chr(160)) END AS line FROM lines)
+        SELECT doc_id, count(*) FILTER (line IN ('{{', '}}', '(', ')', '[', ']', '}};', ');', '}})', '}});', '()', '{{}}', '() {{')) AS n_trivial,
+               count(*) FILTER (line IN ('*', '/**', '/*', '*/', '//', '<p>', '</p>')) AS n_anchor,
                count(*) FILTER (regexp_matches(line, '[A-Za-z0-9_]')) AS n_word, count(*) AS n_lines FROM t GROUP BY doc_id""",
-    "bigram_similarity": f"""WITH {_TURNS}, kept AS (SELECT * FROM turns WHERE a IS NOT NULL AND b IS NOT NULL),
-        ga AS (SELECT conv_id, pos, substring(h, i, 4) AS g, count(*) AS n FROM (SELECT conv_id, pos, hex(encode(a)) AS h, unnest(generate_series(1, strlen(a) * 2 - 3, 2)) AS i FROM kept) GROUP BY ALL),
-        gb AS (SELECT conv_id, pos, substring(h, i, 4) AS g, count(*) AS n FROM (SELECT conv_id, pos, hex(encode(b)) AS h, unnest(generate_series(1, strlen(b) * 2 - 3, 2)) AS i FROM kept) GROUP BY ALL),
-        s AS (SELECT conv_id, pos, sum(least(ga.n, gb.n)) AS shared FROM ga JOIN gb USING (conv_id, pos, g) GROUP BY ALL)
-        SELECT conv_id, pos, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN greatest(strlen(a) - 1, 0) + greatest(strlen(b) - 1, 0) = 0 THEN 0.0::DOUBLE
-            ELSE 2.0::DOUBLE * coalesce(shared, 0) / (greatest(strlen(a) - 1, 0) + greatest(strlen(b) - 1, 0)) END, 6) AS similarity
-        FROM kept LEFT JOIN s USING (conv_id, pos)""",
-    "levenshtein_ratio": f"""WITH {_TURNS} SELECT conv_id, pos, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0::DOUBLE
-            ELSE 1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 6) AS ratio
-        FROM turns WHERE a IS NOT NULL AND b IS NOT NULL AND strlen(a) = length(a) AND strlen(b) = length(b)""",
+    "bigram_similarity": _bigrams("trim(a, ' ' || chr(9) || chr(10) || chr(13))", "trim(b, ' ' || chr(9) || chr(10) || chr(13))"),
+    "comment_similarity": _bigrams(*(f"trim(lower({c}), '/#* ' || chr(9) || chr(10) || chr(13))" for c in ("'// ' || a", "'/* ' || b || ' */'")), "regexp_replace({}, '[^a-z0-9]', '', 'g')"),
+    "levenshtein_ratio": f"""WITH {_TURNS}, t AS (SELECT conv_id, pos, {_NARROW.format("a")} AS a, {_NARROW.format("b")} AS b FROM turns WHERE a IS NOT NULL AND b IS NOT NULL)
+        SELECT conv_id, pos, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0::DOUBLE
+            ELSE 1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 6) AS ratio FROM t""",
     "attribute_values": """SELECT page_id, substring(q, 2, length(q) - 2) AS value, count(*) AS n
         FROM (SELECT page_id, unnest(regexp_extract_all(html, '[a-z-]+=("[^"<>]*"|''[^''<>]*'')', 1)) AS q FROM pages) GROUP BY ALL""",
     "tag_counts": """SELECT page_id, tag, count(*) AS n FROM (
         SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY ALL""",
-    "json_pair_diff": """WITH e AS (SELECT event_id, props AS dst, lag(props) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src FROM events),
-        o AS (SELECT event_id, unnest(json_keys(src)) AS key, src FROM e WHERE src IS NOT NULL), d AS (SELECT event_id, unnest(json_keys(dst)) AS key, dst FROM e WHERE src IS NOT NULL),
-        b AS (SELECT coalesce(o.event_id, d.event_id) AS event_id, coalesce(o.key, d.key) AS key, o.src ->> ('$."' || o.key || '"') AS old_value, d.dst ->> ('$."' || d.key || '"') AS new_value
-              FROM o FULL JOIN d ON o.event_id = d.event_id AND o.key = d.key)
-        SELECT event_id, key, CASE WHEN old_value IS NULL THEN 'insert' WHEN new_value IS NULL THEN 'delete' ELSE 'update' END AS action, old_value, new_value
-        FROM b WHERE old_value IS DISTINCT FROM new_value""",
+    "json_pair_diff": f"""WITH {_EVENTS}, {_KEYS} SELECT event_id, key, action, old_value, new_value FROM changes""",
     "folds": f"""WITH {_MARKED}, near AS (SELECT doc_id, line_no, max(changed::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS n FROM marked),
         runs AS (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM near WHERE n = 0)
         SELECT doc_id, min(line_no) AS start_row, max(line_no) AS end_row FROM runs GROUP BY doc_id, i HAVING count(*) > 1""",
     "next_change": f"""WITH {_MARKED}, hit AS (SELECT doc_id, line_no, CASE WHEN changed THEN line_no END AS h FROM marked)
-        SELECT doc_id, line_no AS row, coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(h) OVER (PARTITION BY doc_id)) AS next_row FROM hit""",
-    "search_matches": f"""WITH {_LINES}, p AS (SELECT doc_id, line_no, string_split(lower(line), 'tion') AS p FROM lines WHERE contains(lower(line), 'tion')),
+        SELECT doc_id, line_no AS row, coalesce(min(h) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(h) OVER (PARTITION BY doc_id)) AS next_row,
+            coalesce(max(h) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), max(h) OVER (PARTITION BY doc_id)) AS previous_row FROM hit""",
+    "search_matches": f"""WITH {_LINES}, p AS (SELECT doc_id, line_no, string_split(replace(lower(line), chr(9), '    '), 'tion') AS p FROM lines WHERE contains(lower(line), 'tion')),
         k AS (SELECT doc_id, line_no, p, unnest(generate_series(1, len(p) - 1)) AS k FROM p)
-        SELECT doc_id, line_no, length(array_to_string(p[1:k], '    ')) AS start_col FROM k""",
-    "git_status": """SELECT * FROM (VALUES ('src/a.py', NULL, ' M', false, true), ('new.py', 'old.py', 'R ', true, false), ('notes.txt', NULL, '??', false, true),
-        ('both.c', NULL, 'MM', true, true), ('added.go', NULL, 'A ', true, false), ('gone.rs', NULL, 'D ', true, false), ('skip.o', NULL, '!!', false, true)) t(path, old_path, status, staged, unstaged)""",
-    "git_name_status": """SELECT * FROM (VALUES ('M', 'src/a.py', NULL), ('R', 'new.py', 'old.py'), ('A', 'added.go', NULL), ('D', 'gone.rs', NULL)) t(status, path, old_path)""",
+        SELECT doc_id, line_no, strlen(array_to_string(p[1:k], '    ')) AS start_col, strlen(array_to_string(p[1:k], '    ')) + 4 AS end_col FROM k""",
+    "git_status": f"""WITH {_STATUS} SELECT doc_id, path, old_path, status, staged, unstaged FROM files""",
+    "git_name_status": """WITH p AS (SELECT doc_id AS k, 'src/' || regexp_replace(substring(coalesce(text, ''), 1, 12), '[\\r\\n\\t"]', '_', 'g') || '.' || coalesce(lang, 'x') AS path FROM documents)
+        SELECT k AS doc_id, CASE k % 10 WHEN 1 THEN 'R087' WHEN 3 THEN 'C050' ELSE 'M' END AS status, CASE k % 10 WHEN 1 THEN 'new.py' ELSE path END AS path, CASE k % 10 WHEN 1 THEN path END AS old_path FROM p WHERE k % 10 != 2""",
+    "git_sections": f"""WITH {_STATUS}, rows AS (SELECT *, 'staged' AS section, substring(status, 1, 1) || ' ' AS shown FROM files WHERE staged
+            UNION ALL SELECT *, 'unstaged', CASE WHEN status = '??' THEN '??' ELSE ' ' || substring(status, 2, 1) END FROM files WHERE unstaged),
+        c AS (SELECT *, contains(status, 'U') OR status IN ('AA', 'DD') AS conflict FROM rows)
+        SELECT doc_id, section, shown, conflict, CASE WHEN conflict OR section = 'staged' THEN 'HEAD' ELSE ':' END AS left_revision, coalesce(old_path, path) AS left_path,
+            CASE WHEN NOT conflict AND section = 'staged' THEN ':' ELSE '' END AS right_revision, path AS right_path, section = 'unstaged' AND NOT conflict AS stageable FROM c""",
 }
 
 ORACLE_SQL |= {
     "node_tag_counts": ORACLE_SQL["tag_counts"],
     "node_attribute_values": ORACLE_SQL["attribute_values"],
-    "json_tree_actions": """WITH e AS (SELECT lag(event_id) OVER w AS a, event_id AS b, lag(props) OVER w AS src, props AS dst FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-        SELECT a, b, 'update' AS action, 'number' AS type, src ->> '$.k' AS old_value, dst ->> '$.k' AS new_value FROM e WHERE src ->> '$.k' != dst ->> '$.k'""",
+    "json_tree_actions": f"""WITH {_EVENTS}, o AS (SELECT a, b, unnest(json_keys(src)) AS key, src FROM e WHERE src IS NOT NULL AND dst IS NOT NULL),
+        d AS (SELECT a, b, unnest(json_keys(dst)) AS key, dst FROM e WHERE src IS NOT NULL AND dst IS NOT NULL),
+        j AS (SELECT coalesce(o.a, d.a) AS a, coalesce(o.b, d.b) AS b, (o.src -> ('$."' || o.key || '"'))::VARCHAR AS x, (d.dst -> ('$."' || d.key || '"'))::VARCHAR AS y FROM o FULL JOIN d ON o.b = d.b AND o.key = d.key),
+        k AS (SELECT *, CASE WHEN x = 'null' THEN 'null' WHEN x[1] = '"' THEN 'string' WHEN x IS NOT NULL THEN 'number' END AS p, CASE WHEN y = 'null' THEN 'null' WHEN y[1] = '"' THEN 'string' WHEN y IS NOT NULL THEN 'number' END AS q FROM j)
+        SELECT a, b, 'update' AS action, p AS type, x AS old_value, y AS new_value FROM k WHERE p = q AND x != y
+        UNION ALL SELECT a, b, 'delete', p, x, NULL FROM k WHERE p IS NOT NULL AND p IS DISTINCT FROM q
+        UNION ALL SELECT a, b, 'insert', q, NULL, y FROM k WHERE q IS NOT NULL AND p IS DISTINCT FROM q""",
+    "code_modes": f"""SELECT DISTINCT o_custkey AS pair_id, 'tree' AS mode, (['python', 'javascript', 'typescript', 'tsx', 'go', 'rust', 'java', 'csharp', 'c', 'cpp', 'php', 'zig', 'lua', 'ruby', 'bash', 'css', 'yaml', 'toml'])[o_custkey % 18 + 1] AS lang,
+        0::INT AS errors FROM orders""",
+    "code_updates": """WITH o AS (SELECT o_custkey AS pair_id, o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders WHERE o_orderkey % 7 != 0)
+        SELECT pair_id, 'tree' AS origin, v::VARCHAR AS old_value, (v + 1)::VARCHAR AS new_value FROM o WHERE k % 3 = 0
+        UNION ALL SELECT pair_id, 'comment', 'note ' || k, 'note ' || k || ' b' FROM o WHERE k % 5 = 0 AND pair_id % 18 < 16""",
+    "code_deletes": """SELECT o_custkey AS pair_id, count(*) AS entries, count(*) AS notes, 0::BIGINT AS others FROM orders WHERE o_orderkey % 7 = 0 GROUP BY o_custkey""",
+    "code_alignment": """WITH o AS (SELECT o_custkey AS pair_id, CASE WHEN o_custkey % 18 IN (0, 16, 17) THEN 3 ELSE 4 END AS n, count(*) AS l, count(*) FILTER (o_orderkey % 7 != 0) AS r FROM orders GROUP BY ALL)
+        SELECT pair_id, l * n + 1 AS left_lines, CASE WHEN r = 0 THEN 0 ELSE r * n + 1 END AS right_lines FROM o""",
+    "line_envelope_totals": f"""WITH {_PAIRS}, size AS (SELECT doc_id, count(*) AS n, any_value(text) AS text FROM lines JOIN documents USING (doc_id) GROUP BY doc_id),
+        s AS (SELECT a || '-' || b AS pair_id, p.n AS m, q.n AS n FROM pairs JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b)
+        SELECT pair_id, 'v1' AS version, m - n AS balance, m AS left_lines, n AS right_lines FROM s""",
+    "virtual_lines": f"""WITH {_MARKED}, near AS (SELECT doc_id, line_no, max(changed::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS n FROM marked),
+        runs AS (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM near WHERE n = 0),
+        folds AS (SELECT doc_id, min(line_no) AS lo, max(line_no) AS hi FROM runs GROUP BY doc_id, i HAVING count(*) > 1),
+        seen AS (SELECT m.doc_id, line_no, lo, hi FROM marked m LEFT JOIN folds f ON f.doc_id = m.doc_id AND line_no BETWEEN lo AND hi WHERE lo IS NULL OR line_no = lo)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS virtual_row, CASE WHEN lo IS NULL THEN line_no END AS row, lo AS fold_start, hi AS fold_end FROM seen""",
+    "line_tints": f"""WITH {_LINES} SELECT doc_id, line_no AS line, CASE
+            WHEN doc_id % 3 = 0 AND strlen(line) < 3 THEN 'move' WHEN contains(lower(line), 'the') THEN CASE WHEN line_no % 2 = 0 THEN 'delete' ELSE 'insert' END
+            WHEN contains(lower(line), 'tion') THEN 'update' ELSE 'move' END AS action
+        FROM lines WHERE contains(lower(line), 'the') OR contains(lower(line), 'tion') OR doc_id % 3 = 0 AND line != ''""",
+    "untouched_blocks": f"""WITH {_PAIRS}, once AS (SELECT doc_id, line, min(line_no) AS at FROM lines GROUP BY doc_id, line HAVING count(*) = 1),
+        m AS (SELECT a, b, x.at AS row, y.at AS other FROM pairs JOIN once x ON x.doc_id = a JOIN once y ON y.doc_id = b AND y.line = x.line),
+        size AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id),
+        blocks AS (SELECT a, b, n, unnest(generate_series(0, (n - 1) // 3)) AS node_id FROM (SELECT DISTINCT a, b FROM m) JOIN size ON doc_id = a),
+        g AS (SELECT q.a, q.b, node_id, node_id * 3 AS start_row, least(node_id * 3 + 3, n) - 1 AS end_row, count(row) AS c, min(other - row) AS lo, max(other - row) AS hi, min(other) AS first
+            FROM blocks q LEFT JOIN m ON m.a = q.a AND m.b = q.b AND row BETWEEN node_id * 3 AND least(node_id * 3 + 3, n) - 1 GROUP BY ALL)
+        SELECT a, b, node_id, start_row, end_row, CASE WHEN c = end_row - start_row + 1 AND lo = hi THEN first END AS other_row FROM g""",
+    "word_overlap": f"""WITH {_TURNS}, t AS (SELECT conv_id, pos, a, b FROM turns WHERE a IS NOT NULL AND b IS NOT NULL),
+        x AS (SELECT conv_id, pos, w, count(*) AS n FROM (SELECT conv_id, pos, unnest(string_split(a, ' ')) AS w FROM t) WHERE w != '' GROUP BY ALL),
+        y AS (SELECT conv_id, pos, w, count(*) AS n FROM (SELECT conv_id, pos, unnest(string_split(b, ' ')) AS w FROM t) WHERE w != '' GROUP BY ALL),
+        j AS (SELECT coalesce(x.conv_id, y.conv_id) AS a, coalesce(x.pos, y.pos) AS b, coalesce(x.w, y.w) AS w, coalesce(x.n, 0) AS p, coalesce(y.n, 0) AS q FROM x FULL JOIN y ON x.conv_id = y.conv_id AND x.pos = y.pos AND x.w = y.w)
+        SELECT a, b, round(2.0::DOUBLE * sum(least(p, q)) / sum(p + q), 6) AS dice, CAST((SELECT coalesce(sum(q), 0) FROM j k WHERE k.a = j.a AND k.b = j.b AND k.p > 0) AS BIGINT) AS overlap
+        FROM j WHERE regexp_matches(w, '[A-Za-z0-9_]') GROUP BY a, b""",
+    "readable_texts": """WITH c AS (SELECT conv_id, turn, role, replace(substring(text, 1, 40), chr(10), ' ') AS t FROM conversations)
+        SELECT conv_id, turn, role, CASE WHEN length(t) <= 12 THEN t ELSE substring(t, 1, 11) || '…' END AS cut, rpad(substring(t, 1, 5), 8, ' ') AS pad,
+            repeat(' ', (9 - length(substring(t, 1, 6))) // 2) || substring(t, 1, 6) || repeat(' ', 9 - length(substring(t, 1, 6)) - (9 - length(substring(t, 1, 6))) // 2) AS centre,
+            (['function', 'if', 'call', 'type', 'string'])[turn % 5 + 1] AS kind, 'L' || (turn + 1) || ':' || (conv_id % 7 + 1) AS place FROM c""",
     "merged_spans": """WITH p AS (SELECT doc_id, string_split(text, 'the') AS p FROM documents WHERE contains(text, 'the')),
         k AS (SELECT doc_id, p, unnest(generate_series(1, len(p) - 1)) AS k FROM p),
         s AS (SELECT doc_id, sum(strlen(p[k])) OVER (PARTITION BY doc_id ORDER BY k) + 3 * (k - 1) AS start_byte FROM k),

@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import similarity as M
 from ..functions import text as X
+from ..operators import diff as P
 from ..operators import editscript as E
 from ..operators import linediff as D
 from ..operators import lines as L
 from ..operators import nodes as N
 from ..operators import spans as S
+from ..operators import viewer as V
 from ..sources import git as G
-from ..sources import trees as T
+from ..sources import rules as R
+from ..sources import parsing as T
 
 #: A row of a document counts as changed in the fold queries if it holds this word.
 MARK = " the "
-STATUS = (" M src/a.py", "R  old.py -> new.py", "?? notes.txt", "MM both.c", "A  added.go", "x", "D  gone.rs", "!! skip.o")
-NAMES = ("M\tsrc/a.py", "R087\told.py\tnew.py", "A\tadded.go", "D\tgone.rs", "broken")
+
+
+#: Lines put in place of others, so that every form occurs.
+_FORMS = (*X.TRIVIAL_BRACKETS, *X.TRIVIAL_ANCHORS, "", "],", "} else {", "x")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,64 +53,66 @@ def line_frequency(spark, sf_dir):
 
 
 def near_copy_pairs(spark, sf_dir):
-    return L.near_copy_pairs(_docs(spark, sf_dir))
+    """Documents that share a line or their text; members of large groups pair with the smallest id."""
+    return L.linked_pairs(_docs(spark, sf_dir))
 
 
 def line_dice(spark, sf_dir):
-    return L.line_dice(_docs(spark, sf_dir))
+    docs = _docs(spark, sf_dir)
+    return L.line_dice(docs, L.linked_pairs(docs))
 
 
 def unique_anchors(spark, sf_dir):
-    return L.unique_anchors(_docs(spark, sf_dir))
+    docs = _docs(spark, sf_dir)
+    return L.unique_anchors(docs, L.linked_pairs(docs))
 
 
 def common_ends(spark, sf_dir):
-    return L.common_ends(_docs(spark, sf_dir))
+    docs = _docs(spark, sf_dir)
+    return L.common_ends(docs, L.linked_pairs(docs))
 
 
 def copy_groups(spark, sf_dir):
     return L.copy_groups(_docs(spark, sf_dir))
 
 
-def linked_pairs(spark, sf_dir):
-    return L.linked_pairs(_docs(spark, sf_dir))
-
-
-def linked_line_dice(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return L.line_dice(docs, L.linked_pairs(docs))
-
-
-def linked_unique_anchors(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return L.unique_anchors(docs, L.linked_pairs(docs))
-
-
-def linked_common_ends(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return L.common_ends(docs, L.linked_pairs(docs))
+def _planted(spark, sf_dir):
+    """Every document with something put before or behind its text that a gate looks for, by id."""
+    text, k = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id") % 8
+    zero = F.decode(F.unhex(F.lit("00")), "utf-8")
+    planted = (
+        F.when(k == 1, F.concat(F.lit("total 10\n"), zero, text))
+        .when(k == 2, F.concat(F.lit("<<<<<<< ours\n"), text, F.lit("\n>>>>>>> theirs\n")))
+        .when(k == 3, F.concat(text, F.lit("\n<<<<<<< ours")))
+        .when(k == 4, F.concat(F.repeat(F.lit("0p@P "), 1600), zero, text))
+        .when(k == 5, F.concat(F.repeat(F.lit("0p@P "), 1599), F.lit("four"), zero, text))
+        .when(k == 6, F.concat(text, F.repeat(F.lit("x"), X.SIZE_LIMIT)))
+        .otherwise(text)
+    )
+    return _docs(spark, sf_dir).select("doc_id", planted.alias("text"))
 
 
 def gate_modes(spark, sf_dir):
     """Which gate sends a document to line mode, if any."""
-    t = F.coalesce(F.col("text"), F.lit(""))
+    t = F.col("text")
     gates = F.when(X.has_conflict(t), "conflict").when(F.octet_length(t) > X.SIZE_LIMIT, "size").when(X.is_binary(t), "binary").otherwise("none")
-    return _docs(spark, sf_dir).select("doc_id", gates.alias("gate"), F.octet_length(t).cast("long").alias("n_bytes"))
+    return _planted(spark, sf_dir).select("doc_id", gates.alias("gate"), F.octet_length(t).cast("long").alias("n_bytes"))
 
 
 def page_language(spark, sf_dir):
     """Language of a page from the last part of its address."""
-    ext = F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(ext.isin("html", "htm"), "html").when(ext.isin("json", "css", "js"), ext).otherwise("unknown").alias("lang"))
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(R.language_of("url"), F.lit("unknown")).alias("lang"))
 
 
 def trivial_lines(spark, sf_dir):
-    """Counts of bracket-only lines, lines with a word character, and all lines."""
-    line = F.regexp_replace("line", "^[ \\t\\r]+|[ \\t\\r]+$", "")
-    rows = L.lines(_docs(spark, sf_dir)).select("doc_id", line.isin(*X.TRIVIAL_BRACKETS).alias("trivial"), X.has_word(line).alias("word"))
+    """Counts of bracket-only lines, anchor lines, lines with a word character, and all lines, of documents whose words became brackets or marks."""
+    rows = L.lines(_docs(spark, sf_dir)).select("doc_id", "line_no", "line")
+    swapped = F.when(F.col("line_no") % 3 == 1, F.concat(F.lit(" "), F.get(F.array(*map(F.lit, _FORMS)), (F.length("line") % len(_FORMS)).cast("int")), F.lit("\t"))).otherwise(F.col("line"))
+    rows = rows.select("doc_id", swapped.alias("line"))
     return rows.groupBy("doc_id").agg(
-        F.count_if("trivial").alias("n_trivial"), F.count_if("word").alias("n_word"), F.count(F.lit(1)).alias("n_lines")
-    )
+        F.count_if(X.is_trivial_line(F.col("line"))).alias("n_trivial"), F.count_if(X.is_trivial_anchor(F.col("line"))).alias("n_anchor"),
+        F.count_if(X.has_word(F.col("line"))).alias("n_word"), F.count(F.lit(1)).alias("n_lines"),
+    )
 
 
 def _turns(spark, sf_dir):
@@ -113,23 +121,19 @@ def _turns(spark, sf_dir):
 
 
 def bigram_similarity(spark, sf_dir):
-    """Dice of the byte-bigram multisets of consecutive turns."""
-    turns = _turns(spark, sf_dir)
-    sides = [turns.select("conv_id", "pos", F.explode(X.byte_bigrams(F.col(c))).alias("g")).groupBy("conv_id", "pos", "g").agg(F.count(F.lit(1)).alias(f"n{c}")) for c in "ab"]
-    shared = sides[0].join(sides[1], ["conv_id", "pos", "g"]).groupBy("conv_id", "pos").agg(F.sum(F.least("na", "nb")).alias("shared"))
-    total = F.greatest(F.octet_length("a") - 1, F.lit(0)) + F.greatest(F.octet_length("b") - 1, F.lit(0))
-    score = F.when(F.col("a") == F.col("b"), 1.0).when(total == 0, 0.0).otherwise(2.0 * F.coalesce("shared", F.lit(0)) / total)
-    return turns.join(shared, ["conv_id", "pos"], "left").select("conv_id", "pos", F.round(score, 6).alias("similarity"))
+    """Dice of the byte-bigram multisets of consecutive turns, each with white space put around it."""
+    turns = _turns(spark, sf_dir).withColumns({"a": F.concat(F.lit(" \t"), "a"), "b": F.concat("b", F.lit("\n "))})
+    return M.with_similarity(turns, "a", "b", M.bigram_similarity, "similarity", ("conv_id", "pos"))
 
 
-def levenshtein_ratio(spark, sf_dir):
-    """Edit similarity of consecutive ASCII turns, as DuckDB counts bytes; ``edit_similarity`` has all."""
-    turns = _turns(spark, sf_dir).where(~F.col("a").rlike("[^\\x00-\\x7f]") & ~F.col("b").rlike("[^\\x00-\\x7f]"))
-    return turns.select("conv_id", "pos", F.round(X.levenshtein_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+def comment_similarity(spark, sf_dir):
+    """The same over letters and digits of cleaned comments."""
+    turns = _turns(spark, sf_dir).withColumns({"a": F.concat(F.lit("// "), "a"), "b": F.concat(F.lit("/* "), "b", F.lit(" */"))})
+    return M.with_similarity(turns, "a", "b", M.comment_similarity, "similarity", ("conv_id", "pos"))
 
 
-def edit_similarity(spark, sf_dir):
-    """Edit similarity of all consecutive turns, in code points."""
+def levenshtein_ratio(spark, sf_dir):
+    """Edit similarity of consecutive turns, in code points."""
     return _turns(spark, sf_dir).select("conv_id", "pos", F.round(X.levenshtein_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
@@ -147,16 +151,28 @@ def tag_counts(spark, sf_dir):
     return tags.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def json_pair_diff(spark, sf_dir):
-    """Key changes between consecutive events of a user: insert, delete or update."""
+def _event_pairs(spark, sf_dir):
+    """Consecutive events of a user; some properties are turned to null, dropped or added, by the event id."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    events = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("dst"), F.lag("props").over(order).alias("src")).where("src IS NOT NULL")
+    k = F.col("event_id") % 5
+    props = F.when(k == 1, F.lit('{"k": null}')).when(k == 2, F.concat(F.lit('{"m": "x", '), F.substring("props", 2, 1 << 30))).when(k == 3, F.lit("{}")).otherwise(F.col("props"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", props.alias("props"))
+    events = events.select(F.lag("event_id").over(order).alias("a"), F.col("event_id").alias("b"), F.lag("props").over(order).alias("src"), F.col("props").alias("dst"))
+    return events.where("src IS NOT NULL AND dst IS NOT NULL")
+
+
+def json_pair_diff(spark, sf_dir):
+    """Key changes between consecutive events of a user: insert, delete or update; a null value is a value."""
+    return _key_changes(_event_pairs(spark, sf_dir)).select("event_id", "key", "action", "old_value", "new_value")
+
+
+def _key_changes(pairs):
     kind = "map<string,string>"
-    both = events.select("event_id", F.from_json("src", kind).alias("s"), F.from_json("dst", kind).alias("d"))
-    keys = both.select("event_id", F.explode(F.array_distinct(F.concat(F.map_keys("s"), F.map_keys("d")))).alias("key"), "s", "d")
+    both = pairs.select("a", F.col("b").alias("event_id"), F.from_json("src", kind).alias("s"), F.from_json("dst", kind).alias("d"))
+    keys = both.select("a", "event_id", F.explode(F.array_distinct(F.concat(F.map_keys("s"), F.map_keys("d")))).alias("key"), "s", "d")
     old, new = F.try_element_at("s", F.col("key")), F.try_element_at("d", F.col("key"))
-    action = F.when(old.isNull(), "insert").when(new.isNull(), "delete").when(old != new, "update")
-    return keys.select("event_id", "key", action.alias("action"), old.alias("old_value"), new.alias("new_value")).where("action IS NOT NULL")
+    action = F.when(~F.map_contains_key("s", F.col("key")), "insert").when(~F.map_contains_key("d", F.col("key")), "delete").when(~old.eqNullSafe(new), "update")
+    return keys.select("a", "event_id", "key", action.alias("action"), old.alias("old_value"), new.alias("new_value")).where("action IS NOT NULL")
 
 
 def _marked(spark, sf_dir):
@@ -168,27 +184,39 @@ def folds(spark, sf_dir):
 
 
 def next_change(spark, sf_dir):
+    """For every row the next and the previous changed row, around the ends."""
     return D.next_change(_marked(spark, sf_dir), ["doc_id"], "line_no", "changed")
 
 
 def search_matches(spark, sf_dir):
-    """Case-insensitive, non-overlapping matches of a word in lines, with their place in code points."""
-    pieces = F.split(F.lower("line"), "tion", -1)
-    rows = L.lines(_docs(spark, sf_dir)).where(F.lower("line").contains("tion")).select("doc_id", "line_no", pieces.alias("p"))
-    starts = F.expr("transform(sequence(1, size(p) - 1), k -> CAST(length(array_join(slice(p, 1, k), '    ')) AS BIGINT))")
-    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.explode(starts).alias("start_col"))
+    """Case-insensitive, non-overlapping matches of a word in lines, with their place in bytes of the lower-case line, tabs expanded."""
+    return V.search(L.lines(_docs(spark, sf_dir)), "Tion", ["doc_id", "line_no"], "line")
 
 
-def _literals(spark, values):
-    return spark.createDataFrame([(v,) for v in values], "line string")
+def _changed_names(spark, sf_dir):
+    """Status lines made from documents: letters, paths with blanks, quotes and arrows."""
+    k = F.col("doc_id")
+    letters = F.get(F.array(*map(F.lit, (" M", "R ", "??", "MM", "A ", " R", "C ", "!!", "UU", "D "))), (k % 10).cast("int"))
+    path = F.concat(F.lit("src/"), F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 12), "[\\r\\n\\t\"]", "_"), F.lit("."), F.coalesce("lang", F.lit("x")))
+    quoted = F.when(k % 3 == 0, F.concat(F.lit('"'), path, F.lit('"'))).otherwise(path)
+    rest = F.when((k % 10).isin(1, 5, 6), F.concat(F.lit("old.py -> "), quoted)).otherwise(quoted)
+    docs = table(spark, sf_dir, "documents")
+    names = F.when(k % 10 == 1, F.concat(F.lit("R087\t"), quoted, F.lit("\tnew.py"))).when(k % 10 == 2, F.lit("broken")).when(k % 10 == 3, F.concat(F.lit(" C050\t"), quoted, F.lit("\tcopy.py")))
+    return docs.select("doc_id", F.when(k % 17 == 0, F.lit("x")).otherwise(F.concat(letters, F.lit(" "), rest)).alias("line"), names.otherwise(F.concat(F.lit("M\t"), quoted)).alias("names"))
 
 
 def git_status(spark, sf_dir):
-    return G.parse_status(_literals(spark, STATUS))
+    return G.parse_status(_changed_names(spark, sf_dir), keep=("doc_id",))
 
 
 def git_name_status(spark, sf_dir):
-    return G.parse_name_status(_literals(spark, NAMES))
+    return G.parse_name_status(_changed_names(spark, sf_dir), "names", keep=("doc_id",))
+
+
+def git_sections(spark, sf_dir):
+    """Both sections of the file list, what each row compares, and whether it may be staged."""
+    rows = G.contents_to_compare(G.sections(git_status(spark, sf_dir)))
+    return rows.select("doc_id", "section", "shown", "conflict", "left_revision", "left_path", "right_revision", "right_path", G.stageable(rows, F.lit(False)).alias("stageable"))
 
 
 def _grid(spark, sf_dir):
@@ -280,11 +308,9 @@ def move_groups(spark, sf_dir):
 
 
 def json_tree_actions(spark, sf_dir):
-    """Tree actions between the properties of consecutive events of a user."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    events = table(spark, sf_dir, "events").select(F.lag("event_id").over(order).alias("a"), F.col("event_id").alias("b"), F.lag("props").over(order).alias("src"), F.col("props").alias("dst"))
-    found = E.tree_actions(events.where("src IS NOT NULL AND dst IS NOT NULL"), "json")
-    return found.select("a", "b", "action", "type", "old_value", "new_value")
+    """What tree actions do to the values of properties of consecutive events of a user."""
+    found = E.tree_actions(_event_pairs(spark, sf_dir), "json", collapsed=False)
+    return found.where("type IN ('number', 'string', 'null')").select("a", "b", "action", "type", "old_value", "new_value")
 
 
 def _words(spark, sf_dir):
@@ -309,14 +335,209 @@ def clean_labels(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", X.clean_comment(F.col("text")).alias("clean"))
 
 
+#: A function, rule or entry for a key and a value in each language.
+CODE = {
+    "py": "def order_%d():\n    # note %d\n    return %d\n",
+    "js": "function order_%d() {\n  // note %d\n  return %d;\n}\n",
+    "ts": "function order_%d() {\n  // note %d\n  return %d;\n}\n",
+    "tsx": "function order_%d() {\n  // note %d\n  return %d;\n}\n",
+    "go": "func order_%d() int {\n\t// note %d\n\treturn %d\n}\n",
+    "rs": "fn order_%d() -> i64 {\n    // note %d\n    return %d;\n}\n",
+    "java": "class order_%d {\n  // note %d\n  int v = %d;\n}\n",
+    "cs": "class order_%d {\n  // note %d\n  int v = %d;\n}\n",
+    "c": "int order_%d(void) {\n  // note %d\n  return %d;\n}\n",
+    "cpp": "class order_%d {\n  // note %d\n  int v = %d;\n};\n",
+    "php": "function order_%d() {\n  # note %d\n  return %d;\n}\n",
+    "zig": "fn order_%d() i64 {\n    // note %d\n    return %d;\n}\n",
+    "lua": "function order_%d()\n  -- note %d\n  return %d\nend\n",
+    "rb": "def order_%d\n  # note %d\n  return %d\nend\n",
+    "sh": "function order_%d() {\n  # note %d\n  return %d\n}\n",
+    "css": ".order_%d {\n  /* note %d */\n  width: %d;\n}\n",
+    "yaml": "order_%d:\n  # note\n  value: %d\n",
+    "toml": "[order_%d]\n# note\nvalue = %d\n",
+}
+
+
+def code_pairs(spark, sf_dir):
+    """Two versions of a program for each customer, with an entry for each order, in the languages in turn.
+
+    In the second version every seventh order is gone, every third of the rest
+    has another value, and every fifth another note where notes have numbers.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("v"))
+    names = F.array(*map(F.lit, CODE))
+    orders = orders.withColumn("ext", F.get(names, (F.col("o_custkey") % len(CODE)).cast("int")))
+    form = F.create_map(*(F.lit(x) for pair in CODE.items() for x in pair))
+    value = F.when(F.col("o_orderkey") % 3 == 0, F.col("v") + 1).otherwise(F.col("v"))
+    k = F.col("o_orderkey")
+
+    def entry(note, value):
+        pieces = F.split(F.try_element_at(form, F.col("ext")), "%d", -1)
+        noted = F.when(F.size(pieces) == 4, F.concat(note, F.get(pieces, F.lit(2)))).otherwise("")
+        return F.concat(F.get(pieces, F.lit(0)), k.cast("string"), F.get(pieces, F.lit(1)), noted, value.cast("string"), F.element_at(pieces, -1))
+
+    note = F.when(k % 5 == 0, F.concat(k.cast("string"), F.lit(" b"))).otherwise(k.cast("string"))
+    rows = orders.select("o_custkey", "ext", k, entry(k.cast("string"), F.col("v")).alias("s"), F.when(k % 7 != 0, entry(note, value)).alias("d"))
+
+    def text(c):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("o_orderkey", c)))), lambda x: x[c]), "")
+
+    files = rows.groupBy("o_custkey", "ext").agg(text("s").alias("src"), text("d").alias("dst"))
+    name = F.concat(F.lit("src/c"), F.col("o_custkey").cast("string"), F.lit("."), F.col("ext"))
+    return files.select(F.col("o_custkey").alias("pair_id"), name.alias("src_name"), name.alias("dst_name"), "src", "dst", F.lit(False).alias("is_conflict"))
+
+
+def _code_actions(spark, sf_dir):
+    pairs = code_pairs(spark, sf_dir)
+    return P.actions(P.diff(pairs, P.Options(actions=True)))
+
+
+def code_modes(spark, sf_dir):
+    """How each pair of programs is compared, and in which language."""
+    return P.diff(code_pairs(spark, sf_dir), P.Options(actions=True)).select("pair_id", "mode", "lang", F.array_max("errors").alias("errors"))
+
+
+def code_updates(spark, sf_dir):
+    """Values and notes that were updated between the versions of programs."""
+    return _code_actions(spark, sf_dir).where("action = 'update'").select("pair_id", "origin", F.regexp_replace("old_value", "^\\W+|\\W+$", "").alias("old_value"), F.regexp_replace("new_value", "^\\W+|\\W+$", "").alias("new_value"))
+
+
+def code_deletes(spark, sf_dir):
+    """Whole entries and notes that are gone, for each pair of programs."""
+    rows = _code_actions(spark, sf_dir).where("action != 'update'")
+    return rows.groupBy("pair_id").agg(
+        F.count_if(F.expr("action = 'delete' AND origin = 'tree' AND subtree")).alias("entries"), F.count_if(F.expr("action = 'delete' AND origin = 'comment'")).alias("notes"),
+        F.count_if(F.expr("action IN ('insert', 'move')")).alias("others"),
+    )
+
+
+def code_alignment(spark, sf_dir):
+    """Lines of both sides in the grids of all pairs of programs: every line stands in one row, and rows rise on both sides."""
+    rows = P.alignment(P.diff(code_pairs(spark, sf_dir), P.Options(alignment=True)))
+    return rows.groupBy("pair_id").agg(*(F.count_distinct(F.when(F.col(c) >= 0, F.col(c))).alias(f"{c}s") for c in ("left_line", "right_line")))
+
+
+def _text_pairs(spark, sf_dir):
+    """Linked documents as pairs; their names say no language."""
+    pairs = copy_texts(_docs(spark, sf_dir))
+    key = F.concat_ws("-", "a", "b")
+    return pairs.select(key.alias("pair_id"), F.lit("a.txt").alias("src_name"), F.lit("b.txt").alias("dst_name"), "src", "dst", F.lit(False).alias("is_conflict"))
+
+
+def _page_diff(spark, sf_dir, options=P.Options()):
+    pages = _page_pairs(spark, sf_dir)
+    key = F.concat_ws("-", "a", "b")
+    return P.diff(pages.select(key.alias("pair_id"), F.lit("a.html").alias("src_name"), F.lit("b.html").alias("dst_name"), "src", "dst", F.lit(False).alias("is_conflict")), options)
+
+
+def pair_gates(spark, sf_dir):
+    """The gate of every pair: each document with its planted form, under a name with or without a language."""
+    planted = _planted(spark, sf_dir).withColumnRenamed("text", "dst")
+    k = F.col("doc_id")
+    names = [F.when(k % m == 0, F.concat(F.lit("a/b.x/file"), F.lit(end))).otherwise("a.py/README") for m, end in ((2, ".PY"), (3, ".tar.json"))]
+    pairs = _docs(spark, sf_dir).join(planted, "doc_id").select(F.col("doc_id").alias("pair_id"), names[0].alias("src_name"), names[1].alias("dst_name"), F.col("text").alias("src"), "dst", (k % 11 == 0).alias("is_conflict"))
+    return P.gated(pairs).select("pair_id", "mode", "lang", "dst_lang")
+
+
+def line_envelopes(spark, sf_dir):
+    """The JSON of linked documents compared by lines."""
+    return P.envelope(P.diff(_text_pairs(spark, sf_dir)))
+
+
+def line_envelope_totals(spark, sf_dir):
+    """Lines that the JSON of linked documents holds, and how many more it deletes than inserts."""
+    found = line_envelopes(spark, sf_dir)
+    kind = "version string, actions array<struct<action: string, node: struct<start_byte: int, end_byte: int>>>, line_alignment array<array<int>>"
+    found, e = found.withColumn("_e", F.from_json("envelope", kind)), F.col("_e")
+    sign = F.transform(F.coalesce(e["actions"], F.array()), lambda a: F.when(a["action"] == "delete", 1).otherwise(-1))
+    return found.select(
+        "pair_id", e["version"].alias("version"), F.aggregate(sign, F.lit(0).cast("long"), lambda t, x: t + x).alias("balance"),
+        *(F.size(F.expr(f"filter(transform(_e.line_alignment, r -> get(r, {k})), x -> x >= 0)")).cast("long").alias(f"{side}_lines") for k, side in enumerate(("left", "right"))),
+    )
+
+
+def page_envelopes(spark, sf_dir):
+    return P.envelope(_page_diff(spark, sf_dir))
+
+
+def page_highlights(spark, sf_dir):
+    return P.highlight_spans(_page_diff(spark, sf_dir, P.Options(highlights=True)))
+
+
+def page_alignment(spark, sf_dir):
+    return P.alignment(_page_diff(spark, sf_dir, P.Options(alignment=True)))
+
+
+def printed_actions(spark, sf_dir):
+    return P.printed(_page_diff(spark, sf_dir, P.Options(actions=True)))
+
+
+def rule_kinds(spark, sf_dir):
+    """How many rules of each kind each language has."""
+    return R.rule_table(spark).groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def virtual_lines(spark, sf_dir):
+    """Visible rows of documents whose unchanged rows are folded."""
+    rows = _marked(spark, sf_dir)
+    return V.virtual_lines(rows.withColumnRenamed("line_no", "grid_row"), D.folds(rows, ["doc_id"], "line_no", "changed"), ["doc_id"])
+
+
+def _marks(spark, sf_dir):
+    """Highlights made from words of documents: each one's node is as long as the word, and every third document has whole lines moved."""
+    lines = L.lines(_docs(spark, sf_dir)).select("doc_id", "line_no", "line")
+    small = F.when(F.col("line_no") % 2 == 0, "delete").otherwise("insert")
+    words = [V.search(lines, w, ["doc_id", "line_no"], "line").select("*", a.alias("action"), F.lit(len(w)).alias("size")) for w, a in (("the", small), ("tion", F.lit("update")))]
+    whole = lines.where("doc_id % 3 = 0 AND line != ''").select("doc_id", "line_no", F.lit(0).cast("long").alias("start_col"), F.octet_length("line").cast("long").alias("end_col"), F.lit("move").alias("action"), F.octet_length("line").alias("size"))
+    spans = words[0].unionByName(words[1]).unionByName(whole)
+    return spans.select("doc_id", F.lit("left").alias("side"), F.col("line_no").alias("line"), "start_col", "end_col", "action", "size", F.xxhash64("line_no", "start_col", "action").alias("seq"))
+
+
+def line_tints(spark, sf_dir):
+    """The colour of each line with highlights."""
+    return V.line_tints(_marks(spark, sf_dir), ["doc_id"]).select("doc_id", F.col("line").cast("long").alias("line"), "action")
+
+
+def column_layers(spark, sf_dir):
+    """What each stretch of a line shows where highlights lie over each other."""
+    return V.column_layers(_marks(spark, sf_dir), ["doc_id"])
+
+
+def untouched_blocks(spark, sf_dir):
+    """Blocks of three lines of linked documents whose unique lines are equal one after the other on the other side."""
+    docs = _docs(spark, sf_dir)
+    anchors = L.unique_anchors(docs, L.linked_pairs(docs))
+    sizes = docs.select(F.col("doc_id").alias("a"), F.size(F.split("text", "\n", -1)).alias("_n"))
+    blocks = anchors.select("a", "b").distinct().join(sizes, "a").select("a", "b", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / 3).cast("int"))).alias("node_id"), "_n")
+    blocks = blocks.select("a", "b", F.col("node_id").cast("long").alias("node_id"), (F.col("node_id") * 3).cast("long").alias("start_row"), (F.least(F.col("node_id") * 3 + 3, F.col("_n")) - 1).cast("long").alias("end_row"))
+    return N.untouched(blocks, anchors.select("a", "b", F.col("a_row").alias("row"), F.col("b_row").alias("other")), ["a", "b"])
+
+
+def word_overlap(spark, sf_dir):
+    """Dice coefficient and overlap of the word multisets of consecutive turns."""
+    turns = _turns(spark, sf_dir).select(F.col("conv_id").alias("a"), F.col("pos").alias("b"), F.col("a").alias("x"), F.col("b").alias("y"))
+    sides = [turns.select("a", "b", F.explode(F.split(c, " ", -1)).alias("label")).where("label != ''").groupBy("a", "b", "label").agg(F.count(F.lit(1)).alias("n")) for c in ("x", "y")]
+    return N.leaf_dice(*sides).join(N.label_overlap(*sides), ["a", "b"], "left").select("a", "b", "dice", F.coalesce("n", F.lit(0)).alias("overlap"))
+
+
+def readable_texts(spark, sf_dir):
+    """Texts of the viewer over turns: cut, padded, centred, and types in words."""
+    kinds = F.array(*map(F.lit, ("function_definition", "if_statement", "call_expression", "type", "string_literal")))
+    t = F.regexp_replace(F.substring("text", 1, 40), "\n", " ")
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", "role", V.truncated(t, 12).alias("cut"), V.padded(F.substring(t, 1, 5), 8).alias("pad"), V.centred(F.substring(t, 1, 6), 9).alias("centre"),
+                       V.readable_type(F.get(kinds, (F.col("turn") % 5).cast("int"))).alias("kind"), V.position_text(F.col("turn"), F.col("conv_id") % 7).alias("place"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         doc_lines, line_offsets, line_frequency, near_copy_pairs, line_dice, unique_anchors, common_ends,
-        copy_groups, linked_pairs, linked_line_dice, linked_unique_anchors, linked_common_ends, gate_modes, page_language,
-        trivial_lines, bigram_similarity, levenshtein_ratio, edit_similarity, attribute_values, tag_counts, json_pair_diff, folds, next_change,
-        search_matches, git_status, git_name_status, line_alignment, line_actions, line_diff_summary, line_folds,
+        copy_groups, gate_modes, page_language, trivial_lines, bigram_similarity, comment_similarity, levenshtein_ratio, attribute_values, tag_counts, json_pair_diff, folds, next_change,
+        search_matches, git_status, git_name_status, git_sections, line_alignment, line_actions, line_diff_summary, line_folds,
         page_nodes, node_tag_counts, node_attribute_values, node_type_counts, leaf_label_counts, subtree_sizes, enclosing_element,
         repeated_subtrees, tree_mappings, tree_actions, tree_action_summary, move_groups, json_tree_actions, merged_spans, span_pieces, clean_labels,
+        code_modes, code_updates, code_deletes, code_alignment, pair_gates, line_envelopes, line_envelope_totals, page_envelopes, page_highlights,
+        page_alignment, printed_actions, rule_kinds, virtual_lines, line_tints, column_layers, untouched_blocks, word_overlap, readable_texts,
     )
 }

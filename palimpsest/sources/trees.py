@@ -8,14 +8,13 @@ are our own.  ``errors`` counts what a strict parser would complain about.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
 
-#: Containers whose children have no order.
+#: Containers whose children have no order, where no rules say so.
 UNORDERED = frozenset({"object", "attributes"})
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -26,6 +25,30 @@ CLOSES = {"p": frozenset("p div ul ol table article section h1 h2 h3 h4 h5 h6".s
 OPTIONAL_END = frozenset(("p", "li", "tr", "td", "th", "html", "body", "head"))
 
 
+@dataclass(frozen=True)
+class Comment:
+    """A comment with its place, in bytes, and the names of what it stands in."""
+
+    text: str
+    start: int
+    end: int
+    row: int
+    end_row: int
+    scope: str
+    parent_kind: str
+
+
+def bytes_at(text: str):
+    """A function from places in code points to places in bytes of UTF-8."""
+    if text.isascii():
+        return int
+    total = array("l", [0])
+    for c in text:
+        o = ord(c)
+        total.append(total[-1] + (1 if o < 0x80 else 2 if o < 0x800 else 3 if o < 0x10000 else 4))
+    return total.__getitem__
+
+
 @dataclass
 class Tree:
     """Nodes in pre-order; ``finish`` fills the derived columns."""
@@ -35,10 +58,14 @@ class Tree:
     parent: list[int] = field(default_factory=list)
     start: list[int] = field(default_factory=list)
     end: list[int] = field(default_factory=list)
+    keyword: list[bool] = field(default_factory=list)
+    unordered: list[bool] = field(default_factory=list)
+    #: Comments of the text, which are not nodes.
+    comments: list = field(default_factory=list)
     errors: int = 0
 
     def add(self, kind: str, parent: int, start: int, end: int, label: str = "") -> int:
-        for column, value in ((self.kind, kind), (self.label, label), (self.parent, parent), (self.start, start), (self.end, end)):
+        for column, value in ((self.kind, kind), (self.label, label), (self.parent, parent), (self.start, start), (self.end, end), (self.keyword, False), (self.unordered, kind in UNORDERED)):
             column.append(value)
         return len(self.kind) - 1
 
@@ -64,15 +91,42 @@ class Tree:
             # Separators keep ("ab", "c") apart from ("a", "bc").
             self.full[i] = xxhash.xxh3_64_intdigest(repr((self.kind[i], self.label[i], [self.full[c] for c in below])))
             self.shape[i] = xxhash.xxh3_64_intdigest(repr((self.kind[i], [self.shape[c] for c in below])))
+        self.byte = bytes_at(text)
         if not text.isascii():
-            at = [0]
-            for c in text:
-                o = ord(c)
-                at.append(at[-1] + (1 if o < 0x80 else 2 if o < 0x800 else 3 if o < 0x10000 else 4))
-            self.start = [at[k] for k in self.start]
-            self.end = [at[k] for k in self.end]
+            self.start = [self.byte(k) for k in self.start]
+            self.end = [self.byte(k) for k in self.end]
+        #: Places where lines begin, in bytes.
+        self.lines = [0]
+        raw = text.encode()
+        while (k := raw.find(b"\n", self.lines[-1])) >= 0:
+            self.lines.append(k + 1)
+        self.row = [bisect_right(self.lines, k) - 1 for k in self.start]
+        self.end_row = [bisect_right(self.lines, k) - 1 for k in self.end]
+        self.post_start = [0] * n
+        done = 0
+        for i in self.post_order():
+            self.post_start[i] = done + 1 - self.size[i]
+            done += 1
         return self
 
+    def comment(self, text: str, start: int, end: int, scope: str, parent_kind: str) -> Comment:
+        """A comment between two places in code points."""
+        first, last = self.byte(start), self.byte(end)
+        row = bisect_right(self.lines, first) - 1
+        return Comment(text[start:end], first, last, row, max(row, bisect_right(self.lines, last - 1) - 1), scope, parent_kind)
+
+    def inside(self, i: int, j: int) -> bool:
+        """Whether j is i or lies below it."""
+        return i <= j < i + self.size[i]
+
+    def leaves(self, i: int) -> list[int]:
+        return [k for k in range(i, i + self.size[i]) if not self.children[k]]
+
+    def up(self, i: int):
+        """The ancestors of i, the nearest first."""
+        while (i := self.parent[i]) >= 0:
+            yield i
+
     def post_order(self) -> list[int]:
         out: list[int] = []
         stack = [(0, False)] if len(self) else []
@@ -141,6 +195,7 @@ def parse_html(text: str) -> Tree:
     """document, element (label: tag), attributes (unordered), attribute, name, value, text, raw_text, comment, doctype."""
     tree = Tree()
     stack = [tree.add("document", -1, 0, len(text))]
+    found_comments: list[tuple[int, int, str, str]] = []
     at = 0
 
     def words(start: int, end: int, kind: str = "text") -> None:
@@ -153,7 +208,7 @@ def parse_html(text: str) -> Tree:
         words(at, m.start())
         at = m.end()
         if m[1] is not None:
-            tree.add("comment", stack[-1], m.start(), at, m[1].strip())
+            found_comments.append((m.start(), at, "root" + "".join("/" + tree.label[i] for i in stack[1:]), tree.kind[stack[-1]]))
         elif m[2] is not None:
             tree.add("doctype", stack[-1], m.start(), at, m[2].strip())
         elif m[3]:
@@ -192,39 +247,6 @@ def parse_html(text: str) -> Tree:
     tree.errors += sum(tree.label[i] not in OPTIONAL_END for i in stack[1:])
     for i in stack[1:]:
         tree.end[i] = len(text)
-    return tree.finish(text)
-
-
-PARSERS: dict[str, Callable[[str], Tree]] = {"html": parse_html, "json": parse_json}
-
-NODES = """key long, node_id int, parent_id int, child_index int, depth int, height int, pre_size int,
-    type string, label string, start_byte int, end_byte int, is_unordered boolean, h_full long, h_shape long"""
-
-
-def nodes(texts: DataFrame, lang: str) -> DataFrame:
-    """One row for every node of ``texts`` (key, text); null text is empty.
-
-    Each text is parsed on its own, so any partitioning of the input is fine
-    and nothing is shuffled.
-    """
-    parse = PARSERS[lang]
-    names = [c.split()[0] for c in NODES.replace("\n", " ").split(",")]
-    signed = 1 << 63
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                t = parse(batch.column(1)[k].as_py() or "")
-                n = len(t)
-                ints = [pa.array(c, pa.int32()) for c in (range(n), t.parent, t.place, t.depth, t.height, t.size)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array([k] * n, pa.int32())), *ints, pa.array(t.kind), pa.array(t.label),
-                        pa.array(t.start, pa.int32()), pa.array(t.end, pa.int32()), pa.array([x in UNORDERED for x in t.kind]),
-                        pa.array([h - 2 * signed if h >= signed else h for h in t.full], pa.int64()),
-                        pa.array([h - 2 * signed if h >= signed else h for h in t.shape], pa.int64()),
-                    ],
-                    names,
-                )
-
-    return texts.mapInArrow(run, NODES)
+    tree.finish(text)
+    tree.comments = [tree.comment(text, *c) for c in found_comments]
+    return tree

@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations", "events"):
+    for table in ("documents", "pages", "conversations", "events", "orders"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
