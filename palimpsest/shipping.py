@@ -1,4 +1,4 @@
-"""Makes the package importable in the Python workers of a session."""
+"""Prepares a session: makes the package importable in its Python workers, and bounds their batches."""
 
 from __future__ import annotations
 
@@ -11,8 +11,15 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows of a batch that goes to a Python worker; texts may be long, and a batch is held as a whole on both sides.
+BATCH_ROWS = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package's own source files to the executors, once for each application."""
+    """Send the package's own source files to the executors, once for each application, and keep batches small."""
+    if not 0 < int(spark.conf.get(_ROWS, "10000")) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     application = spark.sparkContext.applicationId
     if application in _shipped:
         return
