@@ -98,6 +98,26 @@ def released(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     return run
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their texts hold ``size`` bytes, for kernels that do better on many texts at once."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            total += batch.column(column).nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def hint(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
+    """``df``, to be broadcast if its counted rows are few; narrow rows only."""
+    return F.broadcast(df) if rows <= limit else df
+
+
 def release() -> None:
     """Give memory that a Python worker no longer uses back, as Spark keeps workers for later stages."""
     pa.default_memory_pool().release_unused()

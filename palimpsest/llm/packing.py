@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import loaded
+from .common import gathered
 from .tokens import slices
 
 
@@ -63,7 +64,7 @@ def pack_documents(
         task = TaskContext.get().partitionId()
         count = 0
         with loaded(vocabulary) as bpe:
-            for batch in batches:
+            for batch in gathered(batches):
                 for first, part in slices(batch.column(1)):
                     ids, rows = bpe.encode_batch(part).tokens()
                     ids = np.insert(ids, rows[1:], end_id)

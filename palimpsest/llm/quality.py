@@ -13,11 +13,13 @@ Among the certified cutoffs of a rule, the one with the best balance of bad
 against good rejections is used; a rule that helps nowhere is left out.  A
 stratum without certified cutoffs rejects nothing beyond the base rules.
 
-Cases: null text has no words and fails the base rule; repeated rows are
-independent; labels that are null, or of ids that do not occur, are not used;
+Cases: null text has no words and fails the base rule; rows are judged each by
+itself, whatever their ids, so repeats get equal verdicts; of cutoffs with equal
+balance the larger is used; very long texts are held as arrays of their words; labels that are null, or of ids that do not occur, are not used;
 an id with several labels counts as bad if one of them says so; a null
 language is a stratum of its own; an empty table gives no rows; empty labels
-leave the base rules only.
+leave the base rules only.  ``judge`` returns named columns of its own beside
+those asked for; ``keep_good`` returns the columns it was given, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, hint, materialize
 
 #: Rules over the feature columns, and the cutoffs tried for each.
 RULES = {
@@ -150,5 +152,22 @@ def judge(documents: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: f
 
 def learn(feats: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
     """Cutoffs from the labelled rows of ``feats``."""
-    verdicts = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
-    return thresholds(feats.join(verdicts, "doc_id"), alpha=alpha, delta=delta)
+    return thresholds(feats.join(_verdicts(labels), "doc_id"), alpha=alpha, delta=delta)
+
+
+def _verdicts(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """The rows of ``documents`` that neither a base rule nor a certified cutoff rejects, with all their columns.
+
+    Cutoffs are learned from the labelled rows alone; then every row is judged
+    by itself, whatever its id, and its text crosses no shuffle.  Labels are
+    broadcast below a counted size (two narrow columns).
+    """
+    verdicts = materialize(_verdicts(labels), "quality-verdicts")
+    labelled = documents.select("doc_id", "text", "lang").join(hint(verdicts, verdicts.count()), "doc_id")
+    cutoffs = materialize(thresholds(features(labelled, keep=("doc_id", "lang", "bad")), alpha=alpha, delta=delta), "quality-cutoffs")
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), "text", F.col("lang").alias("_lang"))
+    return with_verdict(features(rows, keep=("_row", "_lang")), cutoffs, "_lang").where("kept").select("_row.*")

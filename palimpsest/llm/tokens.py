@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import loaded
+from .common import gathered
 
 #: Characters that a slice of a batch may hold; bounds the arrays in memory.
 SLICE_CHARS = 8_000_000
@@ -40,7 +41,7 @@ def encode_documents(df: DataFrame, vocabulary: str, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with loaded(vocabulary) as bpe:
-            for batch in batches:
+            for batch in gathered(batches):
                 for start, part in slices(batch.column(1)):
                     encoded = bpe.encode_batch(part)
                     ids, rows = encoded.tokens()
@@ -57,7 +58,7 @@ def encode_digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with loaded(vocabulary) as bpe:
-            for batch in batches:
+            for batch in gathered(batches):
                 for start, part in slices(batch.column(1)):
                     encoded = bpe.encode_batch(part)
                     ids, rows = encoded.tokens()

@@ -56,7 +56,7 @@ class Settings:
     neighbours: int = 15
     block: int = 64
     #: A term lies in the dense table if it is in this part of the examples.
-    dense_from: float = 0.03
+    dense_from: float = 0.04
     #: Texts whose vectors are searched together.
     together: int = 64
 
@@ -382,7 +382,7 @@ def score_documents(documents: DataFrame, model: Model, evidence: bool = True) -
     return out if evidence else out.drop("evidence")
 
 
-def parts(texts: pa.Array, rows: int = 2_048, chars: int = 4_000_000) -> Iterator[list[str]]:
+def parts(texts: pa.Array, rows: int = 1_024, chars: int = 3_000_000) -> Iterator[list[str]]:
     """The texts in turn, null as empty, in lists of bounded size, or one long text."""
     held, total = [], 0
     for value in texts:
