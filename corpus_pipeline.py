@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import jaccard, packing, pii, quality, queries, toxicity
-from palimpsest.llm.common import materialize, read
+from palimpsest.llm.common import hint, materialize, read
 from palimpsest.shipping import ship
 
 
@@ -39,13 +39,8 @@ def _digest() -> F.Column:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Verdicts come back by all that they rest on: id, language and the digest of the text, null or not."""
     ship(spark)
-    marked = docs.withColumn("_digest", _digest())
-    judged = quality.judge(marked.select("doc_id", "text", "lang", "_digest"), read(spark, sf_dir, "labels"), keep=("_digest",))
-    failed = judged.where(~F.col("kept")).select(*(F.col(c).alias(f"_f_{c}") for c in ("doc_id", "lang", "_digest"))).distinct()
-    same = [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in ("doc_id", "lang", "_digest")]
-    return marked.join(failed, same, "left_anti").select(*docs.columns)
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +48,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     sim = jaccard.Similarity(ngram=5, numerator=80, denominator=100)
     ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not ids.head(1):
-        found = materialize(jaccard.near_duplicates(docs, sim).where("component_id IS NOT NULL"), "pipeline-components")
-        return docs.join(found.where("component_id < doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+        gone = materialize(jaccard.near_duplicates(docs, sim).where("component_id < doc_id").select("doc_id"), "pipeline-duplicates")
+        # Few ids go to the texts; only beyond a counted size do texts cross a shuffle.
+        return docs.join(hint(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
 
     # Each further text of a repeated id is grouped under a number above all ids.
     ids = materialize(ids, "pipeline-repeated")
