@@ -113,6 +113,20 @@ def gathered(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 8_0
         yield pa.concat_batches(held)
 
 
+def parts(texts: pa.Array, rows: int = 1_024, chars: int = 3_000_000) -> Iterator[list[str]]:
+    """The texts in turn, null as empty, in lists of bounded size, or one long text."""
+    held, total = [], 0
+    for value in texts:
+        text = value.as_py() or ""
+        if held and (len(held) == rows or total + len(text) > chars):
+            yield held
+            held, total = [], 0
+        held.append(text)
+        total += len(text)
+    if held:
+        yield held
+
+
 def hint(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """``df``, to be broadcast if its counted rows are few; narrow rows only."""
     return F.broadcast(df) if rows <= limit else df

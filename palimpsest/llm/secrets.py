@@ -3,37 +3,45 @@
 Fixed patterns give the base spans.  A conditional random field (CRF) tags
 tokens as the beginning of a secret, inside one, or outside (B, I, O), from
 their shape, their neighbouring words and features of the file; Viterbi finds
-the best tags.  Every token within ``REACH`` characters of a key word on its
-line may be B or I, whatever its length and characters, and so may tokens
-anywhere that look like a secret by their shape (``_CANDIDATE``).  All others,
-that is words of other shapes far from any key word, are O, so every run of
-adjacent candidates can be decoded on its own and the result equals that of
-decoding the whole text.
+the best tags of each line.  Every token of every line takes part: runs of
+bytes other than white space and quoting marks, and each such mark by itself.
+
+The scores of all tokens of a batch are sums of table entries, taken for all
+tokens at once; a token's shape is looked at once for each distinct token.  A
+bound on what any path through a token other than O can gain tells which tokens
+are O on the best path of their line; Viterbi runs over the others, between
+tokens that are surely O, so that the result is that of decoding whole lines.
 
 The CRF is trained here by gradient ascent on the conditional likelihood, on
-a bounded sample of documents tagged by the base patterns and on generated
-lines of common secret forms (``generated``, ``generated_near``).
+lines of a bounded sample of documents tagged by the base patterns and on
+generated lines of common secret forms (``generated``, ``generated_near``).
+Half of the lines with a base span are also shown with their key words hidden,
+so that shapes and not only names teach.
 
 Cases: null text counts as empty; base spans of different kinds may overlap;
-CRF spans that touch a base span are not repeated; repeated rows are
-independent; a table without documents leaves the generated lines to train on.
+CRF spans that touch a base span are not repeated; of paths with equal scores
+the one with the smaller tags is taken; repeated rows are independent and get
+equal spans; a very long text is a part of its own, and is held as a whole with its tokens;
+only the id and the text are read, so further columns of any name do no harm; a
+table without documents leaves the generated lines to train on, and gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts, released
+
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
@@ -41,22 +49,35 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex")
 
-_BODY = "A-Za-z0-9+/_.=~-"
-#: Whole tokens with a digit, or of 20 characters and more; linear, as loops are possessive.
-_CANDIDATE = re.compile(rf"(?<![{_BODY}])(?:[A-Za-z+/_.=~-]*+[0-9][{_BODY}]*+|[A-Za-z+/_.=~-]{{20,}}+)")
-_TOKEN = re.compile(rf"[{_BODY}]+|[^\s{_BODY}]")
-_WORDY = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer|sign", re.IGNORECASE)
-#: What a token near a key word is cut at: white space, and quotes, brackets and the like at its ends.
-_EDGES = "\"'`<>()[]{},;:="
-#: A name and its sign before a value in one token.
-_NAMED = re.compile(r"[\w.-]*(?:pass|pwd|secret|token|key|auth|cred|bearer|sign)[\w.-]*[\"']?(?:=|:)+[\"']?", re.IGNORECASE)
-LEAST = 8
-#: Characters looked at beside a candidate for its neighbours, and around a key word for candidates.
-REACH = 48
+#: Tokens that name a secret.
+_WORDY = "(?i)pass|pwd|secret|token|key|auth|cred|bearer|sign"
+_MARKS = b"\"'`<>()[]{},;:=|"
 TAGS = 3  # O, B, I
-#: Bounds of the training sample.
+#: Bounds of the training sample: documents, their lines without a secret, and tokens of a line.
 TRAINING_DOCUMENTS = 6_000
-TRAINING_RUNS = 6_000
+TRAINING_LINES = 3_000
+TRAINING_TOKENS = 400
+ROUNDS = 80
+#: Texts are scanned together up to so many characters.
+PART_CHARS = 2_000_000
+
+_SPACE, _MARK, _BODY, _LINE = range(4)
+_BYTE = np.full(256, _BODY, np.uint8)
+_BYTE[:33] = _SPACE
+_BYTE[list(_MARKS)] = _MARK
+_BYTE[10] = _LINE
+_UPPER, _LOWER, _DIGIT = (np.zeros(256, bool) for _ in range(3))
+_UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = True
+_HEXES = _DIGIT.copy()
+_HEXES[97:103] = True
+
+#: Classes of neighbours, and how many values each feature of a token has.
+NONE, WORD, KEY, DIGITS, OTHER = range(5)
+CLASSES = 5 + len(_MARKS)
+SHAPES = (16, 12, 6, 6, 6, 5, 5, 2, 4, 3, CLASSES)  # letters, length, digits, entropy, changes, cases, inner marks, hex, dots, path, class
+AROUND = (CLASSES, CLASSES, CLASSES, CLASSES, 2, 2, 2, 5)  # before 1, 2, 3, behind, a key among them, no gap before, key in the file, density
+SIZES = (*SHAPES, *AROUND)
+FIRST = np.concatenate(([0], np.cumsum(SIZES)))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -71,131 +92,125 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def near_key(text: str) -> list[tuple[int, int]]:
-    """Tokens that lie, in part, within ``REACH`` characters of a key word on its line; names of values left out."""
-    out: list[tuple[int, int]] = []
-    done = 0
-    for m in _WORDY.finditer(text):
-        start = max(done, text.rfind("\n", 0, m.start()) + 1, m.start() - REACH)
-        line = text.find("\n", m.end())
-        end = min(len(text) if line < 0 else line, m.end() + REACH)
-        # Whole tokens at both ends, however long.
-        while start > done and not text[start - 1].isspace():
-            start -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        for token in re.finditer(r"\S+", text[start:end]):
-            a, b = start + token.start(), start + token.end()
-            if named := _NAMED.match(text, a, b):
-                a = named.end()
-            while a < b and text[a] in _EDGES:
-                a += 1
-            while a < b and text[b - 1] in _EDGES and not (text[b - 1] == "=" and b - a >= LEAST):
-                b -= 1
-            if a < b and not _WORDY.fullmatch(text, a, b):
-                out.append((a, b))
-        done = max(done, end)
-    return out
-
-
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens near key words, and beside them those of a secret's shape."""
-    near = near_key(text)
-    shaped = [m.span() for m in _CANDIDATE.finditer(text) if m.end() - m.start() >= LEAST]
-    if not near:
-        return shaped
-    starts = [a for a, _ in near]
-
-    def free(a: int, b: int) -> bool:
-        at = bisect_left(starts, b)
-        return at == 0 or near[at - 1][1] <= a
-
-    return sorted(near + [span for span in shaped if free(*span)])
-
-
-def runs(text: str, spans: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Candidates with only white space between them, and no line end, share a run."""
-    out: list[list[tuple[int, int]]] = []
-    for span in spans:
-        gap = text[out[-1][-1][1] : span[0]] if out and span[0] - out[-1][-1][1] <= 8 else None
-        if gap is not None and not gap.strip(" \t"):
-            out[-1].append(span)
-        else:
-            out.append([span])
-    return out
-
 
-def _shape(token: str) -> list[str]:
-    n = len(token)
-    upper, lower, digit = sum("A" <= c <= "Z" for c in token), sum("a" <= c <= "z" for c in token), sum("0" <= c <= "9" for c in token)
-    counts: dict[str, int] = {}
-    for c in token:
-        counts[c] = counts.get(c, 0) + 1
-    entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
-    changes = sum((a.isdigit() != b.isdigit()) for a, b in zip(token, token[1:], strict=False))
-    return [
-        f"mix={'U' * (upper > 0)}{'l' * (lower > 0)}{'d' * (digit > 0)}{'s' * (upper + lower + digit < n)}",
-        f"length={min(6, n // 8)}",
-        f"digits={digit * 4 // n}",
-        f"entropy={min(5, int(entropy))}",
-        f"changes={min(4, changes * 8 // n)}",
-        f"shaped={n >= LEAST and _CANDIDATE.fullmatch(token) is not None}",
-        f"cases={min(3, sum(a.islower() and b.isupper() for a, b in zip(token, token[1:], strict=False)))}",
-        f"inner={min(3, sum(not c.isalnum() and c not in '.-_/:' for c in token))}",
-        f"short={n if n < 8 else 8}",
-        f"hex={not token.strip('0123456789abcdef')}",
-        f"dots={token.count('.') > 1}",
-        f"path={'/' in token and '.' in token}",
-    ]
-
-
-def _word(token: str | None) -> str:
-    if token is None:
-        return "none"
-    if _WORDY.search(token):
-        return "key"
-    if len(token) == 1 and not token.isalnum():
-        return token if token in "=:\"'<>(),|" else "mark"
-    return "digits" if token.isdigit() else "word"
-
-
-def file_features(text: str, found: int) -> list[str]:
-    """Features of the file: names of secrets in it, and how dense candidates are."""
-    return [f"file_key={bool(_WORDY.search(text))}", f"file_dense={min(3, found * 1000 // (len(text) + 1))}"]
-
-
-def run_features(text: str, run: list[tuple[int, int]], about: list[str]) -> list[list[str]]:
-    """Feature names of each token in a run of candidates."""
-    before = _TOKEN.findall(text[max(0, run[0][0] - REACH) : run[0][0]])
-    after = _TOKEN.findall(text[run[-1][1] : run[-1][1] + REACH])
-    tokens = [text[a:b] for a, b in run]
-    around = before[-3:] + tokens + after[:1]
-    shift = len(before[-3:])
-    out = []
-    for k, token in enumerate(tokens):
-        def near(step: int, k: int = k) -> str:
-            at = shift + k + step
-            return _word(around[at]) if 0 <= at < len(around) else "none"
 
-        names = ["bias", *_shape(token), f"p1={near(-1)}", f"p2={near(-2)}", f"p3={near(-3)}", f"n1={near(1)}", *about]
-        out.append([*names, f"key_near={'key' in (near(-1), near(-2), near(-3))}"])
+@dataclass
+class Tokens:
+    """Tokens of some texts, joined by line ends: bytes of start and end, line, text, distinct token, and gap before."""
+
+    raw: bytes
+    start: np.ndarray
+    end: np.ndarray
+    line: np.ndarray
+    text: np.ndarray
+    code: np.ndarray
+    distinct: pa.Array
+    #: First byte of each text, and one more.
+    texts: np.ndarray
+
+
+def tokens(texts: Sequence[str]) -> Tokens:
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    raw = b"\n".join(parts)
+    first = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
+    data = np.frombuffer(raw, np.uint8)
+    kind = _BYTE[data]
+    body = kind == _BODY
+    edge = np.diff(np.concatenate(([0], body.view(np.int8), [0])))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    marks = np.flatnonzero(kind == _MARK)
+    start, end = np.concatenate((starts, marks)), np.concatenate((ends, marks + 1))
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    held = body | (kind == _MARK)
+    offsets = np.concatenate(([0], np.cumsum(end - start)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[held].tobytes())])
+    coded = words.dictionary_encode()
+    lines = np.concatenate(([0], np.cumsum(kind == _LINE)))
+    return Tokens(raw, start, end, lines[start], np.searchsorted(first, start, "right") - 1, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, first)
+
+
+def shapes(distinct: pa.Array) -> np.ndarray:
+    """Values of the ``SHAPES`` of each distinct token."""
+    n = len(distinct)
+    if not n:
+        return np.zeros((0, len(SHAPES)), np.int64)
+    offsets = np.frombuffer(distinct.buffers()[1], np.int64, n + 1, distinct.offset * 8)
+    data = np.frombuffer(distinct.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    begin = offsets[:-1] - offsets[0]
+    size = np.diff(offsets)
+    owner = np.repeat(np.arange(n), size)
+
+    def count(flags: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(flags.astype(np.int64), begin)
+
+    upper, lower, digit = count(_UPPER[data]), count(_LOWER[data]), count(_DIGIT[data])
+    inner = owner[1:] == owner[:-1]
+    is_digit = _DIGIT[data]
+    changes = np.bincount(owner[1:][inner & (is_digit[1:] != is_digit[:-1])], minlength=n)
+    cases = np.bincount(owner[1:][inner & _LOWER[data[:-1]] & _UPPER[data[1:]]], minlength=n)
+    same, times = np.unique(owner << 8 | data, return_counts=True)
+    share = times / size[same >> 8]
+    entropy = np.bincount(same >> 8, -share * np.log2(share), n)
+    odd = size - upper - lower - digit
+    plain = count(np.isin(data, np.frombuffer(b".-_/:", np.uint8)))
+    dots = count(data == 46)
+    key = pc.match_substring_regex(distinct, _WORDY).to_numpy(zero_copy_only=False)
+    kind = np.where(key, KEY, np.where(digit == size, DIGITS, np.where(upper + lower + digit > 0, WORD, OTHER)))
+    single = (size == 1) & (_BYTE[data[begin]] == _MARK)
+    mark = np.zeros(256, np.int64)
+    mark[list(_MARKS)] = 5 + np.arange(len(_MARKS))
+    kind = np.where(single, mark[data[begin]], kind)
+    out = (
+        (upper > 0) + 2 * (lower > 0) + 4 * (digit > 0) + 8 * (odd > 0),
+        np.where(size < 8, size - 1, np.minimum(7 + size // 8, 11)),
+        np.minimum(digit * 5 // size, 5), np.minimum(entropy.astype(np.int64), 5), np.minimum(changes, 5), np.minimum(cases, 4), np.minimum(odd - plain, 4),
+        count(_HEXES[data]) == size, np.minimum(dots, 3), np.minimum(count(data == 47), 2), kind,
+    )
+    return np.stack([np.asarray(x, np.int64) for x in out], axis=1)
+
+
+def around(t: Tokens, kind: np.ndarray) -> np.ndarray:
+    """Values of ``AROUND`` of each token; ``kind`` are the classes of the tokens."""
+    n = len(t.start)
+    out = np.zeros((n, len(AROUND)), np.int64)
+    for column, step in enumerate((1, 2, 3)):
+        same = np.zeros(n, bool)
+        same[step:] = t.line[step:] == t.line[:-step]
+        out[same, column] = kind[np.flatnonzero(same) - step]
+    same = np.zeros(n, bool)
+    same[:-1] = t.line[1:] == t.line[:-1]
+    out[same, 3] = kind[np.flatnonzero(same) + 1]
+    out[:, 4] = (out[:, :3] == KEY).any(axis=1)
+    out[1:, 5] = t.start[1:] == t.end[:-1]
+    keys = np.bincount(t.text[kind == KEY], minlength=len(t.texts) - 1)
+    held = np.diff(t.texts)
+    out[:, 6] = keys[t.text] > 0
+    out[:, 7] = np.minimum(keys * 2_000 // (held + 1), 4)[t.text]
     return out
 
 
 @dataclass
 class Crf:
-    """Weights of a linear chain: features x tags, and tag x tag transitions."""
+    """Weights of a linear chain: feature values x tags, and tag x tag transitions (from O and back to O at the ends)."""
 
-    number: dict[str, int]
     weights: np.ndarray
     moves: np.ndarray
 
-    def emissions(self, rows: list[list[str]]) -> np.ndarray:
-        get = self.number.get
-        return np.array([self.weights[[n for f in row if (n := get(f)) is not None]].sum(axis=0) for row in rows])
+    def scores(self, t: Tokens) -> np.ndarray:
+        """Emission scores of all tokens."""
+        own = shapes(t.distinct)
+        table = np.zeros((len(own), TAGS))
+        for k in range(len(SHAPES)):
+            table += self.weights[FIRST[k] + own[:, k]]
+        out = table[t.code]
+        near = around(t, own[t.code, -1]) if len(own) else np.zeros((0, len(AROUND)), np.int64)
+        for k in range(len(AROUND)):
+            out += self.weights[FIRST[len(SHAPES) + k] + near[:, k]]
+        return out
 
     def viterbi(self, scores: np.ndarray) -> list[int]:
-        """Best tags; a run starts and ends at O, and I never follows O."""
+        """Best tags of a run between tokens that are O."""
         best = scores[0] + self.moves[0]
         back = []
         for row in scores[1:]:
@@ -207,54 +222,112 @@ class Crf:
             tags.append(int(step[tags[-1]]))
         return tags[::-1]
 
-
-def fit(samples: list[tuple[list[list[str]], list[int]]], rounds: int = 30, rate: float = 0.5, decay: float = 1e-3) -> Crf:
-    """Maximum conditional likelihood by AdaGrad over runs, with forward-backward."""
-    number: dict[str, int] = {}
-    for rows, _ in samples:
-        for row in rows:
-            for f in row:
-                number.setdefault(f, len(number))
-    w, t = np.zeros((len(number), TAGS)), np.zeros((TAGS, TAGS))
-    gw, gt = np.full_like(w, 1e-2), np.full_like(t, 1e-2)
+    def open(self, scores: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """Which tokens may be other than O on the best path of their line.
+
+        A stretch of other tags gains, against O, at most the sum over its tokens
+        of their best tag's lead and the best move's lead, and one move more.
+        """
+        if not len(scores):
+            return np.zeros(0, bool)
+        step = max(float((self.moves - self.moves[0, 0]).max()), 0.0)
+        lead = scores[:, 1:].max(axis=1) - scores[:, 0] + step
+        new = np.append(True, line[1:] != line[:-1])
+        lost = float(np.abs(lead).max() * 2 + step + 1)
+
+        def best_end(lead: np.ndarray, new: np.ndarray) -> np.ndarray:
+            """The greatest sum of a stretch that ends at each token, in its line."""
+            # A line begins with a loss that no stretch makes up for.
+            at = np.flatnonzero(new)
+            sizes = np.diff(np.append(at, len(lead)))
+            total = np.cumsum(np.insert(lead, at, -lost * (np.concatenate(([1], sizes[:-1])) + 1)))
+            low = np.minimum.accumulate(total)
+            places = np.arange(len(lead)) + np.cumsum(new)
+            return total[places] - low[places - 1]
+
+        front = best_end(lead, new)
+        back = best_end(lead[::-1], np.append(True, (line[1:] != line[:-1])[::-1]))[::-1]
+        return front + back - lead + step > -1e-6
+
+    def decode(self, t: Tokens) -> list[tuple[int, int]]:
+        """(first token, last token) of the secrets of all texts."""
+        scores = self.scores(t)
+        at = np.flatnonzero(self.open(scores, t.line))
+        if not len(at):
+            return []
+        cut = np.flatnonzero((np.diff(at) > 1) | (t.line[at[1:]] != t.line[at[:-1]])) + 1
+        out = []
+        for run in np.split(at, cut):
+            begin = None
+            for k, tag in zip(run.tolist(), self.viterbi(scores[run]), strict=True):
+                if tag == 1 or tag == 2 and begin is None:
+                    if begin is not None:
+                        out.append((begin, last))
+                    begin = k
+                if tag == 0 and begin is not None:
+                    out.append((begin, last))
+                    begin = None
+                last = k
+            if begin is not None:
+                out.append((begin, last))
+        return out
+
+
+def fit(features: np.ndarray, tags: np.ndarray, line: np.ndarray, rounds: int = ROUNDS, rate: float = 0.5, decay: float = 1e-4) -> Crf:
+    """Maximum conditional likelihood by AdaGrad, with forward-backward over all lines at once.
+
+    ``features`` holds, for each token, a value number for each feature; ``line`` rises.
+    """
+    w, t = np.zeros((FIRST[-1], TAGS)), np.zeros((TAGS, TAGS))
+    gw, gt = np.full_like(w, 1e-8), np.full_like(t, 1e-8)
     barred = np.zeros((TAGS, TAGS))
-    barred[0, 2] = -1e4  # O to I
-    coded = [([np.array([number[f] for f in row]) for row in rows], tags) for rows, tags in samples]
-    order = random.Random(7)
+    barred[0, 2] = -50.0  # O to I
+    first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    size = np.diff(np.append(first, len(line)))
+    order = np.argsort(-size, kind="stable")
+    first, size = first[order], size[order]
+    longest = int(size.max(initial=0))
+    # Lines still running at each place, the longest first.
+    alive = [int(np.searchsorted(-size, -k, "left")) for k in range(longest)]
+    gold = np.zeros((len(features), TAGS))
+    gold[np.arange(len(tags)), tags] = 1
+    before = np.where(np.append(True, line[1:] != line[:-1]), 0, np.append(0, tags[:-1]))
+    gold_moves = np.zeros_like(t)
+    np.add.at(gold_moves, (before, tags), 1)
+    np.add.at(gold_moves, (tags[np.append(line[1:] != line[:-1], True)], 0), 1)
+    n = len(features)
     for _ in range(rounds):
-        order.shuffle(coded)
-        for rows, tags in coded:
-            e = np.array([w[r].sum(axis=0) for r in rows])
-            m = t + barred
-            n = len(rows)
-            f = np.empty((n, TAGS))
-            b = np.empty((n, TAGS))
-            f[0] = e[0] + m[0]
-            for k in range(1, n):
-                f[k] = e[k] + np.logaddexp.reduce(f[k - 1][:, None] + m, axis=0)
-            b[-1] = m[:, 0]
-            for k in range(n - 2, -1, -1):
-                b[k] = np.logaddexp.reduce(m + e[k + 1] + b[k + 1], axis=1)
-            z = np.logaddexp.reduce(f[-1] + b[-1])
-            state = np.exp(f + b - z)
-            grad_t = np.zeros_like(t)
-            path = [0, *tags, 0]
-            for a, c in zip(path, path[1:], strict=False):
-                grad_t[a, c] += 1
-            grad_t[0] -= state[0]
-            grad_t[:, 0] -= state[-1]
-            for k in range(1, n):
-                grad_t -= np.exp(f[k - 1][:, None] + m + e[k] + b[k] - z)
-            for k, r in enumerate(rows):
-                g = -state[k]
-                g[tags[k]] += 1
-                if np.abs(g).max() > 1e-3:
-                    step = g - decay * w[r]
-                    gw[r] += step**2
-                    w[r] += rate * step / np.sqrt(gw[r])
-            gt += grad_t**2
-            t += rate * grad_t / np.sqrt(gt)
-    return Crf(number, w, t + barred)
+        e = sum(w[features[:, k]] for k in range(features.shape[1]))
+        m = t + barred
+        f, b = np.zeros((n, TAGS)), np.zeros((n, TAGS))
+        for k in range(longest):
+            at = first[: alive[k]] + k
+            f[at] = e[at] + (m[0] if k == 0 else np.logaddexp.reduce(f[at - 1][:, :, None] + m, axis=1))
+        last = first + size - 1
+        b[last] = m[:, 0]
+        for k in range(longest - 2, -1, -1):
+            at = first[: alive[k + 1]] + k
+            b[at] = np.logaddexp.reduce(m + (e[at + 1] + b[at + 1])[:, None, :], axis=2)
+        z = np.zeros(n)
+        z[last] = np.logaddexp.reduce(f[last] + b[last], axis=1)
+        z = z[np.repeat(np.flatnonzero(np.append(line[1:] != line[:-1], True)), np.diff(np.flatnonzero(np.append(np.append(True, line[1:] != line[:-1]), True))))]
+        state = np.exp(f + b - z[:, None])
+        inner = np.flatnonzero(np.append(False, line[1:] == line[:-1]))
+        seen = np.exp(f[inner - 1][:, :, None] + m + (e[inner] + b[inner])[:, None, :] - z[inner][:, None, None]).sum(axis=0)
+        seen[0] += state[first].sum(axis=0)
+        seen[:, 0] += state[last].sum(axis=0)
+        error = gold - state
+        step = np.zeros_like(w)
+        for k in range(features.shape[1]):
+            for tag in range(TAGS):
+                step[:, tag] += np.bincount(features[:, k], error[:, tag], len(w))
+        step -= decay * n * w / 100
+        gw += step**2
+        w += rate * step / np.sqrt(gw)
+        grad = gold_moves - seen
+        gt += grad**2
+        t += rate * grad / np.sqrt(gt)
+    return Crf(w, t + barred)
 
 
 def generated(seed: int = 11, lines: int = 900) -> list[tuple[str, list[tuple[int, int]]]]:
@@ -331,75 +404,94 @@ def generated_near(seed: int = 12, lines: int = 1_200) -> list[tuple[str, list[t
     return out
 
 
-def _tagged(text: str, secret: list[tuple[int, int]]) -> list[tuple[list[list[str]], list[int]]]:
-    """Training runs of a text: a candidate that overlaps a secret is B, then I."""
-    found = candidates(text)
-    about = file_features(text, len(found))
-    out = []
-    for run in runs(text, found):
-        tags, last = [], None
-        for a, b in run:
-            hit = next((s for s in secret if s[0] < b and a < s[1]), None)
-            tags.append(0 if hit is None else 2 if hit == last else 1)
-            last = hit
-        out.append((run_features(text, run, about), tags))
-    return out
+def training_rows(texts: Sequence[str], secrets: Sequence[list[tuple[int, int]]], hide: Sequence[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, tags, line, text) of the tokens of texts with their secrets (in code points); key words count as words where ``hide`` says so."""
+    t = tokens(texts)
+    own = shapes(t.distinct)
+    kind = own[t.code, -1] if len(own) else np.zeros(0, np.int64)
+    hidden = np.asarray(hide, bool)[t.text] if len(t.text) else np.zeros(0, bool)
+    kind = np.where(hidden & (kind == KEY), WORD, kind)
+    values = np.concatenate((own[t.code], around(t, kind)), axis=1)
+    values[:, len(SHAPES) - 1] = kind
+    tags = np.zeros(len(t.start), np.int64)
+    for k, spans in enumerate(secrets):
+        for a, b in spans:
+            low, high = (t.texts[k] + len(texts[k][:x].encode("utf-8", "surrogatepass")) for x in (a, b))
+            inside = np.flatnonzero((t.start < high) & (t.end > low))
+            tags[inside] = 2
+            tags[inside[:1]] = 1
+    return values + FIRST[:-1], tags, t.line, t.text
+
+
+def _value(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
+    """The secret itself in a base span: of an assignment the value."""
+    if kind == "assign" and (m := _ASSIGN.match(text, a, b)):
+        return m.span(2)
+    return a, b
 
 
 def train(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Crf:
-    """CRF from at most ``TRAINING_DOCUMENTS`` documents (smallest hashes of the ids) and the generated lines.
+    """CRF from lines of at most ``TRAINING_DOCUMENTS`` documents (smallest hashes of the ids) and the generated lines.
 
     Base spans are the labels; numbers that only look like hex are outside.
+    The driver gets at most ``TRAINING_LINES`` lines with and as many without a
+    secret, the smallest hashes of each, cut to ``TRAINING_TOKENS`` words.
     """
     ids = documents.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(F.lit("secrets"), key), key).limit(TRAINING_DOCUMENTS)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = [], []
+            rows = []
             for value in batch.column(0):
-                body = value.as_py() or ""
-                secret = [(a, b) for _, a, b in base_spans(body) if not body[a:b].isdigit()]
-                for rows, tags in _tagged(body, secret):
-                    keys.append("\n".join("\t".join(r) for r in rows))
-                    texts.append(tags)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(texts, pa.list_(pa.int32()))], ["features", "tags"])
+                for line in (value.as_py() or "").split("\n"):
+                    line = " ".join(line.split(" ")[:TRAINING_TOKENS])
+                    found = sorted({_value(k, line, a, b) for k, a, b in base_spans(line) if not line[a:b].isdigit()})
+                    rows.append((line, bool(found), ",".join(f"{a}:{b}" for a, b in found)))
+            rows = list(dict.fromkeys(rows))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.string())], ["line", "held", "spans"])
 
     chosen = documents.join(F.broadcast(ids), key, "left_semi").select(text)  # TRAINING_DOCUMENTS ids at most
-    seen = chosen.mapInArrow(extract, "features string, tags array<int>").groupBy("features", "tags").count()
-    # Runs with a secret first, then the most frequent others.
-    kept = seen.orderBy(F.desc(F.array_max("tags") > 0), F.desc("count"), "features", "tags").limit(TRAINING_RUNS).collect()
-    samples = [([line.split("\t") for line in r["features"].split("\n")], list(r["tags"])) for r in kept]
-    for line, secret in generated() + generated_near():
-        samples += _tagged(line, secret)
-    return fit(samples, rounds=8)
-
-
-def scan(text: str, crf: Crf, known: dict[tuple, list[int]]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, all spans) of a text, each by start and then by kind; CRF spans are of kind ``crf``."""
-    base = base_spans(text)
-    found = candidates(text)
-    extra = []
-    if found:
-        about = file_features(text, len(found))
-        for run in runs(text, found):
-            rows = run_features(text, run, about)
-            key = tuple(map(tuple, rows))
-            tags = known.get(key)
-            if tags is None:
-                if len(known) > 100_000:
-                    known.clear()
-                tags = known[key] = crf.viterbi(crf.emissions(rows))
-            start = None
-            for (a, b), tag in zip([*run, (0, 0)], [*tags, 0], strict=True):
-                if tag != 2 and start is not None:
-                    extra.append(("crf", start, end))
-                    start = None
-                if tag == 1:
-                    start = a
-                end = b
-    extra = [s for s in extra if not any(s[1] < e and b < s[2] for _, b, e in base)]
+    seen = chosen.mapInArrow(released(extract), "line string, held boolean, spans string").where("line != ''")
+    by_hash = F.xxhash64(F.lit("secrets"), "line")
+    lines, secrets, hide = [], [], []
+    for held in (True, False):
+        for r in seen.where(F.col("held") == F.lit(held)).distinct().orderBy(by_hash, "line").limit(TRAINING_LINES).collect():
+            spans = [tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s]
+            for hidden in (False, True) if held and len(lines) % 2 == 0 else (False,):
+                lines.append(r.line)
+                secrets.append(spans)
+                hide.append(hidden)
+    for line, spans in generated() + generated_near():
+        lines.append(line)
+        secrets.append(spans)
+        hide.append(False)
+    features, tags, line, _ = training_rows(lines, secrets, hide)
+    return fit(features, tags, line)
+
+
+Span = tuple[str, int, int]
+
+
+def scan_texts(texts: Sequence[str], crf: Crf) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each text, each by start and then by kind; CRF spans are of kind ``crf``."""
+    t = tokens(texts)
+    extra: list[list[Span]] = [[] for _ in texts]
+    for a, b in crf.decode(t):
+        k = int(t.text[a])
+        first = int(t.texts[k])
+        low = len(t.raw[first : t.start[a]].decode("utf-8", "surrogatepass"))
+        extra[k].append(("crf", low, low + len(t.raw[t.start[a] : t.end[b]].decode("utf-8", "surrogatepass"))))
+    out = []
     order = (*KINDS, "crf")
-    return base, sorted(base + extra, key=lambda s: (s[1], order.index(s[0]), s[2]))
+    for text, more in zip(texts, extra, strict=True):
+        base = base_spans(text)
+        more = [s for s in more if not any(s[1] < e and b < s[2] for _, b, e in base)]
+        out.append((base, sorted(base + more, key=lambda s: (s[1], order.index(s[0]), s[2]))))
+    return out
+
+
+def scan(text: str, crf: Crf) -> tuple[list[Span], list[Span]]:
+    return scan_texts([text], crf)[0]
 
 
 def span_text(spans: list[tuple[str, int, int]]) -> str:
@@ -407,23 +499,20 @@ def span_text(spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan_documents(df: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_assign, n_access, n_hex, base_sha256, spans) for every row."""
+    """(key, n_assign, n_access, n_hex, base_sha256, spans, n_spans) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, list[int]] = {}
         for batch in batches:
-            counts: list[list[int]] = [[], [], []]
-            digests, spans = [], []
-            for value in batch.column(1):
-                base, every = scan(value.as_py() or "", crf, known)
-                for k, kind in enumerate(KINDS):
-                    counts[k].append(sum(s[0] == kind for s in base))
-                digests.append(hashlib.sha256(span_text(base).encode()).hexdigest())
-                spans.append(span_text(every))
+            found: list[tuple[list[Span], list[Span]]] = []
+            for part in parts(batch.column(1), chars=PART_CHARS):
+                found += scan_texts(part, crf)
+            counts = [[sum(s[0] == kind for s in base) for base, _ in found] for kind in KINDS]
+            digests = [hashlib.sha256(span_text(base).encode()).hexdigest() for base, _ in found]
+            spans = [span_text(every) for _, every in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())],
-                [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array([len(e) for _, e in found], pa.int64())],
+                [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"],
             )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return df.select(key, text).mapInArrow(released(run), f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long")

@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import parts, release
 
 _WORD = re.compile(r"[^\W_]+").findall
 
@@ -382,20 +382,6 @@ def score_documents(documents: DataFrame, model: Model, evidence: bool = True) -
     return out if evidence else out.drop("evidence")
 
 
-def parts(texts: pa.Array, rows: int = 1_024, chars: int = 3_000_000) -> Iterator[list[str]]:
-    """The texts in turn, null as empty, in lists of bounded size, or one long text."""
-    held, total = [], 0
-    for value in texts:
-        text = value.as_py() or ""
-        if held and (len(held) == rows or total + len(text) > chars):
-            yield held
-            held, total = [], 0
-        held.append(text)
-        total += len(text)
-    if held:
-        yield held
-
-
 def scored(model: Model, texts: pa.Array, known: dict[bytes, tuple]) -> list[tuple[float, list]]:
     """Scores and the three nearest of each text; the answers for equal texts are kept, up to a bound."""
     if len(known) > 20_000:
