@@ -34,19 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
     This cuts the lineage: an executor lost later costs a re-read, not a
     recomputation, and several consumers share one computation.
     """
-    return _write(df, label)[0]
+    return _write(df, label, compression)[0]
 
 
-def _write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def _write(df: DataFrame, label: str, compression: str | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path), path
 
 

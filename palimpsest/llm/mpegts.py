@@ -2,14 +2,23 @@
 
 ``mux`` writes a programme of one private-data stream: programme tables,
 packetised elementary stream (PES) packets with presentation times, and
-random-access points.  ``demux`` parses any such stream: it reads the programme
-tables, checks continuity counters, reassembles the PES packets and lists
-times and random-access points.
+random-access points.  ``demux`` parses streams of 188-byte packets: it reads the
+programme association table with all its programmes, the map of each, sections
+that reach over several packets, checks continuity counters and table
+checksums, reassembles the PES packets and lists times and random-access
+points.  Scrambled payloads and adaptation extensions are not interpreted.
+
+``store_documents`` makes a media column with an index (times, byte offsets and
+random-access points of the units); ``media_digests`` writes it to the shared
+folder, reads the stored bytes back and describes both.  ``seek`` reads from the
+random-access point at or before a time.
 
 Cases: a null payload counts as empty and is still padded to one unit, so
 every stream holds one PES packet at least; the bytes depend on the payload
-alone; broken packets, failed table checksums and counter gaps are counted
-and never raise; an empty table gives no rows.
+alone, so equal texts give equal media and ties need no rule; broken packets, failed table
+checksums and counter gaps are counted and never raise; a very long text is
+one value, held as a whole; only the key and the text are read, so further
+columns of any name do no harm; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +31,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import materialize, released
+
 # Fixed values of the format.
 PACKET = 188
 SYNC = 0x47
@@ -83,14 +94,25 @@ def _table_packet(pid: int, counter: int, section: bytes) -> bytes:
     return head + section + b"\xff" * (PACKET - 5 - len(section))
 
 
+#: (presentation time, byte offset of the packet that begins the unit, random access) of each unit.
+Entry = tuple[int, int, bool]
+
+
 def mux(payload: bytes, unit: int = UNIT) -> bytes:
     """The transport stream of ``payload``, one PES packet for each ``unit`` bytes."""
+    return mux_indexed(payload, unit)[0]
+
+
+def mux_indexed(payload: bytes, unit: int = UNIT) -> tuple[bytes, list[Entry]]:
+    """The transport stream and its index; a random-access point begins with the programme tables."""
     out: list[bytes] = []
+    index: list[Entry] = []
     counter = tables = 0
     heads = [bytes([SYNC, ES_PID >> 8, ES_PID & 255, 0x10 | c]) for c in range(16)]
     for k, at in enumerate(range(0, max(1, len(payload)), unit)):
         ticks = k * TICKS & (1 << 33) - 1
         access = k % RANDOM_ACCESS_EVERY == 0
+        index.append((ticks, len(out) * PACKET, access))
         if access:
             out += (_table_packet(PAT_PID, tables, _PAT), _table_packet(PMT_PID, tables, _PMT))
             tables += 1
@@ -115,15 +137,17 @@ def mux(payload: bytes, unit: int = UNIT) -> bytes:
             counter = counter + 1 & 15
             done += len(part)
             start, field_bytes, room = False, b"", PACKET - 4
-    return b"".join(out)
+    return b"".join(out), index
 
 
 @dataclass
 class Stream:
     """What ``demux`` finds: tables, PES payloads with times, and faults."""
 
-    pmt_pid: int = -1
+    #: Programme of each map's packets, and type and programme of each elementary stream's.
+    pmt_pids: dict[int, int] = field(default_factory=dict)
     es_pids: dict[int, int] = field(default_factory=dict)
+    programs: dict[int, int] = field(default_factory=dict)
     packets: int = 0
     units: list[tuple[int, int, bool, bytes]] = field(default_factory=list)  # pid, pts (-1: none), random access, data
     counter_errors: int = 0
@@ -151,14 +175,50 @@ def demux(data: bytes) -> Stream:
         ticks = _read_pts(raw[9:14]) if raw[7] & 0x80 and len(raw) >= 14 else -1
         s.units.append((pid, ticks, access, raw[begin : 6 + length] if length else raw[begin:]))
 
-    def table(body: bytes) -> bytes | None:
-        at = 1 + body[0] if body else 0
-        length = 3 + ((body[at + 1] & 15) << 8 | body[at + 2]) if len(body) >= at + 3 else 0
-        section = body[at : at + length]
-        if len(section) < 12 or len(section) < length or crc_mpeg(section) != 0:
+    sections: dict[int, bytearray] = {}
+
+    def section(pid: int, raw: bytes) -> None:
+        if len(raw) < 12 or crc_mpeg(raw) != 0:
             s.table_errors += 1
-            return None
-        return section
+        elif pid == PAT_PID and raw[0] == 0:
+            for k in range(8, len(raw) - 7, 4):
+                program = raw[k] << 8 | raw[k + 1]
+                if program:  # 0 names the network table
+                    s.pmt_pids[(raw[k + 2] & 0x1F) << 8 | raw[k + 3]] = program
+        elif pid in s.pmt_pids and raw[0] == 2:
+            k = 12 + ((raw[10] & 15) << 8 | raw[11])
+            while k + 5 <= len(raw) - 4:
+                es = (raw[k + 1] & 0x1F) << 8 | raw[k + 2]
+                s.es_pids[es], s.programs[es] = raw[k], s.pmt_pids[pid]
+                k += 5 + ((raw[k + 3] & 15) << 8 | raw[k + 4])
+
+    def feed(pid: int, body: bytes) -> None:
+        """Adds table bytes; what follows the last whole section stays, stuffing goes."""
+        held = sections.setdefault(pid, bytearray())
+        held += body
+        while len(held) >= 3 and held[0] != 0xFF:
+            length = 3 + ((held[1] & 15) << 8 | held[2])
+            if len(held) < length:
+                return
+            section(pid, bytes(held[:length]))
+            del held[:length]
+        if held[:1] == b"\xff":
+            held.clear()
+
+    def tables(pid: int, body: bytes, first: bool) -> None:
+        if not first:
+            if sections.get(pid):
+                feed(pid, body)
+            return
+        if not body or 1 + body[0] > len(body):
+            s.table_errors += 1
+            return
+        if sections.get(pid):
+            feed(pid, body[1 : 1 + body[0]])
+            if sections.get(pid):  # cut short by the next one
+                s.table_errors += 1
+                sections[pid].clear()
+        feed(pid, body[1 + body[0] :])
 
     at = 0
     while at + PACKET <= len(data):
@@ -183,15 +243,8 @@ def demux(data: bytes) -> Stream:
             s.counter_errors += 1
         last[pid] = counter
         body = data[begin:end]
-        if pid == PAT_PID:
-            if b1 & 0x40 and (section := table(body)) and len(section) >= 16:
-                s.pmt_pid = (section[10] & 0x1F) << 8 | section[11]
-        elif pid == s.pmt_pid:
-            if b1 & 0x40 and (section := table(body)):
-                k = 12 + ((section[10] & 15) << 8 | section[11])
-                while k + 5 <= len(section) - 4:
-                    s.es_pids[(section[k + 1] & 0x1F) << 8 | section[k + 2]] = section[k]
-                    k += 5 + ((section[k + 3] & 15) << 8 | section[k + 4])
+        if pid == PAT_PID or pid in s.pmt_pids:
+            tables(pid, body, bool(b1 & 0x40))
         elif pid in s.es_pids:
             if b1 & 0x40:
                 close(pid)
@@ -199,6 +252,7 @@ def demux(data: bytes) -> Stream:
             elif pid in open_pes:
                 open_pes[pid][1].append(body)
     s.lost_bytes += len(data) - at
+    s.table_errors += sum(bool(x) for x in sections.values())
     for pid in list(open_pes):
         close(pid)
     return s
@@ -209,19 +263,32 @@ def pad(raw: bytes, multiple: int = 64) -> bytes:
     return raw + bytes(max(multiple, -(-len(raw) // multiple) * multiple) - len(raw))
 
 
+INDEX = "array<struct<pts: long, offset: long, random_access: boolean>>"
+_INDEX = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("random_access", pa.bool_())]))
+
+
 def store_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, media): every text as a transport stream."""
+    """(key, n_bytes, media, units): every text as a transport stream, with the index of its units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                raw = (batch.column(1)[k].as_py() or "").encode("utf-8")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, 1), pa.array([len(raw)], pa.int64()), pa.array([mux(pad(raw))], pa.binary())], [key, "n_bytes", "media"]
-                )
+            sizes, media, index = [], [], []
+            for text in batch.column(1):
+                raw = (text.as_py() or "").encode("utf-8")
+                stream, units = mux_indexed(pad(raw))
+                sizes.append(len(raw))
+                media.append(stream)
+                index.append([dict(zip(("pts", "offset", "random_access"), u, strict=True)) for u in units])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(index, _INDEX)], [key, "n_bytes", "media", "units"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_bytes long, media binary")
+    return df.select(key, text).mapInArrow(released(run), f"`{key}` {kind}, n_bytes long, media binary, units {INDEX}")
+
+
+def seek(media: bytes, units: list[Entry], pts: int) -> Stream:
+    """The stream from the last random-access point at or before a time on, or from the first."""
+    points = [at for t, at, access in units if access and t <= pts]
+    return demux(media[points[-1] if points else 0 :])
 
 
 def parse_media(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
@@ -245,40 +312,46 @@ def parse_media(df: DataFrame, key: str = "doc_id", media: str = "media") -> Dat
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, media).mapInArrow(run, f"{key} {kind}, unit long, pid int, pts long, random_access boolean, data binary")
+    return df.select(key, media).mapInArrow(released(run), f"`{key}` {kind}, unit long, pid int, pts long, random_access boolean, data binary")
 
 
-def feature_text(s: Stream) -> str:
-    """One line about a stream: tables, packets, faults, times and access points."""
+def feature_text(s: Stream, units: list[Entry]) -> str:
+    """One line about a stream: tables, packets, faults, times and access points, and whether the index says the same."""
     times = [u[1] for u in s.units if u[1] >= 0]
     points = [str(u[1]) for u in s.units if u[2]]
-    types = ",".join(f"{p}:{t}" for p, t in sorted(s.es_pids.items()))
+    types = ",".join(f"{s.programs[p]}/{p}:{t}" for p, t in sorted(s.es_pids.items()))
+    same = [(t, a) for _, t, a, _ in s.units] == [(t, a) for t, _, a in units]
     return (
-        f"pmt={s.pmt_pid};streams={types};packets={s.packets};units={len(s.units)};counter_errors={s.counter_errors};"
+        f"maps={','.join(map(str, sorted(s.pmt_pids)))};streams={types};packets={s.packets};units={len(s.units)};counter_errors={s.counter_errors};"
         f"table_errors={s.table_errors};lost={s.lost_bytes};first_pts={times[0] if times else ''};last_pts={times[-1] if times else ''};"
-        f"random_access={len(points)}:{zlib.crc32(','.join(points).encode())}"
+        f"random_access={len(points)}:{zlib.crc32(','.join(points).encode())};indexed={str(same).lower()}"
     )
 
 
-def media_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store every text, read the stored bytes back and describe both."""
+def describe_media(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Digests of stored media (key, n_bytes, media, units) and of the payloads read from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for batch in batches:
             rows = []
-            for text in batch.column(1):
-                raw = (text.as_py() or "").encode("utf-8")
-                media = mux(pad(raw))
+            for media, index in zip(batch.column(2), batch.column(3), strict=True):
+                media = media.as_py()
                 stream = demux(media)
                 back = stream.payload
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_text(stream)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, kinds)], names)
+                units = [(u["pts"], u["offset"], u["random_access"]) for u in index.as_py()]
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_text(stream, units)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, cols, kinds)], names)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(
-        run,
-        f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+    return df.select(key, "n_bytes", "media", "units").mapInArrow(
+        released(run),
+        f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )
+
+
+def media_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Store every text in the shared folder, read the stored bytes back and describe both."""
+    return describe_media(materialize(store_documents(df, key, text), "media", compression="zstd"), key)

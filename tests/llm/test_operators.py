@@ -1,4 +1,3 @@
-import hashlib
 import random
 import re
 import zlib
@@ -6,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import jaccard, language, mpegts, packing, pii, quality, secrets, sharding, tokens
+from palimpsest.llm import jaccard, language, packing, pii, quality, secrets, sharding, tokens
 from palimpsest.llm.queries import vocabulary
 
 EDGE = [(None, "x"), (1, None), (2, ""), (3, " \n\t"), (4, "wort " * 30_000), (5, "same text"), (6, "same text"), (6, "same text")]
@@ -99,26 +98,6 @@ def test_secrets(spark, edge):
     assert secrets.scan_documents(edge, crf).count() == len(EDGE)
 
 
-def test_transport_stream_round_trip_and_faults():
-    pick = random.Random(4)
-    for size in (0, 1, 64, 150, 184, 16_384, 16_385, 300_001):
-        raw = mpegts.pad(pick.randbytes(size))
-        media = mpegts.mux(raw)
-        stream = mpegts.demux(media)
-        assert stream.payload == raw and len(media) % 188 == 0
-        assert (stream.counter_errors, stream.table_errors, stream.lost_bytes) == (0, 0, 0)
-        assert [u[1] for u in stream.units] == [k * mpegts.TICKS for k in range(len(stream.units))]
-    broken = media[: 188 * 10] + media[188 * 11 :]
-    assert mpegts.demux(broken).counter_errors == 1
-    assert mpegts.demux(b"junk" + media).payload == raw
-
-
-def test_media_digests(spark, edge):
-    for r in mpegts.media_digests(edge).collect():
-        text = dict(EDGE)[r.doc_id] or ""
-        assert r.payload_sha256 == hashlib.sha256(mpegts.pad(text.encode())).hexdigest() and r.payload_bytes % 64 == 0
-
-
 def test_sharding(spark, edge):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     rows = sharding.shard_records(df).collect()
