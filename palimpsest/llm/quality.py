@@ -168,6 +168,12 @@ def keep_good(documents: DataFrame, labels: DataFrame, alpha: float = 0.05, delt
     """
     verdicts = materialize(_verdicts(labels), "quality-verdicts")
     labelled = documents.select("doc_id", "text", "lang").join(hint(verdicts, verdicts.count()), "doc_id")
-    cutoffs = materialize(thresholds(features(labelled, keep=("doc_id", "lang", "bad")), alpha=alpha, delta=delta), "quality-cutoffs")
-    rows = documents.select(F.struct(*documents.columns).alias("_row"), "text", F.col("lang").alias("_lang"))
-    return with_verdict(features(rows, keep=("_row", "_lang")), cutoffs, "_lang").where("kept").select("_row.*")
+    learned = materialize(features(labelled, keep=("doc_id", "lang", "bad")), "quality-labelled")
+    cutoffs = materialize(thresholds(learned, alpha=alpha, delta=delta), "quality-cutoffs")
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row"), "text", F.col("lang").alias("_lang"))
+    return with_verdict(_settled(features(rows, keep=("_row", "_lang")), "_row", "_lang"), cutoffs, "_lang").where("kept").select("_row.*")
+
+
+def _settled(feats: DataFrame, *keep: str) -> DataFrame:
+    """``feats`` computed before anything that is asked of them: else the planner writes every feature out wherever it is used."""
+    return feats.select(*keep, F.inline(F.array(F.struct(*(c for c in feats.columns if c not in keep)))))
