@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import xxhash
 
+from .pii import KINDS
 from .quality import CUTOFFS, RULES, WINDOW
 
 #: Words are runs of anything but ASCII white space.
@@ -87,6 +88,9 @@ _MOD97 = f"list_reduce(string_split({_MOVED}, ''), lambda r, c: CASE WHEN c BETW
 _IBAN_TEXT = "replace(t, '_', '.')"
 _SSN_TEXT = "replace(regexp_replace(t, '[^0-9-]', ' ', 'g'), '-', 'A')"
 
+_SCORE = "CASE o " + " ".join(f"WHEN {k} THEN {x.score}::DOUBLE" for k, x in enumerate(KINDS, 1)) + " END"
+_NEAR = "CASE o " + " ".join(f"WHEN {k} THEN '{x.context}'" for k, x in enumerate(KINDS, 1)) + " END"
+
 PII = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         email AS ({_pii_kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true")}),
         ip AS ({_pii_kind("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max(list_transform(string_split(v, '.'), lambda x: least(length(ltrim(x, '0')), 4) * 1000 + CASE WHEN length(ltrim(x, '0')) BETWEEN 1 AND 3 THEN ltrim(x, '0')::INT ELSE 0 END)) <= 3255")}),
@@ -96,11 +100,12 @@ PII = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         ssn AS ({_pii_kind("ssn", r"\b[0-9]{3}A[0-9]{2}A[0-9]{4}\b", "NOT regexp_matches(v, '^(000|666|9)|A00A|A0000$')", _SSN_TEXT)}),
         every AS (SELECT 1 AS o, * FROM email UNION ALL SELECT 2, * FROM ip UNION ALL SELECT 3, * FROM card UNION ALL SELECT 4, * FROM phone UNION ALL SELECT 5, * FROM iban
             UNION ALL SELECT 6, * FROM ssn WHERE regexp_matches(lower(substr(t, greatest(start - 48, 0)::BIGINT + 1, least(start, 48)::BIGINT)), 'ssn|social|security')),
-        told AS (SELECT doc_id, o, start, kind, kind || ':' || start || ':' || (start + length(v)) AS s FROM every),
+        told AS (SELECT doc_id, o, start, kind, kind || ':' || start || ':' || (start + length(v)) AS s,
+            least(1.0::DOUBLE, {_SCORE} + CASE WHEN regexp_matches(lower(substr(t, greatest(start - 48, 0)::BIGINT + 1, least(start, 48)::BIGINT)), {_NEAR}) THEN 0.3::DOUBLE ELSE 0 END) AS score FROM every),
         sums AS (SELECT doc_id, count(*) FILTER (o = 1) AS e, count(*) FILTER (o = 2) AS i, count(*) FILTER (o = 3) AS c, count(*) FILTER (o = 4) AS p,
-            string_agg(s, ',' ORDER BY o, start) FILTER (o <= 4) AS base, string_agg(s, ',' ORDER BY o, start) AS spans FROM told GROUP BY doc_id)
+            string_agg(s, ',' ORDER BY o, start) FILTER (o <= 4) AS base, string_agg(s, ',' ORDER BY o, start) AS spans, count(*) AS n, max(score) AS best FROM told GROUP BY doc_id)
         SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone,
-            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN sums USING (doc_id)"""
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n, 0) AS n_spans, round(best, 6) AS best_score FROM docs LEFT JOIN sums USING (doc_id)"""
 
 
 def _quality() -> str:

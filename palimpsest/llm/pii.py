@@ -10,9 +10,12 @@ Positions are code points, end exclusive.  A document is split by the pattern
 only where the pattern occurs, and the lengths of the pieces give the
 positions, so all work stays in the JVM.
 
-Cases: null text counts as empty and has no spans; repeated rows are
-independent; spans of different kinds may overlap, and redaction merges them;
-an empty table gives no rows; columns named ``_spans`` are replaced.
+Cases: null text counts as empty and has no spans, and stays null when redacted;
+repeated rows are independent; spans of different kinds may overlap, and
+redaction merges them, of equal starts the shorter first; very long texts cost
+in proportion to their length and, nearly, to their matches; further columns of
+any name come back as they are, but for one named as the result; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -63,28 +66,36 @@ def _sql(pattern: str) -> str:
     return "r'" + pattern + "'" if "'" not in pattern else repr(pattern)
 
 
+#: Lengths that are added up in one run.
+_BLOCK = 256
+
+
+def _before(lengths: str) -> str:
+    """SQL for the sums of all earlier numbers of an array, in blocks, so that the work does not grow with the square of its size."""
+    def sums(array: str, first: str) -> str:
+        return f"slice(aggregate({array}, array({first}), (a, x) -> concat(a, array(element_at(a, -1) + x))), 1, size({array}))"
+
+    blocks = f"transform(sequence(0, (size({lengths}) - 1) div {_BLOCK}), k -> slice({lengths}, k * {_BLOCK} + 1, {_BLOCK}))"
+    totals = f"transform({blocks}, b -> aggregate(b, 0L, (s, x) -> s + x))"
+    return f"flatten(zip_with({blocks}, {sums(totals, '0L')}, (b, f) -> {sums('b', 'f')}))"
+
+
 def _spans(kind: Kind, text: str) -> str:
     """SQL for the valid spans of one kind in column ``text``."""
-    none = f"CAST(array() AS {_SPAN})"
-    walk = f"""aggregate(
-        arrays_zip(slice(_pieces_{kind.name}, 1, size(_found_{kind.name})), _found_{kind.name}),
-        named_struct('at', 0L, 'out', {none}),
-        (a, m) -> named_struct(
-            'at', a.at + length(m.`0`) + length(m.`_found_{kind.name}`),
-            'out', concat(a.out, array(named_struct('kind', '{kind.name}', 'start', a.at + length(m.`0`),
-                'end', a.at + length(m.`0`) + length(m.`_found_{kind.name}`), 'score', {kind.score}D, 'v', m.`_found_{kind.name}`)))),
-        a -> a.out)"""
+    none, found, pieces = f"CAST(array() AS {_SPAN})", f"_found_{kind.name}", f"_pieces_{kind.name}"
+    starts = _before(f"zip_with(slice({pieces}, 1, size({found})), {found}, (p, m) -> CAST(length(p) + length(m) AS BIGINT))")
+    at = f"zip_with({starts}, slice({pieces}, 1, size({found})), (b, p) -> b + length(p))"
+    walk = f"zip_with({at}, {found}, (b, m) -> named_struct('kind', '{kind.name}', 'start', b, 'end', b + length(m), 'score', {kind.score}D, 'v', m))"
     valid = kind.valid.replace("v,", "s.v,").replace("v rlike", "s.v rlike")
     before = f"lower(substring({text}, CAST(greatest(s.start - {CONTEXT}, 0) + 1 AS INT), CAST(least(s.start, {CONTEXT}) AS INT)))"
     scored = f"named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'score', least(1.0D, s.score + IF({before} rlike '{kind.context}', 0.3D, 0.0D)), 'v', s.v)"
-    return f"IF(size(_found_{kind.name}) = 0, {none}, transform(filter({walk}, s -> {valid}), s -> {scored}))"
+    return f"IF(size({found}) = 0, {none}, transform(filter({walk}, s -> {valid}), s -> {scored}))"
 
 
-def find_spans(df: DataFrame, text: str = "text", out: str = "_spans", threshold: float = 0.5) -> DataFrame:
-    """Adds ``out``: the spans of all kinds, by kind as listed, then start."""
-    t = "_pii_text"
-    df = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
-    keep = df.columns
+def _found(df: DataFrame, text: str, threshold: float) -> DataFrame:
+    """(_row, _t, _spans): the columns of ``df`` as one, its text, and the spans of all kinds."""
+    t = "_t"
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias(t))
     for kind in KINDS:
         found = f"IF({kind.needs.format(t=t)}, regexp_extract_all({t}, {_sql(kind.pattern)}, 0), CAST(array() AS array<string>))"
         df = df.withColumn(f"_found_{kind.name}", F.expr(found))
@@ -93,7 +104,13 @@ def find_spans(df: DataFrame, text: str = "text", out: str = "_spans", threshold
     )
     df = df.withColumns({f"_spans_{k.name}": F.expr(_spans(k, t)) for k in KINDS})
     every = F.concat(*(F.col(f"_spans_{k.name}") for k in KINDS))
-    return df.withColumn(out, F.filter(every, lambda s: s["score"] >= F.lit(threshold))).select(*(c for c in keep if c not in (t, out)), out)
+    return df.select("_row", t, F.filter(every, lambda s: s["score"] >= F.lit(threshold)).alias("_spans"))
+
+
+def find_spans(df: DataFrame, text: str = "text", out: str = "_spans", threshold: float = 0.5) -> DataFrame:
+    """Adds ``out``: the spans of all kinds with their scores, by kind as listed, then start; a column of that name is replaced."""
+    found = _found(df, text, threshold)
+    return found.select(*(F.col(f"_row.`{c}`") for c in df.columns if c != out), F.col("_spans").alias(out))
 
 
 def span_text(spans: Column) -> Column:
@@ -106,15 +123,15 @@ def redact(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFra
 
     Overlapping spans become one, named after the one that starts first.
     """
-    columns = df.columns
-    found = find_spans(df, text, "_spans", threshold)
     walk = F.expr(
-        f"""aggregate(
+        """array_join(aggregate(
             array_sort(transform(_spans, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))),
-            named_struct('at', 0L, 'out', ''),
+            named_struct('at', 0L, 'out', CAST(array() AS array<struct<from:bigint,to:bigint,kind:string>>)),
             (a, s) -> named_struct(
                 'at', greatest(a.at, s.end),
-                'out', IF(s.start >= a.at, concat(a.out, substring(`{text}`, CAST(a.at + 1 AS INT), CAST(s.start - a.at AS INT)), '<', s.kind, '>'), a.out)),
-            a -> concat(a.out, substring(`{text}`, CAST(a.at + 1 AS INT))))"""
+                'out', IF(s.start >= a.at, concat(a.out, array(named_struct('from', a.at, 'to', s.start, 'kind', s.kind))), a.out)),
+            a -> concat(transform(a.out, p -> concat(substring(_t, CAST(p.from + 1 AS INT), CAST(p.to - p.from AS INT)), '<', p.kind, '>')), array(substring(_t, CAST(a.at + 1 AS INT))))), '')"""
     )
-    return found.withColumn(text, F.when(F.size("_spans") > 0, walk).otherwise(F.col(text))).select(*columns)
+    clean = F.when(F.size("_spans") > 0, walk).otherwise(F.col(f"_row.`{text}`"))
+    found = _found(df, text, threshold)
+    return found.select(*(clean.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in df.columns))

@@ -28,6 +28,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(k).alias(f"n_{k}") for k in pii.BASE),
         F.sha2(pii.span_text(base), 256).alias("base_sha256"),
         pii.span_text(F.col("_spans")).alias("spans"),
+        F.size("_spans").cast("long").alias("n_spans"),
+        F.round(F.array_max(F.transform("_spans", lambda s: s["score"])), 6).alias("best_score"),
     )
 
 

@@ -139,3 +139,20 @@ def test_jaccard_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for r in jaccard.near_duplicates(df, jaccard.Similarity(ngram=4, numerator=85)).collect():
         assert r.n_shingles == len(sets[r.doc_id]) and r.component_id == (None if r.doc_id is None else find(r.doc_id))
+
+
+def test_pii_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a@b.cd", "keep", "x", "y")], "doc_id long, text string, _found_email string, _pii_text string, _t string")
+    row = pii.find_spans(df).first()
+    assert (row["_found_email"], row["_pii_text"], row["_t"]) == ("keep", "x", "y") and row["_spans"][0].score == 0.9
+    assert pii.redact(df).first().asDict() == {"doc_id": 1, "text": "<email>", "_found_email": "keep", "_pii_text": "x", "_t": "y"}
+    clash = df.select("doc_id", "text", F.lit("keep me").alias("_spans"))
+    assert pii.redact(clash).first()["_spans"] == "keep me" and pii.find_spans(clash, out="found").first()["_spans"] == "keep me"
+    assert pii.find_spans(df.limit(0)).count() == pii.redact(df.limit(0)).count() == 0
+
+
+def test_pii_of_very_long_texts(spark):
+    text = "1.2.3.4 é " * 3_000
+    row = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.start, s.end) for s in row["_spans"]] == [(10 * k, 10 * k + 7) for k in range(3_000)]
+    assert pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == "<ip> é " * 3_000
