@@ -7,7 +7,9 @@ a new shard only takes records into itself, because the scores of the old
 shards do not change.
 
 Cases: a null key is a key like any other; null text counts as empty; repeated
-rows get the same shard and different slots; an empty table gives no rows.
+rows get the same shard and different slots, of which it does not matter who has
+which; equal scores go to the larger shard number; a very long text is read once
+for its size and checksum; an empty table gives no rows.
 Only the named columns are read, so further columns cannot clash.
 """
 
@@ -44,10 +46,12 @@ def shard_records(
 ) -> DataFrame:
     """Shard, gapless slot and the shard after growth for every record.
 
-    Slots are numbered in two levels so that no task holds a whole shard:
-    rows are numbered inside ``buckets`` hash buckets of each shard, and the
-    bucket starts come from a table of ``len(weights) * buckets`` counts,
-    which is broadcast because its size does not depend on the data.
+    Equal records of one input partition are one run with a count.  Runs are
+    numbered in two levels, so that no task holds a whole shard: inside ``buckets``
+    hash buckets of each shard, and by bucket starts from a table of
+    ``len(weights) * buckets`` counts, which is broadcast because its size does
+    not depend on the data.  Then runs are dealt out evenly and become rows
+    again, so a record that repeats a million times burdens no single task.
     The text never crosses a shuffle: only its size and checksum do.
     """
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -60,6 +64,7 @@ def shard_records(
         rendezvous(F.col("doc_id"), weights).cast("int").alias("shard"),
         rendezvous(F.col("doc_id"), [*weights, grown_weight]).cast("int").alias("grown_shard"),
         F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32"), F.lit(buckets)).cast("int").alias("_bucket"),
+        F.spark_partition_id().alias("_part"),
     )
     narrow = materialize(narrow, "shard-rows")
     counts = narrow.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
@@ -67,14 +72,17 @@ def shard_records(
     starts = counts.select(
         "shard", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
     )
-    inside = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "size")
-    numbered = narrow.withColumn("_at", F.row_number().over(inside))
-    return numbered.join(F.broadcast(starts), ["shard", "_bucket"]).select(
+    runs = narrow.groupBy("shard", "_bucket", "doc_id", "text_crc32", "size", "grown_shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "size", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_at", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    runs = runs.join(F.broadcast(starts), ["shard", "_bucket"])
+    runs = runs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return runs.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("key").alias("law"),
         "shard",
-        (F.col("_start") + F.col("_at") - 1).cast("long").alias("slot"),
+        F.explode(F.sequence(F.col("_start") + F.col("_at"), F.col("_start") + F.col("_at") + F.col("_n") - 1)).alias("slot"),
         "grown_shard",
     )

@@ -156,3 +156,53 @@ def test_pii_of_very_long_texts(spark):
     row = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert [(s.start, s.end) for s in row["_spans"]] == [(10 * k, 10 * k + 7) for k in range(3_000)]
     assert pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == "<ip> é " * 3_000
+
+
+def test_sharding_by_weights_growth_and_repeats(spark):
+    weights = [1.0, 2.0, 3.0, 2.0]
+    df = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("x").alias("slot"))
+    rows = sharding.shard_records(df, weights=weights, grown_weight=2.0).collect()
+    share = [sum(r.shard == k for r in rows) / len(rows) for k in range(4)]
+    assert all(abs(s - w / 8) < 0.02 for s, w in zip(share, weights, strict=True))
+    moved = [r for r in rows if r.grown_shard != r.shard]
+    assert {r.grown_shard for r in moved} == {4} and abs(len(moved) / len(rows) - 0.2) < 0.02
+    again = sharding.shard_records(df.where("doc_id % 2 = 0"), weights=weights).collect()
+    assert all(r.shard == next(s for s in (shards[r.doc_id],)) for shards in [{r.doc_id: r.shard for r in rows}] for r in again)  # the key and the count decide
+    hot = spark.range(0, 6000, 1, 6).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text")).unionByName(df.select("doc_id", "text").limit(500))
+    out = sharding.shard_records(hot).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(out) == 6500 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.shard_records(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        sharding.rendezvous(F.col("doc_id"), [1.0, 0.0])
+
+
+def test_language_cases(spark):
+    rows = [(k, "the quick and lazy of that with " * 5, "en") for k in range(9)] + [(9, "der schnelle und das faule von dem " * 5, "de")] * 30
+    train = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(train) == {"en", "de"}
+    odd = spark.createDataFrame([(1, "½ ² ① 12"), (2, "x" * 300_000), (3, "the quick and lazy of that with " * 3), (3, "the quick and lazy of that with " * 3), (None, None)], "doc_id long, score string")
+    got = language.identify(odd.withColumnRenamed("score", "text").withColumn("lang_pred", F.lit("zz")), train).collect()
+    assert {r.lang_pred for r in got if r.doc_id in (1, None)} == {"und"} and {(r.lang_pred, r.score) for r in got if r.doc_id == 3} == {("en", next(r.score for r in got if r.doc_id == 3))}
+    assert language.identify(odd.withColumnRenamed("score", "text").limit(0), train).count() == 0
+
+
+def test_held_out_languages(spark):
+    from palimpsest.llm.common import read
+    from palimpsest.llm.queries import op6_language
+
+    sf = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r.lang for r in read(spark, sf, "documents").collect()}
+    rows = [r for r in op6_language(spark, sf).collect() if r.held_out and r.lang_pred != "und" and lang[r.doc_id]]
+    assert len(rows) > 200 and sum(r.lang_pred == lang[r.doc_id] for r in rows) > 0.97 * len(rows)
+
+
+def test_jaccard_cases(spark):
+    sim = jaccard.Similarity(ngram=4, numerator=85)
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, words), (3, words + " more"), (9, words), (3, "zz " * 30_000), (None, words), (7, None)]
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x")).withColumn("n", F.lit(1)), sim).collect()
+    assert len(out) == 6 and {r.component_id for r in out if r.doc_id in (3, 5, 9)} == {3} and {r.component_id for r in out if r.doc_id == 7} == {7}
+    assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), sim).count() == 0
