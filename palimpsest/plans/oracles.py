@@ -132,6 +132,12 @@ ORACLE_SQL |= {
     "code_updates": """WITH o AS (SELECT o_custkey AS pair_id, o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders WHERE o_orderkey % 7 != 0)
         SELECT pair_id, 'tree' AS origin, v::VARCHAR AS old_value, (v + 1)::VARCHAR AS new_value FROM o WHERE k % 3 = 0
         UNION ALL SELECT pair_id, 'comment', 'note ' || k, 'note ' || k || ' b' FROM o WHERE k % 5 = 0 AND pair_id % 18 < 16""",
+    "code_comments": """SELECT o_custkey AS pair_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx,
+        CASE WHEN o_custkey % 18 IN (16, 17) THEN 'note' WHEN o_custkey % 18 = 12 THEN '-- note ' || o_orderkey ELSE 'note ' || o_orderkey END AS text FROM orders""",
+    "code_declarations": """SELECT o_custkey AS pair_id, 'order_' || o_orderkey AS name FROM orders WHERE o_orderkey % 7 != 0 AND o_custkey % 18 NOT IN (16, 17)""",
+    "code_keywords": """WITH w AS (SELECT unnest(range(18)) AS k, unnest([['def', 'return'], ['function', 'return'], ['function', 'return'], ['function', 'return'], ['func', 'return'], ['fn', 'return'], ['class'], ['class'],
+            ['return'], ['class'], ['function', 'return'], ['fn', 'return'], ['function', 'return', 'end'], ['def', 'return', 'end'], ['function', 'return'], [], [], []]) AS words)
+        SELECT o_custkey AS pair_id, word, count(*) AS n FROM orders JOIN (SELECT k, unnest(words) AS word FROM w) ON k = o_custkey % 18 GROUP BY ALL""",
     "code_deletes": """SELECT o_custkey AS pair_id, count(*) AS entries, count(*) AS notes, 0::BIGINT AS others FROM orders WHERE o_orderkey % 7 = 0 GROUP BY o_custkey""",
     "code_alignment": """WITH o AS (SELECT o_custkey AS pair_id, CASE WHEN o_custkey % 18 IN (0, 16, 17) THEN 3 ELSE 4 END AS n, count(*) AS l, count(*) FILTER (o_orderkey % 7 != 0) AS r FROM orders GROUP BY ALL)
         SELECT pair_id, l * n + 1 AS left_lines, CASE WHEN r = 0 THEN 0 ELSE r * n + 1 END AS right_lines FROM o""",

@@ -417,6 +417,31 @@ def code_alignment(spark, sf_dir):
     return rows.groupBy("pair_id").agg(*(F.count_distinct(F.when(F.col(c) >= 0, F.col(c))).alias(f"{c}s") for c in ("left_line", "right_line")))
 
 
+def _code_side(spark, sf_dir, side):
+    pairs = code_pairs(spark, sf_dir)
+    return pairs.select(F.col("pair_id").alias("key"), F.col(side).alias("text"), R.language_of("src_name").alias("lang"))
+
+
+def code_comments(spark, sf_dir):
+    """Comments of the first versions of programs, without their marks."""
+    found = T.comment_blocks(_code_side(spark, sf_dir, "src"))
+    return found.select(F.col("key").alias("pair_id"), F.col("idx").cast("long").alias("idx"), X.clean_comment(F.col("text")).alias("text"))
+
+
+def code_declarations(spark, sf_dir):
+    """Declarations of the first versions that meet one of their name in the second."""
+    left, right = (T.declarations(T.nodes(_code_side(spark, sf_dir, side))) for side in ("src", "dst"))
+    found = N.declaration_partners(left, right, ["key"])
+    names = left.select("key", F.col("node_id").alias("src_id"), F.regexp_replace("name", "^\\.", "").alias("name"))
+    return found.join(names, ["key", "src_id"]).select(F.col("key").alias("pair_id"), "name")
+
+
+def code_keywords(spark, sf_dir):
+    """Keywords in the first versions of programs, counted."""
+    nodes = T.nodes(_code_side(spark, sf_dir, "src")).where("is_keyword")
+    return nodes.groupBy(F.col("key").alias("pair_id"), F.col("label").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _text_pairs(spark, sf_dir):
     """Linked documents as pairs; their names say no language."""
     pairs = copy_texts(_docs(spark, sf_dir))
@@ -537,7 +562,7 @@ QUERIES = {
         search_matches, git_status, git_name_status, git_sections, line_alignment, line_actions, line_diff_summary, line_folds,
         page_nodes, node_tag_counts, node_attribute_values, node_type_counts, leaf_label_counts, subtree_sizes, enclosing_element,
         repeated_subtrees, tree_mappings, tree_actions, tree_action_summary, move_groups, json_tree_actions, merged_spans, span_pieces, clean_labels,
-        code_modes, code_updates, code_deletes, code_alignment, pair_gates, line_envelopes, line_envelope_totals, page_envelopes, page_highlights,
+        code_modes, code_updates, code_deletes, code_alignment, code_comments, code_declarations, code_keywords, pair_gates, line_envelopes, line_envelope_totals, page_envelopes, page_highlights,
         page_alignment, printed_actions, rule_kinds, virtual_lines, line_tints, column_layers, untouched_blocks, word_overlap, readable_texts,
     )
 }

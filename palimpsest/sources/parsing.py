@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import code, trees
 from .rules import LANGUAGES, Rules
@@ -27,11 +28,18 @@ def parse(text: str, lang: str, rules: Mapping[str, Rules] = LANGUAGES) -> Tree:
 
 
 NODES = """key long, node_id int, parent_id int, child_index int, depth int, height int, pre_size int, post_start int,
-    type string, label string, start_byte int, end_byte int, start_row int, end_row int, is_keyword boolean, is_unordered boolean, h_full long, h_shape long"""
+    type string, label string, start_byte int, end_byte int, start_row int, end_row int, is_keyword boolean, is_unordered boolean, h_full long, h_shape long, lang string"""
 
 
-def nodes(texts: DataFrame, lang: str) -> DataFrame:
-    """One row for every node of ``texts`` (key, text); null text is empty.
+def _with_lang(texts: DataFrame, lang: str | None) -> DataFrame:
+    """(key, text, lang); rows without a known language are left out."""
+    if lang is not None:
+        return texts.select("key", "text", F.lit(lang).alias("lang"))
+    return texts.select("key", "text", "lang").where(F.col("lang").isin(*LANGUAGES))
+
+
+def nodes(texts: DataFrame, lang: str | None = None) -> DataFrame:
+    """One row for every node of ``texts`` (key, text), of one language or with a column ``lang``; null text is empty.
 
     Each text is parsed on its own, so any partitioning of the input is fine
     and nothing is shuffled.
@@ -42,33 +50,53 @@ def nodes(texts: DataFrame, lang: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                t = parse(batch.column(1)[k].as_py() or "", lang)
+                t = parse(batch.column(1)[k].as_py() or "", batch.column(2)[k].as_py())
                 n = len(t)
                 ints = [pa.array(c, pa.int32()) for c in (range(n), t.parent, t.place, t.depth, t.height, t.size, t.post_start)]
                 spans = [pa.array(c, pa.int32()) for c in (t.start, t.end, t.row, t.end_row)]
                 hashes = [pa.array([h - 2 * signed if h >= signed else h for h in c], pa.int64()) for c in (t.full, t.shape)]
                 keys = batch.column(0).take(pa.array([k] * n, pa.int32()))
-                yield pa.RecordBatch.from_arrays([keys, *ints, pa.array(t.kind), pa.array(t.label), *spans, pa.array(t.keyword), pa.array(t.unordered), *hashes], names)
+                yield pa.RecordBatch.from_arrays([keys, *ints, pa.array(t.kind), pa.array(t.label), *spans, pa.array(t.keyword), pa.array(t.unordered), *hashes, pa.array([batch.column(2)[k].as_py()] * n, pa.string())], names)
 
-    return texts.mapInArrow(run, NODES)
+    return _with_lang(texts, lang).mapInArrow(run, NODES)
 
 
 COMMENTS = "key long, idx int, text string, start_byte int, end_byte int, start_row int, end_row int, scope_key string, parent_type string"
 
 
-def comment_blocks(texts: DataFrame, lang: str) -> DataFrame:
-    """One row for every comment of ``texts`` (key, text), in order."""
+def comment_blocks(texts: DataFrame, lang: str | None = None) -> DataFrame:
+    """One row for every comment of ``texts`` (key, text), of one language or with a column ``lang``, in order."""
     names = [c.split()[0] for c in COMMENTS.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rows = [], []
             for k in range(batch.num_rows):
-                found = parse(batch.column(1)[k].as_py() or "", lang).comments
+                found = parse(batch.column(1)[k].as_py() or "", batch.column(2)[k].as_py()).comments
                 keys += [k] * len(found)
                 rows += [(i, c.text, c.start, c.end, c.row, c.end_row, c.scope, c.parent_kind) for i, c in enumerate(found)]
             kinds = [pa.int32(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.string()]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
-    return texts.mapInArrow(run, COMMENTS)
+    return _with_lang(texts, lang).mapInArrow(run, COMMENTS)
+
+
+def declarations(table: DataFrame, languages: Mapping[str, Rules] = LANGUAGES) -> DataFrame:
+    """(key, node_id, type, name, receiver, pre_size): the named declarations of a table of :func:`nodes` with ``lang``, joined with their first name.
+
+    The receiver is the last identifier in brackets before the name, where a declaration has one.
+    """
+    kinds = F.create_map(*(x for r in languages.values() for x in (F.lit(r.name), F.array(*map(F.lit, sorted(r.declaration_types))))))
+    names = F.create_map(*(x for r in languages.values() for x in (F.lit(r.name), F.array(*map(F.lit, sorted(r.identifiers))))))
+    own = table.where(F.array_contains(F.try_element_at(kinds, F.col("lang")), F.col("type"))).select("key", "lang", "node_id", "type", "pre_size")
+    child = table.where(F.array_contains(F.try_element_at(names, F.col("lang")), F.col("type")) & (F.col("label") != "")).select(
+        "key", F.col("parent_id").alias("node_id"), F.col("node_id").alias("_c"), "label", (F.col("type") != "name").alias("_later")
+    )
+    first = child.groupBy("key", "node_id").agg(F.min(F.struct("_later", "_c", "label")).alias("n"))
+    named = own.join(first, ["key", "node_id"]).select("key", "node_id", "type", "pre_size", F.col("n.label").alias("name"), F.col("n._c").alias("_c"))
+    groups = table.where("type = 'parenthesized'").select("key", F.col("parent_id").alias("node_id"), F.col("node_id").alias("_g"), F.col("pre_size").alias("_n"))
+    front = named.join(groups, ["key", "node_id"]).where("_g < _c").groupBy("key", "node_id").agg(F.min(F.struct("_g", "_n")).alias("g"))
+    leaves = table.where("type = 'identifier'").select("key", F.col("node_id").alias("_i"), "label")
+    inside = front.join(leaves, "key").where("_i > g._g AND _i < g._g + g._n").groupBy("key", "node_id").agg(F.max_by("label", "_i").alias("receiver"))
+    return named.drop("_c").join(inside, ["key", "node_id"], "left").select("key", "node_id", "type", "name", F.coalesce("receiver", F.lit("")).alias("receiver"), "pre_size")

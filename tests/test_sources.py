@@ -135,3 +135,27 @@ def test_stream_of_revisions(spark, tmp_path):
     diff_stream(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     rows = {r.pair_id: r for r in read_latest(spark, str(tmp_path / "out")).collect()}
     assert rows["p"].actions == [] and rows["p"].epoch > rows["q"].epoch and rows["q"].mode == "language"
+
+
+def test_counterparts_of_moves_and_rows_that_changed(spark):
+    from palimpsest.operators import diff as P
+
+    src = "def a(x):\n    return x + 1\n\nclass K:\n    def m(self):\n        return 2\n"
+    dst = "class K:\n    def m(self):\n        return 2\n\ndef a(x):\n    return x + 1\n"
+    found = P.diff(spark.createDataFrame([("p", "a.py", "a.py", src, dst, False)], P.PAIRS)).cache()
+    actions, grid = P.actions(found), P.alignment(found)
+    lines = []
+    for side, text in (("left", src), ("right", dst)):
+        at = 0
+        for k, line in enumerate(text.split("\n")):
+            lines.append(("p", side, k, at, len(line.encode())))
+            at += len(line.encode()) + 1
+    table = spark.createDataFrame(lines, "pair_id string, side string, line_no int, start_byte int, n_bytes int")
+    rows = V.move_counterparts(actions, table, grid, ["pair_id"]).collect()
+    texts = {"left": dst.split("\n"), "right": src.split("\n")}
+    assert {(r.from_side, texts[r.from_side][r.line], r.col) for r in rows} in ({("left", "class K:", 0), ("right", "class K:", 0)}, {("left", "def a(x):", 0), ("right", "def a(x):", 0)})
+    assert all(r.grid_row is not None for r in rows)
+    tints = V.line_tints(P.highlight_spans(found).withColumn("size", V.F.col("end_col") - V.F.col("start_col")), ["pair_id"])
+    changed = V.change_rows(grid, tints, ["pair_id"])
+    assert changed.count() == grid.count() and changed.where("changed").count() >= 2
+    assert all("MOVE" in r.preview for r in V.preview(actions.where("action = 'move'"), ["pair_id"]).collect())
