@@ -74,11 +74,19 @@ def linked_pairs(docs: DataFrame) -> DataFrame:
     return near.unionByName(star.select(F.col("representative").alias("a"), F.col("doc_id").alias("b"))).distinct()
 
 
+def _paired(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents that are in a pair; the others need not be cut into lines."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return docs.join(ids, "doc_id", "left_semi")
+
+
 def line_dice(docs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Pairs (near copies if not given) that share a line, with the Dice coefficient of their line multisets."""
-    freq = line_frequency(docs)
-    size = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
     pairs = near_copy_pairs(docs) if pairs is None else pairs
+    docs = _paired(docs, pairs)
+    # A line goes through the exchanges as its digest.
+    freq = lines(docs).groupBy("doc_id", F.unhex(F.sha2("line", 256)).alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    size = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
     shared = (
         pairs.join(freq.select(F.col("doc_id").alias("a"), "line", F.col("n").alias("na")), "a")
         .join(freq.select(F.col("doc_id").alias("b"), "line", F.col("n").alias("nb")), ["b", "line"])
@@ -95,7 +103,7 @@ def line_dice(docs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
 def unique_anchors(docs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(a, b, a_row, b_row): lines that occur once on both sides of a pair (near copies if not given)."""
     pairs = near_copy_pairs(docs) if pairs is None else pairs
-    once = lines(docs).groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").cast("long").alias("row")).where("n = 1")
+    once = lines(_paired(docs, pairs)).groupBy("doc_id", F.unhex(F.sha2("line", 256)).alias("line")).agg(F.count(F.lit(1)).alias("n"), F.min("line_no").cast("long").alias("row")).where("n = 1")
     return (
         pairs.join(once.select(F.col("doc_id").alias("a"), "line", F.col("row").alias("a_row")), "a")
         .join(once.select(F.col("doc_id").alias("b"), "line", F.col("row").alias("b_row")), ["b", "line"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +24,27 @@ def leaf_labels(nodes: DataFrame) -> DataFrame:
 
 
 def nearest_ancestor(nodes: DataFrame, wanted: str) -> DataFrame:
-    """(key, node_id, ancestor_id): deepest ancestor that meets the condition ``wanted``; null without one."""
-    hosts = nodes.where(wanted).select("key", "node_id", "pre_size")
-    found = descendants(nodes, hosts).groupBy("key", "node_id").agg(F.max("root_id").alias("ancestor_id"))
-    return nodes.select("key", "node_id").join(found, ["key", "node_id"], "left")
+    """(key, node_id, ancestor_id): deepest ancestor that meets the condition ``wanted``; null without one.
+
+    Nodes in pre-order are walked once with a stack of open hosts, a document at
+    a time, which is also the unit that the parser holds; only four narrow columns move.
+    """
+    kind = nodes.schema["key"].dataType.simpleString()
+
+    def walk(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node_id")
+        ids, sizes, hosts = (table.column(c).to_pylist() for c in ("node_id", "pre_size", "_host"))
+        found, stack = [], []
+        for i, n, host in zip(ids, sizes, hosts, strict=True):
+            while stack and stack[-1][1] <= i:
+                stack.pop()
+            found.append(stack[-1][0] if stack else None)
+            if host:
+                stack.append((i, i + n))
+        return pa.table({"key": table.column("key"), "node_id": table.column("node_id"), "ancestor_id": pa.array(found, pa.int32())})
+
+    marked = nodes.select("key", "node_id", "pre_size", F.coalesce(F.expr(wanted), F.lit(False)).alias("_host"))
+    return marked.groupBy("key").applyInArrow(walk, f"key {kind}, node_id int, ancestor_id int")
 
 
 def type_counts(nodes: DataFrame) -> DataFrame:

@@ -159,3 +159,14 @@ def test_counterparts_of_moves_and_rows_that_changed(spark):
     changed = V.change_rows(grid, tints, ["pair_id"])
     assert changed.count() == grid.count() and changed.where("changed").count() >= 2
     assert all("MOVE" in r.preview for r in V.preview(actions.where("action = 'move'"), ["pair_id"]).collect())
+
+
+def test_nearest_ancestors_against_parents(spark):
+    df = spark.createDataFrame([(k, f"<div><p>a{k}<b>c</b></p><ul><li>x<i>y</i></ul></div><p>z") for k in range(5)], "key long, text string")
+    nodes = T.nodes(df, "html")
+    rows = {(r.key, r.node_id): r for r in nodes.collect()}
+    for r in N.nearest_ancestor(nodes, "type = 'element' AND label != 'b'").collect():
+        p = rows[r.key, r.node_id].parent_id
+        while p >= 0 and not (rows[r.key, p].type == "element" and rows[r.key, p].label != "b"):
+            p = rows[r.key, p].parent_id
+        assert r.ancestor_id == (p if p >= 0 else None)
