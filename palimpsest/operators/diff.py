@@ -251,6 +251,12 @@ def printed(found: DataFrame, key: str = "pair_id") -> DataFrame:
     return rows.select(key, "seq", action_text(rows).alias("line"))
 
 
+def printed_mappings(found: DataFrame, key: str = "pair_id") -> DataFrame:
+    """(key, line): the mapping of each pair as text, by source node."""
+    rows = mappings(found, key)
+    return rows.orderBy(key, "src_id").select(key, F.format_string("%d -> %d", "src_id", "dst_id").alias("line"))
+
+
 def pairs_of_files(spark: SparkSession, left: str, right: str) -> DataFrame:
     """Pairs of the files of two folders with equal paths below them; a file on one side alone faces an empty text.
 
