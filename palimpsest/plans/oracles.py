@@ -16,6 +16,15 @@ _PAIRS = f"""{_LINES}, units AS (
 _EVENTS = """e AS (SELECT lag(event_id) OVER w AS a, event_id AS b, lag(props) OVER w AS src, props AS dst
     FROM (SELECT event_id, user_id, ts, CASE event_id % 5 WHEN 1 THEN '{"k": null}' WHEN 2 THEN '{"m": "x", ' || substring(props, 2) WHEN 3 THEN '{}' ELSE props END AS props FROM events)
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+_PROPS = """p AS (SELECT event_id AS key, CASE event_id % 5 WHEN 1 THEN '{"k": null}' WHEN 2 THEN '{"m": "x", ' || substring(props, 2) WHEN 3 THEN '{}' ELSE props END AS props FROM events),
+    m AS (SELECT key, props, len(json_keys(props)) AS n FROM p),
+    k AS (SELECT key, unnest(json_keys(props)) AS name, generate_subscripts(json_keys(props), 1) AS i, props, n FROM m WHERE n > 0),
+    v AS (SELECT key, i, n, '"' || name || '"' AS name, (props -> ('$."' || name || '"'))::VARCHAR AS value FROM k),
+    nodes AS (SELECT key, 0 AS node_id, -1 AS parent_id, -1 AS child_index, 0 AS depth, CASE WHEN n > 0 THEN 4 ELSE 2 END AS height, 2 + 3 * n AS pre_size, 0 AS post_start, 'document' AS type, '' AS label FROM m
+        UNION ALL SELECT key, 1, 0, 0, 1, CASE WHEN n > 0 THEN 3 ELSE 1 END, 1 + 3 * n, 0, 'object', '' FROM m
+        UNION ALL SELECT key, 3 * i - 1, 1, i - 1, 2, 2, 3, 3 * i - 3, 'pair', '' FROM v
+        UNION ALL SELECT key, 3 * i, 3 * i - 1, 0, 3, 1, 1, 3 * i - 3, 'key', name FROM v
+        UNION ALL SELECT key, 3 * i + 1, 3 * i - 1, 1, 3, 1, 1, 3 * i - 2, CASE WHEN value = 'null' THEN 'null' WHEN value[1] = '"' THEN 'string' ELSE 'number' END, value FROM v)"""
 _KEYS = """o AS (SELECT a, b, unnest(json_keys(src)) AS key, src FROM e WHERE src IS NOT NULL AND dst IS NOT NULL),
     d AS (SELECT a, b, unnest(json_keys(dst)) AS key, dst FROM e WHERE src IS NOT NULL AND dst IS NOT NULL),
     changes AS (SELECT coalesce(o.a, d.a) AS a, coalesce(o.b, d.b) AS event_id, coalesce(o.key, d.key) AS key,
@@ -127,6 +136,29 @@ ORACLE_SQL |= {
         SELECT a, b, 'update' AS action, p AS type, x AS old_value, y AS new_value FROM k WHERE p = q AND x != y
         UNION ALL SELECT a, b, 'delete', p, x, NULL FROM k WHERE p IS NOT NULL AND p IS DISTINCT FROM q
         UNION ALL SELECT a, b, 'insert', q, NULL, y FROM k WHERE q IS NOT NULL AND p IS DISTINCT FROM q""",
+    "copy_groups": f"WITH {_PAIRS} SELECT kind, sha256(part) AS key, n, low AS representative, doc_id FROM held",
+    "column_layers": f"""WITH {_LINES}, low AS (SELECT doc_id, line_no, replace(lower(line), chr(9), '    ') AS l FROM lines),
+        found AS (SELECT doc_id, line_no, w, p, unnest(generate_series(1, len(p) - 1)) AS k FROM (SELECT doc_id, line_no, w, string_split(l, w) AS p FROM low, (VALUES ('the'), ('tion')) t(w) WHERE contains(l, w))),
+        spans AS (SELECT doc_id, line_no, list_sum(list_transform(p[1:k], lambda x: strlen(x)))::BIGINT + (k - 1) * strlen(w) AS a, list_sum(list_transform(p[1:k], lambda x: strlen(x)))::BIGINT + k * strlen(w) AS b, strlen(w) AS size,
+                CASE WHEN w = 'tion' THEN 'update' WHEN line_no % 2 = 0 THEN 'delete' ELSE 'insert' END AS action FROM found
+            UNION ALL SELECT doc_id, line_no, 0, strlen(line), strlen(line), 'move' FROM lines WHERE doc_id % 3 = 0 AND line != ''),
+        cells AS (SELECT doc_id, line_no, unnest(generate_series(a, b - 1)) AS c, size, b - a AS n, action, CASE action WHEN 'update' THEN 4 WHEN 'insert' THEN 3 WHEN 'move' THEN 2 ELSE 1 END AS p FROM spans),
+        best AS (SELECT doc_id, line_no, c, arg_min(action, (size, n, -p)) AS x, bool_or(action = 'move') AS moved FROM cells GROUP BY ALL),
+        shown AS (SELECT doc_id, line_no, c, CASE WHEN x = 'update' AND moved THEN 'move_update' ELSE x END AS action FROM best),
+        runs AS (SELECT *, c - row_number() OVER (PARTITION BY doc_id, line_no, action ORDER BY c) AS r FROM shown)
+        SELECT doc_id, 'left' AS side, line_no AS line, min(c) AS start_col, max(c) + 1 AS end_col, action FROM runs GROUP BY doc_id, line_no, action, r""",
+    "event_nodes": f"WITH {_PROPS} SELECT key, node_id::INT AS node_id, parent_id::INT AS parent_id, child_index::INT AS child_index, depth::INT AS depth, height::INT AS height, pre_size::INT AS pre_size, post_start::INT AS post_start, type, label FROM nodes",
+    "event_type_counts": f"""WITH {_PROPS} SELECT key, type, count(*) AS n, count(*) FILTER (pre_size = 1) AS n_leaves, max(depth)::INT AS max_depth, max(height)::INT AS max_height FROM nodes GROUP BY key, type""",
+    "event_leaves": f"WITH {_PROPS} SELECT key, type, label, count(*) AS n FROM nodes WHERE pre_size = 1 AND label != '' GROUP BY ALL",
+    "event_subtrees": f"WITH {_PROPS} SELECT key, node_id::INT AS node_id, pre_size::BIGINT AS counted FROM nodes WHERE pre_size > 1",
+    "event_hosts": f"WITH {_PROPS} SELECT key, node_id::INT AS node_id, CASE WHEN depth = 3 THEN parent_id::INT END AS ancestor_id FROM nodes",
+    "event_repeats": f"""WITH {_PROPS}, g AS (SELECT name, value, count(*) AS places, count(DISTINCT key) AS documents FROM v GROUP BY ALL HAVING count(*) > 1)
+        SELECT places, documents, 3::INT AS pre_size, 'pair' AS type, count(*) AS n FROM g GROUP BY ALL""",
+    "event_label_counts": f"WITH {_PROPS} SELECT key, label, count(*) AS n FROM nodes WHERE label != '' GROUP BY ALL",
+    "self_edit_summary": f"""WITH {_LINES}, n AS (SELECT doc_id, any_value(text) AS text, count(*) AS n, count(*) FILTER (line_no % 7 = 6) AS d FROM lines JOIN documents USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id AS a, CASE WHEN text = '' THEN 0 ELSE n - d END AS equal_lines, 0::BIGINT AS changed_lines, d AS deleted_lines, CASE WHEN text = '' THEN 1 ELSE 0 END::BIGINT AS inserted_lines FROM n""",
+    "self_edit_actions": f"""WITH {_LINES}, n AS (SELECT doc_id, count(*) FILTER (line_no % 7 = 6) AS d, any_value(text) AS text FROM lines JOIN documents USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, unnest(['compat', 'full']) AS mode, CASE WHEN text = '' THEN 'insert' ELSE 'delete' END AS action, greatest(d, (text = '')::BIGINT) AS n, greatest(d, (text = '')::BIGINT) - 1 AS last FROM n WHERE d > 0 OR text = ''""",
     "code_modes": f"""SELECT DISTINCT o_custkey AS pair_id, 'tree' AS mode, (['python', 'javascript', 'typescript', 'tsx', 'go', 'rust', 'java', 'csharp', 'c', 'cpp', 'php', 'zig', 'lua', 'ruby', 'bash', 'css', 'yaml', 'toml'])[o_custkey % 18 + 1] AS lang,
         0::INT AS errors FROM orders""",
     "code_updates": """WITH o AS (SELECT o_custkey AS pair_id, o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders WHERE o_orderkey % 7 != 0)

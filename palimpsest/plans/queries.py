@@ -151,13 +151,17 @@ def tag_counts(spark, sf_dir):
     return tags.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _event_pairs(spark, sf_dir):
-    """Consecutive events of a user; some properties are turned to null, dropped or added, by the event id."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def _events(spark, sf_dir):
+    """Events; some properties are turned to null, dropped or added, by the event id."""
     k = F.col("event_id") % 5
     props = F.when(k == 1, F.lit('{"k": null}')).when(k == 2, F.concat(F.lit('{"m": "x", '), F.substring("props", 2, 1 << 30))).when(k == 3, F.lit("{}")).otherwise(F.col("props"))
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", props.alias("props"))
-    events = events.select(F.lag("event_id").over(order).alias("a"), F.col("event_id").alias("b"), F.lag("props").over(order).alias("src"), F.col("props").alias("dst"))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", props.alias("props"))
+
+
+def _event_pairs(spark, sf_dir):
+    """Consecutive events of a user."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = _events(spark, sf_dir).select(F.lag("event_id").over(order).alias("a"), F.col("event_id").alias("b"), F.lag("props").over(order).alias("src"), F.col("props").alias("dst"))
     return events.where("src IS NOT NULL AND dst IS NOT NULL")
 
 
@@ -313,6 +317,66 @@ def json_tree_actions(spark, sf_dir):
     return found.where("type IN ('number', 'string', 'null')").select("a", "b", "action", "type", "old_value", "new_value")
 
 
+def _event_nodes(spark, sf_dir):
+    return T.nodes(_events(spark, sf_dir).select(F.col("event_id").alias("key"), F.col("props").alias("text")), "json")
+
+
+def event_nodes(spark, sf_dir):
+    """Nodes of the properties of events, with their places."""
+    return _event_nodes(spark, sf_dir).select("key", "node_id", "parent_id", "child_index", "depth", "height", "pre_size", "post_start", "type", "label")
+
+
+def event_type_counts(spark, sf_dir):
+    return N.type_counts(_event_nodes(spark, sf_dir))
+
+
+def event_leaves(spark, sf_dir):
+    return N.leaf_labels(_event_nodes(spark, sf_dir))
+
+
+def event_subtrees(spark, sf_dir):
+    """Sizes of subtrees as the containment join counts them."""
+    nodes = _event_nodes(spark, sf_dir)
+    found = N.descendants(nodes, nodes.where("pre_size > 1"))
+    return found.groupBy("key", F.col("root_id").alias("node_id")).agg((F.count(F.lit(1)) + 1).alias("counted"))
+
+
+def event_hosts(spark, sf_dir):
+    """The nearest pair around every node."""
+    return N.nearest_ancestor(_event_nodes(spark, sf_dir), "type = 'pair'")
+
+
+def event_repeats(spark, sf_dir):
+    """Equal pairs of key and value: in how many places and events each is."""
+    found = N.repeated_subtrees(_event_nodes(spark, sf_dir).where("type = 'pair'"))
+    return found.groupBy("places", "documents", "pre_size", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def event_label_counts(spark, sf_dir):
+    """How often each label occurs below the root of each event."""
+    nodes = _event_nodes(spark, sf_dir)
+    return N.label_frequency(nodes, nodes.where("node_id = 0")).select("key", "label", "n")
+
+
+def _self_edits(spark, sf_dir):
+    """Every document with itself without every seventh line."""
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: i % 7 != 6)
+    docs = _docs(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    return docs.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("text").alias("src"), F.array_join(kept, "\n").alias("dst"))
+
+
+def self_edit_summary(spark, sf_dir):
+    """What comparing each document with itself without every seventh line says."""
+    return D.summary(D.align_pairs(_self_edits(spark, sf_dir))).drop("b")
+
+
+def self_edit_actions(spark, sf_dir):
+    """The deletes of the same comparison, counted, and those in the full mode."""
+    grid = D.align_pairs(_self_edits(spark, sf_dir))
+    rows = D.actions(grid).withColumn("mode", F.lit("compat")).unionByName(D.actions(grid, "full").withColumn("mode", F.lit("full")))
+    return rows.groupBy(F.col("a").alias("doc_id"), "mode", "action").agg(F.count(F.lit(1)).alias("n"), F.max("seq").cast("long").alias("last"))
+
+
 def _words(spark, sf_dir):
     """Byte spans of a word in documents, as a stand-in for changed spans."""
     pieces = _docs(spark, sf_dir).where(F.col("text").contains("the")).select("doc_id", F.split("text", "the", -1).alias("p"))
@@ -497,11 +561,6 @@ def printed_actions(spark, sf_dir):
     return P.printed(_page_diff(spark, sf_dir, P.Options(actions=True)))
 
 
-def rule_kinds(spark, sf_dir):
-    """How many rules of each kind each language has."""
-    return R.rule_table(spark).groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 def virtual_lines(spark, sf_dir):
     """Visible rows of documents whose unchanged rows are folded."""
     rows = _marked(spark, sf_dir)
@@ -525,7 +584,8 @@ def line_tints(spark, sf_dir):
 
 def column_layers(spark, sf_dir):
     """What each stretch of a line shows where highlights lie over each other."""
-    return V.column_layers(_marks(spark, sf_dir), ["doc_id"])
+    rows = V.column_layers(_marks(spark, sf_dir), ["doc_id"])
+    return rows.select("doc_id", "side", *(F.col(c).cast("long").alias(c) for c in ("line", "start_col", "end_col")), "action")
 
 
 def untouched_blocks(spark, sf_dir):
@@ -561,8 +621,9 @@ QUERIES = {
         copy_groups, gate_modes, page_language, trivial_lines, bigram_similarity, comment_similarity, levenshtein_ratio, attribute_values, tag_counts, json_pair_diff, folds, next_change,
         search_matches, git_status, git_name_status, git_sections, line_alignment, line_actions, line_diff_summary, line_folds,
         page_nodes, node_tag_counts, node_attribute_values, node_type_counts, leaf_label_counts, subtree_sizes, enclosing_element,
-        repeated_subtrees, tree_mappings, tree_actions, tree_action_summary, move_groups, json_tree_actions, merged_spans, span_pieces, clean_labels,
+        repeated_subtrees, event_nodes, event_type_counts, event_leaves, event_subtrees, event_hosts, event_repeats, event_label_counts,
+        self_edit_summary, self_edit_actions, tree_mappings, tree_actions, tree_action_summary, move_groups, json_tree_actions, merged_spans, span_pieces, clean_labels,
         code_modes, code_updates, code_deletes, code_alignment, code_comments, code_declarations, code_keywords, pair_gates, line_envelopes, line_envelope_totals, page_envelopes, page_highlights,
-        page_alignment, printed_actions, rule_kinds, virtual_lines, line_tints, column_layers, untouched_blocks, word_overlap, readable_texts,
+        page_alignment, printed_actions, virtual_lines, line_tints, column_layers, untouched_blocks, word_overlap, readable_texts,
     )
 }
