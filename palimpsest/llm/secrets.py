@@ -55,9 +55,9 @@ _MARKS = b"\"'`<>()[]{},;:=|"
 TAGS = 3  # O, B, I
 #: Bounds of the training sample: documents, their lines without a secret, and tokens of a line.
 TRAINING_DOCUMENTS = 6_000
-TRAINING_LINES = 3_000
+TRAINING_LINES = 1_000
 TRAINING_TOKENS = 400
-ROUNDS = 80
+ROUNDS = 60
 #: Texts are scanned together up to so many characters.
 PART_CHARS = 2_000_000
 
