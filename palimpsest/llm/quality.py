@@ -24,7 +24,7 @@ those asked for; ``keep_good`` returns the columns it was given, whatever their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, hint, materialize
@@ -104,9 +104,8 @@ def thresholds(labelled: DataFrame, stratum: str = "lang", alpha: float = 0.05,
             cells.append(
                 F.struct(F.lit(rule).alias("rule"), F.lit(float(cutoff)).alias("cutoff"), F.col(f"f_{rule}_{k}").alias("wrong"), F.col(f"t_{rule}_{k}").alias("right"))
             )
-    strata = labelled.groupBy(F.col(stratum).alias("stratum")).agg(*counts)
-    # One row for each stratum: a window over them all is small.
-    strata = strata.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    strata = materialize(labelled.groupBy(F.col(stratum).alias("stratum")).agg(*counts), "quality-strata")
+    strata = strata.withColumn("strata", F.lit(strata.count()))
     each = alpha / len(RULES)
     cells_df = strata.select("stratum", "good", "poor", "strata", F.explode(F.array(*cells)).alias("c")).select("stratum", "good", "poor", "strata", "c.*")
     # P(X <= false) for X ~ Binomial(good, each): terms in logarithms, each from the one before.

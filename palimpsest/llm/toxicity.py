@@ -384,7 +384,7 @@ def score_documents(documents: DataFrame, model: Model, evidence: bool = True) -
 
 def scored(model: Model, texts: pa.Array, known: dict[bytes, tuple]) -> list[tuple[float, list]]:
     """Scores and the three nearest of each text; the answers for equal texts are kept, up to a bound."""
-    if len(known) > 20_000:
+    if len(known) > 5_000:
         known.clear()
     out: list[tuple[float, list]] = []
     for part in parts(texts):
