@@ -105,7 +105,7 @@ def thresholds(labelled: DataFrame, stratum: str = "lang", alpha: float = 0.05,
                 F.struct(F.lit(rule).alias("rule"), F.lit(float(cutoff)).alias("cutoff"), F.col(f"f_{rule}_{k}").alias("wrong"), F.col(f"t_{rule}_{k}").alias("right"))
             )
     strata = materialize(labelled.groupBy(F.col(stratum).alias("stratum")).agg(*counts), "quality-strata")
-    strata = strata.withColumn("strata", F.lit(strata.count()))
+    strata = strata.withColumn("strata", F.lit(max(1, strata.count())))
     each = alpha / len(RULES)
     cells_df = strata.select("stratum", "good", "poor", "strata", F.explode(F.array(*cells)).alias("c")).select("stratum", "good", "poor", "strata", "c.*")
     # P(X <= false) for X ~ Binomial(good, each): terms in logarithms, each from the one before.
