@@ -190,3 +190,34 @@ def preview(actions: DataFrame, keys: list[str], width: int = 60, value: int = 2
     values = F.concat(F.lit("'"), truncated(F.col("old_value"), value), F.lit("' → '"), truncated(F.col("new_value"), value), F.lit("'"))
     detail = F.when((F.col("action") == "update") & (F.col("old_value") != "") & (F.col("new_value") != ""), values).otherwise(node)
     return actions.select(*keys, "seq", truncated(F.concat(F.upper("action"), F.lit("  "), detail), width).alias("preview"))
+
+
+def range_texts(ranges: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """``ranges`` (keys, side, start_byte, end_byte) with ``range``: both ends as lines and columns, counted from 1.
+
+    ``lines`` has (keys, side, line_no, start_byte, n_bytes); a place behind the last line is its beginning.
+    """
+    place = [*keys, "side"]
+    last = lines.groupBy(*place).agg(F.max("line_no").alias("_last"), F.max(F.col("start_byte") + F.col("n_bytes")).alias("_end"))
+    ends = ranges.select(*place, "start_byte", "end_byte").distinct()
+    ends = ends.select("*", F.posexplode(F.array("start_byte", "end_byte")).alias("_k", "_b")).join(last, place)
+    rows = lines.select(*place, "line_no", F.col("start_byte").alias("_from"), (F.col("start_byte") + F.col("n_bytes")).alias("_to"))
+    found = ends.join(rows, place).where("_b BETWEEN _from AND _to OR _b > _end AND line_no = _last")
+    text = F.when(F.col("_b") > F.col("_end"), position_text(F.col("line_no"), F.lit(0))).otherwise(position_text(F.col("line_no"), F.col("_b") - F.col("_from")))
+    both = found.groupBy(*place, "start_byte", "end_byte").agg(*(F.max(F.when(F.col("_k") == k, text)).alias(f"_{k}") for k in range(2)))
+    return ranges.join(both.select(*place, "start_byte", "end_byte", F.concat("_0", F.lit(" - "), "_1").alias("range")), [*place, "start_byte", "end_byte"], "left")
+
+
+def details(actions: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seq, place, field, value): what an inspector tells about each action, in order; fields without a value are left out."""
+    sides = F.inline(F.array(*(F.struct(F.lit(n).alias("what"), F.when(F.col(f"{n}.tree") == "before", "left").otherwise("right").alias("side"), F.col(f"{n}.start_byte").alias("start_byte"), F.col(f"{n}.end_byte").alias("end_byte")) for n in ("node", "dest_node"))))
+    spans = actions.select(*keys, "seq", sides).where("start_byte IS NOT NULL")
+    texts = range_texts(spans, lines, keys).groupBy(*keys, "seq").agg(*(F.max(F.when(F.col("what") == n, F.col("range"))).alias(f"_{n}") for n in ("node", "dest_node")))
+    rows = actions.join(texts, [*keys, "seq"], "left")
+    fields = (
+        ("action", F.upper("action")), ("type", readable_type(F.col("node.type"))), ("label", F.col("node.label")), ("range", F.col("_node")), ("new range", F.col("_dest_node")),
+        ("old value", F.col("old_value")), ("new value", F.col("new_value")), ("parent", readable_type(F.col("parent.type"))), ("old parent", readable_type(F.col("old_parent.type"))),
+        ("group", F.col("group_id")), ("subtree", F.when(F.col("subtree"), "yes")),
+    )
+    told = F.inline(F.array(*(F.struct(F.lit(k).alias("place"), F.lit(name).alias("field"), value.cast("string").alias("value")) for k, (name, value) in enumerate(fields))))
+    return rows.select(*keys, "seq", told).where("value IS NOT NULL")

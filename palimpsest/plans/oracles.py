@@ -170,6 +170,11 @@ ORACLE_SQL |= {
     "code_keywords": """WITH w AS (SELECT unnest(range(18)) AS k, unnest([['def', 'return'], ['function', 'return'], ['function', 'return'], ['function', 'return'], ['func', 'return'], ['fn', 'return'], ['class'], ['class'],
             ['return'], ['class'], ['function', 'return'], ['fn', 'return'], ['function', 'return', 'end'], ['def', 'return', 'end'], ['function', 'return'], [], [], []]) AS words)
         SELECT o_custkey AS pair_id, word, count(*) AS n FROM orders JOIN (SELECT k, unnest(words) AS word FROM w) ON k = o_custkey % 18 GROUP BY ALL""",
+    "code_previews": """SELECT o_custkey AS pair_id, 'UPDATE  ' || chr(39) || v || chr(39) || ' → ' || chr(39) || (v + 1) || chr(39) AS preview
+        FROM (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders) WHERE o_orderkey % 7 != 0 AND o_orderkey % 3 = 0""",
+    "code_ranges": """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT)::VARCHAR AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+        p AS (SELECT *, CASE WHEN c % 18 IN (0, 16, 17) THEN 3 ELSE 4 END AS n, ([11, 9, 9, 9, 8, 11, 10, 10, 9, 10, 9, 11, 9, 9, 9, 9, 9, 8])[c % 18 + 1] AS col FROM o)
+        SELECT c AS pair_id, v AS old_value, 'L' || (n * i + 3) || ':' || (col + 1) || ' - L' || (n * i + 3) || ':' || (col + 1 + length(v)) AS range FROM p WHERE k % 7 != 0 AND k % 3 = 0""",
     "code_deletes": """SELECT o_custkey AS pair_id, count(*) AS entries, count(*) AS notes, 0::BIGINT AS others FROM orders WHERE o_orderkey % 7 = 0 GROUP BY o_custkey""",
     "code_alignment": """WITH o AS (SELECT o_custkey AS pair_id, CASE WHEN o_custkey % 18 IN (0, 16, 17) THEN 3 ELSE 4 END AS n, count(*) AS l, count(*) FILTER (o_orderkey % 7 != 0) AS r FROM orders GROUP BY ALL)
         SELECT pair_id, l * n + 1 AS left_lines, CASE WHEN r = 0 THEN 0 ELSE r * n + 1 END AS right_lines FROM o""",

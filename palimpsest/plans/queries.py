@@ -506,6 +506,20 @@ def code_keywords(spark, sf_dir):
     return nodes.groupBy(F.col("key").alias("pair_id"), F.col("label").alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def code_previews(spark, sf_dir):
+    """One line about each value that was updated."""
+    return V.preview(_code_actions(spark, sf_dir).where("action = 'update' AND origin = 'tree'"), ["pair_id"]).select("pair_id", "preview")
+
+
+def code_ranges(spark, sf_dir):
+    """Lines and columns of the values that were updated, in the first version."""
+    docs = code_pairs(spark, sf_dir).select(F.col("pair_id").alias("doc_id"), F.col("src").alias("text"))
+    lines = L.line_offsets(docs).select(F.col("doc_id").alias("pair_id"), F.lit("left").alias("side"), "line_no", "start_byte", "n_bytes")
+    rows = _code_actions(spark, sf_dir).where("action = 'update' AND origin = 'tree'")
+    rows = rows.select("pair_id", F.lit("left").alias("side"), F.col("node.start_byte").alias("start_byte"), F.col("node.end_byte").alias("end_byte"), "old_value")
+    return V.range_texts(rows, lines, ["pair_id"]).select("pair_id", "old_value", "range")
+
+
 def _text_pairs(spark, sf_dir):
     """Linked documents as pairs; their names say no language."""
     pairs = copy_texts(_docs(spark, sf_dir))
@@ -623,7 +637,7 @@ QUERIES = {
         page_nodes, node_tag_counts, node_attribute_values, node_type_counts, leaf_label_counts, subtree_sizes, enclosing_element,
         repeated_subtrees, event_nodes, event_type_counts, event_leaves, event_subtrees, event_hosts, event_repeats, event_label_counts,
         self_edit_summary, self_edit_actions, tree_mappings, tree_actions, tree_action_summary, move_groups, json_tree_actions, merged_spans, span_pieces, clean_labels,
-        code_modes, code_updates, code_deletes, code_alignment, code_comments, code_declarations, code_keywords, pair_gates, line_envelopes, line_envelope_totals, page_envelopes, page_highlights,
+        code_modes, code_updates, code_deletes, code_alignment, code_comments, code_declarations, code_keywords, code_previews, code_ranges, pair_gates, line_envelopes, line_envelope_totals, page_envelopes, page_highlights,
         page_alignment, printed_actions, virtual_lines, line_tints, column_layers, untouched_blocks, word_overlap, readable_texts,
     )
 }

@@ -158,6 +158,11 @@ def test_counterparts_of_moves_and_rows_that_changed(spark):
     tints = V.line_tints(P.highlight_spans(found).withColumn("size", V.F.col("end_col") - V.F.col("start_col")), ["pair_id"])
     changed = V.change_rows(grid, tints, ["pair_id"])
     assert changed.count() == grid.count() and changed.where("changed").count() >= 2
+    told = {(r.seq, r.field): r.value for r in V.details(actions, table, ["pair_id"]).collect()}
+    moved = actions.where("action = 'move'").first()
+    assert told[moved.seq, "action"] == "MOVE" and told[moved.seq, "range"] in ("L4:1 - L6:17", "L1:1 - L2:17") and (moved.seq, "new range") in told
+    ends = spark.createDataFrame([("p", "left", 0, 3), ("p", "left", 4, 999)], "pair_id string, side string, start_byte int, end_byte int")
+    assert sorted(r.range for r in V.range_texts(ends, table, ["pair_id"]).collect()) == ["L1:1 - L1:4", "L1:5 - L7:1"]
     assert all("MOVE" in r.preview for r in V.preview(actions.where("action = 'move'"), ["pair_id"]).collect())
 
 
