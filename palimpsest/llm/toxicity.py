@@ -58,7 +58,7 @@ class Settings:
     #: A term lies in the dense table if it is in this part of the examples.
     dense_from: float = 0.04
     #: Texts whose vectors are searched together.
-    together: int = 64
+    together: int = 96
 
 
 def words_of(text: str | None) -> list[str]:
@@ -72,10 +72,11 @@ Near = list[tuple[int, float]]
 
 
 def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All positions of the ranges, and the range of each."""
+    """All positions of the ranges, and the range of each, as 32-bit numbers."""
     n = end - start
     before = np.cumsum(n) - n
-    return np.arange(n.sum()) + np.repeat(start - before, n), np.repeat(np.arange(len(n)), n)
+    part = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    return np.arange(len(part), dtype=np.int32) + (start - before).astype(np.int32)[part], part
 
 
 class Index:
@@ -145,9 +146,11 @@ class Index:
                     scores[own, rows] = (dense @ self.dense[rows].T)[own]
                 else:
                     scores[own, rows] = dense[own] @ self.dense[rows].T
-            kept = chosen[query, block]
-            place, part = _spread(self.entry_start[entry[kept]], self.entry_start[entry[kept] + 1])
-            np.add.at(scores.reshape(-1), query[kept][part] * self.rows + self.at[place], self.weights[place] * q[kept][part])
+            kept = np.flatnonzero(chosen[query, block])
+            held = entry[kept]
+            place, part = _spread(self.entry_start[held], self.entry_start[held + 1])
+            first = (query[kept] * self.rows).astype(np.int32)
+            np.add.at(scores.reshape(-1), first[part] + self.at[place], self.weights[place] * q[kept][part])
             if without is not None:
                 scores[np.arange(n), without] = 0
 
