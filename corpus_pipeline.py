@@ -11,10 +11,14 @@ before it kept.  All but the last return the columns of ``docs``:
    ``n_chars``, where there is one, follows the text;
 5. packing: one row for each piece of a document, with its token ids.
 
-Cases: documents with a null id cannot be grouped as near duplicates and stay
-there; rows that repeat an id are judged and grouped by their own texts, and of
-rows equal in id and text the near-duplicate stage keeps one; empty tables pass
-through.
+Cases: documents with a null id are judged like any other by the first two
+stages, cannot be grouped as near duplicates and stay there; rows that repeat an
+id are judged and grouped by their own texts, and of rows equal in id and text
+the near-duplicate stage keeps one; null and empty texts fail the base rules of
+quality; of a group's documents with equal similarity the smallest id stays,
+whatever their texts; very long texts are treated as a whole by every stage;
+further columns of any name come through all stages but the last as they are;
+empty tables pass through.
 """
 
 from __future__ import annotations
