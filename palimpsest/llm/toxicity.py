@@ -238,6 +238,11 @@ class Model:
     #: Rising steps (vote up to, probability).
     steps: list[tuple[float, float]] = field(default_factory=list)
 
+    def free(self) -> None:
+        """Let go of the tables, in a worker whose task is over; every task gets a model of its own."""
+        self.index, self.weight = None, np.zeros(0)
+        release()
+
     def vectors(self, texts: Sequence[str | None]) -> list[Vector]:
         """Unit TF-IDF vectors; logarithmic term frequency."""
         return [self.unit(c) for c in term_counts(texts, self.terms)]
@@ -379,7 +384,7 @@ def score_documents(documents: DataFrame, model: Model, evidence: bool = True) -
             columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(p >= 0.5) for p in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(why, pa.list_(pa.string()))], ["doc_id", "score", "predicted", "evidence"])
         known.clear()
-        release()
+        model.free()
 
     out = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<string>")
     return out if evidence else out.drop("evidence")
@@ -408,6 +413,6 @@ def drop_toxic(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([p < 0.5 for p, _ in scored(model, batch.column(at), known)], pa.bool_()))
         known.clear()
-        release()
+        model.free()
 
     return documents.mapInArrow(run, documents.schema)
