@@ -91,9 +91,12 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack_documents(docs, queries.vocabulary())
+    return packing.pack_documents(docs, queries.vocabulary(), slice_chars=SLICE_CHARS)
 
 
+#: Workers that ran other stages before hold more, so packing takes less at a time.
+SLICE_CHARS = 2_000_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
