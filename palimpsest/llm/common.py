@@ -116,7 +116,7 @@ def gathered(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 8_0
         yield pa.concat_batches(held)
 
 
-def parts(texts: pa.Array, rows: int = 512, chars: int = 1_000_000) -> Iterator[list[str]]:
+def parts(texts: pa.Array, rows: int = 256, chars: int = 500_000) -> Iterator[list[str]]:
     """The texts in turn, null as empty, in lists of bounded size, or one long text."""
     held, total = [], 0
     for value in texts:

@@ -237,10 +237,24 @@ class Model:
     empty_score: float = 0.0
     #: Rising steps (vote up to, probability).
     steps: list[tuple[float, float]] = field(default_factory=list)
+    #: Terms and their occurrences in the indexed examples, end to end, and where each example ends.
+    held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        """Without the index, which is several times as large as what it is made from."""
+        return {**self.__dict__, "index": None}
+
+    def searchable(self) -> Index | None:
+        """The index, made anew in a worker."""
+        if self.index is None and self.held is not None:
+            terms, times, ends = self.held
+            pairs = zip(np.split(terms, ends[:-1]), np.split(times, ends[:-1]), strict=True)
+            self.index = Index((self.unit(p) for p in pairs), self.settings.block, self.settings.dense_from)
+        return self.index
 
     def free(self) -> None:
         """Let go of the tables, in a worker whose task is over; every task gets a model of its own."""
-        self.index, self.weight = None, np.zeros(0)
+        self.index, self.held, self.weight = None, None, np.zeros(0)
         release()
 
     def vectors(self, texts: Sequence[str | None]) -> list[Vector]:
@@ -273,7 +287,8 @@ class Model:
         all_vectors = self.vectors(texts)
         for a in range(0, len(texts), step):
             vectors = all_vectors[a : a + step]
-            found = self.index.nearest(vectors, k) if self.index else [[]] * len(vectors)
+            index = self.searchable()
+            found = index.nearest(vectors, k) if index else [[]] * len(vectors)
             out += [(self._probability(near), [(self.ids[r], s) for r, s in near]) for near in found]
         return out
 
@@ -303,6 +318,8 @@ def fit(examples: list[tuple], terms: Terms, spread: np.ndarray, documents: floa
     # Texts that share their most frequent terms share blocks, so that the bounds of other blocks are small.
     kept = sorted((k for k, (held, _) in enumerate(counts) if len(held)), key=lambda k: (tuple(sorted(counts[k][0][np.argsort(-counts[k][1] * (spread[counts[k][0]] + 1), kind="stable")[:3]].tolist())), k))
     model.ids, model.toxic = [examples[k][0] for k in kept], [toxic[k] for k in kept]
+    if kept:
+        model.held = (*(np.concatenate([counts[k][j] for k in kept]).astype(np.int32) for j in (0, 1)), np.cumsum([len(counts[k][0]) for k in kept]))
     vectors = [model.unit(counts[k]) for k in kept]
     model.index = Index(vectors, settings.block, settings.dense_from)
     votes = []
