@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline: ten corpus-scale jobs over documents.
+"""Operators of a training-data pipeline: thirteen corpus-scale jobs over documents.
 
 Nothing outside this subpackage imports it.  Every module holds one operator
 with its own general interface; the thin ``opN_<name>`` queries live in

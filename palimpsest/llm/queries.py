@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mpegts, oracles, packing, pii, quality, secrets, sharding, tokens, toxicity
+from . import divergence, jaccard, language, mpegts, negatives, ngram_lm, oracles, packing, pii, quality, secrets, sharding, tokens, toxicity
 from .common import fold, read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -77,9 +77,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", label.alias("label"), "embedding", (F.col("vec_id") % 50 == 0).alias("is_anchor")))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_lm.score_documents(docs, fold("doc_id", 10) == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_quality, op3_toxicity, op4_jaccard, op5_bpe, op6_language, op7_secrets, op8_mpegts, op9_packing, op10_sharding)
+    for f in (op1_pii, op2_quality, op3_toxicity, op4_jaccard, op5_bpe, op6_language, op7_secrets, op8_mpegts, op9_packing, op10_sharding, op11_hard_negatives, op12_divergence, op13_language_model)
 }
 
 #: The others hold models, token ids or stored bytes, which SQL cannot express.
@@ -88,4 +103,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality": oracles.QUALITY,
     "op4_jaccard": oracles.JACCARD,
     "op10_sharding": oracles.SHARDING,
+    "op11_hard_negatives": oracles.NEGATIVES,
+    "op12_divergence": oracles.DIVERGENCE,
 }
