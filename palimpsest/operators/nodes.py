@@ -2,49 +2,50 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import intervals as I
 
-def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, root_id, node_id): nodes strictly inside each of ``roots`` (key, node_id, pre_size).
 
-    Pre-order makes containment a range; with equality on the key the planner
-    hashes by document and tests the range as a residual.
-    """
-    r = roots.select("key", F.col("node_id").alias("root_id"), F.col("pre_size").alias("_n"))
-    inside = (F.col("node_id") > F.col("root_id")) & (F.col("node_id") < F.col("root_id") + F.col("_n"))
-    return nodes.select("key", "node_id").join(r, "key").where(inside).select("key", "root_id", "node_id")
+def _ranges(roots: DataFrame, keys: list[str], first: int = 0) -> DataFrame:
+    """(keys, root_id, _from, _to): the ids of subtrees of (keys, node_id, pre_size), without the first ``first`` of each."""
+    return roots.select(*keys, F.col("node_id").alias("root_id"), (F.col("node_id") + first).alias("_from"), (F.col("node_id") + F.col("pre_size")).alias("_to"))
 
 
-def leaf_labels(nodes: DataFrame) -> DataFrame:
-    """Multiset of leaf labels of each document."""
-    return nodes.where("pre_size = 1 AND label != ''").groupBy("key", "type", "label").agg(F.count(F.lit(1)).alias("n"))
+def descendants(nodes: DataFrame, roots: DataFrame, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """(keys, root_id, node_id): nodes strictly inside each of ``roots`` (keys, node_id, pre_size).
+
+    Pre-order makes containment a range, and ids meet ranges by bins.
+    """
+    found = I.inside(nodes.select(*keys, "node_id"), _ranges(roots, [*keys], 1), [*keys], "node_id", "_from", "_to")
+    return found.select(*keys, "root_id", "node_id")
 
 
-def nearest_ancestor(nodes: DataFrame, wanted: str) -> DataFrame:
-    """(key, node_id, ancestor_id): deepest ancestor that meets the condition ``wanted``; null without one.
+def inner_sums(nodes: DataFrame, keys: list[str], sums: dict) -> DataFrame:
+    """(keys, node_id, sums): of whole trees, the sums of columns over each subtree, its root included.
 
-    Nodes in pre-order are walked once with a stack of open hosts, a document at
-    a time, which is also the unit that the parser holds; only four narrow columns move.
+    A subtree is a stretch of pre-order ids, so its sum is the difference of two
+    running sums: two equality joins, whatever the depth.
     """
-    kind = nodes.schema["key"].dataType.simpleString()
+    names = list(sums)
+    before = I.running(nodes.select(*keys, "node_id", "pre_size", *(c.alias(f"_v_{n}") for n, c in sums.items())), keys, "node_id", {n: F.col(f"_v_{n}") for n in names})
+    total = before.groupBy(*keys).agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names))
+    after = before.select(*keys, F.col("node_id").alias("_next"), *(F.col(n).alias(f"_a_{n}") for n in names))
+    rows = before.withColumn("_next", F.col("node_id") + F.col("pre_size")).join(after, [*keys, "_next"], "left").join(total, keys)
+    return rows.select(*keys, "node_id", *((F.coalesce(f"_a_{n}", f"_t_{n}") - F.col(n)).alias(n) for n in names))
+
+
+def leaf_labels(nodes: DataFrame) -> DataFrame:
+    """Multiset of leaf labels of each document."""
+    return nodes.where("pre_size = 1 AND label != ''").groupBy("key", "type", "label").agg(F.count(F.lit(1)).alias("n"))
 
-    def walk(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node_id")
-        ids, sizes, hosts = (table.column(c).to_pylist() for c in ("node_id", "pre_size", "_host"))
-        found, stack = [], []
-        for i, n, host in zip(ids, sizes, hosts, strict=True):
-            while stack and stack[-1][1] <= i:
-                stack.pop()
-            found.append(stack[-1][0] if stack else None)
-            if host:
-                stack.append((i, i + n))
-        return pa.table({"key": table.column("key"), "node_id": table.column("node_id"), "ancestor_id": pa.array(found, pa.int32())})
 
-    marked = nodes.select("key", "node_id", "pre_size", F.coalesce(F.expr(wanted), F.lit(False)).alias("_host"))
-    return marked.groupBy("key").applyInArrow(walk, f"key {kind}, node_id int, ancestor_id int")
+def nearest_ancestor(nodes: DataFrame, wanted: str, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """(keys, node_id, ancestor_id): deepest ancestor that meets the condition ``wanted``; null without one."""
+    hosts = nodes.where(wanted).where("pre_size > 1").select(*keys, F.col("node_id").alias("_h"), (F.col("node_id") + F.col("pre_size")).alias("_to"))
+    found = I.enclosing(nodes, hosts, [*keys], "node_id", "_h", "_to")
+    return found.select(*keys, "node_id", F.col("host").alias("ancestor_id"))
 
 
 def type_counts(nodes: DataFrame) -> DataFrame:
@@ -68,9 +69,8 @@ def repeated_subtrees(nodes: DataFrame, min_height: int = 2) -> DataFrame:
 
 def label_frequency(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, root_id, label, n): how often each label occurs in the subtrees of ``roots`` (key, node_id, pre_size), the root included."""
-    r = roots.select("key", F.col("node_id").alias("root_id"), F.col("pre_size").alias("_n"))
-    inside = (F.col("node_id") >= F.col("root_id")) & (F.col("node_id") < F.col("root_id") + F.col("_n"))
-    return nodes.where("label != ''").select("key", "node_id", "label").join(r, "key").where(inside).groupBy("key", "root_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    found = I.inside(nodes.where("label != ''").select("key", "node_id", "label"), _ranges(roots, ["key"]), ["key"], "node_id", "_from", "_to")
+    return found.groupBy("key", "root_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def label_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -88,19 +88,19 @@ def leaf_dice(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def keyword_trees(nodes: DataFrame) -> DataFrame:
-    """(key, node_id): inner nodes whose leaves are all keywords."""
-    inner = nodes.where("pre_size > 1")
-    leaves = nodes.where("pre_size = 1").select("key", F.col("node_id").alias("leaf"), "is_keyword")
-    held = inner.select("key", "node_id", "pre_size").join(leaves, "key").where("leaf > node_id AND leaf < node_id + pre_size")
-    return held.groupBy("key", "node_id").agg(F.bool_and("is_keyword").alias("_all")).where("_all").drop("_all")
+    """(key, node_id): inner nodes of whole trees whose leaves are all keywords."""
+    other = F.when((F.col("pre_size") == 1) & ~F.col("is_keyword"), 1).otherwise(0)
+    found = inner_sums(nodes, ["key"], {"_n": F.lit(1), "_other": other})
+    return found.where("_n > 1 AND _other = 0").select("key", "node_id")
 
 
 def untouched(nodes: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
     """``nodes`` (keys, node_id, start_row, end_row) with ``other_row``: the partner of the first row if all rows have partners one after the other, else null.
 
-    ``matches`` has (keys, row, other): rows that are equal on both sides.
+    ``matches`` has (keys, row, other): rows that are equal on both sides, each once.
     """
-    held = nodes.join(matches, keys, "left").where("row IS NULL OR row BETWEEN start_row AND end_row")
+    ranges = nodes.select(*keys, "node_id", "start_row", "end_row", (F.col("end_row") + 1).alias("_to"))
+    held = I.inside(matches.select(*keys, "row", "other"), ranges, keys, "row", "start_row", "_to")
     offset = F.col("other") - F.col("row")
     whole = (F.count("row") == F.col("end_row") - F.col("start_row") + 1) & (F.min(offset) == F.max(offset))
     found = held.groupBy(*keys, "node_id", "start_row", "end_row").agg(F.when(whole, F.min("other")).alias("other_row"))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals as I
+
 
 def line_pieces(spans: DataFrame, offsets: DataFrame, key: str = "doc_id") -> DataFrame:
     """Spans (key, start_byte, end_byte) cut at line ends, without the newline; empty pieces are dropped.
 
-    ``offsets`` has (key, line_no, start_byte, n_bytes).  Equality on the key
-    makes it a hash join; the range is a residual.
+    ``offsets`` has (key, line_no, start_byte, n_bytes).
     """
     rows = offsets.select(key, "line_no", F.col("start_byte").alias("_from"), (F.col("start_byte") + F.col("n_bytes")).alias("_to"))
-    pieces = spans.join(rows, key).where("start_byte < _to AND end_byte > _from")
+    pieces = I.overlapping(spans.select(key, "start_byte", "end_byte"), rows, [key], ("start_byte", "end_byte"), ("_from", "_to"))
     low, high = F.greatest("start_byte", "_from"), F.least("end_byte", "_to")
-    return pieces.where(low < high).select(
+    return pieces.select(
         key, "start_byte", "end_byte", F.col("line_no").cast("long").alias("line_no"), (low - F.col("_from")).alias("start_col"), (high - F.col("_from")).alias("end_col")
     )
 

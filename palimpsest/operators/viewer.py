@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals as I
+
 #: Which of two highlights of one size shows.
 PRIORITY = {"update": 4, "insert": 3, "move": 2, "delete": 1}
 TAB = "    "
@@ -144,7 +146,7 @@ def move_counterparts(actions: DataFrame, lines: DataFrame, grid: DataFrame, key
         F.struct(F.lit("left").alias("from_side"), F.lit("right").alias("side"), F.col("dest_start_byte").alias("byte")),
         F.struct(F.lit("right").alias("from_side"), F.lit("left").alias("side"), F.col("node.start_byte").alias("byte")),
     )))
-    found = moves.join(lines, [*keys, "side"]).where("byte >= start_byte AND byte <= start_byte + n_bytes")
+    found = I.inside(moves, lines.withColumn("_to", F.col("start_byte") + F.col("n_bytes") + 1), [*keys, "side"], "byte", "start_byte", "_to")
     rows = grid.select(*keys, F.inline(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_line").alias("line_no"), "grid_row") for s in ("left", "right")))))
     found = found.join(rows, [*keys, "side", "line_no"], "left")
     return found.select(*keys, "seq", "from_side", F.col("line_no").alias("line"), (F.col("byte") - F.col("start_byte")).alias("col"), "grid_row")
@@ -201,8 +203,10 @@ def range_texts(ranges: DataFrame, lines: DataFrame, keys: list[str]) -> DataFra
     last = lines.groupBy(*place).agg(F.max("line_no").alias("_last"), F.max(F.col("start_byte") + F.col("n_bytes")).alias("_end"))
     ends = ranges.select(*place, "start_byte", "end_byte").distinct()
     ends = ends.select("*", F.posexplode(F.array("start_byte", "end_byte")).alias("_k", "_b")).join(last, place)
-    rows = lines.select(*place, "line_no", F.col("start_byte").alias("_from"), (F.col("start_byte") + F.col("n_bytes")).alias("_to"))
-    found = ends.join(rows, place).where("_b BETWEEN _from AND _to OR _b > _end AND line_no = _last")
+    # A place behind the end is looked up at the last line's end; the newline belongs to its line.
+    ends = ends.withColumn("_at", F.least("_b", "_end"))
+    rows = lines.select(*place, "line_no", F.col("start_byte").alias("_from"), (F.col("start_byte") + F.col("n_bytes") + 1).alias("_to"))
+    found = I.inside(ends, rows, place, "_at", "_from", "_to")
     text = F.when(F.col("_b") > F.col("_end"), position_text(F.col("line_no"), F.lit(0))).otherwise(position_text(F.col("line_no"), F.col("_b") - F.col("_from")))
     both = found.groupBy(*place, "start_byte", "end_byte").agg(*(F.max(F.when(F.col("_k") == k, text)).alias(f"_{k}") for k in range(2)))
     return ranges.join(both.select(*place, "start_byte", "end_byte", F.concat("_0", F.lit(" - "), "_1").alias("range")), [*place, "start_byte", "end_byte"], "left")
