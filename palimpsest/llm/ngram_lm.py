@@ -19,7 +19,7 @@ are broadcast; the other tokens of a document are joined with the rest of the vo
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from math import ceil, log2, log10
 
@@ -48,8 +48,9 @@ class Model:
     added: float = 0.1
     hashes: int = 6
     bits: int = 9
-    #: Tokens that a task counts or scores at once.
+    #: Tokens that a task counts, and scores, at once.
     batch_tokens: int = 2_000_000
+    score_tokens: int = 400_000
     #: Tokens of the training texts for each segment of the filter.
     segment_tokens: int = 32_768
     broadcast_bytes: int = 128_000_000
@@ -84,14 +85,26 @@ class _Numbers(dict):
 
 
 class Batch:
-    """Tokens of some texts, with the hashes of their n-grams."""
-
-    def __init__(self, texts: list[list[bytes]]):
-        numbers = _Numbers()
-        self.first = np.cumsum([0, *map(len, texts)][: len(texts)]).astype(np.int64)
-        self.ids = np.fromiter((numbers[t] for words in texts for t in words), np.int64, sum(map(len, texts)))
-        self.words = list(numbers)
-        self.lengths = np.array([len(w) for w in texts], np.int64)
+    """Tokens of some texts as numbers, with the hashes of their n-grams."""
+
+    def __init__(self, texts: Iterable[str | None] = ()):
+        self._numbers, self._parts, self.size = _Numbers(), [], 0
+        for text in texts:
+            self.add(text)
+
+    def add(self, text: str | None) -> None:
+        words = tokens(text)
+        self._parts.append(np.fromiter(map(self._numbers.__getitem__, words), np.int32, len(words)))
+        self.size += len(words)
+
+    def close(self) -> Batch:
+        """No more texts; their words, places and lengths are known from here on."""
+        self.words = list(self._numbers)
+        self.lengths = np.array([len(p) for p in self._parts], np.int64)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.ids = np.concatenate([np.zeros(0, np.int32), *self._parts])
+        self._numbers, self._parts = _Numbers(), []
+        return self
 
     def grams(self, order: int) -> list[np.ndarray]:
         """Hashes of the n-grams that end at each token, for 1 to ``order``; a text begins with a start, and 0 stands where an n-gram would begin before it."""
@@ -117,20 +130,18 @@ class Batch:
 def _batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Table, Batch]]:
     """Rows gathered until their texts hold ``size`` tokens; a long text is not cut."""
     rows: list[pa.RecordBatch] = []
-    texts: list[list[bytes]] = []
-    total = 0
+    held = Batch()
     for batch in batches:
         begin = 0
         for k, text in enumerate(batch.column("text")):
-            texts.append(tokens(text.as_py()))
-            total += len(texts[-1])
-            if total >= size:
-                yield pa.Table.from_batches([*rows, batch.slice(begin, k + 1 - begin)]), Batch(texts)
-                rows, texts, total, begin = [], [], 0, k + 1
+            held.add(text.as_py())
+            if held.size >= size:
+                yield pa.Table.from_batches([*rows, batch.slice(begin, k + 1 - begin)]), held.close()
+                rows, held, begin = [], Batch(), k + 1
         if begin < batch.num_rows:
             rows.append(batch.slice(begin))
     if rows:
-        yield pa.Table.from_batches(rows), Batch(texts)
+        yield pa.Table.from_batches(rows), held.close()
 
 
 def vocabulary(docs: DataFrame, held: int = 300_000) -> DataFrame:
@@ -308,7 +319,7 @@ def score_batch(rows: pa.Table, batch: Batch, learned: Learned, levels: Callable
     rare = np.nonzero(exact == 0)[0]
     text = np.searchsorted(batch.first, rare, "right") - 1
     # Few keys: a text and a token of the batch.
-    keys, times = np.unique(text * len(batch.words) + batch.ids[rare], return_counts=True)
+    keys, times = np.unique(text * len(batch.words) + batch.ids[rare].astype(np.int64), return_counts=True)
     words = pa.StructArray.from_arrays([pa.array([batch.words[k] for k in (keys % len(batch.words)).tolist()], pa.binary()), pa.array(times, pa.int64())], ["token", "times"])
     offsets = np.searchsorted(keys // len(batch.words), np.arange(rows.num_rows + 1))
     kept = rows.drop_columns("text")
@@ -338,10 +349,10 @@ def _by_broadcast(docs: DataFrame, filters: DataFrame, segments: int, learned: L
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = shared.value
-        for rows, batch in _batches(batches, known.model.batch_tokens):
+        for rows, batch in _batches(batches, known.model.score_tokens):
             yield from score_batch(rows, batch, known, own.levels).to_batches()
 
-    return docs.mapInArrow(score, _schema(docs))
+    return docs.mapInArrow(released(score), _schema(docs))
 
 
 def _by_shuffle(docs: DataFrame, filters: DataFrame, segments: int, learned: Learned) -> DataFrame:
@@ -355,7 +366,7 @@ def _by_shuffle(docs: DataFrame, filters: DataFrame, segments: int, learned: Lea
     dealt = materialize(docs.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(n))), "lm-batches")
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        batch = Batch([tokens(t.as_py()) for t in table.column("text")])
+        batch = Batch(t.as_py() for t in table.column("text")).close()
         asked = np.unique(np.concatenate([*batch.grams(model.order), np.array([_START])]))
         rows = [(key[0].as_py(), s, key[0].as_py() % salts, asked[at].tobytes()) for s, at in _cut(asked, segments)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["batch", "segment", "salt", "grams"])
@@ -369,7 +380,7 @@ def _by_shuffle(docs: DataFrame, filters: DataFrame, segments: int, learned: Lea
         grams, levels = (np.concatenate([np.frombuffer(x.as_py(), t) for x in answers.column(c)] or [np.zeros(0, t)]) for c, t in (("grams", np.uint64), ("levels", np.uint8)))
         order = np.argsort(grams)
         grams, levels = grams[order], levels[order]
-        batch = Batch([tokens(t.as_py()) for t in texts.column("text")])
+        batch = Batch(t.as_py() for t in texts.column("text")).close()
         return score_batch(texts.drop_columns("batch"), batch, shared.value, lambda x: levels[np.searchsorted(grams, x)])
 
     asked = dealt.groupBy("batch").applyInArrow(ask, "batch long, segment int, salt long, grams binary")

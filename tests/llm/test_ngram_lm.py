@@ -75,7 +75,7 @@ def check(spark, rows, model):
 @pytest.mark.parametrize("small", [False, True])
 def test_scores_equal_dictionaries(spark, order, small):
     """With 24 hashes an error is beyond reach; ``small`` sends n-grams and rare tokens through shuffles."""
-    check(spark, EDGE, M.Model(order=order, hashes=24, bits=40, batch_tokens=40_000, **({"broadcast_bytes": 0, "broadcast_tokens": 3, "batch_chars": 50_000} if small else {})))
+    check(spark, EDGE, M.Model(order=order, hashes=24, bits=40, batch_tokens=40_000, score_tokens=40_000, **({"broadcast_bytes": 0, "broadcast_tokens": 3, "batch_chars": 50_000} if small else {})))
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
