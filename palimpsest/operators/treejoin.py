@@ -127,6 +127,8 @@ def top_down(left: DataFrame, right: DataFrame, keys: list[str], min_height: int
     waiting = [_with_family(nodes, found.where(f"NOT unique AND side = '{s}'").select(*keys, "node_id", "h_full"), keys) for s, nodes in (("left", left), ("right", right))]
     votes = parent_votes(sure, left, right, keys).select(*keys, F.col("src_id").alias("parent_id"), F.col("dst_id").alias("_voted"))
     waiting = [written(waiting[0].join(votes, [*keys, "parent_id"], "left"), "treejoin-waiting"), written(waiting[1], "treejoin-waiting")]
+    if not waiting[0].head(1):
+        return expanded(sure, left, keys)
     parents, grands, place = (F.col("_parent"),) * 2, (F.coalesce("_grand", F.lit("")),) * 2, (F.col("child_index"),) * 2
     voted = (F.col("_voted"), F.col("parent_id"))
     tiers = [[voted, place], [voted], [parents, grands, place], [parents, grands], [parents], []]

@@ -3,8 +3,9 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from palimpsest.plans.oracles import ORACLE_SQL
-from palimpsest.plans.queries import QUERIES
+from palimpsest.plans import registered
+
+QUERIES, ORACLE_SQL = registered()
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
