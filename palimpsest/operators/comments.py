@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 from ..functions.similarity import bigram_similarity
 from ..sources.trees import Comment
@@ -16,6 +17,9 @@ ALIKE = 0.40
 ALIKE_BLOCKS = 0.20
 ALIKE_LINES = 0.45
 
+#: Kinds of offers, the surest first, and none.
+SAME, NEAR, LIKE, GONE = range(4)
+
 
 def _span(c: Comment) -> Span:
     return Span("comment", c.text, c.start, c.end, c.row, c.end_row, c.parent_kind)
@@ -31,76 +35,76 @@ def line_spans(c: Comment) -> list[Span]:
     return out
 
 
-def _nearest(xs: list[int], left: list[Comment], right: list[Comment], key, within: float, taken: set[int]) -> list[tuple[int, int]]:
-    """Each of ``xs`` in order with the free comment of its key whose row is nearest, if nearer than ``within``; the first wins."""
-    groups: dict = defaultdict(list)
-    for j, c in enumerate(right):
-        if j not in taken:
-            groups[key(c)].append(j)
-    out = []
-    for i in xs:
-        able = [(abs(left[i].row - right[j].row), j) for j in groups.get(key(left[i]), ()) if j not in taken]
-        best = min(able, default=(within, -1))
-        if best[0] < within:
-            taken.add(best[1])
-            out.append((i, best[1]))
-    return out
+def assign(offers: Iterable[tuple]) -> dict[int, tuple]:
+    """From offers (rank, i, j) the best first, each i and each j once: i to its offer."""
+    given: dict[int, tuple] = {}
+    used: set[int] = set()
+    for offer in sorted(offers):
+        if offer[1] not in given and offer[2] not in used:
+            given[offer[1]] = offer
+            used.add(offer[2])
+    return given
+
+
+def _offers(left: list[Comment], right: list[Comment]) -> Iterator[tuple]:
+    """What could be what: ranked by kind (``SAME``, ``NEAR``, ``LIKE``), then by likeness, then by distance in rows."""
+    by_text: dict[str, list[int]] = defaultdict(list)
+    by_scope: dict[str, list[int]] = defaultdict(list)
+    for j, d in enumerate(right):
+        by_text[d.text].append(j)
+        by_scope[d.scope].append(j)
+    for i, c in enumerate(left):
+        for j in by_text[c.text]:
+            away = abs(c.row - right[j].row)
+            if c.scope == right[j].scope:
+                yield (SAME, 0.0, away), i, j
+            if away < FAR:
+                yield (NEAR, 0.0, away), i, j
+        for j in by_scope[c.scope]:
+            away = abs(c.row - right[j].row)
+            if away <= WINDOW and right[j].text != c.text:
+                score = bigram_similarity(c.text, right[j].text)
+                if score >= (ALIKE_BLOCKS if "\n" in c.text and "\n" in right[j].text else ALIKE):
+                    yield (LIKE, -score, away), i, j
 
 
 def compare(left: list[Comment], right: list[Comment]) -> list[Edit]:
-    """Edits of comments, in four passes.
+    """Edits of comments: each comment of the one side goes to at most one of the other, the surest offers first.
 
-    Equal comments of one scope are the same, the nearest first.  Equal ones
-    nearby in another scope have moved.  In one scope, those that are alike and
-    not far have changed.  The rest is gone or new.
+    Equal comments of one scope are the same; equal ones nearby in another scope
+    have moved; in one scope, those that are alike and not far have changed; the rest is gone or new.
+    Edits follow the order of the first text, then that of the second.
     """
-    taken: set[int] = set()
-    same = _nearest(list(range(len(left))), left, right, lambda c: (c.text, c.scope), float("inf"), taken)
-    known = {i for i, _ in same}
-    moved = _nearest([i for i in range(len(left)) if i not in known], left, right, lambda c: c.text, FAR, taken)
-    known |= {i for i, _ in moved}
-    out = [Edit("move", "comment", left=_span(left[i]), right=_span(right[j])) for i, j in moved if left[i].scope != right[j].scope]
-    by_scope: dict[str, list[int]] = defaultdict(list)
-    for j, c in enumerate(right):
-        if j not in taken:
-            by_scope[c.scope].append(j)
+    given = assign(_offers(left, right))
+    out: list[Edit] = []
     for i, c in enumerate(left):
-        if i in known:
-            continue
-        best, partner = 0.0, -1
-        for j in by_scope[c.scope]:
-            d = right[j]
-            if j in taken or abs(c.row - d.row) > WINDOW:
-                continue
-            score = bigram_similarity(c.text, d.text)
-            if score > best and score >= (ALIKE_BLOCKS if "\n" in c.text and "\n" in d.text else ALIKE):
-                best, partner = score, j
-        if partner >= 0:
-            taken.add(partner)
-            known.add(i)
-            out += changed(c, right[partner])
-    out += [Edit("delete", "comment", old_value=c.text, left=_span(c)) for i, c in enumerate(left) if i not in known]
-    return out + [Edit("insert", "comment", new_value=c.text, right=_span(c)) for j, c in enumerate(right) if j not in taken]
+        (kind, *_), _, j = given.get(i, ((GONE,), i, -1))
+        if kind == LIKE:
+            out += changed(c, right[j])
+        elif kind == NEAR and c.scope != right[j].scope:
+            out.append(Edit("move", "comment", left=_span(c), right=_span(right[j])))
+        elif kind == GONE:
+            out.append(Edit("delete", "comment", old_value=c.text, left=_span(c)))
+    kept = {j for _, _, j in given.values()}
+    return out + [Edit("insert", "comment", new_value=d.text, right=_span(d)) for j, d in enumerate(right) if j not in kept]
 
 
 def changed(c: Comment, d: Comment) -> list[Edit]:
-    """One update of a comment of one line; of longer ones the updated, deleted and inserted lines."""
-    if "\n" not in c.text and "\n" not in d.text:
+    """One update of a comment of one line; of longer ones the updated, deleted and inserted lines.
+
+    Equal lines stay as the comparison of lines says; the others go to the line that is most alike.
+    """
+    if "\n" not in c.text + d.text:
         return [Edit("update", "comment", old_value=c.text, new_value=d.text, left=_span(c), right=_span(d))]
     a, b = line_spans(c), line_spans(d)
-    pairs = dict(match_lines([s.label for s in a], [s.label for s in b]))
-    free = [j for j in range(len(b)) if j not in set(pairs.values())]
-    for i, s in enumerate(a):
+    same = match_lines([s.label for s in a], [s.label for s in b])
+    rest_a, rest_b = set(range(len(a))) - {i for i, _ in same}, set(range(len(b))) - {j for _, j in same}
+    scored = ((-bigram_similarity(a[i].label, b[j].label), i, j) for i in rest_a for j in rest_b)
+    pairs = {i: j for i, (_, _, j) in assign(o for o in scored if -o[0] > ALIKE_LINES).items()}
+    out = []
+    for i in sorted(rest_a):
         if i in pairs:
-            continue
-        best, partner = ALIKE_LINES, -1
-        for j in free:
-            score = bigram_similarity(s.label, b[j].label)
-            if score > best:
-                best, partner = score, j
-        if partner >= 0:
-            pairs[i] = partner
-            free.remove(partner)
-    out = [Edit("update", "comment", old_value=a[i].label, new_value=b[j].label, left=a[i], right=b[j]) for i, j in sorted(pairs.items()) if a[i].label != b[j].label]
-    out += [Edit("delete", "comment", old_value=s.label, left=s) for i, s in enumerate(a) if i not in pairs]
-    return out + [Edit("insert", "comment", new_value=b[j].label, right=b[j]) for j in free]
+            out.append(Edit("update", "comment", old_value=a[i].label, new_value=b[pairs[i]].label, left=a[i], right=b[pairs[i]]))
+        else:
+            out.append(Edit("delete", "comment", old_value=a[i].label, left=a[i]))
+    return out + [Edit("insert", "comment", new_value=b[j].label, right=b[j]) for j in sorted(rest_b - set(pairs.values()))]
