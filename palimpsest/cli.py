@@ -53,9 +53,9 @@ def _pair_of_files(spark: SparkSession, left: str, right: str) -> DataFrame:
     reader = spark.read.format("binaryFile")
     files = [reader.load(path).select("path", "content") for path in (left, right)]
     if all(os.path.isfile(p) for p in (left, right)) or all(f.count() == 1 for f in files) and not any(os.path.isdir(p) for p in (left, right)):
-        a, b = (f.select(F.decode("content", "UTF-8").alias(side)) for f, side in zip(files, ("src", "dst"), strict=True))
+        a, b = (f.select(F.col("content").alias(side)) for f, side in zip(files, ("src", "dst"), strict=True))
         names = (F.lit(left).alias("pair_id"), F.lit(left).alias("src_name"), F.lit(right).alias("dst_name"))
-        return a.join(F.broadcast(b)).select(*names, "src", "dst", F.lit(False).alias("is_conflict"))  # one row with one row
+        return P.texts_of(a.limit(1).crossJoin(b.limit(1)).select(*names, "src", "dst", F.lit(False).alias("is_conflict")))  # one row with one row
     return P.pairs_of_files(spark, left, right)
 
 
@@ -69,9 +69,8 @@ def _pairs_of_git(spark: SparkSession, folder: str, names: Sequence[str], cached
     rows = G.between_revisions(files, old, new) if old else G.sections(files)
     if cached and not old:
         rows = rows.where("section = 'staged'")
-    rows = G.contents_to_compare(rows, old, new).orderBy("place", "path")
-    pairs = G.pairs(spark, folder, rows.collect())  # the changed files of one working copy
-    return pairs.withColumns({side: F.decode(side, "UTF-8") for side in ("src", "dst")})
+    rows = G.contents_to_compare(rows, old, new)
+    return P.texts_of(G.pairs(folder, rows))
 
 
 def run(spark: SparkSession, argv: Sequence[str], out: TextIO = sys.stdout) -> None:
@@ -83,12 +82,12 @@ def run(spark: SparkSession, argv: Sequence[str], out: TextIO = sys.stdout) -> N
         for row in P.envelope(found).orderBy("pair_id").toLocalIterator():
             print(row.envelope, file=out)
     else:
-        for row in found.select("pair_id").orderBy("pair_id").toLocalIterator():
-            one = found.where(F.col("pair_id") == row.pair_id)
-            print(row.pair_id, file=out)
-            for table in (P.printed_mappings(one), P.printed(one).orderBy("seq")):
-                for line in table.select("line").toLocalIterator():
-                    print(" ", line.line, file=out)
+        # One ordered table: a pair's name, its mapping, its actions.
+        names = found.select("pair_id", F.lit(0).alias("part"), F.lit(0).alias("seq"), F.col("pair_id").alias("line"))
+        mapped = P.mappings(found).select("pair_id", F.lit(1).alias("part"), F.col("src_id").alias("seq"), F.format_string("  %d -> %d", "src_id", "dst_id").alias("line"))
+        acted = P.printed(found).select("pair_id", F.lit(2).alias("part"), "seq", F.concat(F.lit("  "), "line").alias("line"))
+        for row in names.unionByName(mapped).unionByName(acted).orderBy("pair_id", "part", "seq").toLocalIterator():
+            print(row.line, file=out)
     found.unpersist()
 
 

@@ -59,3 +59,13 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     """1 less the distance over the longer length, in code points; 1 for two empty texts."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
+
+
+def is_plain(content: Column) -> Column:
+    """Whether bytes are a text: valid UTF-8 without a NUL among the first 8,000 bytes."""
+    return F.try_validate_utf8(content.cast("string")).isNotNull() & ~is_binary(F.coalesce(F.try_validate_utf8(content.cast("string")), F.lit("")))
+
+
+def as_text(content: Column) -> Column:
+    """Bytes as a text, whatever they are: UTF-8 if they are valid, else one character for each byte."""
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))

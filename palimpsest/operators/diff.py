@@ -26,6 +26,7 @@ from .editscript import script
 from .edits import Edit, clean, from_script
 from .gridalign import align
 from .highlight import Mark, highlights, line_starts
+from .spread import spread
 from .treematch import Matching, Partition, match
 
 VERSION = "v1"
@@ -57,13 +58,16 @@ ROW = f"""mode string, lang string, actions array<{ACTION}>, alignment array<str
 
 
 def gated(pairs: DataFrame, options: Options = Options()) -> DataFrame:
-    """``pairs`` with ``lang`` (of the source, else of the destination) and ``mode``: ``tree``, or the gate that says lines."""
+    """``pairs`` with ``lang`` (of the source, else of the destination) and ``mode``: ``tree``, or the gate that says lines.
+
+    A column ``plain`` that is false (a side is no valid text) says so too.
+    """
     src, dst = F.coalesce(F.col("src"), F.lit("")), F.coalesce(F.col("dst"), F.lit(""))
     large = (F.octet_length(src) > X.SIZE_LIMIT) | (F.octet_length(dst) > X.SIZE_LIMIT) if options.size_limit else F.lit(False)
     left, right = language_of("src_name"), language_of("dst_name")
     mode = (
         F.when(F.coalesce(F.col("is_conflict"), F.lit(False)) | X.has_conflict(src) | X.has_conflict(dst), "conflict")
-        .when(large, "size").when(left.isNull() & right.isNull(), "language").otherwise("tree")
+        .when(large, "size").when(~F.coalesce(F.col("plain"), F.lit(True)) if "plain" in pairs.columns else F.lit(False), "bytes").when(left.isNull() & right.isNull(), "language").otherwise("tree")
     )
     return pairs.withColumns({"src": src, "dst": dst, "lang": F.coalesce(left, right), "dst_lang": F.coalesce(right, left), "mode": mode})
 
@@ -170,13 +174,15 @@ def compare_row(src: str, dst: str, mode: str, lang: str | None, dst_lang: str |
     return out
 
 
-def diff(pairs: DataFrame, options: Options = Options(), rules: Mapping[str, Rules] = LANGUAGES, key: str = "pair_id") -> DataFrame:
+def diff(pairs: DataFrame, options: Options = Options(), rules: Mapping[str, Rules] = LANGUAGES, key: str = "pair_id", dealt: bool = True) -> DataFrame:
     """``pairs`` (key, src_name, dst_name, src, dst, is_conflict) to one row a pair with all parts of its result.
 
     Null texts are empty.  A pair is one unit of work; the rows of a batch are
-    given out one at a time, so memory follows the largest pair.
+    given out one at a time, so memory follows the largest pair.  Pairs are dealt
+    to all tasks by their key, unless ``dealt`` says that they lie well as they are.
     """
     found = gated(pairs, options).select(key, "src", "dst", "mode", "lang", "dst_lang")
+    found = spread(found, key) if dealt else found
     kind = f"`{key}` {found.schema[key].dataType.simpleString()}, {ROW}"
     arrow = _arrow(found.sparkSession, kind)
 
@@ -257,19 +263,26 @@ def printed_mappings(found: DataFrame, key: str = "pair_id") -> DataFrame:
     return rows.orderBy(key, "src_id").select(key, F.format_string("%d -> %d", "src_id", "dst_id").alias("line"))
 
 
+def texts_of(pairs: DataFrame) -> DataFrame:
+    """Pairs of bytes (src, dst) as pairs of texts, with ``plain``: whether both sides are valid UTF-8 without NUL.  A missing side is empty."""
+    sides = [F.coalesce(F.col(c), F.lit(b"")) for c in ("src", "dst")]
+    return pairs.withColumns({"plain": X.is_plain(sides[0]) & X.is_plain(sides[1]), "src": X.as_text(sides[0]), "dst": X.as_text(sides[1])})
+
+
 def pairs_of_files(spark: SparkSession, left: str, right: str) -> DataFrame:
     """Pairs of the files of two folders with equal paths below them; a file on one side alone faces an empty text.
 
     The paths go to Spark's own reader, so they may be in any store it reads.
+    Files are read as bytes: those that are no UTF-8 text are compared by lines, a character for each byte.
     """
     def side(folder: str, name: str) -> DataFrame:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
         base = folder.rstrip("/").rpartition("/")[2]
         path = F.substring_index("path", f"/{base}/", -1)
-        return files.select(path.alias("pair_id"), F.decode("content", "UTF-8").alias(name))
+        return files.select(path.alias("pair_id"), F.col("content").alias(name))
 
     both = side(left, "src").join(side(right, "dst"), "pair_id", "full")
-    return both.select("pair_id", F.col("pair_id").alias("src_name"), F.col("pair_id").alias("dst_name"), "src", "dst", F.lit(False).alias("is_conflict"))
+    return texts_of(both.select("pair_id", F.col("pair_id").alias("src_name"), F.col("pair_id").alias("dst_name"), "src", "dst", F.lit(False).alias("is_conflict")))
 
 
 def write_envelopes(found: DataFrame, path: str, key: str = "pair_id") -> None:

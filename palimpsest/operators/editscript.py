@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..sources.parsing import parse
 from ..sources.rules import LANGUAGES
 from ..sources.trees import Tree
+from .spread import spread
 from .treematch import Matching, _longest_common, match
 
 
@@ -194,7 +195,7 @@ def _kernel(pairs: DataFrame, lang: str, schema: str, rows) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return pairs.select("a", "b", "src", "dst").mapInArrow(run, schema)
+    return spread(pairs.select("a", "b", "src", "dst"), "a", "b").mapInArrow(run, schema)
 
 
 def tree_mappings(pairs: DataFrame, lang: str) -> DataFrame:

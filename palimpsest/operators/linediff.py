@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spread import spread
+
 #: Cells of the dynamic programme; above, unique lines cut the problem first.
 MAX_CELLS = 1_000_000
 #: Rows of context that stay visible around a change.
@@ -62,7 +64,7 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def match_lines(left: list[str], right: list[str], max_cells: int = MAX_CELLS) -> list[tuple[int, int]]:
+def match_lines(left: list[str], right: list[str], max_cells: float = MAX_CELLS) -> list[tuple[int, int]]:
     """Row pairs of equal lines, rising on both sides."""
     low = 0
     while low < min(len(left), len(right)) and left[low] == right[low]:
@@ -88,7 +90,7 @@ def match_lines(left: list[str], right: list[str], max_cells: int = MAX_CELLS) -
     return out + [(len(left) - k, len(right) - k) for k in range(high, 0, -1)]
 
 
-def align(left: str, right: str) -> list[tuple[int, int, bool]]:
+def align(left: str, right: str, max_cells: float = MAX_CELLS) -> list[tuple[int, int, bool]]:
     """Grid rows (left line, right line, equal); -1 is a filler.
 
     An empty side is all filler.  Lines between two matches are set side by
@@ -100,7 +102,7 @@ def align(left: str, right: str) -> list[tuple[int, int, bool]]:
     if not right:
         return [(i, -1, False) for i in range(len(a))]
     out, i, j = [], 0, 0
-    for m, n in [*match_lines(a, b), (len(a), len(b))]:
+    for m, n in [*match_lines(a, b, max_cells), (len(a), len(b))]:
         for k in range(max(m - i, n - j)):
             out.append((i + k if i + k < m else -1, j + k if j + k < n else -1, False))
         if m < len(a):
@@ -109,13 +111,17 @@ def align(left: str, right: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def align_pairs(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, src, dst) to grid rows (a, b, grid_row, left_line, right_line, equal)."""
+def align_pairs(pairs: DataFrame, max_cells: float = MAX_CELLS) -> DataFrame:
+    """``pairs`` (a, b, src, dst) to grid rows (a, b, grid_row, left_line, right_line, equal).
+
+    Gaps of more than ``max_cells`` cells between unique lines stay unmatched, as the format has it; with
+    ``math.inf`` every gap is matched, at the cost of its cells.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = align(batch.column(2)[k].as_py() or "", batch.column(3)[k].as_py() or "")
+                rows = align(batch.column(2)[k].as_py() or "", batch.column(3)[k].as_py() or "", max_cells)
                 at = pa.array([k] * len(rows), pa.int32())
                 left, right, equal = zip(*rows, strict=True)
                 columns = [pa.array(range(len(rows)), pa.int32()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(equal, pa.bool_())]
@@ -123,7 +129,7 @@ def align_pairs(pairs: DataFrame) -> DataFrame:
                     [batch.column(0).take(at), batch.column(1).take(at), *columns], ["a", "b", "grid_row", "left_line", "right_line", "equal"]
                 )
 
-    return pairs.select("a", "b", "src", "dst").mapInArrow(run, "a long, b long, grid_row int, left_line int, right_line int, equal boolean")
+    return spread(pairs.select("a", "b", "src", "dst"), "a", "b").mapInArrow(run, "a long, b long, grid_row int, left_line int, right_line int, equal boolean")
 
 
 def summary(grid: DataFrame) -> DataFrame:

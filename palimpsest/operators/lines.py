@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A line is a sign of a copy if it is longer than this.  Lines in at most so many
-#: documents give all pairs of them; see ``copy_groups`` for the others.
-RARE_LENGTH = 20
+#: Lines in at most so many documents give all pairs of them; see ``copy_groups`` for the others.
 RARE_DOCUMENTS = 20
 
 
@@ -27,34 +25,36 @@ def line_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return lines(docs, key, text).groupBy(key, "line").agg(F.count(F.lit(1)).alias("n"))
 
 
-def near_copy_pairs(docs: DataFrame) -> DataFrame:
-    """(a, b): documents, a < b, that share a rare line.
+def near_copy_pairs(docs: DataFrame, min_length: int = 0) -> DataFrame:
+    """(a, b): documents, a < b, that share a line in at most ``RARE_DOCUMENTS`` documents.
 
     Rarity bounds the partners a line can bring, so the join cannot blow up.
     Documents that share only lines above the bound are left to ``linked_pairs``.
+    Lines shorter than ``min_length`` do not count; by default all do.
     """
-    held = lines(docs).where(F.length("line") > RARE_LENGTH).select("doc_id", F.col("line")).distinct()
-    rare = held.groupBy("line").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") > 1) & (F.col("df") <= RARE_DOCUMENTS)).select("line")
-    rare = held.join(rare, "line")
-    a, b = rare.select("line", F.col("doc_id").alias("a")), rare.select("line", F.col("doc_id").alias("b"))
-    return a.join(b, "line").where("a < b").select("a", "b").distinct()
+    return _near(_groups(docs, min_length)).distinct()
 
 
-def copy_groups(docs: DataFrame) -> DataFrame:
+def _near(groups: DataFrame) -> DataFrame:
+    rare = groups.where((F.col("kind") == "line") & (F.col("n") <= RARE_DOCUMENTS))
+    return rare.select("key", F.col("doc_id").alias("a")).join(rare.select("key", F.col("doc_id").alias("b")), "key").where("a < b").select("a", "b")
+
+
+def copy_groups(docs: DataFrame, min_length: int = 0) -> DataFrame:
     """(kind, key, n, representative, doc_id): documents that share a line or have equal texts.
 
-    One group for each line longer than ``RARE_LENGTH`` and for each text that
+    One group for each line (of ``min_length`` or more) and for each text that
     several documents hold, whatever their number; ``key`` is its SHA-256 and
-    ``representative`` the smallest id.  Two documents share a line exactly if
+    ``representative`` the smallest id.  Two documents share such a line exactly if
     they are in one group, so the table stands for all pairs and grows with
     the lines, not with the square of a group.
     """
-    return _groups(docs).select("kind", F.lower(F.hex("key")).alias("key"), "n", "representative", "doc_id")
+    return _groups(docs, min_length).select("kind", F.lower(F.hex("key")).alias("key"), "n", "representative", "doc_id")
 
 
-def _groups(docs: DataFrame) -> DataFrame:
+def _groups(docs: DataFrame, min_length: int) -> DataFrame:
     known = docs.where("doc_id IS NOT NULL")
-    held = known.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("part")).where(F.length("part") > RARE_LENGTH)
+    held = known.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("part")).where(F.length("part") >= min_length)
     units = held.select(F.lit("line").alias("kind"), "part", "doc_id").unionByName(known.where("text != ''").select(F.lit("text").alias("kind"), F.col("text").alias("part"), "doc_id"))
     # The digest and not the text goes through the exchanges.
     units = units.select("kind", F.unhex(F.sha2("part", 256)).alias("key"), "doc_id").distinct()
@@ -62,16 +62,14 @@ def _groups(docs: DataFrame) -> DataFrame:
     return units.join(groups, ["kind", "key"])
 
 
-def linked_pairs(docs: DataFrame) -> DataFrame:
+def linked_pairs(docs: DataFrame, min_length: int = 0) -> DataFrame:
     """(a, b), a < b: the near-copy pairs, and each member of a larger group with its representative.
 
-    Every document that shares a line or its text with another is in a pair.
+    Every document that shares a line (of ``min_length`` or more; by default any) or its text with another is in a pair.
     """
-    groups = _groups(docs)
-    rare = groups.where((F.col("kind") == "line") & (F.col("n") <= RARE_DOCUMENTS))
-    near = rare.select("key", F.col("doc_id").alias("a")).join(rare.select("key", F.col("doc_id").alias("b")), "key").where("a < b").select("a", "b")
+    groups = _groups(docs, min_length)
     star = groups.where((F.col("kind") == "text") | (F.col("n") > RARE_DOCUMENTS)).where("representative < doc_id")
-    return near.unionByName(star.select(F.col("representative").alias("a"), F.col("doc_id").alias("b"))).distinct()
+    return _near(groups).unionByName(star.select(F.col("representative").alias("a"), F.col("doc_id").alias("b"))).distinct()
 
 
 def _paired(docs: DataFrame, pairs: DataFrame) -> DataFrame:

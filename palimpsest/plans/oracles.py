@@ -6,7 +6,7 @@ _LINES = """lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
            generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"""
 _PAIRS = f"""{_LINES}, units AS (
-        SELECT DISTINCT 'line' AS kind, line AS part, doc_id FROM lines WHERE length(line) > 20
+        SELECT DISTINCT 'line' AS kind, line AS part, doc_id FROM lines
         UNION ALL SELECT 'text', text, doc_id FROM documents WHERE text != ''),
     groups AS (SELECT kind, part, count(*) AS n, min(doc_id) AS low FROM units GROUP BY kind, part HAVING count(*) > 1),
     held AS (SELECT u.kind, u.part, n, low, doc_id FROM units u JOIN groups g ON g.kind = u.kind AND g.part = u.part),
@@ -45,7 +45,7 @@ _PLANTED = """planted AS (SELECT doc_id, CASE doc_id % 8
 _CONFLICT = "((starts_with({0}, '<<<<<<<') OR contains({0}, chr(10) || '<<<<<<<')) AND (contains({0}, chr(10) || '>>>>>>>') OR contains({0}, '>>>>>>>' || chr(10))))"
 
 _STATUS = """made AS (SELECT doc_id, ([' M', 'R ', '??', 'MM', 'A ', ' R', 'C ', '!!', 'UU', 'D '])[doc_id % 10 + 1] AS status, doc_id % 10 IN (1, 5, 6) AS moved,
-        'src/' || regexp_replace(substring(coalesce(text, ''), 1, 12), '[\\r\\n\\t"]', '_', 'g') || '.' || coalesce(lang, 'x') AS path, doc_id % 3 = 0 AS quoted FROM documents WHERE doc_id % 17 != 0),
+        'src/' || regexp_replace(coalesce(text, ''), '[\\r\\n\\t"]', '_', 'g') || '.' || coalesce(lang, 'x') AS path, doc_id % 3 = 0 AS quoted FROM documents WHERE doc_id % 17 != 0),
     files AS (SELECT doc_id, CASE WHEN moved AND left(status, 1) NOT IN ('R', 'C') THEN 'old.py -> ' || CASE WHEN quoted THEN '"' ELSE '' END || path ELSE path END AS path,
         CASE WHEN moved AND left(status, 1) IN ('R', 'C') THEN 'old.py' END AS old_path, status, left(status, 1) NOT IN (' ', '?', '!') AS staged, right(status, 1) != ' ' AS unstaged FROM made)"""
 #: Letters beyond ASCII in the turns as one byte each, as levenshtein counts bytes.
@@ -117,7 +117,7 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT doc_id, line_no, p, unnest(generate_series(1, len(p) - 1)) AS k FROM p)
         SELECT doc_id, line_no, strlen(array_to_string(p[1:k], '    ')) AS start_col, strlen(array_to_string(p[1:k], '    ')) + 4 AS end_col FROM k""",
     "git_status": f"""WITH {_STATUS} SELECT doc_id, path, old_path, status, staged, unstaged FROM files""",
-    "git_name_status": """WITH p AS (SELECT doc_id AS k, 'src/' || regexp_replace(substring(coalesce(text, ''), 1, 12), '[\\r\\n\\t"]', '_', 'g') || '.' || coalesce(lang, 'x') AS path FROM documents)
+    "git_name_status": """WITH p AS (SELECT doc_id AS k, 'src/' || regexp_replace(coalesce(text, ''), '[\\r\\n\\t"]', '_', 'g') || '.' || coalesce(lang, 'x') AS path FROM documents)
         SELECT k AS doc_id, CASE k % 10 WHEN 1 THEN 'R087' WHEN 3 THEN 'C050' ELSE 'M' END AS status, CASE k % 10 WHEN 1 THEN 'new.py' ELSE path END AS path, CASE k % 10 WHEN 1 THEN path END AS old_path FROM p WHERE k % 10 != 2""",
     "git_sections": f"""WITH {_STATUS}, rows AS (SELECT *, 'staged' AS section, substring(status, 1, 1) || ' ' AS shown FROM files WHERE staged
             UNION ALL SELECT *, 'unstaged', CASE WHEN status = '??' THEN '??' ELSE ' ' || substring(status, 2, 1) END FROM files WHERE unstaged),
@@ -203,9 +203,9 @@ ORACLE_SQL |= {
         j AS (SELECT coalesce(x.conv_id, y.conv_id) AS a, coalesce(x.pos, y.pos) AS b, coalesce(x.w, y.w) AS w, coalesce(x.n, 0) AS p, coalesce(y.n, 0) AS q FROM x FULL JOIN y ON x.conv_id = y.conv_id AND x.pos = y.pos AND x.w = y.w)
         SELECT a, b, round(2.0::DOUBLE * sum(least(p, q)) / sum(p + q), 6) AS dice, CAST((SELECT coalesce(sum(q), 0) FROM j k WHERE k.a = j.a AND k.b = j.b AND k.p > 0) AS BIGINT) AS overlap
         FROM j WHERE regexp_matches(w, '[A-Za-z0-9_]') GROUP BY a, b""",
-    "readable_texts": """WITH c AS (SELECT conv_id, turn, role, replace(substring(text, 1, 40), chr(10), ' ') AS t FROM conversations)
-        SELECT conv_id, turn, role, CASE WHEN length(t) <= 12 THEN t ELSE substring(t, 1, 11) || '…' END AS cut, rpad(substring(t, 1, 5), 8, ' ') AS pad,
-            repeat(' ', (9 - length(substring(t, 1, 6))) // 2) || substring(t, 1, 6) || repeat(' ', 9 - length(substring(t, 1, 6)) - (9 - length(substring(t, 1, 6))) // 2) AS centre,
+    "readable_texts": """WITH c AS (SELECT conv_id, turn, role, replace(text, chr(10), ' ') AS t FROM conversations)
+        SELECT conv_id, turn, role, CASE WHEN length(t) <= 12 THEN t ELSE substring(t, 1, 11) || '…' END AS cut, CASE WHEN length(t) >= 40 THEN t ELSE rpad(t, 40, ' ') END AS pad,
+            repeat(' ', (41 - least(length(t), 41)) // 2) || substring(t, 1, 41) || repeat(' ', 41 - least(length(t), 41) - (41 - least(length(t), 41)) // 2) AS centre,
             (['function', 'if', 'call', 'type', 'string'])[turn % 5 + 1] AS kind, 'L' || (turn + 1) || ':' || (conv_id % 7 + 1) AS place FROM c""",
     "merged_spans": """WITH p AS (SELECT doc_id, string_split(text, 'the') AS p FROM documents WHERE contains(text, 'the')),
         k AS (SELECT doc_id, p, unnest(generate_series(1, len(p) - 1)) AS k FROM p),
@@ -213,8 +213,11 @@ ORACLE_SQL |= {
         n AS (SELECT doc_id, start_byte, CASE WHEN start_byte <= lag(start_byte) OVER (PARTITION BY doc_id ORDER BY start_byte) + 6 THEN 0 ELSE 1 END AS fresh FROM s),
         r AS (SELECT doc_id, start_byte, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start_byte) AS run FROM n)
         SELECT doc_id, CAST(min(start_byte) AS BIGINT) AS start_byte, CAST(max(start_byte) + 3 AS BIGINT) AS end_byte, count(*) AS n FROM r GROUP BY doc_id, run""",
-    "span_pieces": f"""WITH o AS ({ORACLE_SQL["line_offsets"]}), s AS (SELECT doc_id, strlen(text) // 2 AS f, strlen(text) AS t FROM documents)
-        SELECT doc_id, f AS start_byte, t AS end_byte, line_no, greatest(f, start_byte) - start_byte AS start_col, n_bytes AS end_col
-        FROM o JOIN s USING (doc_id) WHERE n_bytes > 0 AND start_byte + n_bytes > f""",
+    "span_pieces": f"""WITH o AS ({ORACLE_SQL["line_offsets"]}), p AS (SELECT doc_id, string_split(text, 'the') AS p FROM documents WHERE contains(text, 'the')),
+        k AS (SELECT doc_id, p, unnest(generate_series(1, len(p) - 1)) AS k FROM p),
+        starts AS (SELECT doc_id, (sum(strlen(p[k])) OVER (PARTITION BY doc_id ORDER BY k) + 3 * (k - 1))::BIGINT AS f FROM k),
+        s AS (SELECT doc_id, 0 AS f, strlen(text) AS t FROM documents UNION ALL SELECT doc_id, f, lead(f) OVER (PARTITION BY doc_id ORDER BY f) FROM starts)
+        SELECT doc_id, f AS start_byte, t AS end_byte, line_no, greatest(f, start_byte) - start_byte AS start_col, least(t, start_byte + n_bytes) - start_byte AS end_col
+        FROM o JOIN s USING (doc_id) WHERE t IS NOT NULL AND greatest(f, start_byte) < least(t, start_byte + n_bytes)""",
     "clean_labels": "SELECT conv_id, turn, role, trim(lower(text), '/#* ' || chr(9) || chr(13) || chr(10)) AS clean FROM conversations",
 }

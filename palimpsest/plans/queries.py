@@ -14,6 +14,7 @@ from ..operators import lines as L
 from ..operators import nodes as N
 from ..operators import spans as S
 from ..operators import viewer as V
+from ..operators.spread import with_partner
 from ..sources import git as G
 from ..sources import rules as R
 from ..sources import parsing as T
@@ -36,8 +37,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def copy_texts(docs: DataFrame) -> DataFrame:
     """Linked pairs with both texts."""
-    pairs = L.linked_pairs(docs).join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("src")), "a")
-    return pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("dst")), "b").select("a", "b", "src", "dst")
+    pairs = with_partner(L.linked_pairs(docs), docs.select(F.col("doc_id").alias("a"), F.col("text").alias("src")), "a", "b")
+    return with_partner(pairs, docs.select(F.col("doc_id").alias("b"), F.col("text").alias("dst")), "b", "a").select("a", "b", "src", "dst")
 
 
 def doc_lines(spark, sf_dir):
@@ -201,7 +202,7 @@ def _changed_names(spark, sf_dir):
     """Status lines made from documents: letters, paths with blanks, quotes and arrows."""
     k = F.col("doc_id")
     letters = F.get(F.array(*map(F.lit, (" M", "R ", "??", "MM", "A ", " R", "C ", "!!", "UU", "D "))), (k % 10).cast("int"))
-    path = F.concat(F.lit("src/"), F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 12), "[\\r\\n\\t\"]", "_"), F.lit("."), F.coalesce("lang", F.lit("x")))
+    path = F.concat(F.lit("src/"), F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\n\\t\"]", "_"), F.lit("."), F.coalesce("lang", F.lit("x")))
     quoted = F.when(k % 3 == 0, F.concat(F.lit('"'), path, F.lit('"'))).otherwise(path)
     rest = F.when((k % 10).isin(1, 5, 6), F.concat(F.lit("old.py -> "), quoted)).otherwise(quoted)
     docs = table(spark, sf_dir, "documents")
@@ -389,9 +390,12 @@ def merged_spans(spark, sf_dir):
 
 
 def span_pieces(spark, sf_dir):
-    """Lines and columns of spans from the middle of each document to its end."""
-    spans = _docs(spark, sf_dir).select("doc_id", F.expr("octet_length(text) div 2").alias("start_byte"), F.octet_length("text").cast("long").alias("end_byte"))
-    return S.line_pieces(spans, L.line_offsets(_docs(spark, sf_dir)))
+    """Lines and columns of the whole text of each document, and of every stretch between two places of a word."""
+    docs = _docs(spark, sf_dir)
+    whole = docs.select("doc_id", F.lit(0).cast("long").alias("start_byte"), F.octet_length("text").cast("long").alias("end_byte"))
+    next_word = F.lead("start_byte").over(Window.partitionBy("doc_id").orderBy("start_byte"))
+    between = _words(spark, sf_dir).select("doc_id", "start_byte", next_word.alias("end_byte")).where("end_byte IS NOT NULL")
+    return S.line_pieces(whole.unionByName(between), L.line_offsets(docs))
 
 
 def clean_labels(spark, sf_dir):
@@ -622,9 +626,9 @@ def word_overlap(spark, sf_dir):
 def readable_texts(spark, sf_dir):
     """Texts of the viewer over turns: cut, padded, centred, and types in words."""
     kinds = F.array(*map(F.lit, ("function_definition", "if_statement", "call_expression", "type", "string_literal")))
-    t = F.regexp_replace(F.substring("text", 1, 40), "\n", " ")
+    t = F.regexp_replace("text", "\n", " ")
     rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", "role", V.truncated(t, 12).alias("cut"), V.padded(F.substring(t, 1, 5), 8).alias("pad"), V.centred(F.substring(t, 1, 6), 9).alias("centre"),
+    return rows.select("conv_id", "turn", "role", V.truncated(t, 12).alias("cut"), V.padded(t, 40).alias("pad"), V.centred(t, 41).alias("centre"),
                        V.readable_type(F.get(kinds, (F.col("turn") % 5).cast("int"))).alias("kind"), V.position_text(F.col("turn"), F.col("conv_id") % 7).alias("place"))
 
 

@@ -1,16 +1,17 @@
-"""Git as a source: parsers for what it prints, and calls of the program on the driver.
+"""Git as a source: parsers for what it prints, and calls of the program.
 
-The parsers are DataFrame operators over a column of lines.  The calls list
-files and read contents at a revision; they run where the repository is, that
-is on the driver, and their results are small tables for the operators.
+The parsers are DataFrame operators over a column of lines.  Files are listed on
+the driver; contents are read by the tasks, which must reach the folder (see
+:mod:`.revisions` for all files of a revision as a data source).
 """
 
 from __future__ import annotations
 
 import os
 import subprocess
-from collections.abc import Iterable
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,15 +156,24 @@ def content(folder: str, path: str, revision: str) -> bytes | None:
         return None
 
 
-def pairs(spark: SparkSession, folder: str, files: Iterable) -> DataFrame:
-    """(pair_id, src_name, dst_name, src, dst, is_conflict) of rows of :func:`contents_to_compare`.
+PAIRS = "pair_id string, src_name string, dst_name string, src binary, dst binary, is_conflict boolean"
 
-    The driver reads the two contents of each changed file of one working copy.
-    """
-    rows = []
-    for r in files:
-        left = content(folder, r.left_path, r.left_revision)
-        if left is None and r.left_revision == INDEX:
-            left = content(folder, r.left_path, "HEAD")
-        rows.append((f"{r.section}:{r.path}", r.left_path, r.path, left or b"", content(folder, r.right_path, r.right_revision) or b"", r.conflict))
-    return spark.createDataFrame(rows, "pair_id string, src_name string, dst_name string, src binary, dst binary, is_conflict boolean")
+
+def pairs(folder: str, files: DataFrame) -> DataFrame:
+    """(pair_id, src_name, dst_name, src, dst, is_conflict) of rows of :func:`contents_to_compare`; the tasks read the contents."""
+    names = [c.split()[0] for c in PAIRS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                left = content(folder, r["left_path"], r["left_revision"])
+                if left is None and r["left_revision"] == INDEX:
+                    left = content(folder, r["left_path"], "HEAD")
+                right = content(folder, r["right_path"], r["right_revision"])
+                row = (f"{r['section']}:{r['path']}", r["left_path"], r["path"], left or b"", right or b"", r["conflict"])
+                kinds = (*[pa.string()] * 3, *[pa.binary()] * 2, pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
+
+    rows = files.select("section", "path", "left_path", "left_revision", "right_path", "right_revision", "conflict")
+    parts = 2 * files.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(parts, "section", "path").mapInArrow(run, PAIRS)

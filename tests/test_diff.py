@@ -182,3 +182,17 @@ def test_files_of_two_folders(spark, tmp_path):
 def test_matching_is_one_to_one_after_clean_up():
     m, _ = P.compare(PY, PY2, "python")
     assert isinstance(m, Matching) and all(m.back[y] == x for x, y in enumerate(m.to) if y >= 0)
+
+
+def test_files_of_any_bytes(spark, tmp_path):
+    """Latin-1, UTF-16, binary and one-sided files give a row each, and are compared by lines; texts keep their trees."""
+    files = {"a.py": (b"x = 1\n", b"x = 2\n"), "latin.py": ("é = 1\n".encode("latin-1"), "é = 2\né\n".encode("latin-1")), "wide.py": ("x = 1\n".encode("utf-16"), "x = 1\ny\n".encode("utf-16")), "image.json": (b"\x00\x01\xff\n", b"\x00\x02\n"), "only.py": (None, b"y = \xe9\n")}
+    for name, sides in files.items():
+        for folder, content in zip(("old", "new"), sides, strict=True):
+            (tmp_path / folder).mkdir(exist_ok=True)
+            if content is not None:
+                (tmp_path / folder / name).write_bytes(content)
+    pairs = P.pairs_of_files(spark, str(tmp_path / "old"), str(tmp_path / "new"))
+    found = {r.pair_id: r for r in P.diff(pairs).collect()}
+    assert {k: r.mode for k, r in found.items()} == {"a.py": "tree", "latin.py": "bytes", "wide.py": "bytes", "image.json": "bytes", "only.py": "bytes"}
+    assert [a.action for a in found["latin.py"].actions] == ["insert"] and len(P.envelope(P.diff(pairs)).collect()) == 5

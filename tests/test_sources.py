@@ -8,6 +8,7 @@ import pytest
 from palimpsest.operators import nodes as N
 from palimpsest.operators import viewer as V
 from palimpsest.sources import git as G
+from palimpsest.sources.revisions import ranges, register
 from palimpsest.sources import parsing as T
 
 
@@ -38,7 +39,7 @@ def test_calls_of_git(spark, folder, tmp_path):
     assert G.content(folder, "a.py", "HEAD") == b"x = 1\n" and G.content(folder, "a.py", G.INDEX) == b"x = 2\n" and G.content(folder, "a.py", G.DISK) == b"x = 3\n"
     assert G.content(folder, "missing", "HEAD") is None and G.content(folder, "missing", G.DISK) is None
     rows = G.contents_to_compare(G.sections(G.status(spark, folder)))
-    pairs = {r.pair_id: (r.src.decode(), r.dst.decode()) for r in G.pairs(spark, folder, rows.collect()).collect()}
+    pairs = {r.pair_id: (r.src.decode(), r.dst.decode()) for r in G.pairs(folder, rows).collect()}
     assert pairs["staged:a.py"] == ("x = 1\n", "x = 2\n") and pairs["unstaged:a.py"] == ("x = 2\n", "x = 3\n") and pairs["unstaged:extra.txt"] == ("", "?")
     assert {r.path for r in G.changed_files(spark, folder, "HEAD").collect()} == {"a.py", "new name.py"}
     assert G.committable(rows).first().committable and not G.committable(rows.limit(0)).first().committable
@@ -46,6 +47,26 @@ def test_calls_of_git(spark, folder, tmp_path):
     assert {(r.left_revision, r.right_revision) for r in both.collect()} == {("HEAD", "")}
 
 
+def test_revisions_as_a_data_source(spark, folder):
+    """Every file of a revision, of the index and on disk; a file a partition, and bytes of any kind."""
+    register(spark)
+
+    def read(**options):
+        reader = spark.read.format("git_revision").option("folder", folder)
+        for k, v in options.items():
+            reader = reader.option(k, v)
+        return reader.load()
+
+    head = read(files=1)
+    assert {r.path: bytes(r.content) for r in head.collect()} == {"a.py": b"x = 1\n", "old name.py": G.content(folder, "old name.py", "HEAD")}
+    assert head.rdd.getNumPartitions() == 2 and all(r.size == len(r.content) and len(r.blob) == 40 for r in head.collect())
+    assert {r.path: bytes(r.content) for r in read(revision=":").collect()}["a.py"] == b"x = 2\n"
+    disk = {r.path: bytes(r.content) for r in read(revision="").collect()}
+    assert disk["a.py"] == b"x = 3\n" and disk["extra.txt"] == b"?" and "new name.py" in disk
+    assert read(path="nothing").collect() == [] and [r.path for r in read(path="a.py").collect()] == ["a.py"]
+    assert [len(p) for p in ranges([("a", "", 5), ("b", "", 5), ("c", "", -1), ("d", "", 90), ("e", "", 1)], 3, 50)] == [3, 1, 1]
+
+
 def test_layers_and_tints_against_loops(spark):
     pick = random.Random(6)
     spans = []
