@@ -377,7 +377,9 @@ def _families(classes: DataFrame, sim: Similarity, tables: Tables) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, sim: Similarity = Similarity(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``documents``."""
+    """(doc_id, n_shingles, component_id) for every row of ``documents``; ids must be whole numbers."""
+    if documents.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"near_duplicates needs whole numbers in {key}: give texts a number of their own first")
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     tables = Tables(docs.sparkSession)
     written = tables.write(_signatures(docs, sim), "jaccard-signatures")

@@ -4,8 +4,9 @@
 packetised elementary stream (PES) packets with presentation times, and
 random-access points.  ``demux`` parses streams of 188-byte packets: it reads the
 programme association table with all its programmes, the map of each, sections
-that reach over several packets, checks continuity counters and table
-checksums, reassembles the PES packets and lists times and random-access
+that reach over several packets, checks continuity counters (which may jump where
+the stream says so) and table checksums, leaves packets out that are marked as damaged, reads the clock
+references, reassembles the PES packets and lists times and random-access
 points.  Scrambled payloads and adaptation extensions are not interpreted.
 
 ``store_documents`` makes a media column with an index (times, byte offsets and
@@ -47,6 +48,10 @@ ES_PID = 0x101
 UNIT = 16_384
 TICKS = CLOCK // 25
 RANDOM_ACCESS_EVERY = 8
+#: Units from one clock reference to the next: 80 of the 100 ms that the format allows.
+CLOCK_EVERY = 2
+#: A unit is presented so long after the clock at its first packet.
+DELAY = CLOCK // 10
 
 
 def _table() -> list[int]:
@@ -89,6 +94,17 @@ def _read_pts(b: bytes) -> int:
     return (b[0] & 0x0E) << 29 | b[1] << 22 | (b[2] & 0xFE) << 14 | b[3] << 7 | b[4] >> 1
 
 
+def _pcr(ticks: int) -> bytes:
+    """A clock reference: 33 bits of 90 kHz, 6 reserved bits, and 9 bits of 27 MHz, here 0."""
+    return (ticks << 15 | 0x3F << 9).to_bytes(6, "big")
+
+
+def _read_pcr(b: bytes) -> int:
+    """A clock reference in ticks of 27 MHz."""
+    x = int.from_bytes(b[:6], "big")
+    return (x >> 15) * 300 + (x & 0x1FF)
+
+
 def _table_packet(pid: int, counter: int, section: bytes) -> bytes:
     head = bytes([SYNC, 0x40 | pid >> 8, pid & 255, 0x10 | counter & 15, 0])
     return head + section + b"\xff" * (PACKET - 5 - len(section))
@@ -110,7 +126,8 @@ def mux_indexed(payload: bytes, unit: int = UNIT) -> tuple[bytes, list[Entry]]:
     counter = tables = 0
     heads = [bytes([SYNC, ES_PID >> 8, ES_PID & 255, 0x10 | c]) for c in range(16)]
     for k, at in enumerate(range(0, max(1, len(payload)), unit)):
-        ticks = k * TICKS & (1 << 33) - 1
+        clock = k * TICKS & (1 << 33) - 1
+        ticks = clock + DELAY & (1 << 33) - 1
         access = k % RANDOM_ACCESS_EVERY == 0
         index.append((ticks, len(out) * PACKET, access))
         if access:
@@ -118,7 +135,7 @@ def mux_indexed(payload: bytes, unit: int = UNIT) -> tuple[bytes, list[Entry]]:
             tables += 1
         data = payload[at : at + unit]
         pes = b"\x00\x00\x01" + bytes([PRIVATE_STREAM]) + (len(data) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _pts(ticks) + data
-        field_bytes = b"\x40" if access else b""
+        field_bytes = bytes([0x50 if access else 0x10]) + _pcr(clock) if access or k % CLOCK_EVERY == 0 else b""
         room = PACKET - 4 - (1 + len(field_bytes) if field_bytes else 0)
         done = 0
         start = True
@@ -153,6 +170,10 @@ class Stream:
     counter_errors: int = 0
     table_errors: int = 0
     lost_bytes: int = 0
+    #: Packets whose sender marked them as damaged.
+    damaged: int = 0
+    #: (packet id, clock in ticks of 27 MHz) of each clock reference.
+    clocks: list[tuple[int, int]] = field(default_factory=list)
 
     @property
     def payload(self) -> bytes:
@@ -230,10 +251,18 @@ def demux(data: bytes) -> Stream:
         begin, end, access = at + 4, at + PACKET, False
         at = end
         s.packets += 1
+        if b1 & 0x80:
+            s.damaged += 1
+            continue
         if b3 & 0x20:
-            if data[begin] and data[begin + 1] & 0x40:
-                access = True
-            begin += 1 + data[begin]
+            size = data[begin]
+            flags = data[begin + 1] if size else 0
+            access = bool(flags & 0x40)
+            if flags & 0x80:  # the counter may start anew here
+                last.pop(pid, None)
+            if flags & 0x10 and size >= 7 and begin + 8 <= end:
+                s.clocks.append((pid, _read_pcr(data[begin + 2 : begin + 8])))
+            begin += 1 + size
         if not b3 & 0x10 or begin >= end:
             continue
         counter = b3 & 15
@@ -324,7 +353,7 @@ def feature_text(s: Stream, units: list[Entry]) -> str:
     return (
         f"maps={','.join(map(str, sorted(s.pmt_pids)))};streams={types};packets={s.packets};units={len(s.units)};counter_errors={s.counter_errors};"
         f"table_errors={s.table_errors};lost={s.lost_bytes};first_pts={times[0] if times else ''};last_pts={times[-1] if times else ''};"
-        f"random_access={len(points)}:{zlib.crc32(','.join(points).encode())};indexed={str(same).lower()}"
+        f"clocks={len(s.clocks)}:{max((b - a for (_, a), (_, b) in zip(s.clocks, s.clocks[1:], strict=False)), default=0) // 300};damaged={s.damaged};random_access={len(points)}:{zlib.crc32(','.join(points).encode())};indexed={str(same).lower()}"
     )
 
 

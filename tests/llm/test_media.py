@@ -31,8 +31,34 @@ def test_seeking_starts_at_a_random_access_point():
     media, units = M.mux_indexed(raw)
     for pts in (0, M.TICKS * 7, M.TICKS * 8, M.TICKS * 17):
         first = pts // M.TICKS // M.RANDOM_ACCESS_EVERY * M.RANDOM_ACCESS_EVERY
-        stream = M.seek(media, units, pts)
-        assert stream.payload == raw[first * M.UNIT :] and stream.units[0][1] == first * M.TICKS and stream.units[0][2]
+        stream = M.seek(media, units, pts + M.DELAY)
+        assert stream.payload == raw[first * M.UNIT :] and stream.units[0][1] == first * M.TICKS + M.DELAY and stream.units[0][2]
+
+
+def test_clock_references_and_marked_packets():
+    """A clock at every access point and within 100 ms, ahead of what it times; jumps that are announced are no fault, damaged packets are left out."""
+    raw = random.Random(6).randbytes(21 * M.UNIT - 7)
+    media, units = M.mux_indexed(raw)
+    stream = M.demux(media)
+    assert stream.payload == raw and {p for p, _ in stream.clocks} == {M.ES_PID}
+    clocks = [c for _, c in stream.clocks]
+    assert clocks[0] == 0 and all(0 < b - a <= 27_000_000 // 10 for a, b in zip(clocks, clocks[1:]))  # noqa: B905
+    assert {(t - M.DELAY) * 300 for t, _, access in units if access} <= set(clocks)
+    assert M._read_pcr(M._pcr((1 << 33) - 1)) == ((1 << 33) - 1) * 300
+
+    # Two recordings one after the other: the counter of the second starts anew.
+    joined = M.demux(media + media)
+    assert joined.counter_errors == 3  # both tables and the stream
+    marked = bytearray(media + media)
+    for at in range(len(media), 2 * len(media), 188):
+        if marked[at + 3] & 0x20 and marked[at + 4]:
+            marked[at + 5] |= 0x80
+            break
+    assert M.demux(bytes(marked)).counter_errors == 2
+    hurt = bytearray(media)
+    hurt[188 * 40 + 1] |= 0x80
+    found = M.demux(bytes(hurt))
+    assert (found.damaged, found.counter_errors) == (1, 1) and len(found.payload) == len(raw) - 184
 
 
 def packets(pid, body):
@@ -80,4 +106,4 @@ def test_cases(spark):
     assert M.media_digests(df.limit(0)).count() == 0
     units = M.parse_media(materialize(M.store_documents(df.where("doc_id = 2").limit(1)), "test-media"))
     assert b"".join(r.data for r in units.orderBy("unit").collect()).decode().rstrip("\0") == "é" * 40_000
-    assert units.where("random_access").count() == 1 and units.agg({"pts": "max"}).first()[0] == 4 * M.TICKS
+    assert units.where("random_access").count() == 1 and units.agg({"pts": "max"}).first()[0] == 4 * M.TICKS + M.DELAY
