@@ -161,6 +161,8 @@ ORACLE_SQL |= {
         SELECT doc_id, unnest(['compat', 'full']) AS mode, CASE WHEN text = '' THEN 'insert' ELSE 'delete' END AS action, greatest(d, (text = '')::BIGINT) AS n, greatest(d, (text = '')::BIGINT) - 1 AS last FROM n WHERE d > 0 OR text = ''""",
     "code_modes": f"""SELECT DISTINCT o_custkey AS pair_id, 'tree' AS mode, (['python', 'javascript', 'typescript', 'tsx', 'go', 'rust', 'java', 'csharp', 'c', 'cpp', 'php', 'zig', 'lua', 'ruby', 'bash', 'css', 'yaml', 'toml'])[o_custkey % 18 + 1] AS lang,
         0::INT AS errors FROM orders""",
+    "code_errors": """SELECT DISTINCT o_custkey AS pair_id, CASE WHEN o_custkey % 3 = 0 THEN 'errors' ELSE 'tree' END AS mode, 0::INT AS before, CASE o_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END::INT AS after
+        FROM orders WHERE o_custkey % 18 < 16""",
     "code_updates": """WITH o AS (SELECT o_custkey AS pair_id, o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders WHERE o_orderkey % 7 != 0)
         SELECT pair_id, 'tree' AS origin, v::VARCHAR AS old_value, (v + 1)::VARCHAR AS new_value FROM o WHERE k % 3 = 0
         UNION ALL SELECT pair_id, 'comment', 'note ' || k, 'note ' || k || ' b' FROM o WHERE k % 5 = 0 AND pair_id % 18 < 16""",

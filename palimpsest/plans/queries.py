@@ -465,6 +465,19 @@ def code_modes(spark, sf_dir):
     return P.diff(code_pairs(spark, sf_dir), P.Options(actions=True)).select("pair_id", "mode", "lang", F.array_max("errors").alias("errors"))
 
 
+#: Languages in which a bracket without its end counts, whatever is around it.
+BRACED = ("py", "js", "ts", "tsx", "go", "rs", "java", "cs", "c", "cpp", "php", "zig", "lua", "rb", "sh", "css")
+
+
+def code_errors(spark, sf_dir):
+    """Programs whose second version lacks brackets: two in every third pair, one in the next; more than one is too many."""
+    pairs = code_pairs(spark, sf_dir).where(F.regexp_extract("src_name", "([a-z]+)$", 1).isin(*BRACED))
+    k = F.col("pair_id") % 3
+    broken = F.when(k == 0, F.concat("dst", F.lit("x((1\n"))).when(k == 1, F.concat("dst", F.lit("x(1\n"))).otherwise(F.col("dst"))
+    found = P.diff(pairs.withColumn("dst", broken), P.Options(actions=True, parse_error_limit=1))
+    return found.select("pair_id", "mode", F.get("errors", F.lit(0)).alias("before"), F.get("errors", F.lit(1)).alias("after"))
+
+
 def code_updates(spark, sf_dir):
     """Values and notes that were updated between the versions of programs."""
     return _code_actions(spark, sf_dir).where("action = 'update'").select("pair_id", "origin", F.regexp_replace("old_value", "^\\W+|\\W+$", "").alias("old_value"), F.regexp_replace("new_value", "^\\W+|\\W+$", "").alias("new_value"))
@@ -641,7 +654,7 @@ QUERIES = {
         page_nodes, node_tag_counts, node_attribute_values, node_type_counts, leaf_label_counts, subtree_sizes, enclosing_element,
         repeated_subtrees, event_nodes, event_type_counts, event_leaves, event_subtrees, event_hosts, event_repeats, event_label_counts,
         self_edit_summary, self_edit_actions, tree_mappings, tree_actions, tree_action_summary, move_groups, json_tree_actions, merged_spans, span_pieces, clean_labels,
-        code_modes, code_updates, code_deletes, code_alignment, code_comments, code_declarations, code_keywords, code_previews, code_ranges, pair_gates, line_envelopes, line_envelope_totals, page_envelopes, page_highlights,
+        code_modes, code_errors, code_updates, code_deletes, code_alignment, code_comments, code_declarations, code_keywords, code_previews, code_ranges, pair_gates, line_envelopes, line_envelope_totals, page_envelopes, page_highlights,
         page_alignment, printed_actions, virtual_lines, line_tints, column_layers, untouched_blocks, word_overlap, readable_texts,
     )
 }

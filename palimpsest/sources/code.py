@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
 
+from .lexing import Token, tokens
 from .rules import Rules
 from .trees import Comment, Tree
 
@@ -32,50 +32,20 @@ class Raw:
     below: list[Raw] = field(default_factory=list)
 
 
-@dataclass
-class _Token:
-    kind: str
-    text: str
-    start: int
-    end: int
-
-
-@lru_cache(maxsize=64)
-def _scanner(line: tuple, block: tuple, quotes: str, long_quotes: tuple) -> re.Pattern:
-    parts = [rf"(?P<comment>{'|'.join([*(re.escape(a) + '.*?(?:' + re.escape(b) + '|$(?![\\r\\n]))' for a, b in block), *(re.escape(x) + '[^\\n]*' for x in line)])})"] if line or block else []
-    strings = [re.escape(q) + r"(?:[^\\]|\\.)*?(?:" + re.escape(q) + r"|$(?![\r\n]))" for q in long_quotes]
-    strings += [re.escape(q) + r"(?:[^\\" + re.escape(q) + r"\n]|\\.)*(?:" + re.escape(q) + r"|(?=\n)|$)" for q in quotes if q not in long_quotes]
-    if strings:
-        parts.append(rf"(?P<string>{'|'.join(strings)})")
-    parts += [
-        r"(?P<number>\.?\d(?:[eEpP][+-]|[\w.])*)", r"(?P<word>[@!]?[^\W\d][\w]*(?:-[\w]+(?=\s*:))?)", r"(?P<open>[(\[{])", r"(?P<close>[)\]}])", r"(?P<newline>\r?\n)",
-        r"(?P<mark>=>|->|::|:=|==|!=|<=|>=|&&|\|\||\+\+|--|\.\.\.|[-+*/%&|^<>]=|[^\s\w])",
-    ]
-    return re.compile("|".join(parts), re.S)
-
-
-def tokens(text: str, rules: Rules) -> list[_Token]:
-    scan = _scanner(rules.line_comments, rules.block_comments, rules.quotes, rules.long_quotes)
-    return [_Token(m.lastgroup, m[0], *m.span()) for m in scan.finditer(text)]
-
-
 class _Builder:
     def __init__(self, text: str, rules: Rules):
         self.text, self.rules = text, rules
         self.tokens = tokens(text, rules)
         self.at = 0
-        self.errors = sum(
-            t.kind == "string" and (len(t.text) < 2 or t.text[-1] != t.text[0]) or t.kind == "comment" and any(t.text.startswith(a) and not t.text.endswith(b) for a, b in rules.block_comments)
-            for t in self.tokens
-        )
+        self.errors = sum(t.broken for t in self.tokens)
 
-    def peek(self, past_lines: bool = False) -> _Token | None:
+    def peek(self, past_lines: bool = False) -> Token | None:
         k = self.at
         while past_lines and k < len(self.tokens) and self.tokens[k].kind in ("newline", "comment"):
             k += 1
         return self.tokens[k] if k < len(self.tokens) else None
 
-    def leaf(self, t: _Token) -> Raw:
+    def leaf(self, t: Token) -> Raw:
         if t.kind == "word":
             kind = "keyword" if t.text in self.rules.keywords else "identifier"
         else:
