@@ -20,7 +20,7 @@ from ..sources.parsing import parse
 from ..sources.rules import LANGUAGES
 from ..sources.trees import Tree
 from .spread import spread
-from .treematch import Matching, _longest_common, match
+from .treematch import Matching, Partition, _longest_common, match
 
 
 @dataclass
@@ -188,7 +188,9 @@ def _kernel(pairs: DataFrame, lang: str, schema: str, rows) -> DataFrame:
 
         for batch in batches:
             for k in range(batch.num_rows):
-                m = match(parse(batch.column(2)[k].as_py() or "", lang), parse(batch.column(3)[k].as_py() or "", lang), LANGUAGES[lang])
+                src, dst = (batch.column(c)[k].as_py() or "" for c in (2, 3))
+                left, right = parse(src, lang), parse(dst, lang)
+                m = match(left, right, LANGUAGES[lang], Partition(src, dst, left, right))
                 a, b = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 found += [(a, b, *r) for r in rows(m)]
                 if len(found) >= OUT_ROWS:
