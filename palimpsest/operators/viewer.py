@@ -128,13 +128,22 @@ def actions_at(spans: DataFrame, cursors: DataFrame, keys: list[str]) -> DataFra
 
 
 def next_span(spans: DataFrame, cursors: DataFrame, keys: list[str]) -> DataFrame:
-    """(cursor columns, next_line, next_col, previous_line, previous_col): the nearest span starts behind and before a cursor, around the ends."""
-    starts = spans.select(*keys, "side", F.col("line").alias("_l"), F.col("start_col").alias("_c")).distinct()
-    here, there = F.struct("line", "col"), F.struct(F.col("_l").alias("line"), F.col("_c").alias("col"))
-    both = cursors.join(starts, [*keys, "side"]).groupBy(*cursors.columns).agg(
-        F.coalesce(F.min(F.when(there > here, there)), F.min(there)).alias("n"), F.coalesce(F.max(F.when(there < here, there)), F.max(there)).alias("p")
-    )
-    return both.select(*cursors.columns, F.col("n.line").alias("next_line"), F.col("n.col").alias("next_col"), F.col("p.line").alias("previous_line"), F.col("p.col").alias("previous_col"))
+    """(cursor columns, next_line, next_col, previous_line, previous_col): the nearest span starts behind and before a cursor, around the ends.
+
+    Places of spans and cursors are put in order once; a place's neighbours are the last starts seen from either end.
+    """
+    place = [*keys, "side", "line", "col"]
+    starts = spans.select(*keys, "side", "line", F.col("start_col").alias("col"), F.lit(True).alias("_start"))
+    places = starts.unionByName(cursors.select(*place, F.lit(False).alias("_start"))).groupBy(*place).agg(F.bool_or("_start").alias("_start"))
+    here = F.when(F.col("_start"), F.struct("line", "col"))
+    rise, fall = (Window.partitionBy(*keys, "side").orderBy(*(o(c) for c in ("line", "col"))) for o in (F.asc, F.desc))
+    whole = Window.partitionBy(*keys, "side")
+    near = {
+        "_n": F.coalesce(F.last(here, True).over(fall.rowsBetween(Window.unboundedPreceding, -1)), F.min(here).over(whole)),
+        "_p": F.coalesce(F.last(here, True).over(rise.rowsBetween(Window.unboundedPreceding, -1)), F.max(here).over(whole)),
+    }
+    found = places.withColumns(near).where("_n IS NOT NULL").select(*place, F.col("_n.line").alias("next_line"), F.col("_n.col").alias("next_col"), F.col("_p.line").alias("previous_line"), F.col("_p.col").alias("previous_col"))
+    return cursors.join(found, place).select(*cursors.columns, "next_line", "next_col", "previous_line", "previous_col")
 
 
 def move_counterparts(actions: DataFrame, lines: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
