@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as M
 from ..functions import text as X
+from ..operators import actionjoin as A
 from ..operators import diff as P
 from ..operators import editscript as E
 from ..operators import linediff as D
@@ -309,7 +310,11 @@ def tree_action_summary(spark, sf_dir):
 
 
 def move_groups(spark, sf_dir):
-    return E.move_groups(E.tree_actions(_page_pairs(spark, sf_dir), "html"))
+    """Moves of one place to one place between pages, named in the order of their first."""
+    pairs = _page_pairs(spark, sf_dir)
+    sides = [T.nodes(pairs.select(F.col("a").alias("key"), F.col(text).alias("text")), "html").withColumns({"a": F.col("key"), "b": F.col("key") + 1}) for text in ("src", "dst")]
+    named = A.name_groups(E.tree_actions(pairs, "html"), *sides, ["a", "b"])
+    return named.where("group_id IS NOT NULL").select("a", "b", "seq", "node_id", "group_id")
 
 
 def json_tree_actions(spark, sf_dir):

@@ -99,6 +99,5 @@ def test_queries(spark):
     actions = E.tree_actions(pairs, "html")
     got = {(r.a, r.action): r.n for r in E.action_summary(actions).collect()}
     assert got == {(1, "move"): 1, (1, "insert"): 1, (5, "insert"): 1}
-    assert E.move_groups(actions).count() == 0
     assert E.tree_mappings(pairs, "html").where("a = 3").count() == 1
     assert E.tree_actions(pairs.limit(0), "html").count() == 0
