@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, released
+from .common import materialize, parts, released
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -435,7 +435,7 @@ def train(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Crf:
 
     Base spans are the labels; numbers that only look like hex are outside.
     The driver gets at most ``TRAINING_LINES`` lines with and as many without a
-    secret, the smallest hashes of each, cut to ``TRAINING_TOKENS`` words.
+    secret, the smallest hashes of each; a longer line is several of ``TRAINING_TOKENS`` words.
     """
     ids = documents.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(F.lit("secrets"), key), key).limit(TRAINING_DOCUMENTS)
 
@@ -444,14 +444,16 @@ def train(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Crf:
             rows = []
             for value in batch.column(0):
                 for line in (value.as_py() or "").split("\n"):
-                    line = " ".join(line.split(" ")[:TRAINING_TOKENS])
-                    found = sorted({_value(k, line, a, b) for k, a, b in base_spans(line) if not line[a:b].isdigit()})
-                    rows.append((line, bool(found), ",".join(f"{a}:{b}" for a, b in found)))
+                    words = line.split(" ")
+                    for at in range(0, len(words), TRAINING_TOKENS):
+                        piece = " ".join(words[at : at + TRAINING_TOKENS])
+                        found = sorted({_value(k, piece, a, b) for k, a, b in base_spans(piece) if not piece[a:b].isdigit()})
+                        rows.append((piece, bool(found), ",".join(f"{a}:{b}" for a, b in found)))
             rows = list(dict.fromkeys(rows))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.string())], ["line", "held", "spans"])
 
     chosen = documents.join(F.broadcast(ids), key, "left_semi").select(text)  # TRAINING_DOCUMENTS ids at most
-    seen = chosen.mapInArrow(released(extract), "line string, held boolean, spans string").where("line != ''")
+    seen = materialize(chosen.mapInArrow(released(extract), "line string, held boolean, spans string").where("line != ''"), "secrets-lines")
     by_hash = F.xxhash64(F.lit("secrets"), "line")
     lines, secrets, hide = [], [], []
     for held in (True, False):
