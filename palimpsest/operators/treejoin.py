@@ -237,3 +237,81 @@ def match_leaves(left: DataFrame, right: DataFrame, mapping: DataFrame, keys: li
         [host, same("_near"), same("_parent_place"), same("child_index")], [host, same("_near"), same("child_index")], [host, same("_near")], [host, (F.col("_alike"), F.col("parent_id"))],
     ]
     return settle(*sides, keys, ["type", "label"], tiers).drop("tier")
+
+
+def match_containers(left: DataFrame, right: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
+    """``mapping`` with free containers that have a mapped child, each with the free one of its type that fits best.
+
+    Innermost first: a container is decided when none inside it is open.  It is accepted with half of all
+    descendants in common, or a share that falls with the logarithm of the sizes.  Of several that end with one
+    candidate the first in the text is taken and the others decide again without it.  The roots belong to each other at the end.
+    """
+    both = []
+    for nodes, own, other in ((left, "src_id", "dst_id"), (right, "dst_id", "src_id")):
+        words = nodes.where("pre_size = 1 AND label != ''").select(*keys, F.col("node_id").alias("_w"), F.col("label").alias("_label"))
+        both.append((nodes.where("pre_size > 1 AND parent_id >= 0"), own, words))
+    rejected = mapping.limit(0).select(*keys, F.col("src_id").alias("node_id"))
+    while True:
+        free = [inner.join(mapping.select(*keys, F.col(own).alias("node_id")), [*keys, "node_id"], "left_anti") for inner, own, _ in both]
+        children = left.select(*keys, F.col("node_id").alias("src_id"), F.col("parent_id").alias("node_id")).join(mapping, [*keys, "src_id"]).select(*keys, "node_id").distinct()
+        able = free[0].join(children, [*keys, "node_id"], "left_semi").join(rejected, [*keys, "node_id"], "left_anti")
+        cols = [*keys, "node_id", "pre_size", "type"]
+        found = written(common_descendants(mapping, able.select(*cols), free[1].select(*cols), keys), "treejoin-containers")
+        if not found.head(1):
+            break
+        open_ones = found.select(*keys, F.col("src_id").alias("node_id")).distinct().join(left.select(*keys, "node_id", "pre_size"), [*keys, "node_id"])
+        ranges = open_ones.select(*keys, F.col("node_id").alias("_h"), (F.col("node_id") + 1).alias("_from"), (F.col("node_id") + F.col("pre_size")).alias("_to"))
+        outer = I.inside(open_ones.select(*keys, "node_id"), ranges, keys, "node_id", "_from", "_to").select(*keys, F.col("_h").alias("src_id")).distinct()
+        now = found.join(outer, [*keys, "src_id"], "left_anti")
+        chosen = written(best_candidates(_features(now, left, right, mapping, keys, both[0][2]), keys).join(found, [*keys, "src_id", "dst_id"]), "treejoin-chosen")
+        sizes = chosen.join(left.select(*keys, F.col("node_id").alias("src_id"), F.col("pre_size").alias("_n")), [*keys, "src_id"]).join(right.select(*keys, F.col("node_id").alias("dst_id"), F.col("pre_size").alias("_m")), [*keys, "dst_id"])
+        good = (F.col("dice") >= MIN_DICE) | (F.col("overlap") >= 1 / (1 + F.log(F.col("_n") + F.col("_m") - 2)))
+        judged = sizes.select(*keys, "src_id", "dst_id", good.alias("_good"))
+        first = judged.where("_good").groupBy(*keys, "dst_id").agg(F.min("src_id").alias("src_id"))
+        mapping = written(mapping.unionByName(first.select(*mapping.columns)), "treejoin-mapping")
+        rejected = written(rejected.unionByName(judged.where("NOT _good").select(*keys, F.col("src_id").alias("node_id"))), "treejoin-rejected")
+    roots = left.where("parent_id < 0").select(*keys, F.col("node_id").alias("src_id")).join(right.where("parent_id < 0").select(*keys, F.col("node_id").alias("dst_id")), keys)
+    for c in ("src_id", "dst_id"):
+        roots = roots.join(mapping.select(*keys, c), [*keys, c], "left_anti")
+    return mapping.unionByName(roots.select(*mapping.columns))
+
+
+def _features(found: DataFrame, left: DataFrame, right: DataFrame, mapping: DataFrame, keys: list[str], words: DataFrame) -> DataFrame:
+    """Candidates (src_id, dst_id, dice, overlap) with all that :func:`best_candidates` looks at; they are met from partners of the first descendants upwards."""
+    pairs = found.select(*keys, "src_id", "dst_id").distinct()
+    place = [side.select(*keys, F.col("node_id").alias(own), F.col("child_index").alias(f"_place_{own}"), F.col("pre_size").alias(f"_size_{own}")) for side, own in ((left, "src_id"), (right, "dst_id"))]
+    out = found.join(place[0], [*keys, "src_id"]).join(place[1], [*keys, "dst_id"])
+    for nodes, own, side in ((left, "src_id", "left"), (right, "dst_id", "right")):
+        hosts = nearest_mapped(nodes, mapping, keys, side, pairs.select(*keys, F.col(own).alias("node_id")).distinct())
+        name = F.col("host") if side == "left" else F.col("partner")
+        out = out.join(hosts.select(*keys, F.col("node_id").alias(own), name.alias(f"_host_{own}")), [*keys, own], "left")
+    # Labels below the candidate that are among those below the source.
+    own = I.inside(words, out.select(*keys, "src_id", (F.col("src_id") + F.col("_size_src_id")).alias("_to")).distinct(), keys, "_w", "src_id", "_to").select(*keys, "src_id", "_label").distinct()
+    there = right.where("label != ''").select(*keys, F.col("node_id").alias("_w"), F.col("label").alias("_label"))
+    there = I.inside(there, out.select(*keys, "dst_id", (F.col("dst_id") + F.col("_size_dst_id")).alias("_to")).distinct(), keys, "_w", "dst_id", "_to").groupBy(*keys, "dst_id", "_label").agg(F.count(F.lit(1)).alias("_n"))
+    labels = pairs.join(own, [*keys, "src_id"]).join(there, [*keys, "dst_id", "_label"]).groupBy(*keys, "src_id", "dst_id").agg(F.sum("_n").alias("labels"))
+    # Where a candidate is first met: the first descendant with a partner below it.
+    inner = I.inside(mapping, out.select(*keys, F.col("src_id").alias("_x"), (F.col("src_id") + 1).alias("_from"), (F.col("src_id") + F.col("_size_src_id")).alias("_to")).distinct(), keys, "src_id", "_from", "_to")
+    inner = inner.select(*keys, F.col("_x").alias("x"), F.col("src_id").alias("_d"), F.col("dst_id").alias("_e"))
+    met = out.select(*keys, F.col("src_id").alias("x"), "dst_id", (F.col("dst_id") + F.col("_size_dst_id")).alias("_to")).join(inner, [*keys, "x"]).where("_e > dst_id AND _e < _to")
+    met = met.groupBy(*keys, F.col("x").alias("src_id"), "dst_id").agg(F.min("_d").alias("_first"))
+    out = out.join(labels, [*keys, "src_id", "dst_id"], "left").join(met, [*keys, "src_id", "dst_id"])
+    return out.select(
+        *keys, "src_id", F.struct("_first", -F.col("dst_id")).alias("rank"), "dst_id", F.col("overlap").alias("sim"), "dice", (F.col("_place_src_id") == F.col("_place_dst_id")).alias("same_place"),
+        F.col("_host_src_id").eqNullSafe(F.col("_host_dst_id")).alias("host_match"), F.coalesce("labels", F.lit(0)).alias("labels"), F.lit(False).alias("key_match"), F.lit(False).alias("by_key"),
+    )
+
+
+def match_tables(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, src_id, dst_id): equal subtrees, containers from within, leaves that share an ancestor, parents of most partners, in this order.
+
+    Without what needs one pair at a time (recovery below a matched pair, contests): for pairs beyond one task.
+    """
+    mapping = written(top_down(left, right, keys), "treejoin-mapping")
+    mapping = written(match_containers(left, right, mapping, keys), "treejoin-mapping")
+    mapping = written(mapping.unionByName(match_leaves(left, right, mapping, keys).select(*mapping.columns)), "treejoin-mapping")
+    votes = parent_votes(mapping, left, right, keys)
+    for nodes, own in ((left, "src_id"), (right, "dst_id")):
+        votes = votes.join(mapping.select(*keys, own), [*keys, own], "left_anti").join(nodes.select(*keys, F.col("node_id").alias(own), F.col("type").alias(f"_{own}")), [*keys, own])
+    votes = votes.where("_src_id = _dst_id").groupBy(*keys, "dst_id").agg(F.max_by("src_id", F.struct("votes", -F.col("src_id"))).alias("src_id"))
+    return mapping.unionByName(votes.select(*mapping.columns))

@@ -41,6 +41,12 @@ ORACLE_SQL: dict[str, str] = {
     "event_votes": f"""WITH {_SIDES} SELECT key, 0::INT AS src_id, 0::INT AS dst_id, 1::BIGINT AS votes FROM sizes WHERE whole
         UNION ALL SELECT key, 1, 1, count(*) FROM equal GROUP BY key UNION ALL SELECT key, 3 * x - 1, 3 * y - 1, 2 FROM equal""",
     "event_key_leaves": f"""WITH {_SIDES} SELECT l.key, (3 * l.i)::INT AS src_id, (3 * r.i)::INT AS dst_id FROM l JOIN r ON r.key = l.key AND r.name = l.name JOIN sizes s ON s.key = l.key WHERE NOT whole AND l.value != r.value""",
+    "event_match": f"""WITH {_SIDES}, s AS (SELECT *, (SELECT count(*) FROM equal e WHERE e.key = sizes.key) AS k FROM sizes),
+        t AS (SELECT *, NOT whole AND k > 0 AND (6.0 * k / (3 * n + 3 * m) >= 0.5 OR k::DOUBLE / greatest(n, m) >= 1 / (1 + ln(3 * n + 3 * m))) AS held FROM s),
+        changed AS (SELECT l.key, l.i AS x, r.i AS y FROM l JOIN r ON r.key = l.key AND r.name = l.name JOIN t ON t.key = l.key WHERE held AND l.value != r.value),
+        kept AS (SELECT key, x, y FROM equal UNION ALL SELECT key, x, y FROM changed)
+        SELECT key, 0::INT AS src_id, 0::INT AS dst_id FROM t UNION ALL SELECT key, 1, 1 FROM t WHERE whole OR k > 0
+        UNION ALL SELECT key, unnest([3 * x - 1, 3 * x])::INT, unnest([3 * y - 1, 3 * y])::INT FROM kept""",
     "word_nodes": f"""WITH {_WORDS} SELECT key, id::INT AS node_id, parent::INT AS parent_id, CASE WHEN b < 0 THEN -1 WHEN r < 0 THEN b WHEN c < 0 THEN r % 4 ELSE c END::INT AS child_index, size::INT AS pre_size,
             CASE WHEN b < 0 THEN 'document' WHEN r < 0 THEN 'block' WHEN c < 0 THEN 'line' WHEN regexp_matches(label, '[A-Za-z0-9_]') THEN 'word' ELSE label END AS type, label,
             CASE WHEN b < 0 THEN 0 WHEN r < 0 THEN b * 4 ELSE r END::INT AS start_row, CASE WHEN b < 0 THEN last_of_all WHEN r < 0 THEN last_of_block ELSE r END::INT AS end_row FROM sized""",

@@ -53,6 +53,13 @@ def event_key_leaves(spark, sf_dir):
     return J.match_leaves(left, right, mapping, ["key"]).join(keys, ["key", "src_id"]).select("key", "src_id", "dst_id")
 
 
+def event_match(spark, sf_dir):
+    """Partners of all nodes but values of consecutive events, by all steps that are joins."""
+    left, right = _event_sides(spark, sf_dir)
+    kinds = left.where("type IN ('document', 'object', 'pair', 'key')").select("key", F.col("node_id").alias("src_id"))
+    return J.match_tables(left, right, ["key"]).join(kinds, ["key", "src_id"]).select("key", "src_id", "dst_id")
+
+
 #: Lines of a block in the trees of words.
 BLOCK = 4
 
@@ -120,4 +127,4 @@ def planted_deletes(spark, sf_dir):
     return A.drop_line_wrappers(folded, nodes, nodes, ["key"]).select("key", "node_id", "subtree")
 
 
-QUERIES = {f.__name__: f for f in (event_top_down, event_common, event_mapped_hosts, event_votes, event_key_leaves, word_nodes, planted_moves, planted_deletes)}
+QUERIES = {f.__name__: f for f in (event_top_down, event_common, event_mapped_hosts, event_votes, event_key_leaves, event_match, word_nodes, planted_moves, planted_deletes)}

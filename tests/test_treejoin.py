@@ -208,3 +208,80 @@ def test_settle_never_takes_null(spark):
     rows = spark.createDataFrame([(0, 1, None), (0, 2, "t")], "a long, node_id int, t string")
     got = J.settle(rows, rows, ["a"], [], [[(F.col("t"), F.col("t"))]]).collect()
     assert [(r.src_id, r.dst_id) for r in got] == [(2, 2)]
+
+
+def by_rounds(a, b, mapping):
+    """Containers from within, with loops."""
+    to, back = dict(mapping), {y: x for x, y in mapping}
+
+    def up(t, i):
+        while t.parent[i] >= 0:
+            i = t.parent[i]
+            yield i
+
+    def common(x, y):
+        return sum(x < u < x + a.size[x] and y < v < y + b.size[y] for u, v in to.items())
+
+    rejected = set()
+    while True:
+        found = {}
+        for x in range(1, len(a.kind)):
+            if a.size[x] > 1 and x not in to and x not in rejected and any(a.parent[c] == x and c in to for c in range(x + 1, x + a.size[x])):
+                able = []
+                for d in range(x + 1, x + a.size[x]):
+                    able += [y for y in up(b, to[d]) if y > 0 and y not in back and b.kind[y] == a.kind[x] and y not in able] if d in to else []
+                if able:
+                    found[x] = able
+        if not found:
+            break
+        chosen = {}
+        for x in [x for x in found if not any(x < u < x + a.size[x] for u in found)]:
+            best = (None, -1.0, -1.0, False, True, -1)
+            words = {a.label[k] for k in range(x, x + a.size[x]) if a.size[k] == 1 and a.label[k]}
+            host = next((p for p in up(a, x) if p in to), None)
+            for y in found[x]:
+                n = common(x, y)
+                sim, dice, place = n / (max(a.size[x], b.size[y]) - 1), 2 * n / (a.size[x] + b.size[y] - 2), a.place[x] == b.place[y]
+                there = next((q for q in up(b, y) if q in back), None)
+                agree = (None if host is None else to[host]) == there
+                labels = sum(b.label[k] in words for k in range(y, y + b.size[y]) if b.label[k])
+                if abs(sim - best[1]) > 0.05:
+                    take = sim > best[1]
+                elif place and not best[3]:
+                    take = True
+                else:
+                    take = (sim, dice, agree, labels) > (best[1], best[2], best[4], best[5])
+                if take:
+                    best = (y, sim, dice, place, agree, labels)
+            if best[2] >= 0.5 or best[1] >= 1 / (1 + math.log(a.size[x] + b.size[best[0]] - 2)):
+                chosen.setdefault(best[0], x)
+            else:
+                rejected.add(x)
+        for y, x in chosen.items():
+            to[x], back[y] = y, x
+    if 0 not in to and 0 not in back:
+        to[0] = 0
+    return set(to.items())
+
+
+def test_containers(spark):
+    draw = random.Random(21)
+    pairs = []
+    for _ in range(12):
+        one = ("r", "", tuple(grow(draw, 4) for _ in range(3)))
+        pairs.append((Tree(one), Tree(changed(draw, changed(draw, one)))))
+    left, right = tables(spark, pairs)
+    first = J.top_down(left, right, ["a"]).cache()
+    start = defaultdict(list)
+    for r in first.collect():
+        start[r.a].append((r.src_id, r.dst_id))
+    got = defaultdict(set)
+    for r in J.match_containers(left, right, first, ["a"]).collect():
+        got[r.a].add((r.src_id, r.dst_id))
+    assert all(got[k] == by_rounds(*p, start[k]) for k, p in enumerate(pairs)) and sum(len(got[k]) - len(start[k]) for k in got) > 15
+    whole = defaultdict(list)
+    for r in J.match_tables(left, right, ["a"]).collect():
+        whole[r.a].append((r.src_id, r.dst_id))
+    for k, (a, b) in enumerate(pairs):
+        xs, ys = zip(*whole[k], strict=True)
+        assert got[k] <= set(whole[k]) and len(set(xs)) == len(xs) and len(set(ys)) == len(ys) and all(a.kind[x] == b.kind[y] for x, y in whole[k])
