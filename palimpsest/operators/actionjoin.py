@@ -21,12 +21,11 @@ from . import nodes as N
 
 #: Types of leaves that match by chance: alone they did not move.
 LOOSE = ("identifier", "number", "string", "true", "false", "null", "scalar")
-BRACKETS = ("(", ")", "[", "]", "{", "}")
 
 
 def _is_sign(kind: Column, label: Column, size: Column) -> Column:
     """A leaf that is a sign of its own type, and no bracket."""
-    return (size == 1) & (kind == label) & (label != "") & ~X.has_word(label) & ~label.isin(*BRACKETS)
+    return (size == 1) & (kind == label) & (label != "") & ~X.has_word(label) & ~label.isin(*X.BRACKETS)
 
 
 def _of(actions: DataFrame, nodes: DataFrame, keys: list[str], own: str, *columns: str, how: str = "inner") -> DataFrame:
@@ -77,7 +76,7 @@ def loose_moves(actions: DataFrame, left: DataFrame, right: DataFrame, mapping:
     loose = keyword | _is_sign(F.col("_type"), F.col("_label"), F.col("_pre_size")) | F.col("_type").isin(*LOOSE)
     moves = moves.withColumn("_keyword", keyword).where(loose)
 
-    fellows = left.where(~F.col("is_keyword") & ~F.col("label").isin(*BRACKETS)).select(*keys, F.col("parent_id").alias("_p"), F.col("node_id").alias("_f"))
+    fellows = left.where(~F.col("is_keyword") & ~F.col("label").isin(*X.BRACKETS)).select(*keys, F.col("parent_id").alias("_p"), F.col("node_id").alias("_f"))
     there = right.select(*keys, F.col("node_id").alias("_y"), F.col("parent_id").alias("_host"))
     fellows = fellows.join(mapping.select(*keys, F.col("src_id").alias("_f"), F.col("dst_id").alias("_y")), [*keys, "_f"], "left").join(there, [*keys, "_y"], "left")
     beside = moves.where("_keyword").select(*keys, "seq", "node_id", "_p", "_q").join(fellows, [*keys, "_p"])
@@ -165,7 +164,7 @@ def drop_punctuation(actions: DataFrame, left: DataFrame, right: DataFrame, keys
         parts.append(known.select(*actions.columns, "_label", "_pre_size", F.coalesce("_a1", "_a2", F.lit(False)).alias("_held")))
     known = parts[0].unionByName(parts[1]).where("_label NOT IN (',', ';')")
     changed = F.col("action").isin("move", "update")
-    bracket = F.col("_label").isin(*BRACKETS)
+    bracket = F.col("_label").isin(*X.BRACKETS)
     known = known.where(~(changed & bracket & ~F.col("_held")))
     marks = known.where(changed & ~bracket & (F.col("_pre_size") == 1) & (F.col("_label") != "") & ~X.has_word(F.col("_label")))
     return split_actions(known.select(*actions.columns), marks, left, right, keys)

@@ -6,13 +6,12 @@ from collections import defaultdict
 
 import numpy as np
 
+from ..functions.text import TRIVIAL_ANCHORS, TRIVIAL_BRACKETS
 from ..sources.trees import Tree
 from .edits import Edit
 from .treematch import Matching
 
 # Fixed values of the format.
-TRIVIAL_LINES = frozenset(("{", "}", "(", ")", "[", "]", "};", ");", "})", "});", "()", "{}", "() {"))
-TRIVIAL_ANCHORS = frozenset(("*", "/**", "/*", "*/", "//", "<p>", "</p>"))
 EQUAL, PER_LEAF, PER_LEAF_EQUAL = 1000, 100, 10
 #: Rows that a move may shift inside its container without being displaced.
 SHIFT = 2
@@ -139,7 +138,7 @@ class _Lines:
             return out
         equal = np.flatnonzero(self.b[low:high] == self.a[i])
         out[equal] = EQUAL
-        if len(equal) and self.around and self.left[i].strip() in TRIVIAL_LINES:
+        if len(equal) and self.around and self.left[i].strip() in TRIVIAL_BRACKETS:
             for k in equal.tolist():
                 if not containers_correspond(self.m, self.around[0].of(i), self.around[1].of(low + k)):
                     out[k] = 0
