@@ -52,40 +52,46 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 STATE = "at timestamp, epoch long, text string, seen long"
 
 
-class _Last(StatefulProcessor):
-    """The last revision of a key."""
-
-    def __init__(self, kind: str, forget_ms: int):
-        self.kind, self.forget_ms = kind, forget_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # All revisions of a key in one batch, in order; a key has few, as older ones are gone.
-        new = pd.concat(list(rows)).sort_values(["ts", "revision"], kind="stable")
-        at, epoch, text, seen = self.last.get() if self.last.exists() else (None, None, None, 0)
-        out = []
-        for ts, revision, now in zip(new["ts"], new["revision"], new["text"], strict=True):
-            if at is not None and (ts, revision) <= (at, epoch):
-                continue
-            if at is not None:
-                out.append((key[0], epoch, int(revision), text, now, seen))
-            at, epoch, text, seen = ts.to_pydatetime(), int(revision), now, seen + 1
-        self.last.update((at, epoch, text, seen))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if self.forget_ms:
-            self.handle.registerTimer(int(at.timestamp() * 1000) + self.forget_ms)
-        yield pd.DataFrame(out, columns=["key", "old_revision", "new_revision", "src", "dst", "seen"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+def _processor(forget_ms: int) -> StatefulProcessor:
+    """The state of one key.
+
+    The class is made here and so travels by value: the planning process that
+    Spark starts for it knows no packages but Spark's.
+    """
+
+    class Last(StatefulProcessor):
+        """The last revision of a key."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", STATE)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            # All revisions of a key in one batch, in order; a key has few, as older ones are gone.
+            new = pd.concat(list(rows)).sort_values(["ts", "revision"], kind="stable")
+            at, epoch, text, seen = self.last.get() if self.last.exists() else (None, None, None, 0)
+            out = []
+            for ts, revision, now in zip(new["ts"], new["revision"], new["text"], strict=True):
+                if at is not None and (ts, revision) <= (at, epoch):
+                    continue
+                if at is not None:
+                    out.append((key[0], epoch, int(revision), text, now, seen))
+                at, epoch, text, seen = ts.to_pydatetime(), int(revision), now, seen + 1
+            self.last.update((at, epoch, text, seen))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if forget_ms:
+                self.handle.registerTimer(int(at.timestamp() * 1000) + forget_ms)
+            yield pd.DataFrame(out, columns=["key", "old_revision", "new_revision", "src", "dst", "seen"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.last.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    return Last()
 
 
 def revision_changes(revisions: DataFrame, late: str = "1 hour", forget_ms: int = 0) -> DataFrame:
@@ -101,5 +107,5 @@ def revision_changes(revisions: DataFrame, late: str = "1 hour", forget_ms: int
     kind = revisions.schema["key"].dataType.simpleString()
     rows = revisions.select("key", F.col("ts").cast("timestamp").alias("ts"), F.col("revision").cast("long").alias("revision"), "text").withWatermark("ts", late)
     return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Last(kind, forget_ms), outputStructType=f"key {kind}, old_revision long, new_revision long, src string, dst string, seen long", outputMode="Append", timeMode="EventTime"
+        statefulProcessor=_processor(forget_ms), outputStructType=f"key {kind}, old_revision long, new_revision long, src string, dst string, seen long", outputMode="Append", timeMode="EventTime"
     )
