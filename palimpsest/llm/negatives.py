@@ -1,10 +1,10 @@
 """Hard negatives of anchors by a blocked matrix product of their vectors with all rows.
 
-The rows are sorted by label and cut into blocks, and the blocks into chunks of
-dimensions.  A block of anchors and a block of rows meet for each chunk in one
-cell of a grid, where their product is a partial tile of scores; the partial tiles of
-a pair of blocks are shuffled together and added, and the finished tile is
-reduced to the few rows it can give to the result.  Nothing but such rows leaves a tile:
+The rows are sorted by label and cut into blocks.  A block of anchors and a block
+of rows meet in one cell of a grid, where their product is added up over chunks of
+dimensions to a tile of scores, and the tile is at once reduced to the few rows
+it can give to the result.  Nothing but such rows leaves a tile, so what is moved
+and the number of tasks follow the rows and not the scores:
 
 1. tiles that can hold pairs of one label give the best positives of each anchor;
 2. tiles that can hold pairs of different labels get the windows of scores that
@@ -46,14 +46,12 @@ class Mining:
     anchor_rows: int = 256
     block_rows: int = 1024
     dims: int = 32
-    #: Pairs of blocks that meet in one cell of the grid.
-    cell_tiles: int = 16
-    #: Bytes of partial tiles that one task adds.
-    task_bytes: int = 64_000_000
+    #: Pairs of blocks that meet in one cell of the grid; the more, the fewer copies of blocks.
+    cell_tiles: int = 256
 
 
-_BLOCK = "block long, chunk int, n int, low long, high long, ids binary, labels binary, rows binary, cells binary"
-_PARTIAL = "a_block long, b_block long, chunk int, a_n int, b_n int, tile binary, bound double, a_ids binary, a_labels binary, a_rows binary, b_ids binary, b_labels binary, b_rows binary, windows array<struct<i:int,r:int,id:long,score:long>>"
+_BLOCK = "block long, n int, width int, low long, high long, ids binary, labels binary, rows binary, cells binary"
+_WINDOWS = "array<struct<i:int,r:int,id:bigint,score:bigint>>"
 _POSITIVE = "a_block long, i int, a_row long, anchor_id long, positive_id long, positive_score long"
 _NEGATIVE = "a_row long, anchor_id long, r int, positive_id long, positive_score long, negative_id long, negative_score long"
 
@@ -76,7 +74,7 @@ def _whole(vectors: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame, size: int, mining: Mining) -> DataFrame:
-    """One row for each block of at most ``size`` consecutive rows and each chunk of dimensions; shorter vectors end in zeros."""
+    """One row for each block of at most ``size`` consecutive rows; shorter vectors end in zeros, and components are kept as small as they fit."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId() << 32, 0
@@ -94,13 +92,12 @@ def blocks(rows: DataFrame, size: int, mining: Mining) -> DataFrame:
             grid[np.arange(width) < lengths[:, None]] = flat.astype(np.int64)
             labels = batch.column("label").to_numpy()
             ids = batch.column("vec_id").fill_null(np.iinfo(np.int64).max).to_numpy()
-            whole = [x.tobytes() for x in (ids, labels, batch.column("row").to_numpy())]
+            most = max(-int(grid.min(initial=0)), int(grid.max(initial=0)))
+            kind = next(t for t in (np.int16, np.int32, np.int64) if most <= np.iinfo(t).max)
+            whole = [x.tobytes() for x in (ids, labels, batch.column("row").to_numpy(), grid.astype(kind))]
             number, made = part + made, made + 1
-            out = [
-                (number, k, batch.num_rows, int(labels.min()), int(labels.max()), *(whole if k == 0 else (None,) * 3), grid[:, at : at + mining.dims].tobytes())
-                for k, at in enumerate(range(0, width, mining.dims))
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], _names(_BLOCK))
+            out = (number, batch.num_rows, width, int(labels.min()), int(labels.max()), *whole)
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], _names(_BLOCK))
 
         for batch in batches:
             held.append(batch)
@@ -125,66 +122,49 @@ def product(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
     return a @ b.T, bound
 
 
-def _partials(a: DataFrame, b: DataFrame, n_a: int, n_b: int, mining: Mining, which: F.Column) -> DataFrame:
-    """Partial tiles of all pairs of blocks for which ``which`` holds.
+def _tiles(a: DataFrame, b: DataFrame, n_a: int, n_b: int, mining: Mining, which: F.Column, schema: str, reduce) -> DataFrame:
+    """Tiles of all pairs of blocks for which ``which`` holds; ``reduce`` turns each into rows of ``schema``.
 
     On a grid of p x q cells a block of anchors goes to the q cells of its row and
-    a block of rows to the p cells of its column.
+    a block of rows to the p cells of its column; there are cells enough for all tasks.
     """
-    cells = max(1, ceil(n_a * n_b / mining.cell_tiles))
+    cells = min(max(1, n_a * n_b), max(ceil(n_a * n_b / mining.cell_tiles), 4 * a.sparkSession.sparkContext.defaultParallelism))
     p = min(max(1, round(sqrt(cells * n_a / max(1, n_b)))), max(1, n_a))
     q = min(max(1, ceil(cells / p)), max(1, n_b))
     spread = a.select(*(F.col(c).alias(f"a_{c}") for c in _names(_BLOCK)), "windows", F.pmod(F.xxhash64("block"), F.lit(p)).alias("p"), F.explode(F.expr(f"sequence(0L, {q - 1}L)")).alias("q"))
     rest = b.select(*(F.col(c).alias(f"b_{c}") for c in _names(_BLOCK)), F.pmod(F.xxhash64("block"), F.lit(q)).alias("q"), F.explode(F.expr(f"sequence(0L, {p - 1}L)")).alias("p"))
-    met = spread.join(rest.withColumn("a_chunk", F.col("b_chunk")), ["p", "q", "a_chunk"]).where(which)
-    met = met.select("a_block", "b_block", F.col("a_chunk").alias("chunk"), "a_n", "b_n", "a_cells", "b_cells", "a_ids", "a_labels", "a_rows", "b_ids", "b_labels", "b_rows", "windows")
+    met = spread.join(rest, ["p", "q"]).where(which)
+    met = met.select("a_block", *(f"{s}_{c}" for s in "ab" for c in ("n", "width", "ids", "labels", "rows", "cells")), "windows")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                a, b = (np.frombuffer(row.column(f"{s}_cells")[0].as_buffer(), np.int64).reshape(row.column(f"{s}_n")[0].as_py(), -1) for s in "ab")
-                width = min(a.shape[1], b.shape[1])  # the last chunk of shorter vectors is narrower
-                tile, bound = product(a[:, :width], b[:, :width])
-                if bound < 2**31:  # lossless, and half as much to move
-                    tile = tile.astype(np.int32)
-                made = {"tile": pa.array([tile.tobytes()], pa.binary()), "bound": pa.array([bound])}
-                yield pa.RecordBatch.from_arrays([made[c] if c in made else row.column(c) for c in _names(_PARTIAL)], _names(_PARTIAL))
+                columns = reduce(scores(*(_cells(row, s) for s in "ab"), mining.dims), Tile.of(row))
+                if columns[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("i", "r") else pa.int64()) for n, c in zip(_names(schema), columns, strict=True)], _names(schema))
 
-    return met.mapInArrow(released(multiply), _PARTIAL)
+    return met.mapInArrow(released(multiply), schema)
 
 
-def _tiles(partials: DataFrame, schema: str, reduce, parts: int) -> DataFrame:
-    """Partial tiles shuffled together and added; ``reduce`` turns a finished tile into rows of ``schema``."""
+def _cells(row: pa.RecordBatch, side: str) -> np.ndarray:
+    """The components of a block, whatever their size in bytes."""
+    raw, n = row.column(f"{side}_cells")[0].as_buffer(), row.column(f"{side}_n")[0].as_py()
+    width = int(row.column(f"{side}_width")[0].as_py())
+    return np.frombuffer(raw, {2: np.int16, 4: np.int32, 8: np.int64}[raw.size // (n * width)]).reshape(n, width)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, total, bound, first = None, None, 0.0, None
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if bound >= 2.0**62:
-                raise OverflowError("a score could leave 64 bits")
-            columns = reduce(total, first) if pair is not None else [[]]
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("i", "r") else pa.int64()) for n, c in zip(_names(schema), columns, strict=True)], _names(schema))
-
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                own = (row.column("a_block")[0].as_py(), row.column("b_block")[0].as_py())
-                n_a, n_b = row.column("a_n")[0].as_py(), row.column("b_n")[0].as_py()
-                raw = row.column("tile")[0].as_buffer()
-                tile = np.frombuffer(raw, np.int32 if raw.size == 4 * n_a * n_b else np.int64).reshape(n_a, n_b)
-                if own != pair:
-                    yield from done()
-                    pair, total, bound, first = own, np.zeros((n_a, n_b), np.int64), 0.0, None
-                total += tile
-                bound += row.column("bound")[0].as_py()
-                if row.column("chunk")[0].as_py() == 0:
-                    first = Tile.of(row)
-        yield from done()
-
-    dealt = partials.repartition(parts, "a_block", "b_block").sortWithinPartitions("a_block", "b_block", "chunk")
-    return dealt.mapInArrow(released(add), schema)
+def scores(a: np.ndarray, b: np.ndarray, dims: int) -> np.ndarray:
+    """All scores of two blocks, added up over chunks of ``dims`` dimensions."""
+    total, bound = np.zeros((len(a), len(b)), np.int64), 0.0
+    for at in range(0, min(a.shape[1], b.shape[1]), dims):  # shorter vectors end in zeros
+        end = min(at + dims, a.shape[1], b.shape[1])
+        part, least = product(a[:, at:end].astype(np.int64), b[:, at:end].astype(np.int64))
+        total += part
+        bound += least
+        if bound >= 2.0**62:
+            raise OverflowError("a score could leave 64 bits")
+    return total
 
 
 @dataclass
@@ -233,8 +213,7 @@ def mine(vectors: DataFrame, mining: Mining = Mining()) -> DataFrame:
     rows = materialize(rows, "negatives-rows")
     b = materialize(blocks(rows, mining.block_rows, mining), "negatives-blocks")
     a = materialize(blocks(rows.where("is_anchor").coalesce(max(1, spark.sparkContext.defaultParallelism)), mining.anchor_rows, mining), "negatives-anchors")
-    n_a, n_b, chunks = a.where("chunk = 0").count(), b.where("chunk = 0").count(), (a.agg(F.max("chunk")).first()[0] or 0) + 1
-    parts = max(1, ceil(8.0 * n_a * n_b * chunks * mining.anchor_rows * mining.block_rows / mining.task_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_a, n_b = a.count(), b.count()
 
     def positives(scores: np.ndarray, t: Tile) -> list[list]:
         order, costs = t.ranked(scores, (t.a_labels[:, None] == t.b_labels[None, :]) & (t.a_rows[:, None] != t.b_rows[None, :]))
@@ -256,17 +235,17 @@ def mine(vectors: DataFrame, mining: Mining = Mining()) -> DataFrame:
                     column.append(value)
         return out
 
-    bare = a.withColumn("windows", F.lit(None).cast("array<struct<i:int,r:int,id:bigint,score:bigint>>"))
+    bare = a.withColumn("windows", F.lit(None).cast(_WINDOWS))
     alike = (F.col("a_low") <= F.col("b_high")) & (F.col("b_low") <= F.col("a_high"))
-    best = _tiles(_partials(bare, b, n_a, n_b, mining, alike), _POSITIVE, positives, parts)
+    best = _tiles(bare, b, n_a, n_b, mining, alike, _POSITIVE, positives)
     place = Window.partitionBy("a_row").orderBy(F.desc("positive_score"), F.asc_nulls_last("positive_id"))
     best = best.withColumn("r", F.row_number().over(place)).where(F.col("r") <= mining.positives)
     windows = best.groupBy("a_block").agg(F.collect_list(F.struct("i", "r", F.col("positive_id").alias("id"), F.col("positive_score").alias("score"))).alias("windows"))
-    windows = materialize(windows, "negatives-windows").withColumn("chunk", F.lit(0))
-    asked = a.join(windows.withColumnRenamed("a_block", "block"), ["block", "chunk"], "left")
+    windows = materialize(windows, "negatives-windows")
+    asked = a.join(windows.withColumnRenamed("a_block", "block"), "block")
 
     other = ~((F.col("a_low") == F.col("a_high")) & (F.col("b_low") == F.col("b_high")) & (F.col("a_low") == F.col("b_low")))
-    found = _tiles(_partials(asked, b, n_a, n_b, mining, other), _NEGATIVE, negatives, parts)
+    found = _tiles(asked, b, n_a, n_b, mining, other, _NEGATIVE, negatives)
     order = Window.partitionBy("a_row", "r").orderBy(F.desc("negative_score"), F.asc_nulls_last("negative_id"))
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= mining.negatives)
     return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
