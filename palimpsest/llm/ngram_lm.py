@@ -49,11 +49,15 @@ class Model:
     hashes: int = 6
     bits: int = 9
     #: Tokens that a task counts, and scores, at once.
-    batch_tokens: int = 2_000_000
+    batch_tokens: int = 500_000
     score_tokens: int = 400_000
     #: Tokens of the training texts for each segment of the filter.
     segment_tokens: int = 32_768
+    #: Training tokens whose n-grams one task adds up for the filter at once.
+    group_tokens: int = 1_000_000
     broadcast_bytes: int = 128_000_000
+    #: Bytes of the filter that answer one group of batches.
+    shard_bytes: int = 32_000_000
     broadcast_tokens: int = 262_144
     #: Where the filter is not broadcast: characters whose n-grams are asked for at once.
     batch_chars: int = 8_000_000
@@ -236,6 +240,11 @@ def _segment(grams: np.ndarray, segments: int) -> np.ndarray:
     return (grams >> np.uint64(65 - segments.bit_length())).astype(np.int64)
 
 
+def _power(x: float) -> int:
+    """The next power of two."""
+    return 1 << ceil(log2(x))
+
+
 def _cut(grams: np.ndarray, segments: int) -> Iterator[tuple[int, slice]]:
     """Parts of sorted n-grams by segment."""
     own = _segment(grams, segments)
@@ -247,17 +256,19 @@ def _cut(grams: np.ndarray, segments: int) -> Iterator[tuple[int, slice]]:
 def build_filter(docs: DataFrame, segments: int, model: Model = Model()) -> DataFrame:
     """(segment, grams, filter): one row for each segment that has n-grams of ``docs`` (text).
 
-    Tasks add up the n-grams of their texts before they send them; every segment is then built by one task.
+    Tasks add up the n-grams of their texts before they send them, in groups of neighbouring segments; every
+    segment is then built by one task.
     """
     shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = min(segments, _power(max(256, segments * model.segment_tokens / model.group_tokens)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, batch in _batches(batches, model.batch_tokens):
             starts = np.full(len(batch.first), _START)
             found = np.concatenate([*batch.grams(model.order), starts])
             grams, counts = np.unique(found[found != 0], return_counts=True)
-            rows = [(s, grams[at].tobytes(), counts[at].astype(np.int64).tobytes()) for s, at in _cut(grams, segments)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["segment", "grams", "counts"])
+            rows = [(s, grams[at].tobytes(), counts[at].astype(np.int32).tobytes()) for s, at in _cut(grams, groups)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "grams", "counts"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, grams, counts = None, [], []
@@ -266,20 +277,20 @@ def build_filter(docs: DataFrame, segments: int, model: Model = Model()) -> Data
             if own is not None:
                 each, at = np.unique(np.concatenate(grams), return_inverse=True)
                 n = np.bincount(at, np.concatenate(counts), len(each))
-                made = segment_filter(each, n, model.hashes, model.bits)
-                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([len(each)], pa.int64()), pa.array([made], pa.binary())], ["segment", "grams", "filter"])
+                made = [(s, len(each[k]), segment_filter(each[k], n[k], model.hashes, model.bits)) for s, k in _cut(each, segments)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["segment", "grams", "filter"])
 
         for batch in batches:
-            for k, segment in enumerate(batch.column("segment").to_pylist()):
-                if segment != own:
+            for k, part in enumerate(batch.column("part").to_pylist()):
+                if part != own:
                     yield from done()
-                    own, grams, counts = segment, [], []
+                    own, grams, counts = part, [], []
                 grams.append(np.frombuffer(batch.column("grams")[k].as_py(), np.uint64))
-                counts.append(np.frombuffer(batch.column("counts")[k].as_py(), np.int64))
+                counts.append(np.frombuffer(batch.column("counts")[k].as_py(), np.int32))
         yield from done()
 
-    parts = docs.select("text").mapInArrow(released(count), "segment int, grams binary, counts binary")
-    dealt = parts.repartition(max(shuffled, segments // 256), "segment").sortWithinPartitions("segment")
+    parts = docs.select("text").mapInArrow(released(count), "part int, grams binary, counts binary")
+    dealt = parts.repartition(max(shuffled, groups // 4), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(released(build), "segment int, grams long, filter binary")
 
 
@@ -356,36 +367,45 @@ def _by_broadcast(docs: DataFrame, filters: DataFrame, segments: int, learned: L
 
 
 def _by_shuffle(docs: DataFrame, filters: DataFrame, segments: int, learned: Learned) -> DataFrame:
-    """Texts are dealt into batches; the n-grams of a batch go to their segments, and their levels back to the batch."""
+    """Texts are dealt into batches; the n-grams of a batch go to shards of the filter, and their levels back to the batch.
+
+    A shard holds many neighbouring segments and looks up the n-grams of all batches of
+    a group at once, so rows follow batches and shards and not the many small segments.
+    Levels come back in the order of the sorted n-grams, which the batch makes again.
+    """
     spark, model = docs.sparkSession, learned.model
     shared = spark.sparkContext.broadcast(learned)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, ceil(chars / model.batch_chars))
-    # A segment answers at most 1,000 batches in one group.
-    salts = ceil(n / 1000)
+    size = filters.agg(F.sum(F.length("filter"))).first()[0] or 0
+    shards = min(segments, _power(max(256, size / model.shard_bytes)))
+    # A shard answers at most 500 batches in one group.
+    salts = ceil(n / 500)
     dealt = materialize(docs.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(n))), "lm-batches")
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         batch = Batch(t.as_py() for t in table.column("text")).close()
         asked = np.unique(np.concatenate([*batch.grams(model.order), np.array([_START])]))
-        rows = [(key[0].as_py(), s, key[0].as_py() % salts, asked[at].tobytes()) for s, at in _cut(asked, segments)]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["batch", "segment", "salt", "grams"])
+        rows = [(key[0].as_py(), s, key[0].as_py() % salts, asked[at].tobytes()) for s, at in _cut(asked, shards)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["batch", "shard", "salt", "grams"])
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         own = Filter.of(segments, held.column("segment").to_pylist(), held.column("filter").to_pylist(), model.hashes)
-        levels = [own.levels(np.frombuffer(g.as_py(), np.uint64)).tobytes() for g in asked.column("grams")]
-        return pa.table([asked.column("batch"), asked.column("grams"), pa.array(levels, pa.binary())], ["batch", "grams", "levels"])
+        parts = [np.frombuffer(g.as_py(), np.uint64) for g in asked.column("grams")]
+        ends = np.cumsum([0, *map(len, parts)])
+        found = own.levels(np.concatenate([np.zeros(0, np.uint64), *parts]))
+        levels = [found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table([asked.column("batch"), asked.column("shard"), pa.array(levels, pa.binary())], ["batch", "shard", "levels"])
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, levels = (np.concatenate([np.frombuffer(x.as_py(), t) for x in answers.column(c)] or [np.zeros(0, t)]) for c, t in (("grams", np.uint64), ("levels", np.uint8)))
-        order = np.argsort(grams)
-        grams, levels = grams[order], levels[order]
+        levels = np.frombuffer(b"".join(answers.sort_by("shard").column("levels").to_pylist()), np.uint8)
         batch = Batch(t.as_py() for t in texts.column("text")).close()
-        return score_batch(texts.drop_columns("batch"), batch, shared.value, lambda x: levels[np.searchsorted(grams, x)])
+        return score_batch(texts.drop_columns("batch"), batch, shared.value, lambda x: levels)
 
-    asked = dealt.groupBy("batch").applyInArrow(ask, "batch long, segment int, salt long, grams binary")
-    held = filters.select("segment", "filter", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt"))
-    answers = asked.groupBy("segment", "salt").cogroup(held.groupBy("segment", "salt")).applyInArrow(answer, "batch long, grams binary, levels binary")
+    asked = dealt.groupBy("batch").applyInArrow(ask, "batch long, shard int, salt long, grams binary")
+    shard = F.floor(F.col("segment") / (segments // shards)).cast("int").alias("shard")
+    held = filters.select("segment", "filter", shard, F.explode(F.expr(f"sequence(0L, {max(0, salts - 1)}L)")).alias("salt"))
+    answers = asked.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInArrow(answer, "batch long, shard int, levels binary")
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, _schema(docs))
 
 
