@@ -30,6 +30,9 @@ from .spread import spread
 from .treematch import Matching, Partition, match
 
 VERSION = "v1"
+#: Characters of compared texts, and pairs, after which a result batch ends.
+OUT_CHARS = 64_000
+OUT_PAIRS = 64
 
 
 @dataclass(frozen=True)
@@ -42,6 +45,8 @@ class Options:
     actions: bool = False
     alignment: bool = False
     highlights: bool = False
+    #: Whether the pairs of matched nodes leave the tasks as well.
+    mappings: bool = True
 
     def sections(self) -> tuple[bool, bool, bool]:
         chosen = (self.actions, self.alignment, self.highlights)
@@ -165,7 +170,7 @@ def compare_row(src: str, dst: str, mode: str, lang: str | None, dst_lang: str |
     raw = src.encode(), dst.encode()
     grid = align(src, dst, m, edits) if want_alignment or m is None else []
     rows = [action_row(m, e) for e in edits] if m is not None else line_rows(*raw, grid)
-    out = {"mode": mode, "lang": lang, "errors": errors, "mappings": [] if m is None else [{"src_id": x, "dst_id": int(y)} for x, y in enumerate(m.to) if y >= 0]}
+    out = {"mode": mode, "lang": lang, "errors": errors, "mappings": None if not options.mappings else [] if m is None else [{"src_id": x, "dst_id": int(y)} for x, y in enumerate(m.to) if y >= 0]}
     out["actions"] = rows if want_actions else None
     out["alignment"] = [{"left_line": i, "right_line": j} for i, j in grid] if want_alignment else None
     for side, text in zip(("left", "right"), raw, strict=True):
@@ -177,8 +182,8 @@ def compare_row(src: str, dst: str, mode: str, lang: str | None, dst_lang: str |
 def diff(pairs: DataFrame, options: Options = Options(), rules: Mapping[str, Rules] = LANGUAGES, key: str = "pair_id", dealt: bool = True) -> DataFrame:
     """``pairs`` (key, src_name, dst_name, src, dst, is_conflict) to one row a pair with all parts of its result.
 
-    Null texts are empty.  A pair is one unit of work; the rows of a batch are
-    given out one at a time, so memory follows the largest pair.  Pairs are dealt
+    Null texts are empty.  A pair is one unit of work; rows are given out when the
+    texts of a few are compared, so memory follows the largest pair.  Pairs are dealt
     to all tasks by their key, unless ``dealt`` says that they lie well as they are.
     """
     found = gated(pairs, options).select(key, "src", "dst", "mode", "lang", "dst_lang")
@@ -187,10 +192,17 @@ def diff(pairs: DataFrame, options: Options = Options(), rules: Mapping[str, Rul
     arrow = _arrow(found.sparkSession, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for values in zip(*batch.columns, strict=True):
                 k, src, dst, mode, lang, dst_lang = (v.as_py() for v in values)
-                yield pa.RecordBatch.from_pylist([{key: k, **compare_row(src, dst, mode, lang, dst_lang, options, rules)}], schema=arrow)
+                held.append({key: k, **compare_row(src, dst, mode, lang, dst_lang, options, rules)})
+                size += len(src) + len(dst)
+                if size >= OUT_CHARS or len(held) == OUT_PAIRS:
+                    yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
     return found.mapInArrow(run, kind)
 

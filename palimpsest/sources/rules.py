@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ class Rules:
     def is_declaration(self, kind: str) -> bool:
         return kind in self.declaration_types
 
-    @property
+    @cached_property
     def declaration_types(self) -> frozenset[str]:
         return frozenset(self.declarations.values()) | self.named | {"function_definition"}
 
