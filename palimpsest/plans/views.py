@@ -78,7 +78,7 @@ def planted_keywords(spark, sf_dir):
 
 def code_rule_keywords(spark, sf_dir):
     """Keywords in the first versions of programs, by a join with the table of rules."""
-    leaves = T.nodes(_code_side(spark, sf_dir, "src")).where("pre_size = 1")
+    leaves = T.nodes(_code_side(spark, sf_dir, "src"), columns=("key", "pre_size", "label", "lang")).where("pre_size = 1")
     rules = R.rule_table(spark).where("kind = 'keywords'").select("lang", F.col("key").alias("label"))
     return leaves.join(F.broadcast(rules), ["lang", "label"]).groupBy(F.col("key").alias("pair_id"), F.col("label").alias("word")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +31,13 @@ NODES = """key long, node_id int, parent_id int, child_index int, depth int, hei
     type string, label string, start_byte int, end_byte int, start_row int, end_row int, is_keyword boolean, is_unordered boolean, h_full long, h_shape long, lang string"""
 
 
+#: Nodes after which a batch ends.
+BATCH_NODES = 5_000
+#: Characters of a text whose nodes a task remembers, and how many such texts.
+SHORT_TEXT = 200
+KNOWN_TEXTS = 1_000
+
+
 def _with_lang(texts: DataFrame, lang: str | None) -> DataFrame:
     """(key, text, lang); rows without a known language are left out."""
     if lang is not None:
@@ -38,27 +45,56 @@ def _with_lang(texts: DataFrame, lang: str | None) -> DataFrame:
     return texts.select("key", "text", "lang").where(F.col("lang").isin(*LANGUAGES))
 
 
-def nodes(texts: DataFrame, lang: str | None = None) -> DataFrame:
+def nodes(texts: DataFrame, lang: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """One row for every node of ``texts`` (key, text), of one language or with a column ``lang``; null text is empty.
 
+    With ``columns`` only those leave the tasks, in the order of ``NODES``.
+
     Each text is parsed on its own, so any partitioning of the input is fine
-    and nothing is shuffled.
+    and nothing is shuffled.  Nodes of many texts go out at once; a text is not cut.
+    Short texts that repeat in a task are parsed once.
     """
-    names = [c.split()[0] for c in NODES.replace("\n", " ").split(",")]
-    signed = 1 << 63
+    every = [c.split()[0] for c in NODES.replace("\n", " ").split(",")]
+    wanted = [k for k, name in enumerate(every) if columns is None or name in columns]
+    names = [every[k] for k in wanted]
+    schema = ", ".join(NODES.replace("\n", " ").split(",")[k] for k in wanted)
+    kinds = [pa.int64(), *[pa.int32()] * 7, pa.string(), pa.string(), *[pa.int32()] * 4, pa.bool_(), pa.bool_(), pa.uint64(), pa.uint64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = [[] for _ in wanted]
+        size = 0
+        known: dict[tuple[str, str], tuple] = {}
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(c, kinds[k]) for c, k in zip(rows, wanted, strict=True)]
+            for c in rows:
+                c.clear()
+            # Hashes keep their bits and become signed.
+            return pa.RecordBatch.from_arrays([c.view(pa.int64()) if c.type == pa.uint64() else c for c in columns], names)
+
         for batch in batches:
-            for k in range(batch.num_rows):
-                t = parse(batch.column(1)[k].as_py() or "", batch.column(2)[k].as_py())
-                n = len(t)
-                ints = [pa.array(c, pa.int32()) for c in (range(n), t.parent, t.place, t.depth, t.height, t.size, t.post_start)]
-                spans = [pa.array(c, pa.int32()) for c in (t.start, t.end, t.row, t.end_row)]
-                hashes = [pa.array([h - 2 * signed if h >= signed else h for h in c], pa.int64()) for c in (t.full, t.shape)]
-                keys = batch.column(0).take(pa.array([k] * n, pa.int32()))
-                yield pa.RecordBatch.from_arrays([keys, *ints, pa.array(t.kind), pa.array(t.label), *spans, pa.array(t.keyword), pa.array(t.unordered), *hashes, pa.array([batch.column(2)[k].as_py()] * n, pa.string())], names)
-
-    return _with_lang(texts, lang).mapInArrow(run, NODES)
+            for key, text, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = text or ""
+                made = known.get((text, name))
+                if made is None:
+                    t = parse(text, name)
+                    n = len(t)
+                    made = (None, range(n), t.parent, t.place, t.depth, t.height, t.size, t.post_start, t.kind, t.label, t.start, t.end, t.row, t.end_row, t.keyword, t.unordered, t.full, t.shape, [name] * n)
+                    if len(text) <= SHORT_TEXT:
+                        if len(known) == KNOWN_TEXTS:
+                            known.clear()
+                        known[text, name] = made
+                n = len(made[1])
+                for column, k in zip(rows, wanted, strict=True):
+                    column += made[k] if k else [key] * n
+                size += n
+                if size >= BATCH_NODES:
+                    yield out()
+                    size = 0
+        if size:
+            yield out()
+
+    return _with_lang(texts, lang).mapInArrow(run, schema)
 
 
 COMMENTS = "key long, idx int, text string, start_byte int, end_byte int, start_row int, end_row int, scope_key string, parent_type string"
