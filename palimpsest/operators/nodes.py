@@ -36,6 +36,23 @@ def inner_sums(nodes: DataFrame, keys: list[str], sums: dict) -> DataFrame:
     return rows.select(*keys, "node_id", *((F.coalesce(f"_a_{n}", f"_t_{n}") - F.col(n)).alias(n) for n in names))
 
 
+def inner_totals(nodes: DataFrame, keys: list[str], sums: dict) -> DataFrame:
+    """(keys, node_id, parent_id, pre_size, sums): the sums of columns over the subtree of each inner node among ``nodes``.
+
+    Leaves are added up at their parents before anything moves, so what is shuffled are inner nodes;
+    a leaf counts where its parent is among ``nodes``.  Each inner node then asks for the running sums at both ends of its stretch.
+    """
+    names = list(sums)
+    tall = F.col("pre_size") > 1
+    own = nodes.select(*keys, F.when(tall, F.col("node_id")).otherwise(F.col("parent_id")).alias("_at"), F.when(tall, F.col("parent_id")).alias("_p"), F.when(tall, F.col("pre_size")).alias("_size"), *(c.alias(f"_v_{n}") for n, c in sums.items()))
+    inner = own.groupBy(*keys, "_at").agg(F.max("_p").alias("_p"), F.max("_size").alias("_size"), *(F.sum(f"_v_{n}").alias(f"_v_{n}") for n in names)).where("_size IS NOT NULL")
+    ends = [F.struct(F.lit(-1).alias("_sign"), F.col("_at").alias("_place"), *(F.col(f"_v_{n}") for n in names)), F.struct(F.lit(1).alias("_sign"), (F.col("_at") + F.col("_size")).alias("_place"), *(F.lit(0).cast("long").alias(f"_v_{n}") for n in names))]
+    points = inner.select(*keys, "_at", "_p", "_size", F.inline(F.array(*ends)))
+    before = I.running(points, keys, "_place", {n: F.col(f"_v_{n}") for n in names})
+    found = before.groupBy(*keys, "_at", "_p", "_size").agg(*(F.sum(F.col("_sign") * F.col(n)).alias(n) for n in names))
+    return found.select(*keys, F.col("_at").alias("node_id"), F.col("_p").alias("parent_id"), F.col("_size").alias("pre_size"), *names)
+
+
 def leaf_labels(nodes: DataFrame) -> DataFrame:
     """Multiset of leaf labels of each document."""
     return nodes.where("pre_size = 1 AND label != ''").groupBy("key", "type", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -90,6 +107,8 @@ def leaf_dice(left: DataFrame, right: DataFrame) -> DataFrame:
 def keyword_trees(nodes: DataFrame) -> DataFrame:
     """(key, node_id): inner nodes of whole trees whose leaves are all keywords."""
     other = F.when((F.col("pre_size") == 1) & ~F.col("is_keyword"), 1).otherwise(0)
+    if "parent_id" in nodes.columns:
+        return inner_totals(nodes, ["key"], {"_other": other}).where("_other = 0").select("key", "node_id")
     found = inner_sums(nodes, ["key"], {"_n": F.lit(1), "_other": other})
     return found.where("_n > 1 AND _other = 0").select("key", "node_id")
 
