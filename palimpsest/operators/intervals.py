@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import large
+
 #: Places of a bin; a range costs a row for each bin it touches.
 WIDTH = 4096
 
@@ -24,7 +26,7 @@ def inside(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start
     """``points`` (keys, at, ...) with every one of ``ranges`` (keys, start, end, ...) that holds them; other column names must differ."""
     p = points.withColumn("_bin", F.floor(F.col(at) / width).cast("long"))
     r = ranges.select("*", _bins(F.col(start), F.col(end), width).alias("_bin"))
-    return p.join(r, [*keys, "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin")
+    return p.join(large(r), [*keys, "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin")
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[str, str], right_range: tuple[str, str], width: int = WIDTH) -> DataFrame:
@@ -33,7 +35,7 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_range:
     x = left.select("*", _bins(F.col(a), F.col(b), width).alias("_bin"))
     y = right.select("*", _bins(F.col(c), F.col(d), width).alias("_bin"))
     first = F.floor(F.greatest(F.col(a), F.col(c)) / width).cast("long")
-    return x.join(y, [*keys, "_bin"]).where((F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.col("_bin") == first)).drop("_bin")
+    return x.join(large(y), [*keys, "_bin"]).where((F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.col("_bin") == first)).drop("_bin")
 
 
 def running(rows: DataFrame, keys: list[str], at: str, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, width: int = WIDTH) -> DataFrame:
@@ -50,7 +52,7 @@ def running(rows: DataFrame, keys: list[str], at: str, sums: dict[str, Column] |
     near = Window.partitionBy(*keys, "_bin").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
     own = binned.withColumns({**{f"_o_{n}": F.sum(c).over(near) for n, c in sums.items()}, **{f"_o_{n}": F.max(c).over(near) for n, c in maxima.items()}})
     zero = F.lit(0)
-    found = own.join(whole, [*keys, "_bin"])
+    found = own.join(large(whole), [*keys, "_bin"])
     return found.select(
         *(F.col(c) for c in rows.columns),
         *((F.coalesce(f"_b_{n}", zero) + F.coalesce(f"_o_{n}", zero)).alias(n) for n in sums),
@@ -72,4 +74,4 @@ def enclosing(points: DataFrame, hosts: DataFrame, keys: list[str], at: str, sta
     near = hosts.select(*keys, F.col(start).alias("host"), F.col(end).alias("_end"))
     found = inside(points.select(*keys, at), near.withColumn("_from", F.col("host") + 1), keys, at, "_from", "_end", width)
     best = found.groupBy(*keys, at).agg(F.max("host").alias("host"))
-    return points.select(*keys, at).join(best, [*keys, at], "left")
+    return points.select(*keys, at).join(large(best), [*keys, at], "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import large
 from . import intervals as I
 
 
@@ -32,7 +33,7 @@ def inner_sums(nodes: DataFrame, keys: list[str], sums: dict) -> DataFrame:
     before = I.running(nodes.select(*keys, "node_id", "pre_size", *(c.alias(f"_v_{n}") for n, c in sums.items())), keys, "node_id", {n: F.col(f"_v_{n}") for n in names})
     total = before.groupBy(*keys).agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names))
     after = before.select(*keys, F.col("node_id").alias("_next"), *(F.col(n).alias(f"_a_{n}") for n in names))
-    rows = before.withColumn("_next", F.col("node_id") + F.col("pre_size")).join(after, [*keys, "_next"], "left").join(total, keys)
+    rows = before.withColumn("_next", F.col("node_id") + F.col("pre_size")).join(large(after), [*keys, "_next"], "left").join(large(total), keys)
     return rows.select(*keys, "node_id", *((F.coalesce(f"_a_{n}", f"_t_{n}") - F.col(n)).alias(n) for n in names))
 
 
@@ -92,13 +93,13 @@ def label_frequency(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def label_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, n): of two tables of :func:`label_frequency` with (a, b, label, n), the sum of the right counts of labels on the left."""
-    return left.select("a", "b", "label").distinct().join(right, ["a", "b", "label"]).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return left.select("a", "b", "label").distinct().join(large(right), ["a", "b", "label"]).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def leaf_dice(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, dice): Dice coefficient of two label multisets (a, b, label, n), of labels with a word character."""
     sides = [side.where(F.col("label").rlike("[A-Za-z0-9_]")).select("a", "b", "label", F.col("n").alias(f"n{k}")) for k, side in enumerate((left, right))]
-    both = sides[0].join(sides[1], ["a", "b", "label"], "full").groupBy("a", "b").agg(
+    both = sides[0].join(large(sides[1]), ["a", "b", "label"], "full").groupBy("a", "b").agg(
         F.sum(F.least(F.coalesce("n0", F.lit(0)), F.coalesce("n1", F.lit(0)))).alias("shared"), F.sum(F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("total")
     )
     return both.select("a", "b", F.round(2.0 * F.col("shared") / F.col("total"), 6).alias("dice"))
@@ -123,14 +124,14 @@ def untouched(nodes: DataFrame, matches: DataFrame, keys: list[str]) -> DataFram
     offset = F.col("other") - F.col("row")
     whole = (F.count("row") == F.col("end_row") - F.col("start_row") + 1) & (F.min(offset) == F.max(offset))
     found = held.groupBy(*keys, "node_id", "start_row", "end_row").agg(F.when(whole, F.min("other")).alias("other_row"))
-    return nodes.select(*keys, "node_id", "start_row", "end_row").join(found, [*keys, "node_id", "start_row", "end_row"], "left")
+    return nodes.select(*keys, "node_id", "start_row", "end_row").join(large(found), [*keys, "node_id", "start_row", "end_row"], "left")
 
 
 def may_match(left: DataFrame, right: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """``pairs`` (keys, src_id, dst_id) that the rows allow: untouched with untouched at their partners, edited with edited."""
     a = left.select(*keys, F.col("node_id").alias("src_id"), F.col("start_row").alias("_sr"), F.col("other_row").alias("_so"))
     b = right.select(*keys, F.col("node_id").alias("dst_id"), F.col("start_row").alias("_dr"), F.col("other_row").alias("_do"))
-    both = pairs.join(a, [*keys, "src_id"]).join(b, [*keys, "dst_id"])
+    both = pairs.join(large(a), [*keys, "src_id"]).join(large(b), [*keys, "dst_id"])
     same = F.col("_so").isNotNull() & F.col("_do").isNotNull() & (F.col("_so") == F.col("_dr")) & (F.col("_do") == F.col("_sr"))
     return both.where(same | F.col("_so").isNull() & F.col("_do").isNull()).select(*keys, "src_id", "dst_id")
 
@@ -143,7 +144,7 @@ def declaration_partners(left: DataFrame, right: DataFrame, keys: list[str]) ->
     """
     key = [*keys, "name", "receiver"]
     single = right.where("name != ''").groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("node_id").alias("dst_id"), F.min("type").alias("type"), F.min("pre_size").alias("_size")).where("_n = 1")
-    both = left.where("name != ''").join(single, [*key, "type"])
+    both = left.where("name != ''").join(large(single), [*key, "type"])
     return both.groupBy(*keys, "dst_id").agg(F.min_by("node_id", F.struct(F.abs(F.col("pre_size") - F.col("_size")), "node_id")).alias("src_id")).select(*keys, "src_id", "dst_id")
 
 
@@ -151,5 +152,5 @@ def outermost(actions: DataFrame, nodes: DataFrame, keys: list[str], wrappers: l
     """``actions`` (keys, node_id, ...) without those of wrappers whose parent has one too."""
     own = nodes.select(*keys, "node_id", "parent_id", "type")
     hosts = actions.select(*keys, F.col("node_id").alias("parent_id"), F.lit(True).alias("_host"))
-    rows = actions.join(own, [*keys, "node_id"], "left").join(hosts.distinct(), [*keys, "parent_id"], "left")
+    rows = actions.join(large(own), [*keys, "node_id"], "left").join(large(hosts.distinct()), [*keys, "parent_id"], "left")
     return rows.where(~(F.col("type").isin(*wrappers) & F.coalesce("_host", F.lit(False)))).select(*actions.columns)

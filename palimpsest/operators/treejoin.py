@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import written
+from ..tables import large, written
 from . import intervals as I
 
 # Fixed values of the method.
@@ -28,13 +28,13 @@ LEAF_DICE = 0.25
 def _shared(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, h_full, n_left, n_right) of the hashes on both sides."""
     counts = [side.groupBy(*keys, "h_full").agg(F.count(F.lit(1)).alias(f"n_{name}")) for side, name in ((left, "left"), (right, "right"))]
-    return counts[0].join(counts[1], [*keys, "h_full"])
+    return counts[0].join(large(counts[1]), [*keys, "h_full"])
 
 
 def _uncovered(nodes: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
     """``nodes`` that are in none of the subtrees of ``roots`` (keys, node_id, _end), roots included."""
     held = I.inside(nodes.select(*keys, "node_id"), roots.select(*keys, F.col("node_id").alias("_root"), "_end"), keys, "node_id", "_root", "_end")
-    return nodes.join(held.select(*keys, "node_id"), [*keys, "node_id"], "left_anti")
+    return nodes.join(large(held.select(*keys, "node_id")), [*keys, "node_id"], "left_anti")
 
 
 def equal_subtrees(left: DataFrame, right: DataFrame, keys: list[str], min_height: int = MIN_HEIGHT) -> DataFrame:
@@ -50,15 +50,15 @@ def equal_subtrees(left: DataFrame, right: DataFrame, keys: list[str], min_heigh
     found = None
     while True:
         both = _shared(*rest, keys)
-        rest = [written(side.join(both.select(*keys, "h_full"), [*keys, "h_full"], "left_semi"), "treejoin-shared") for side in rest]
+        rest = [written(side.join(large(both.select(*keys, "h_full")), [*keys, "h_full"], "left_semi"), "treejoin-shared") for side in rest]
         if not rest[0].head(1):
             break
         tops = [I.outermost(side, keys, "node_id", "_end") for side in rest]
-        hidden = [side.join(top.select(*keys, "node_id"), [*keys, "node_id"], "left_anti").select(*keys, "h_full") for side, top in zip(rest, tops, strict=True)]
+        hidden = [side.join(large(top.select(*keys, "node_id")), [*keys, "node_id"], "left_anti").select(*keys, "h_full") for side, top in zip(rest, tops, strict=True)]
         hidden = hidden[0].unionByName(hidden[1]).distinct()
-        settled = _shared(*rest, keys).join(hidden, [*keys, "h_full"], "left_anti").withColumn("unique", F.expr("n_left = 1 AND n_right = 1"))
+        settled = _shared(*rest, keys).join(large(hidden), [*keys, "h_full"], "left_anti").withColumn("unique", F.expr("n_left = 1 AND n_right = 1"))
         settled = written(settled.select(*keys, "h_full", "unique"), "treejoin-settled")
-        roots = [side.join(settled, [*keys, "h_full"]) for side in rest]
+        roots = [side.join(large(settled), [*keys, "h_full"]) for side in rest]
         new = [r.select(*keys, F.lit(s).alias("side"), "node_id", "pre_size", "h_full", "unique") for r, s in zip(roots, ("left", "right"), strict=True)]
         new = written(new[0].unionByName(new[1]), "treejoin-roots")
         found = new if found is None else found.unionByName(new)
@@ -84,31 +84,35 @@ def settle(left: DataFrame, right: DataFrame, keys: list[str], same: list[str],
             known = side.withColumns(marks).where(F.expr(" AND ".join(["true", *(f"{m} IS NOT NULL" for m in marks)])))
             order = Window.partitionBy(*keys, *same, *marks).orderBy("node_id")
             numbered.append(known.select(*keys, *same, *marks, F.col("node_id").alias("src_id" if k == 0 else "dst_id"), F.row_number().over(order).alias("_k")))
-        taken = numbered[0].join(numbered[1], [*keys, *same, *(f"_t{i}" for i in range(len(tier))), "_k"]).select(*keys, "src_id", "dst_id", F.lit(n).alias("tier"))
+        taken = numbered[0].join(large(numbered[1]), [*keys, *same, *(f"_t{i}" for i in range(len(tier))), "_k"]).select(*keys, "src_id", "dst_id", F.lit(n).alias("tier"))
         taken = written(taken, "treejoin-tier")
         found = taken if found is None else found.unionByName(taken)
-        sides = [side.join(taken.select(*keys, F.col(c).alias("node_id")), [*keys, "node_id"], "left_anti") for side, c in zip(sides, ("src_id", "dst_id"), strict=True)]
+        sides = [side.join(large(taken.select(*keys, F.col(c).alias("node_id"))), [*keys, "node_id"], "left_anti") for side, c in zip(sides, ("src_id", "dst_id"), strict=True)]
     return found
 
 
 def expanded(roots: DataFrame, left: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, src_id, dst_id): every node of the matched equal subtrees ``roots`` (keys, src_id, dst_id): equal subtrees have equal offsets."""
-    tops = roots.join(left.select(*keys, F.col("node_id").alias("src_id"), "pre_size"), [*keys, "src_id"]).select(*keys, F.col("src_id").alias("_x"), F.col("dst_id").alias("_y"), (F.col("src_id") + F.col("pre_size")).alias("_end"))
-    held = I.inside(left.select(*keys, "node_id"), tops, keys, "node_id", "_x", "_end")
-    return held.select(*keys, F.col("node_id").alias("src_id"), (F.col("node_id") - F.col("_x") + F.col("_y")).alias("dst_id"))
+    """(keys, src_id, dst_id): every node of the matched equal subtrees ``roots`` (keys, src_id, dst_id, pre_size if known): equal subtrees have equal offsets."""
+    if "pre_size" not in roots.columns:
+        roots = roots.join(large(left.select(*keys, F.col("node_id").alias("src_id"), "pre_size")), [*keys, "src_id"])
+    # In stretches, as a list of all places of a huge subtree would be one value.
+    parts = roots.select(*keys, "src_id", "dst_id", "pre_size", F.explode(F.expr(f"sequence(0, pre_size - 1, {I.WIDTH})")).alias("_from"))
+    steps = parts.select(*keys, "src_id", "dst_id", F.explode(F.expr(f"sequence(_from, least(_from + {I.WIDTH}, pre_size) - 1)")).alias("_k"))
+    return steps.select(*keys, (F.col("src_id") + F.col("_k")).alias("src_id"), (F.col("dst_id") + F.col("_k")).alias("dst_id"))
 
 
 def _with_family(nodes: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` (keys, node_id, ...) with parent_id, child_index, _parent and _grand, the types above."""
     own = nodes.select(*keys, "node_id", "parent_id", "child_index")
-    up = nodes.select(*keys, F.col("node_id").alias("parent_id"), F.col("type").alias("_parent"), F.col("parent_id").alias("_p2"), F.col("child_index").alias("_parent_place"))
-    upper = nodes.select(*keys, F.col("node_id").alias("_p2"), F.col("type").alias("_grand"))
-    return rows.join(own, [*keys, "node_id"]).join(up, [*keys, "parent_id"], "left").join(upper, [*keys, "_p2"], "left").drop("_p2")
+    inner = nodes.where("pre_size > 1")
+    up = inner.select(*keys, F.col("node_id").alias("parent_id"), F.col("type").alias("_parent"), F.col("parent_id").alias("_p2"), F.col("child_index").alias("_parent_place"))
+    upper = inner.select(*keys, F.col("node_id").alias("_p2"), F.col("type").alias("_grand"))
+    return rows.join(large(own), [*keys, "node_id"]).join(large(up), [*keys, "parent_id"], "left").join(large(upper), [*keys, "_p2"], "left").drop("_p2")
 
 
 def parent_votes(mapping: DataFrame, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, src_id, dst_id, votes): for each parent of mapped nodes the parent that most partners of its children have, the smallest of several."""
-    up = mapping.join(left.select(*keys, F.col("node_id").alias("src_id"), F.col("parent_id").alias("p")), [*keys, "src_id"]).join(right.select(*keys, F.col("node_id").alias("dst_id"), F.col("parent_id").alias("q")), [*keys, "dst_id"])
+    up = mapping.join(large(left.select(*keys, F.col("node_id").alias("src_id"), F.col("parent_id").alias("p"))), [*keys, "src_id"]).join(large(right.select(*keys, F.col("node_id").alias("dst_id"), F.col("parent_id").alias("q"))), [*keys, "dst_id"])
     votes = up.where("p >= 0 AND q >= 0").groupBy(*keys, "p", "q").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy(*keys, "p").agg(F.max(F.struct("votes", -F.col("q"))).alias("_b"))
     return best.select(*keys, F.col("p").alias("src_id"), (-F.col("_b.col2")).alias("dst_id"), F.col("_b.votes").alias("votes"))
@@ -122,18 +126,18 @@ def top_down(left: DataFrame, right: DataFrame, keys: list[str], min_height: int
     and in their place, then in the types, then in document order.
     """
     found = written(equal_subtrees(left, right, keys, min_height), "treejoin-equal")
-    unique = [found.where(f"unique AND side = '{s}'").select(*keys, "h_full", F.col("node_id").alias(c)) for s, c in (("left", "src_id"), ("right", "dst_id"))]
-    sure = written(unique[0].join(unique[1], [*keys, "h_full"]).select(*keys, "src_id", "dst_id"), "treejoin-unique")
+    unique = [found.where(f"unique AND side = '{s}'").select(*keys, "h_full", F.col("node_id").alias(c), "pre_size") for s, c in (("left", "src_id"), ("right", "dst_id"))]
+    sure = written(unique[0].join(large(unique[1].drop("pre_size")), [*keys, "h_full"]).select(*keys, "src_id", "dst_id", "pre_size"), "treejoin-unique")
+    if not found.where("NOT unique").head(1):
+        return expanded(sure, left, keys)
     waiting = [_with_family(nodes, found.where(f"NOT unique AND side = '{s}'").select(*keys, "node_id", "h_full"), keys) for s, nodes in (("left", left), ("right", right))]
     votes = parent_votes(sure, left, right, keys).select(*keys, F.col("src_id").alias("parent_id"), F.col("dst_id").alias("_voted"))
-    waiting = [written(waiting[0].join(votes, [*keys, "parent_id"], "left"), "treejoin-waiting"), written(waiting[1], "treejoin-waiting")]
-    if not waiting[0].head(1):
-        return expanded(sure, left, keys)
+    waiting = [written(waiting[0].join(large(votes), [*keys, "parent_id"], "left"), "treejoin-waiting"), written(waiting[1], "treejoin-waiting")]
     parents, grands, place = (F.col("_parent"),) * 2, (F.coalesce("_grand", F.lit("")),) * 2, (F.col("child_index"),) * 2
     voted = (F.col("_voted"), F.col("parent_id"))
     tiers = [[voted, place], [voted], [parents, grands, place], [parents, grands], [parents], []]
     settled = settle(*waiting, keys, ["h_full"], tiers).drop("tier")
-    return expanded(sure.unionByName(settled), left, keys)
+    return expanded(sure.drop("pre_size").unionByName(settled), left, keys)
 
 
 def common_descendants(mapping: DataFrame, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -148,7 +152,7 @@ def common_descendants(mapping: DataFrame, left: DataFrame, right: DataFrame, ke
     for side, c, own in ((left, "src_id", "x"), (right, "dst_id", "y")):
         roots = side.where("pre_size > 1").select(*keys, *typed, F.col("node_id").alias(own), F.col("pre_size").alias(f"_n{own}"), (F.col("node_id") + 1).alias("_from"), (F.col("node_id") + F.col("pre_size")).alias("_to"))
         sides.append(I.inside(mapping.select(*keys, "src_id", "dst_id"), roots, keys, c, "_from", "_to").drop("_from", "_to"))
-    both = sides[0].join(sides[1], [*keys, "src_id", "dst_id", *typed])
+    both = sides[0].join(large(sides[1]), [*keys, "src_id", "dst_id", *typed])
     counts = both.groupBy(*keys, "x", "y", "_nx", "_ny").agg(F.count(F.lit(1)).alias("common"))
     dice = 2.0 * F.col("common") / (F.col("_nx") + F.col("_ny") - 2)
     overlap = F.col("common") / (F.greatest("_nx", "_ny") - 1)
@@ -191,9 +195,9 @@ def nearest_mapped(nodes: DataFrame, mapping: DataFrame, keys: list[str], side:
     """(keys, node_id, host, partner): the innermost mapped ancestor of each node (of ``points``, if given) and its partner; null without one."""
     own, other = ("src_id", "dst_id") if side == "left" else ("dst_id", "src_id")
     pairs = mapping.select(*keys, F.col(own).alias("host"), F.col(other).alias("partner"))
-    hosts = nodes.where("pre_size > 1").select(*keys, F.col("node_id").alias("host"), "pre_size").join(pairs, [*keys, "host"])
+    hosts = nodes.where("pre_size > 1").select(*keys, F.col("node_id").alias("host"), "pre_size").join(large(pairs), [*keys, "host"])
     hosts = hosts.select(*keys, F.col("host").alias("_h"), (F.col("host") + F.col("pre_size")).alias("_to"))
-    return I.enclosing(nodes if points is None else points, hosts, keys, "node_id", "_h", "_to").join(pairs, [*keys, "host"], "left").select(*keys, "node_id", "host", "partner")
+    return I.enclosing(nodes if points is None else points, hosts, keys, "node_id", "_h", "_to").join(large(pairs), [*keys, "host"], "left").select(*keys, "node_id", "host", "partner")
 
 
 def match_leaves(left: DataFrame, right: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
@@ -208,25 +212,25 @@ def match_leaves(left: DataFrame, right: DataFrame, mapping: DataFrame, keys: li
     sides = []
     for nodes, own, other, side in ((left, "src_id", "dst_id", "left"), (right, "dst_id", "src_id", "right")):
         pairs = mapping.select(*keys, F.col(own).alias("node_id"), F.col(other).alias("_partner"))
-        free = nodes.join(pairs, [*keys, "node_id"], "left_anti")
+        free = nodes.join(large(pairs), [*keys, "node_id"], "left_anti")
         leaves = free.where("pre_size = 1 AND label != '' AND NOT is_keyword AND parent_id >= 0").select(*keys, "node_id", "type", "label", "depth")
         leaves = _with_family(nodes, leaves, keys)
         hosts = nearest_mapped(nodes, mapping, keys, side, leaves.select(*keys, "node_id"))
         depths = nodes.select(*keys, F.col("node_id").alias("host"), F.col("depth").alias("_host_depth"))
-        leaves = leaves.join(hosts.where("host IS NOT NULL"), [*keys, "node_id"]).join(depths, [*keys, "host"])
+        leaves = leaves.join(large(hosts.where("host IS NOT NULL")), [*keys, "node_id"]).join(large(depths), [*keys, "host"])
         # The pair of a host, and of a neighbour, is named by its source node on both sides.
         name = F.col("host") if side == "left" else F.col("partner")
         mapped = pairs.withColumn("_pair", F.col("node_id") if side == "left" else F.col("_partner"))
-        row = nodes.join(mapped, [*keys, "node_id"]).select(*keys, "parent_id", F.col("child_index").alias("_at"), "_pair")
+        row = nodes.join(large(mapped), [*keys, "node_id"]).select(*keys, "parent_id", F.col("child_index").alias("_at"), "_pair")
         for step, c in ((-1, "_before"), (1, "_behind")):
             near = row.select(*keys, "parent_id", (F.col("_at") - step).alias("child_index"), F.col("_pair").alias(c))
-            leaves = leaves.join(near, [*keys, "parent_id", "child_index"], "left")
+            leaves = leaves.join(large(near), [*keys, "parent_id", "child_index"], "left")
         sides.append(leaves.withColumns({"_host": name, "_own": F.when(F.col("parent_id") == F.col("host"), name), "_near": F.when(F.col("depth") - F.col("_host_depth") <= LEAF_DEPTH, F.lit(True))}))
     # Parents with enough in common, of leaves that are still to be placed.
-    tall = [nodes.join(leaves.select(*keys, F.col("parent_id").alias("node_id")).distinct(), [*keys, "node_id"], "left_semi").select(*keys, "node_id", "pre_size") for nodes, leaves in zip((left, right), sides, strict=True)]
+    tall = [nodes.join(large(leaves.select(*keys, F.col("parent_id").alias("node_id")).distinct()), [*keys, "node_id"], "left_semi").select(*keys, "node_id", "pre_size") for nodes, leaves in zip((left, right), sides, strict=True)]
     alike = common_descendants(mapping, *tall, keys).where(F.col("dice") >= LEAF_DICE).groupBy(*keys, "src_id").agg(F.max(F.struct("dice", -F.col("dst_id"))).alias("_b"))
     alike = alike.select(*keys, F.col("src_id").alias("parent_id"), (-F.col("_b.col2")).alias("_alike"))
-    sides = [written(sides[0].join(alike, [*keys, "parent_id"], "left"), "treejoin-leaves"), written(sides[1], "treejoin-leaves")]
+    sides = [written(sides[0].join(large(alike), [*keys, "parent_id"], "left"), "treejoin-leaves"), written(sides[1], "treejoin-leaves")]
 
     def same(c: str) -> tuple[Column, Column]:
         return F.col(c), F.col(c)
@@ -252,27 +256,27 @@ def match_containers(left: DataFrame, right: DataFrame, mapping: DataFrame, keys
         both.append((nodes.where("pre_size > 1 AND parent_id >= 0"), own, words))
     rejected = mapping.limit(0).select(*keys, F.col("src_id").alias("node_id"))
     while True:
-        free = [inner.join(mapping.select(*keys, F.col(own).alias("node_id")), [*keys, "node_id"], "left_anti") for inner, own, _ in both]
-        children = left.select(*keys, F.col("node_id").alias("src_id"), F.col("parent_id").alias("node_id")).join(mapping, [*keys, "src_id"]).select(*keys, "node_id").distinct()
-        able = free[0].join(children, [*keys, "node_id"], "left_semi").join(rejected, [*keys, "node_id"], "left_anti")
+        free = [inner.join(large(mapping.select(*keys, F.col(own).alias("node_id"))), [*keys, "node_id"], "left_anti") for inner, own, _ in both]
+        children = left.select(*keys, F.col("node_id").alias("src_id"), F.col("parent_id").alias("node_id")).join(large(mapping), [*keys, "src_id"]).select(*keys, "node_id").distinct()
+        able = free[0].join(large(children), [*keys, "node_id"], "left_semi").join(large(rejected), [*keys, "node_id"], "left_anti")
         cols = [*keys, "node_id", "pre_size", "type"]
         found = written(common_descendants(mapping, able.select(*cols), free[1].select(*cols), keys), "treejoin-containers")
         if not found.head(1):
             break
-        open_ones = found.select(*keys, F.col("src_id").alias("node_id")).distinct().join(left.select(*keys, "node_id", "pre_size"), [*keys, "node_id"])
+        open_ones = found.select(*keys, F.col("src_id").alias("node_id")).distinct().join(large(left.select(*keys, "node_id", "pre_size")), [*keys, "node_id"])
         ranges = open_ones.select(*keys, F.col("node_id").alias("_h"), (F.col("node_id") + 1).alias("_from"), (F.col("node_id") + F.col("pre_size")).alias("_to"))
         outer = I.inside(open_ones.select(*keys, "node_id"), ranges, keys, "node_id", "_from", "_to").select(*keys, F.col("_h").alias("src_id")).distinct()
-        now = found.join(outer, [*keys, "src_id"], "left_anti")
-        chosen = written(best_candidates(_features(now, left, right, mapping, keys, both[0][2]), keys).join(found, [*keys, "src_id", "dst_id"]), "treejoin-chosen")
-        sizes = chosen.join(left.select(*keys, F.col("node_id").alias("src_id"), F.col("pre_size").alias("_n")), [*keys, "src_id"]).join(right.select(*keys, F.col("node_id").alias("dst_id"), F.col("pre_size").alias("_m")), [*keys, "dst_id"])
+        now = found.join(large(outer), [*keys, "src_id"], "left_anti")
+        chosen = written(best_candidates(_features(now, left, right, mapping, keys, both[0][2]), keys).join(large(found), [*keys, "src_id", "dst_id"]), "treejoin-chosen")
+        sizes = chosen.join(large(left.select(*keys, F.col("node_id").alias("src_id"), F.col("pre_size").alias("_n"))), [*keys, "src_id"]).join(large(right.select(*keys, F.col("node_id").alias("dst_id"), F.col("pre_size").alias("_m"))), [*keys, "dst_id"])
         good = (F.col("dice") >= MIN_DICE) | (F.col("overlap") >= 1 / (1 + F.log(F.col("_n") + F.col("_m") - 2)))
         judged = sizes.select(*keys, "src_id", "dst_id", good.alias("_good"))
         first = judged.where("_good").groupBy(*keys, "dst_id").agg(F.min("src_id").alias("src_id"))
         mapping = written(mapping.unionByName(first.select(*mapping.columns)), "treejoin-mapping")
         rejected = written(rejected.unionByName(judged.where("NOT _good").select(*keys, F.col("src_id").alias("node_id"))), "treejoin-rejected")
-    roots = left.where("parent_id < 0").select(*keys, F.col("node_id").alias("src_id")).join(right.where("parent_id < 0").select(*keys, F.col("node_id").alias("dst_id")), keys)
+    roots = left.where("parent_id < 0").select(*keys, F.col("node_id").alias("src_id")).join(large(right.where("parent_id < 0").select(*keys, F.col("node_id").alias("dst_id"))), keys)
     for c in ("src_id", "dst_id"):
-        roots = roots.join(mapping.select(*keys, c), [*keys, c], "left_anti")
+        roots = roots.join(large(mapping.select(*keys, c)), [*keys, c], "left_anti")
     return mapping.unionByName(roots.select(*mapping.columns))
 
 
@@ -280,22 +284,22 @@ def _features(found: DataFrame, left: DataFrame, right: DataFrame, mapping: Data
     """Candidates (src_id, dst_id, dice, overlap) with all that :func:`best_candidates` looks at; they are met from partners of the first descendants upwards."""
     pairs = found.select(*keys, "src_id", "dst_id").distinct()
     place = [side.select(*keys, F.col("node_id").alias(own), F.col("child_index").alias(f"_place_{own}"), F.col("pre_size").alias(f"_size_{own}")) for side, own in ((left, "src_id"), (right, "dst_id"))]
-    out = found.join(place[0], [*keys, "src_id"]).join(place[1], [*keys, "dst_id"])
+    out = found.join(large(place[0]), [*keys, "src_id"]).join(large(place[1]), [*keys, "dst_id"])
     for nodes, own, side in ((left, "src_id", "left"), (right, "dst_id", "right")):
         hosts = nearest_mapped(nodes, mapping, keys, side, pairs.select(*keys, F.col(own).alias("node_id")).distinct())
         name = F.col("host") if side == "left" else F.col("partner")
-        out = out.join(hosts.select(*keys, F.col("node_id").alias(own), name.alias(f"_host_{own}")), [*keys, own], "left")
+        out = out.join(large(hosts.select(*keys, F.col("node_id").alias(own), name.alias(f"_host_{own}"))), [*keys, own], "left")
     # Labels below the candidate that are among those below the source.
     own = I.inside(words, out.select(*keys, "src_id", (F.col("src_id") + F.col("_size_src_id")).alias("_to")).distinct(), keys, "_w", "src_id", "_to").select(*keys, "src_id", "_label").distinct()
     there = right.where("label != ''").select(*keys, F.col("node_id").alias("_w"), F.col("label").alias("_label"))
     there = I.inside(there, out.select(*keys, "dst_id", (F.col("dst_id") + F.col("_size_dst_id")).alias("_to")).distinct(), keys, "_w", "dst_id", "_to").groupBy(*keys, "dst_id", "_label").agg(F.count(F.lit(1)).alias("_n"))
-    labels = pairs.join(own, [*keys, "src_id"]).join(there, [*keys, "dst_id", "_label"]).groupBy(*keys, "src_id", "dst_id").agg(F.sum("_n").alias("labels"))
+    labels = pairs.join(large(own), [*keys, "src_id"]).join(large(there), [*keys, "dst_id", "_label"]).groupBy(*keys, "src_id", "dst_id").agg(F.sum("_n").alias("labels"))
     # Where a candidate is first met: the first descendant with a partner below it.
     inner = I.inside(mapping, out.select(*keys, F.col("src_id").alias("_x"), (F.col("src_id") + 1).alias("_from"), (F.col("src_id") + F.col("_size_src_id")).alias("_to")).distinct(), keys, "src_id", "_from", "_to")
     inner = inner.select(*keys, F.col("_x").alias("x"), F.col("src_id").alias("_d"), F.col("dst_id").alias("_e"))
-    met = out.select(*keys, F.col("src_id").alias("x"), "dst_id", (F.col("dst_id") + F.col("_size_dst_id")).alias("_to")).join(inner, [*keys, "x"]).where("_e > dst_id AND _e < _to")
+    met = out.select(*keys, F.col("src_id").alias("x"), "dst_id", (F.col("dst_id") + F.col("_size_dst_id")).alias("_to")).join(large(inner), [*keys, "x"]).where("_e > dst_id AND _e < _to")
     met = met.groupBy(*keys, F.col("x").alias("src_id"), "dst_id").agg(F.min("_d").alias("_first"))
-    out = out.join(labels, [*keys, "src_id", "dst_id"], "left").join(met, [*keys, "src_id", "dst_id"])
+    out = out.join(large(labels), [*keys, "src_id", "dst_id"], "left").join(large(met), [*keys, "src_id", "dst_id"])
     return out.select(
         *keys, "src_id", F.struct("_first", -F.col("dst_id")).alias("rank"), "dst_id", F.col("overlap").alias("sim"), "dice", (F.col("_place_src_id") == F.col("_place_dst_id")).alias("same_place"),
         F.col("_host_src_id").eqNullSafe(F.col("_host_dst_id")).alias("host_match"), F.coalesce("labels", F.lit(0)).alias("labels"), F.lit(False).alias("key_match"), F.lit(False).alias("by_key"),
@@ -312,6 +316,6 @@ def match_tables(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     mapping = written(mapping.unionByName(match_leaves(left, right, mapping, keys).select(*mapping.columns)), "treejoin-mapping")
     votes = parent_votes(mapping, left, right, keys)
     for nodes, own in ((left, "src_id"), (right, "dst_id")):
-        votes = votes.join(mapping.select(*keys, own), [*keys, own], "left_anti").join(nodes.select(*keys, F.col("node_id").alias(own), F.col("type").alias(f"_{own}")), [*keys, own])
+        votes = votes.join(large(mapping.select(*keys, own)), [*keys, own], "left_anti").join(large(nodes.select(*keys, F.col("node_id").alias(own), F.col("type").alias(f"_{own}"))), [*keys, own])
     votes = votes.where("_src_id = _dst_id").groupBy(*keys, "dst_id").agg(F.max_by("src_id", F.struct("votes", -F.col("src_id"))).alias("src_id"))
     return mapping.unionByName(votes.select(*mapping.columns))

@@ -26,3 +26,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def large(df: DataFrame) -> DataFrame:
+    """``df``, never to be broadcast where it is joined.
+
+    Files of ids compress to a tenth and less of their rows in memory, so a table that
+    seems small enough by its files can fill the driver.
+    """
+    return df.hint("merge")

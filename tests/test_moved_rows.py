@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import actionjoin as A
 from palimpsest.operators import nodes as N
+from palimpsest.operators import treejoin as J
 from palimpsest.plans import registered
 
 DATA = "/root/testdata/sf0.001"
@@ -64,3 +65,21 @@ def test_totals_of_inner_nodes(spark):
     nodes = spark.createDataFrame([(1, 0, -1, 6), (1, 1, 0, 1), (1, 2, 0, 3), (1, 3, 2, 2), (1, 4, 3, 1), (1, 5, 0, 1), (2, 0, -1, 1)], "key long, node_id int, parent_id int, pre_size int")
     found = N.inner_totals(nodes, ["key"], {"n": F.lit(1), "ids": F.col("node_id")})
     assert sorted((r.key, r.node_id, r.parent_id, r.pre_size, r.n, r.ids) for r in found.collect()) == [(1, 0, -1, 6, 6, 15), (1, 2, 0, 3, 3, 9), (1, 3, 2, 2, 2, 7)]
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["event_votes", "event_key_leaves", "event_mapped_hosts", "event_common"])
+def test_nothing_is_broadcast(spark, name):
+    """Tables of ids are small as files and large in memory, so no join of them goes through the driver."""
+    plan = registered()[0][name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_expanded_in_stretches(spark):
+    """A matched subtree gives all its nodes, whether it is one node, ends with a stretch or goes beyond it; without sizes they are looked up."""
+    sizes = {1: 1, 2: 4096, 3: 4097, 4: 9000}
+    roots = spark.createDataFrame([(k, 5, 7, n) for k, n in sizes.items()], "key long, src_id int, dst_id int, pre_size int")
+    nodes = roots.select("key", F.col("src_id").alias("node_id"), "pre_size")
+    for table in (roots, roots.drop("pre_size")):
+        found = J.expanded(table, nodes, ["key"]).groupBy("key").agg(F.count_distinct("src_id").alias("n"), F.min("src_id").alias("a"), F.max("src_id").alias("b"), F.min(F.expr("dst_id - src_id")).alias("c"), F.max(F.expr("dst_id - src_id")).alias("d"))
+        assert {r.key: tuple(r[1:]) for r in found.collect()} == {k: (n, 5, 4 + n, 2, 2) for k, n in sizes.items()}
