@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Partners of a row that share one copy of it.
 PARTNERS = 64
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
+def spread(rows: DataFrame, *keys: str | Column) -> DataFrame:
     """``rows`` dealt by a hash of ``keys`` to as many tasks as keep all cores busy twice over.
 
     Kernels cost far more for a byte than a scan or a join, so the sizes that
