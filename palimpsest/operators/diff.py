@@ -33,6 +33,8 @@ VERSION = "v1"
 #: Characters of compared texts, and pairs, after which a result batch ends.
 OUT_CHARS = 64_000
 OUT_PAIRS = 64
+#: Characters of pairs compared by lines, after which a result batch ends.
+LINE_CHARS = 500_000
 
 
 @dataclass(frozen=True)
@@ -193,20 +195,108 @@ def diff(pairs: DataFrame, options: Options = Options(), rules: Mapping[str, Rul
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        plain = _LineRows(arrow, options)
         for batch in batches:
-            for values in zip(*batch.columns, strict=True):
-                k, src, dst, mode, lang, dst_lang = (v.as_py() for v in values)
-                held.append({key: k, **compare_row(src, dst, mode, lang, dst_lang, options, rules)})
-                size += len(src) + len(dst)
-                if size >= OUT_CHARS or len(held) == OUT_PAIRS:
-                    yield pa.RecordBatch.from_pylist(held, schema=arrow)
-                    held, size = [], 0
+            for k, src, dst, mode, lang, dst_lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if mode == "tree":
+                    held.append({key: k, **compare_row(src, dst, mode, lang, dst_lang, options, rules)})
+                    size += len(src) + len(dst)
+                    if size >= OUT_CHARS or len(held) == OUT_PAIRS:
+                        yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                        held, size = [], 0
+                else:
+                    plain.add(k, src, dst, mode, lang)
+                    if plain.chars >= LINE_CHARS:
+                        yield plain.batch()
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=arrow)
+        if plain.chars:
+            yield plain.batch()
 
     return found.mapInArrow(run, kind)
 
 
+class _LineRows:
+    """Rows of pairs compared by lines, as :func:`compare_row` gives them, built column by column."""
+
+    def __init__(self, schema: pa.Schema, options: Options):
+        self.schema = schema
+        self.want_actions, self.want_alignment, self.want_highlights = options.sections()
+        self.mappings = options.mappings
+        self.clear()
+
+    def clear(self) -> None:
+        self.chars = 0
+        self.known: list[tuple] = []
+        self.actions: tuple[list, ...] = ([], [], [], [])
+        self.grid: tuple[list, list] = ([], [])
+        self.spans: dict[str, tuple[list, ...]] = {side: ([], [], [], []) for side in ("left", "right")}
+        #: Where the rows of each pair end in the lists above.
+        self.ends: dict[str, list[int]] = {name: [0] for name in ("actions", "alignment", "left_highlights", "right_highlights")}
+
+    def add(self, key, src: str, dst: str, mode: str, lang: str | None) -> None:
+        grid = align(src, dst)
+        self.known.append((key, mode, lang))
+        self.chars += len(src) + len(dst) + 1
+        if self.want_alignment:
+            self.grid[0].extend(i for i, _ in grid)
+            self.grid[1].extend(j for _, j in grid)
+        if self.want_actions or self.want_highlights:
+            raw = src.encode(), dst.encode()
+            starts = [[*line_starts(x), len(x)] for x in raw]
+            names, trees, firsts, lasts = self.actions
+            seq = 0
+            for i, j in grid:
+                if i >= 0 and j >= 0:
+                    continue
+                side, k = (0, i) if j < 0 else (1, j)
+                at = starts[side]
+                start, end, action = at[k], at[k + 1], ("delete", "insert")[side]
+                if self.want_actions:
+                    names.append(action)
+                    trees.append(("before", "after")[side])
+                    firsts.append(start)
+                    lasts.append(end)
+                size = end - start - (k + 2 < len(at))  # without the line's end
+                if self.want_highlights and size:
+                    lines, sizes, marked, edits = self.spans[("left", "right")[side]]
+                    lines.append(k)
+                    sizes.append(size)
+                    marked.append(action)
+                    edits.append(seq)
+                seq += 1
+        self.ends["actions"].append(len(self.actions[0]))
+        self.ends["alignment"].append(len(self.grid[0]))
+        for side in ("left", "right"):
+            self.ends[f"{side}_highlights"].append(len(self.spans[side][0]))
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.known)
+
+        def struct(kind: pa.StructType, size: int, given: dict) -> pa.Array:
+            parts = [given[f.name] if isinstance(given.get(f.name), pa.Array) else pa.array(given[f.name], f.type) if f.name in given else pa.nulls(size, f.type) for f in kind]
+            return pa.StructArray.from_arrays(parts, fields=list(kind))
+
+        def lists(name: str, wanted: bool, given: dict) -> pa.Array:
+            kind, ends = self.schema.field(name).type, self.ends[name]
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct(kind.value_type, ends[-1], given), type=kind) if wanted else pa.nulls(n, kind)
+
+        keys, modes, langs = zip(*self.known, strict=True)
+        action, tree, start, end = self.actions
+        node = self.schema.field("actions").type.value_type.field("node").type
+        nodes = struct(node, len(action), {"tree": tree, "type": [""] * len(action), "start_byte": start, "end_byte": end})
+        columns = {
+            self.schema.names[0]: keys, "mode": modes, "lang": langs, "errors": [None] * n, "mappings": [[] if self.mappings else None] * n,
+            "actions": lists("actions", self.want_actions, {"action": action, "origin": ["line"] * len(action), "node": nodes}),
+            "alignment": lists("alignment", self.want_alignment, {"left_line": self.grid[0], "right_line": self.grid[1]}),
+        }
+        for side, (line, size, marked, seq) in self.spans.items():
+            columns[f"{side}_highlights"] = lists(f"{side}_highlights", self.want_highlights, {"line": line, "start_col": [0] * len(line), "end_col": size, "action": marked, "seq": seq})
+        out = pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in self.schema], schema=self.schema)
+        self.clear()
+        return out
+
+
 def _arrow(spark: SparkSession, kind: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

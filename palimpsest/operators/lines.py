@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,14 +54,15 @@ def copy_groups(docs: DataFrame, min_length: int = 0) -> DataFrame:
     return _groups(docs, min_length).select("kind", F.lower(F.hex("key")).alias("key"), "n", "representative", "doc_id")
 
 
-def _groups(docs: DataFrame, min_length: int) -> DataFrame:
+def _groups(docs: DataFrame, min_length: int, kinds: tuple[str, ...] = ("line", "text")) -> DataFrame:
     known = docs.where("doc_id IS NOT NULL")
     held = known.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("part")).where(F.length("part") >= min_length)
-    units = held.select(F.lit("line").alias("kind"), "part", "doc_id").unionByName(known.where("text != ''").select(F.lit("text").alias("kind"), F.col("text").alias("part"), "doc_id"))
+    units = {"line": held.select(F.lit("line").alias("kind"), "part", "doc_id"), "text": known.where("text != ''").select(F.lit("text").alias("kind"), F.col("text").alias("part"), "doc_id")}
+    chosen = reduce(DataFrame.unionByName, (units[kind] for kind in kinds))
     # The digest and not the text goes through the exchanges.
-    units = units.select("kind", F.unhex(F.sha2("part", 256)).alias("key"), "doc_id").distinct()
-    groups = units.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("representative")).where("n > 1")
-    return units.join(groups, ["kind", "key"])
+    chosen = chosen.select("kind", F.unhex(F.sha2("part", 256)).alias("key"), "doc_id").distinct()
+    groups = chosen.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("representative")).where("n > 1")
+    return chosen.join(groups, ["kind", "key"])
 
 
 def linked_pairs(docs: DataFrame, min_length: int = 0) -> DataFrame:
@@ -67,9 +70,10 @@ def linked_pairs(docs: DataFrame, min_length: int = 0) -> DataFrame:
 
     Every document that shares a line (of ``min_length`` or more; by default any) or its text with another is in a pair.
     """
-    groups = _groups(docs, min_length)
-    star = groups.where((F.col("kind") == "text") | (F.col("n") > RARE_DOCUMENTS)).where("representative < doc_id")
-    return _near(groups).unionByName(star.select(F.col("representative").alias("a"), F.col("doc_id").alias("b"))).distinct()
+    # Lines apart from texts: both uses of the lines' groups then read one exchange, and lines are cut once.
+    lined, same = (_groups(docs, min_length, (kind,)) for kind in ("line", "text"))
+    star = lined.where(F.col("n") > RARE_DOCUMENTS).unionByName(same).where("representative < doc_id")
+    return _near(lined).unionByName(star.select(F.col("representative").alias("a"), F.col("doc_id").alias("b"))).distinct()
 
 
 def _paired(docs: DataFrame, pairs: DataFrame) -> DataFrame:
