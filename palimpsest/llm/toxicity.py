@@ -65,6 +65,8 @@ def words_of(text: str | None) -> list[str]:
     return _WORD(text.lower()) if text else []
 
 
+#: Entries of the lists that are added up at once.
+ENTRIES = 50_000
 #: Term numbers and their weights.
 Vector = tuple[np.ndarray, np.ndarray]
 #: Rows and their similarities, the nearest first.
@@ -147,10 +149,13 @@ class Index:
                 else:
                     scores[own, rows] = dense[own] @ self.dense[rows].T
             kept = np.flatnonzero(chosen[query, block])
-            held = entry[kept]
-            place, part = _spread(self.entry_start[held], self.entry_start[held + 1])
-            first = (query[kept] * self.rows).astype(np.int32)
-            np.add.at(scores.reshape(-1), first[part] + self.at[place], self.weights[place] * q[kept][part])
+            # A few entries at a time, as the rows they hold are many more.
+            for a in range(0, len(kept), ENTRIES):
+                some = kept[a : a + ENTRIES]
+                held = entry[some]
+                place, part = _spread(self.entry_start[held], self.entry_start[held + 1])
+                first = (query[some] * self.rows).astype(np.int32)
+                np.add.at(scores.reshape(-1), first[part] + self.at[place], self.weights[place] * q[some][part])
             if without is not None:
                 scores[np.arange(n), without] = 0
 
@@ -250,6 +255,7 @@ class Model:
             terms, times, ends = self.held
             pairs = zip(np.split(terms, ends[:-1]), np.split(times, ends[:-1]), strict=True)
             self.index = Index((self.unit(p) for p in pairs), self.settings.block, self.settings.dense_from)
+            release()  # what was needed to make it is as large again
         return self.index
 
     def free(self) -> None:
@@ -418,6 +424,7 @@ def scored(model: Model, texts: pa.Array, known: dict[bytes, tuple]) -> list[tup
         for key, (p, near) in zip(fresh, model.score(list(fresh.values())), strict=True):
             known[key] = p, near[:3]
         out += [known[key] for key in keys]
+        release()
     return out
 
 
