@@ -6,6 +6,7 @@ alignment) runs in ``align_pairs``; everything after it is relational.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -23,9 +24,11 @@ MAX_CELLS = 1_000_000
 CONTEXT = 3
 
 
-def _table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of all prefixes."""
+def _table(a: np.ndarray, b: np.ndarray, above: np.ndarray | None = None) -> np.ndarray:
+    """Lengths of the longest common subsequences of all prefixes; ``above`` is the row that they go on from."""
     table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    if above is not None:
+        table[0] = above
     for i, x in enumerate(a):
         # A row is the running maximum of the row above and of its diagonal steps.
         table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], np.where(b == x, table[i, :-1] + 1, 0)))
@@ -33,17 +36,30 @@ def _table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Matched positions; on the way back equal lines match first, then the longer side above."""
-    table = _table(a, b)
+    """Matched positions; on the way back equal lines match first, then the longer side above.
+
+    Of a table of more than ``MAX_CELLS`` cells only as many rows are kept as their
+    square root says; those between are made again on the way back.
+    """
+    step = len(a) if len(a) * len(b) <= MAX_CELLS else math.isqrt(len(a)) + 1
+    kept = [np.zeros(len(b) + 1, np.int32)]
+    for k in range(0, len(a) - step, step):
+        kept.append(_table(a[k : k + step], b, kept[-1])[-1].copy())
     i, j, out = len(a), len(b), []
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            out.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif table[i - 1, j] >= table[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
+    while kept:
+        above = kept.pop()
+        first = len(kept) * step
+        if not (i and j):
+            break
+        table = _table(a[first:i], b[:j], above[: j + 1])
+        while i > first and j:
+            if a[i - 1] == b[j - 1]:
+                out.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif table[i - 1 - first, j] >= table[i - first, j - 1]:
+                i -= 1
+            else:
+                j -= 1
     return out[::-1]
 
 
@@ -115,7 +131,7 @@ def align_pairs(pairs: DataFrame, max_cells: float = MAX_CELLS) -> DataFrame:
     """``pairs`` (a, b, src, dst) to grid rows (a, b, grid_row, left_line, right_line, equal).
 
     Gaps of more than ``max_cells`` cells between unique lines stay unmatched, as the format has it; with
-    ``math.inf`` every gap is matched, at the cost of its cells.
+    ``math.inf`` every gap is matched, in the time of its cells and the memory of some of their rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
