@@ -11,6 +11,7 @@ if a side has more parse errors than allowed; else by trees.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.parsing import parse
+from ..sources.parsing import errors_in, parse
 from ..sources.rules import LANGUAGES, Rules, language_of
 from . import comments
 from .editscript import script
@@ -49,6 +50,8 @@ class Options:
     highlights: bool = False
     #: Whether the pairs of matched nodes leave the tasks as well.
     mappings: bool = True
+    #: Fields of the actions that leave the tasks; by default all but ``place``, the lines and columns of the node.
+    fields: tuple[str, ...] | None = None
 
     def sections(self) -> tuple[bool, bool, bool]:
         chosen = (self.actions, self.alignment, self.highlights)
@@ -57,13 +60,25 @@ class Options:
 
 PAIRS = "pair_id string, src_name string, dst_name string, src string, dst string, is_conflict boolean"
 NODE = "struct<tree: string, type: string, label: string, start_byte: int, end_byte: int>"
-ACTION = f"""struct<action: string, origin: string, node: {NODE}, parent: {NODE}, position: int, old_parent: {NODE}, old_position: int,
-    old_value: string, new_value: string, subtree: boolean, dest_node: {NODE}, dest_start_byte: int, dest_end_byte: int, group_id: string, src_id: int, dst_id: int>"""
+ACTION_FIELDS = {
+    "action": "string", "origin": "string", "node": NODE, "parent": NODE, "position": "int", "old_parent": NODE, "old_position": "int",
+    "old_value": "string", "new_value": "string", "subtree": "boolean", "dest_node": NODE, "dest_start_byte": "int", "dest_end_byte": "int", "group_id": "string", "src_id": "int", "dst_id": "int",
+}
+PLACE = "struct<start_line: int, start_col: int, end_line: int, end_col: int>"
 SPANS = "array<struct<line: int, start_col: int, end_col: int, action: string, seq: int>>"
-ROW = f"""mode string, lang string, actions array<{ACTION}>, alignment array<struct<left_line: int, right_line: int>>,
+
+
+def row_of(fields: tuple[str, ...] | None = None) -> str:
+    """Columns of a result whose actions have these fields."""
+    known = ACTION_FIELDS | {"place": PLACE}
+    action = ", ".join(f"{name}: {known[name]}" for name in fields or ACTION_FIELDS)
+    return f"""mode string, lang string, actions array<struct<{action}>>, alignment array<struct<left_line: int, right_line: int>>,
     left_highlights {SPANS}, right_highlights {SPANS}, mappings array<struct<src_id: int, dst_id: int>>, errors array<int>"""
 
 
+ROW = row_of()
+
+
 def gated(pairs: DataFrame, options: Options = Options()) -> DataFrame:
     """``pairs`` with ``lang`` (of the source, else of the destination) and ``mode``: ``tree``, or the gate that says lines.
 
@@ -158,6 +173,12 @@ def line_rows(src: bytes, dst: bytes, grid: list[tuple[int, int]]) -> list[dict]
     return out
 
 
+def place_of(starts: list[int], node: dict) -> dict:
+    """Lines and columns, from 0, of both ends of a node; ``starts`` are the beginnings of all lines of its side."""
+    (i, p), (j, q) = ((bisect_right(starts, at) - 1, at) for at in (node["start_byte"], node["end_byte"]))
+    return {"start_line": i, "start_col": p - starts[i], "end_line": j, "end_col": q - starts[j]}
+
+
 def compare_row(src: str, dst: str, mode: str, lang: str | None, dst_lang: str | None, options: Options = Options(), rules: Mapping[str, Rules] = LANGUAGES) -> dict:
     """All parts of the result of one pair."""
     want_actions, want_alignment, want_highlights = options.sections()
@@ -172,6 +193,10 @@ def compare_row(src: str, dst: str, mode: str, lang: str | None, dst_lang: str |
     raw = src.encode(), dst.encode()
     grid = align(src, dst, m, edits) if want_alignment or m is None else []
     rows = [action_row(m, e) for e in edits] if m is not None else line_rows(*raw, grid)
+    if "place" in (options.fields or ()):
+        starts = {"before": line_starts(raw[0]), "after": line_starts(raw[1])}
+        for r in rows:
+            r["place"] = place_of(starts[r["node"]["tree"]], r["node"])
     out = {"mode": mode, "lang": lang, "errors": errors, "mappings": None if not options.mappings else [] if m is None else [{"src_id": x, "dst_id": int(y)} for x, y in enumerate(m.to) if y >= 0]}
     out["actions"] = rows if want_actions else None
     out["alignment"] = [{"left_line": i, "right_line": j} for i, j in grid] if want_alignment else None
@@ -190,15 +215,17 @@ def diff(pairs: DataFrame, options: Options = Options(), rules: Mapping[str, Rul
     """
     found = gated(pairs, options).select(key, "src", "dst", "mode", "lang", "dst_lang")
     found = spread(found, key) if dealt else found
-    kind = f"`{key}` {found.schema[key].dataType.simpleString()}, {ROW}"
+    kind = f"`{key}` {found.schema[key].dataType.simpleString()}, {row_of(options.fields)}"
     arrow = _arrow(found.sparkSession, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        # Rows of lines are built by columns where they have all of them.
+        by_rows = options.fields is not None
         plain = _LineRows(arrow, options)
         for batch in batches:
             for k, src, dst, mode, lang, dst_lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if mode == "tree":
+                if mode == "tree" or by_rows:
                     held.append({key: k, **compare_row(src, dst, mode, lang, dst_lang, options, rules)})
                     size += len(src) + len(dst)
                     if size >= OUT_CHARS or len(held) == OUT_PAIRS:
@@ -216,6 +243,30 @@ def diff(pairs: DataFrame, options: Options = Options(), rules: Mapping[str, Rul
     return found.mapInArrow(run, kind)
 
 
+def modes(pairs: DataFrame, options: Options = Options(), rules: Mapping[str, Rules] = LANGUAGES, key: str = "pair_id", dealt: bool = True) -> DataFrame:
+    """(key, mode, lang, errors) as :func:`diff` gives them.  Only gates and parse errors decide, so nothing is matched."""
+    found = gated(pairs, options).select(key, "src", "dst", "mode", "lang", "dst_lang")
+    found = spread(found, key) if dealt else found
+    kind = f"`{key}` {found.schema[key].dataType.simpleString()}, mode string, lang string, errors array<int>"
+    arrow = _arrow(found.sparkSession, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [])
+            for _, src, dst, mode, lang, dst_lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                errors = None
+                if mode == "tree":
+                    errors = [errors_in(src, lang, rules), errors_in(dst, dst_lang or lang, rules)]
+                    if options.error_fallback and max(errors) > options.parse_error_limit:
+                        mode = "errors"
+                out[0].append(mode)
+                out[1].append(errors)
+            given = [batch.column(0), pa.array(out[0], pa.string()), batch.column(4), pa.array(out[1], arrow.field("errors").type)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(given, arrow, strict=True)], schema=arrow)
+
+    return found.mapInArrow(run, kind)
+
+
 class _LineRows:
     """Rows of pairs compared by lines, as :func:`compare_row` gives them, built column by column."""
 

@@ -27,6 +27,18 @@ def parse(text: str, lang: str, rules: Mapping[str, Rules] = LANGUAGES) -> Tree:
     return tree
 
 
+def bare(text: str, lang: str, rules: Mapping[str, Rules] = LANGUAGES) -> Tree:
+    """The same tree, in which comments need not be listed."""
+    own = OWN.get(rules[lang].style)
+    return own(text) if own else code.normalized(text, *code.raw_tree(text, rules[lang]), rules[lang])
+
+
+def errors_in(text: str, lang: str, rules: Mapping[str, Rules] = LANGUAGES) -> int:
+    """The parse errors of a text, without its tree where the tree does not tell them."""
+    own = OWN.get(rules[lang].style)
+    return own(text).errors if own else code.raw_tree(text, rules[lang])[1]
+
+
 NODES = """key long, node_id int, parent_id int, child_index int, depth int, height int, pre_size int, post_start int,
     type string, label string, start_byte int, end_byte int, start_row int, end_row int, is_keyword boolean, is_unordered boolean, h_full long, h_shape long, lang string"""
 
@@ -57,6 +69,7 @@ def nodes(texts: DataFrame, lang: str | None = None, columns: Sequence[str] | No
     every = [c.split()[0] for c in NODES.replace("\n", " ").split(",")]
     wanted = [k for k, name in enumerate(every) if columns is None or name in columns]
     names = [every[k] for k in wanted]
+    hashed = "h_full" in names or "h_shape" in names
     schema = ", ".join(NODES.replace("\n", " ").split(",")[k] for k in wanted)
     kinds = [pa.int64(), *[pa.int32()] * 7, pa.string(), pa.string(), *[pa.int32()] * 4, pa.bool_(), pa.bool_(), pa.uint64(), pa.uint64(), pa.string()]
 
@@ -77,9 +90,10 @@ def nodes(texts: DataFrame, lang: str | None = None, columns: Sequence[str] | No
                 text = text or ""
                 made = known.get((text, name))
                 if made is None:
-                    t = parse(text, name)
+                    t = bare(text, name)
                     n = len(t)
-                    made = (None, range(n), t.parent, t.place, t.depth, t.height, t.size, t.post_start, t.kind, t.label, t.start, t.end, t.row, t.end_row, t.keyword, t.unordered, t.full, t.shape, [name] * n)
+                    hashes = (t.full, t.shape) if hashed else (None, None)
+                    made = (None, range(n), t.parent, t.place, t.depth, t.height, t.size, t.post_start, t.kind, t.label, t.start, t.end, t.row, t.end_row, t.keyword, t.unordered, *hashes, [name] * n)
                     if len(text) <= SHORT_TEXT:
                         if len(known) == KNOWN_TEXTS:
                             known.clear()
@@ -136,3 +150,37 @@ def declarations(table: DataFrame, languages: Mapping[str, Rules] = LANGUAGES) -
     leaves = table.where("type = 'identifier'").select("key", F.col("node_id").alias("_i"), "label")
     inside = front.join(leaves, "key").where("_i > g._g AND _i < g._g + g._n").groupBy("key", "node_id").agg(F.max_by("label", "_i").alias("receiver"))
     return named.drop("_c").join(inside, ["key", "node_id"], "left").select("key", "node_id", "type", "name", F.coalesce("receiver", F.lit("")).alias("receiver"), "pre_size")
+
+
+DECLARED = "key long, node_id int, type string, name string, receiver string, pre_size int"
+
+
+def declared(texts: DataFrame, lang: str | None = None, rules: Mapping[str, Rules] = LANGUAGES) -> DataFrame:
+    """What :func:`declarations` finds among the nodes of ``texts`` (key, text), where each tree is small enough for a task.
+
+    One row leaves the tasks for each declaration, where a table of nodes has all that a text holds.
+    """
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
+    names = [c.split()[0] for c in DECLARED.split(", ")]
+
+    def found(t: Tree, r: Rules) -> Iterator[tuple]:
+        types, identifiers = r.declaration_types, r.identifiers
+        for i, kind in enumerate(t.kind):
+            if kind not in types:
+                continue
+            named = [c for c in t.children[i] if t.kind[c] in identifiers and t.label[c]]
+            if not named:
+                continue
+            name = min(named, key=lambda c: (t.kind[c] != "name", c))
+            front = next((c for c in t.children[i] if c < name and t.kind[c] == "parenthesized"), None)
+            inside = () if front is None else range(front + t.size[front] - 1, front, -1)
+            receiver = next((t.label[k] for k in inside if t.kind[k] == "identifier"), "")
+            yield i, kind, t.label[name], receiver, t.size[i]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(key, *row) for key, text, name in zip(*(c.to_pylist() for c in batch.columns), strict=True) for row in found(bare(text or "", name, rules), rules[name])]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return _with_lang(texts, lang).mapInArrow(run, DECLARED)
